@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op1_substring
+from . import op1_substring, op10_sentencepiece
 
 QUERIES = {
     "op1_substring_dedup": op1_substring.query,
+    "op10_sentencepiece": op10_sentencepiece.query,
 }
 ORACLES: dict[str, str] = {}
