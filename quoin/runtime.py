@@ -9,11 +9,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 HOME = Path(__file__).resolve().parent
+ARROW_BYTES = str(2 << 20)
+"""Arrow batches are bounded by bytes, as rows may be long."""
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Gives the workers of this application the package, once; Spark's file server spreads it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped.add(app)
