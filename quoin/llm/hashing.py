@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 """Units that one pass holds in memory; longer texts are walked in slices."""
 
 _POS_BITS = np.uint64(24)

@@ -3,7 +3,7 @@
 The index keeps, for each anchored segment of word windows, its fingerprints and whether it was seen once or
 more often. Each batch becomes an immutable run, sorted within hash-range buckets; `fanout` runs of a level are
 merged into one of the next. `repeats` merge-joins texts with all runs and verifies what only shares an anchor
-window by window. Memory is bounded by a chunk (4 MB of text, or one text) and by a bucket of fingerprints.
+window by window. Memory is bounded by a chunk (2 MB of text, or one text) and by a bucket of fingerprints.
 
 Null texts have no words; texts shorter than a window lose none; an empty table gives an empty result; repeated
 rows count as repeats of each other. Only the text column (and what the caller selects) is read, so other
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import repeats as R
 from . import segments as S
-from .shared import count_of, discard, fresh, scratch, shuffle_partitions, text_key
+from .shared import CHUNK_BYTES, count_of, discard, fresh, scratch, shuffle_partitions, text_key
 
 RUN = "bucket int, data binary"
 RESULT = "h1 long, h2 long, n_words long, n_removed long, kept_sha256 string, kept string"
@@ -49,7 +49,7 @@ class FingerprintIndex:
             for b in batches:
                 held.append(b)
                 size += b.nbytes
-                if size >= 4 << 20:
+                if size >= CHUNK_BYTES:
                     yield from flush(held)
                     held, size = [], 0
             if held:
