@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import op1_substring, op3_urls, op4_language, op9_topk, op10_sentencepiece
+from . import op1_substring, op3_urls, op4_language, op8_embeddings, op9_topk, op10_sentencepiece
 
 QUERIES = {
     "op1_substring_dedup": op1_substring.query,
     "op3_url_filter": op3_urls.query,
     "op4_language_id": op4_language.query,
+    "op8_embedding_near_dedup": op8_embeddings.query,
     "op9_exact_topk": op9_topk.query,
     "op10_sentencepiece": op10_sentencepiece.query,
 }
-ORACLES: dict[str, str] = {"op9_exact_topk": op9_topk.ORACLE}
+ORACLES: dict[str, str] = {"op8_embedding_near_dedup": op8_embeddings.ORACLE, "op9_exact_topk": op9_topk.ORACLE}
