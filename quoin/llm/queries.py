@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from . import op1_substring, op3_urls, op4_language, op8_embeddings, op9_topk, op10_sentencepiece
+from . import op1_substring, op3_urls, op4_language, op5_jaccard, op6_toxicity, op7_mixing, op8_embeddings, op9_topk, op10_sentencepiece
 
 QUERIES = {
     "op1_substring_dedup": op1_substring.query,
     "op3_url_filter": op3_urls.query,
     "op4_language_id": op4_language.query,
+    "op5_ngram_jaccard_join": op5_jaccard.query,
+    "op6_toxicity": op6_toxicity.query,
+    "op7_mixing": op7_mixing.query,
     "op8_embedding_near_dedup": op8_embeddings.query,
     "op9_exact_topk": op9_topk.query,
     "op10_sentencepiece": op10_sentencepiece.query,
 }
-ORACLES: dict[str, str] = {"op8_embedding_near_dedup": op8_embeddings.ORACLE, "op9_exact_topk": op9_topk.ORACLE}
+ORACLES: dict[str, str] = {
+    "op7_mixing": op7_mixing.ORACLE,
+    "op8_embedding_near_dedup": op8_embeddings.ORACLE,
+    "op9_exact_topk": op9_topk.ORACLE,
+}
