@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op1_substring, op3_urls, op4_language, op5_jaccard, op6_toxicity, op7_mixing, op8_embeddings, op9_topk, op10_sentencepiece
+from . import op1_substring, op2_suffix, op3_urls, op4_language, op5_jaccard, op6_toxicity, op7_mixing, op8_embeddings, op9_topk, op10_sentencepiece
 
 QUERIES = {
     "op1_substring_dedup": op1_substring.query,
+    "op2_suffix_array_dedup": op2_suffix.query,
     "op3_url_filter": op3_urls.query,
     "op4_language_id": op4_language.query,
     "op5_ngram_jaccard_join": op5_jaccard.query,

@@ -6,7 +6,7 @@
    all documents still is one entry per chunk.
 2. A bucket sorts what it got and answers each chunk with one byte for each entry: unique,
    repeated, or open (the anchor is shared, but the segment is not).
-3. For open segments only, chunks send what `Verify` packs (window hashes or bytes) and get
+3. For open segments only, chunks send what a verifier packs (window hashes or bytes) and get
    back which windows repeat.
 4. Chunks mark the covered units.
 
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from . import segments as S
 from .shared import CHUNK_BYTES, count_of, shuffle_partitions, text_key
 
-UNIQUE, REPEATED, OPEN, SHOWN = 0, 1, 2, 3
-"""Answers: SHOWN is repeated, and this chunk sends the segment for open ones to compare with."""
+UNIQUE, REPEATED, OPEN, SHOWN, HOT_OPEN, HOT_SHOWN = 0, 1, 2, 3, 4, 5
+"""Answers: SHOWN is repeated, and this chunk sends the segment for open ones to compare with. HOT: of an anchor
+with very many different segments."""
 
 ENTRY = 17
 TEXTS = "chunk int, h1 long, h2 long, text string, m long"
@@ -103,8 +104,10 @@ class Chunk:
 
 def ranges(sorted_hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, lo, hi) of the non-empty buckets; buckets are equal ranges of the hash."""
+    if not len(sorted_hashes):
+        return []
     of = ((sorted_hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    at = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.empty(0, dtype=np.int64)
+    at = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
     return [(int(of[lo]), int(lo), int(hi)) for lo, hi in zip(at, [*at[1:], len(of)], strict=True)]
 
 
@@ -136,8 +139,9 @@ def totals(g: np.ndarray, c: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.
     return g[at], c[at], n.astype(np.uint8)
 
 
-def judge(ask: list[bytes], known: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> list[bytes]:
-    """One answer for each entry asked. known: the run to judge by; without one, the entries asked."""
+def judge(ask: list[bytes], known: tuple[np.ndarray, np.ndarray, np.ndarray] | None, hot: int | None = None) -> list[bytes]:
+    """One answer for each entry asked. known: the run to judge by; without one, the entries asked. hot: anchors with more
+    different segments are answered as HOT."""
     g, c, w, sizes = unpack(ask)
     kg, kc, kw = totals(g, c, w) if known is None else known
     order = np.lexsort((c, g))
@@ -156,8 +160,10 @@ def judge(ask: list[bytes], known: tuple[np.ndarray, np.ndarray, np.ndarray] | N
     repeated = kw[where] >= 2
     mixed = (kinds[of] > 1) & single[of]
     state = np.where(repeated, np.where(mixed, SHOWN, REPEATED), np.where(mixed, OPEN, UNIQUE)).astype(np.uint8)
+    if hot is not None:
+        state[(state >= OPEN) & (kinds[of] > hot)] += HOT_OPEN - OPEN
     out = state[ids]
-    out[(out == SHOWN) & ~first] = REPEATED
+    out[((out == SHOWN) | (out == HOT_SHOWN)) & ~first] = REPEATED
     return [out[e - n : e].tobytes() for n, e in zip(sizes, np.cumsum(sizes, dtype=np.int64), strict=True)]
 
 
@@ -177,15 +183,18 @@ class HashVerify:
     """Compares open windows by 96 bits of their own; equal windows have equal anchors besides."""
 
     ENTRY = 13
+    KIND = 1
 
-    @staticmethod
-    def windows(chunk: Chunk, states: np.ndarray) -> tuple[np.ndarray, ...]:
+    def __init__(self, open_: int = OPEN, shown: int = SHOWN):
+        self.open, self.shown = open_, shown
+
+    def windows(self, chunk: Chunk, states: np.ndarray) -> tuple[np.ndarray, ...]:
         """Distinct open windows, in order: hashes, numbers; starts of the open ones and which entry each is."""
         s = chunk.seg
         st = states[chunk.of] if len(states) else np.empty(0, np.uint8)
         shown = np.zeros(len(st), dtype=bool)
         shown[chunk.first_of] = True
-        open_, show = st == OPEN, (st == SHOWN) & shown
+        open_, show = st == self.open, (st == self.shown) & shown
         starts = S.expand(s.first[open_ | show], s.last[open_ | show])
         is_open = np.repeat(open_[open_ | show], (s.last - s.first + 1)[open_ | show])
         order = np.argsort(starts, kind="stable")
@@ -199,14 +208,12 @@ class HashVerify:
         w = np.minimum(np.bincount(of, weights=np.where(is_open, 1, 2), minlength=int(new.sum())), 2).astype(np.uint8)
         return one[order][new], two[order][new], w, starts[is_open], of[is_open]
 
-    @classmethod
-    def ask(cls, chunk: Chunk, states: np.ndarray, number: int, buckets: int) -> list[tuple[int, int, int, bytes]]:
-        one, two, w, _, _ = cls.windows(chunk, states)
-        return [(number, b, 1, one[lo:hi].tobytes() + two[lo:hi].tobytes() + w[lo:hi].tobytes()) for b, lo, hi in ranges(one, buckets)]
+    def ask(self, chunk: Chunk, states: np.ndarray, number: int, buckets: int) -> list[tuple[int, int, int, bytes]]:
+        one, two, w, _, _ = self.windows(chunk, states)
+        return [(number, b, self.KIND, one[lo:hi].tobytes() + two[lo:hi].tobytes() + w[lo:hi].tobytes()) for b, lo, hi in ranges(one, buckets)]
 
-    @classmethod
-    def judge(cls, ask: list[bytes]) -> list[bytes]:
-        sizes = [len(d) // cls.ENTRY for d in ask]
+    def judge(self, ask: list[bytes]) -> list[bytes]:
+        sizes = [len(d) // self.ENTRY for d in ask]
         one = np.concatenate([np.frombuffer(d, np.uint64, n) for d, n in zip(ask, sizes, strict=True)])
         two = np.concatenate([np.frombuffer(d, np.uint32, n, 8 * n) for d, n in zip(ask, sizes, strict=True)])
         w = np.concatenate([np.frombuffer(d, np.uint8, n, 12 * n) for d, n in zip(ask, sizes, strict=True)])
@@ -218,15 +225,14 @@ class HashVerify:
         out = (np.bincount(ids, weights=w) >= 2).astype(np.uint8)[ids]
         return [out[e - n : e].tobytes() for n, e in zip(sizes, np.cumsum(sizes, dtype=np.int64), strict=True)]
 
-    @classmethod
-    def repeated(cls, chunk: Chunk, states: np.ndarray, answers: np.ndarray) -> np.ndarray:
+    def repeated(self, chunk: Chunk, states: np.ndarray, answers: np.ndarray) -> np.ndarray:
         """Starts of the open windows that repeat."""
-        _, _, _, starts, of = cls.windows(chunk, states)
+        _, _, _, starts, of = self.windows(chunk, states)
         return starts[answers[of] > 0] if len(starts) else starts
 
 
 def marked(
-    texts: DataFrame, spec: S.Spec, finish: Callable[[Chunk, np.ndarray], pa.Table], schema: str, run: DataFrame | None = None, verify: type = HashVerify, buckets: int | None = None
+    texts: DataFrame, spec: S.Spec, finish: Callable[[Chunk, np.ndarray], pa.Table], schema: str, run: DataFrame | None = None, verify: tuple = (HashVerify(),), buckets: int | None = None, hot: int | None = None
 ) -> DataFrame:
     """finish(chunk, which units repeated windows cover) for each chunk of `texts` (see chunked).
 
@@ -245,7 +251,7 @@ def marked(
 
     def answer(table: pa.Table, known: tuple | None = None) -> pa.Table:
         order = sorted(zip(table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), table.column("data").to_pylist(), strict=True))
-        return blobs([(c, b, 0, d) for (c, b, _), d in zip(order, judge([x[2] for x in order], known), strict=True)])
+        return blobs([(c, b, 0, d) for (c, b, _), d in zip(order, judge([x[2] for x in order], known, hot), strict=True)])
 
     def answer_by_run(table: pa.Table, runs: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -254,17 +260,22 @@ def marked(
         return answer(table, totals(g, c, w))
 
     asked = held.applyInArrow(ask, BLOBS).groupBy("bucket")
-    first = asked.applyInArrow(answer, BLOBS) if run is None else asked.cogroup(run.groupBy("bucket")).applyInArrow(answer_by_run, BLOBS)
+    first = asked.applyInArrow(lambda t: answer(t), BLOBS) if run is None else asked.cogroup(run.groupBy("bucket")).applyInArrow(answer_by_run, BLOBS)
 
     def ask_open(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows or not replies.num_rows:
             return blobs([])
         c = Chunk(spec, table)
-        return blobs(verify.ask(c, c.answers(replies, 0), number(table), buckets))
+        states = c.answers(replies, 0)
+        return blobs([row for v in verify for row in v.ask(c, states, number(table), buckets)])
 
     def answer_open(table: pa.Table) -> pa.Table:
-        order = sorted(zip(table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), table.column("data").to_pylist(), strict=True))
-        return blobs([(c, b, 1, d) for (c, b, _), d in zip(order, verify.judge([x[2] for x in order]), strict=True)])
+        rows = sorted(zip(*(table.column(k).to_pylist() for k in ("kind", "chunk", "bucket", "data")), strict=True))
+        out = []
+        for v in verify:
+            mine = [r for r in rows if r[0] == v.KIND]
+            out += [(c, b, k, d) for (k, c, b, _), d in zip(mine, v.judge([r[3] for r in mine]) if mine else [], strict=True)]
+        return blobs(out)
 
     second = held.cogroup(first.groupBy("chunk")).applyInArrow(ask_open, BLOBS).groupBy("bucket").applyInArrow(answer_open, BLOBS)
 
@@ -274,10 +285,10 @@ def marked(
         c = Chunk(spec, table)
         states = c.answers(replies, 0)
         st = states[c.of] if len(states) else np.empty(0, np.uint8)
-        whole = (st == REPEATED) | (st == SHOWN)
+        whole = (st == REPEATED) | (st == SHOWN) | (st == HOT_SHOWN)
         starts = S.expand(c.seg.first[whole], c.seg.last[whole])
-        more = verify.repeated(c, states, c.answers(replies, 1))
-        return finish(c, S.covered(len(c.units.values), spec.window, np.concatenate([starts, more]).astype(np.int64)))
+        more = [v.repeated(c, states, c.answers(replies, v.KIND)) for v in verify]
+        return finish(c, S.covered(len(c.units.values), spec.window, np.concatenate([starts, *more]).astype(np.int64)))
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
