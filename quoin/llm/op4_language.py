@@ -159,13 +159,13 @@ def learnable(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) != 0
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` columns with lang_pred, score (the best count's share of the two best) and coverage (of the n-grams)."""
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("lang_pred", "score", "coverage")) -> DataFrame:
+    """`keep` columns with `names`: language, score (the best count's share of the two best) and coverage (of the n-grams)."""
     from pyspark.sql.types import StructType
 
     letter = fresh(docs, "has_letter")[0]
     source = docs.select(*keep, F.col(text).cast("string").alias("t"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(letter))
-    out = StructType([docs.schema[c] for c in keep] + StructType.fromDDL("lang_pred string, score double, coverage double").fields)
+    out = StructType([docs.schema[c] for c in keep] + StructType.fromDDL("`{}` string, `{}` double, `{}` double".format(*names)).fields)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
