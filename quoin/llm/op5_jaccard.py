@@ -1,10 +1,11 @@
 """Operator 5: exact n-gram Jaccard join of documents by blocked sparse products.
 
 1. Every text becomes the set of its distinct word shingles (64-bit hashes). Texts with equal sets are one node.
-2. A fixed-size sketch counts shingles over all documents; shingles are ordered rare ones first. Two sets with a
-   similarity of at least t share one of the first |A| - ceil(t |A|) + 1 shingles of either in any common order, so
-   only these columns of the incidence matrix propose links. A column proposes a star, never its pairs; what a map
-   task holds of a column is reduced to one entry before it is sent.
+2. Chunks of texts learn from buckets of shingles in how many sets each of theirs stands (five bytes are sent for
+   each, one returned), and order shingles rare ones first. Two sets with a similarity of at least t share one of the
+   first |A| - ceil(t |A|) + 1 shingles of either in any common order, so only these columns of the incidence matrix
+   propose links, and of these only the ones with several sets are sent. A column proposes a star, never its pairs;
+   what a chunk holds of a column is reduced to one entry before it is sent.
 3. Nodes joined by proposals form families, mostly near copies. A family's rows are dealt to tiles of bounded size; a
    task takes two tiles and multiplies their incidence matrices column block by column block. It accumulates overlap
    counts and drops rows once no pair of theirs can reach the overlap that the sizes ask for. It returns a spanning
@@ -28,13 +29,11 @@ from pyspark.sql import functions as F
 from . import hashing as H
 from .components import components
 from .op8_embeddings import Forest
-from .repeats import ranges
-from .shared import CHUNK_BYTES, cut, estimated_bytes, shuffle_partitions, stored
+from .repeats import BLOBS, blobs, chunked, ranges, texts_of
+from .shared import CHUNK_BYTES, count_of, shuffle_partitions, stored, text_key
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
-SKETCH = 1 << 20
-PARTS = 64
 TILE = 1 << 19
 """Shingles in a tile."""
 COLUMNS = 8
@@ -105,38 +104,31 @@ def _grouped(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[p
         yield t, t.column(column).cast(pa.binary()).to_pylist()
 
 
-def frequency(docs: DataFrame, text: str, join: Join) -> np.ndarray:
-    """A sketch of SKETCH counters over the shingles of all documents, as a coarse rank of frequency (uint8)."""
+def degrees(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles in order, how many sets of the chunk hold each (255 at most), and which one each of h is."""
+    u, back, n = np.unique(h, return_inverse=True, return_counts=True)
+    return u, np.minimum(n, 255).astype(np.uint8), back
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, dtype=np.int64)
-        for _, texts in _grouped(batches, 0):
-            h, _ = shingles(texts, join.shingle)
-            total += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
-        step = SKETCH // PARTS
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([np.minimum(total[i * step : (i + 1) * step], 2**31 - 1).astype(np.int32).tobytes() for i in range(PARTS)], pa.binary())], ["part", "data"])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(SKETCH // PARTS, dtype=np.int64)
-        for d in table["data"].to_pylist():
-            total += np.frombuffer(d, np.int64 if len(d) == 8 * len(total) else np.int32)
-        return pa.table({"part": table["part"].slice(0, 1), "data": pa.array([total.tobytes()], pa.binary())})
+def ranked(ask: list[bytes]) -> list[bytes]:
+    """For each shingle asked about: 0 if one set of the corpus holds it, else four times the log of their number.
 
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(text).cast("string")).mapInArrow(count, "part int, data binary").groupBy("part").applyInArrow(add, "part int, data binary").collect()  # PARTS rows of a fixed size
-    total = np.zeros(SKETCH, dtype=np.int64)
-    for r in rows:
-        total[r.part * (SKETCH // PARTS) : (r.part + 1) * (SKETCH // PARTS)] = np.frombuffer(r.data, np.int64)
-    usual = max(1.0, float(np.median(total)))
-    return np.clip(np.ceil(4 * np.log2(np.maximum(total, 1) / (usual * 2))), 0, 255).astype(np.uint8)
+    Of a shingle, a bucket sees the lower half of its hash; a collision can only make it look more frequent."""
+    sizes = [len(d) // 5 for d in ask]
+    low = np.concatenate([np.frombuffer(d, np.uint32, n) for d, n in zip(ask, sizes, strict=True)])
+    w = np.concatenate([np.frombuffer(d, np.uint8, n, 4 * n) for d, n in zip(ask, sizes, strict=True)])
+    _, back = np.unique(low, return_inverse=True)
+    rank = np.clip(np.ceil(4 * np.log2(np.bincount(back, weights=w))), 0, 255).astype(np.uint8)[back]
+    return [rank[e - n : e].tobytes() for n, e in zip(sizes, np.cumsum(sizes, dtype=np.int64), strict=True)]
 
 
 def prefixes(h: np.ndarray, bounds: np.ndarray, rank: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles of each set that propose links, rare ones first; and which set each is of."""
+    """The shingles of each set that propose links, rare ones first, without those of one set; and which set each is of."""
     of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    order = np.lexsort((h, rank[(h >> np.uint64(44)).astype(np.int64)], of))
+    order = np.lexsort((h, rank, of))
     at = np.arange(len(h)) - bounds[of]
     size = np.diff(bounds)
-    keep = at < (size - join.need(size) + 1)[of]
+    keep = (at < (size - join.need(size) + 1)[of]) & (rank[order] > 0)
     return h[order][keep], of[keep]
 
 
@@ -152,45 +144,54 @@ def stars(keys: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return k[new], n[new], edges[:, 0], edges[:, 1]
 
 
-def proposals(docs: DataFrame, text: str, join: Join, rank: np.ndarray) -> DataFrame:
+class Sets:
+    """The distinct sets of a chunk of texts (see repeats.chunked)."""
+
+    def __init__(self, table: pa.Table, join: Join):
+        _, texts, _ = texts_of(table)
+        h, bounds = shingles(texts, join.shingle)
+        names = nodes(h, bounds)
+        self.node, first = np.unique(names, return_index=True)
+        self.h = np.concatenate([h[bounds[i] : bounds[i + 1]] for i in first]) if len(first) else h
+        self.bounds = np.concatenate([[0], np.cumsum(np.diff(bounds)[first], dtype=np.int64)])
+
+
+def proposals(texts: DataFrame, join: Join, buckets: int) -> DataFrame:
     """(a, b): nodes that share a proposing column, as stars."""
-    spark = docs.sparkSession
-    buckets = max(shuffle_partitions(spark), estimated_bytes(docs.select(text)) >> 28)
-    held = spark.sparkContext.broadcast(rank)
     local = -1
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _grouped(batches, 0):
-            h, bounds = shingles(texts, join.shingle)
-            names = nodes(h, bounds)
-            _, first = np.unique(names, return_index=True)
-            keep = np.zeros(len(names), dtype=bool)
-            keep[first] = True
-            keys, of = prefixes(h, bounds, held.value, join)
-            mine = keep[of]
-            k, n, a, b = stars(keys[mine], names[of[mine]])
-            rows = [(bucket, k[lo:hi].tobytes() + n[lo:hi].tobytes()) for bucket, lo, hi in ranges(k, buckets)]
-            if len(a):
-                rows.append((local, a.tobytes() + b.tobytes()))
-            if rows:
-                x, y = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()), pa.array(y, pa.binary())], ["bucket", "data"])
-
-    def two(data: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray]:
-        n = [len(d) // 16 for d in data]
-        return np.concatenate([np.frombuffer(d, kind, m) for d, m in zip(data, n, strict=True)]), np.concatenate([np.frombuffer(d, np.int64, m, 8 * m) for d, m in zip(data, n, strict=True)])
+    held = texts.groupBy("chunk")
+
+    def ask(table: pa.Table) -> pa.Table:
+        x, number = Sets(table, join), table["chunk"][0].as_py()
+        u, n, _ = degrees(x.h, x.bounds)
+        return blobs([(number, b, 0, (u[lo:hi] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + n[lo:hi].tobytes()) for b, lo, hi in ranges(u, buckets)])
+
+    def answer(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("chunk", "bucket", "data")), strict=True))
+        return blobs([(c, b, 0, d) for (c, b, _), d in zip(rows, ranked([r[2] for r in rows]), strict=True)])
+
+    def propose(table: pa.Table, replies: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return blobs([])
+        x, number = Sets(table, join), table["chunk"][0].as_py()
+        _, _, back = degrees(x.h, x.bounds)
+        rank = np.frombuffer(b"".join(d for _, d in sorted(zip(replies["bucket"].to_pylist(), replies["data"].to_pylist(), strict=True))), np.uint8)
+        keys, of = prefixes(x.h, x.bounds, rank[back] if len(back) else rank, join)
+        k, n, a, b = stars(keys, x.node[of])
+        rows = [(number, bucket, 1, k[lo:hi].tobytes() + n[lo:hi].tobytes()) for bucket, lo, hi in ranges(k, buckets)]
+        return blobs(rows + [(number, local - number, 1, a.tobytes() + b.tobytes())] * bool(len(a)))
 
     def meet(table: pa.Table) -> pa.Table:
-        if table["bucket"][0].as_py() == local:
-            a, b = two(table["data"].to_pylist(), np.int64)
-        else:
-            keys, node = two(table["data"].to_pylist(), np.uint64)
-            _, _, a, b = stars(keys, node)
+        kind = np.int64 if table["bucket"][0].as_py() <= local else np.uint64
+        data = table["data"].to_pylist()
+        n = [len(d) // 16 for d in data]
+        x = np.concatenate([np.frombuffer(d, kind, m) for d, m in zip(data, n, strict=True)])
+        y = np.concatenate([np.frombuffer(d, np.int64, m, 8 * m) for d, m in zip(data, n, strict=True)])
+        a, b = (x, y) if kind is np.int64 else stars(x, y)[2:]
         return pa.table({"a": a, "b": b})
 
-    sent = docs.where(F.col(text).isNotNull()).select(F.col(text).cast("string")).mapInArrow(send, "bucket int, data binary")
-    spread = F.when(F.col("bucket") == local, F.pmod(F.xxhash64("data"), F.lit(buckets))).otherwise(F.lit(0)).cast("int")
-    return sent.withColumn("part", spread).groupBy("bucket", "part").applyInArrow(meet, "a long, b long").distinct()
+    replies = held.applyInArrow(ask, BLOBS).groupBy("bucket").applyInArrow(answer, BLOBS)
+    return held.cogroup(replies.groupBy("chunk")).applyInArrow(propose, BLOBS).groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 def product(ha, ba, hb, bb, same: bool, join: Join) -> list[tuple[int, int]]:
@@ -240,39 +241,34 @@ def joined(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: s
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     spark = docs.sparkSession
 
+    chunks = count_of(docs.select("text"), CHUNK_BYTES, shuffle_partitions(spark))
+
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, texts in _grouped(batches, 1):
             h, bounds = shingles([t or b"" for t in texts], join.shingle)
-            ids = table.column("doc_id").combine_chunks()
-            yield pa.RecordBatch.from_arrays([ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids, pa.array(np.diff(bounds)), pa.array(nodes(h, bounds))], ["doc_id", "n", "node"])
+            yield from pa.table({"doc_id": table["doc_id"], "n": np.diff(bounds), "node": nodes(h, bounds), "chunk": table["chunk"]}).to_batches()
 
-    sets = stored(docs.mapInArrow(name, "doc_id long, n long, node long"), "shingle-sets")
-    told = docs.where(F.col("doc_id").isNotNull())
-    edges = proposals(told, "text", join, frequency(told, "text", join))
-    family = components(edges, "a", "b")
+    place = F.pmod(text_key(F.col("text"))[0], F.lit(chunks)).cast("int").alias("chunk")
+    sets = stored(docs.select("doc_id", "text", place).mapInArrow(name, "doc_id long, n long, node long, chunk int"), "shingle-sets")
+    buckets = max(shuffle_partitions(spark), chunks * CHUNK_BYTES >> 28)
+    texts = chunked(docs.where(F.col("doc_id").isNotNull()), "text", chunks)
+    family = components(proposals(texts, join, buckets), "a", "b")
     member = family.select("node", "root").union(family.select("root", "root").distinct()).toDF("node", "family")
-    shown = sets.where("doc_id IS NOT NULL AND n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")).join(member, "node")
-    shown = cut(shown)
-    width = shown.groupBy("family").agg(F.sum("n").alias("total"), F.count("*").alias("size")).where("size > 1").select("family", F.ceil(F.col("total") / TILE).alias("tiles"))
-    packs = max(shuffle_partitions(spark), estimated_bytes(docs) >> 24)
-    placed = shown.join(width, "family").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles"))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, texts in _grouped(batches, 1):
-            h, bounds = shingles(texts, join.shingle)
-            ok = nodes(h, bounds) == table.column("node").to_numpy()
-            seen, keep = set(), []
-            for i, n in enumerate(table.column("node").to_pylist()):
-                if ok[i] and n not in seen:
-                    seen.add(n)
-                    keep.append(i)
-            part = table.take(pa.array(keep, pa.int64())).combine_chunks()
-            data = pa.array([h[bounds[i] : bounds[i + 1]].tobytes() for i in keep], pa.binary())
-            cols = [part.column(c).combine_chunks() for c in ("node", "family", "tiles", "tile")]
-            yield pa.RecordBatch.from_arrays([*[c.chunk(0) if isinstance(c, pa.ChunkedArray) and c.num_chunks else (c if isinstance(c, pa.Array) else pa.array([], pa.int64())) for c in cols], data], ["node", "family", "tiles", "tile", "data"])
-
-    texts = told.join(placed, "doc_id").select("doc_id", "text", "node", "family", "tiles", "tile")
-    rows = texts.mapInArrow(send, "node long, family long, tiles long, tile long, data binary")
+    shown = sets.where("doc_id IS NOT NULL AND n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("chunk").alias("chunk")).join(member, "node")
+    shown = stored(shown, "members")
+    width = shown.groupBy("family").agg(F.sum("n").alias("total")).select("family", F.ceil(F.col("total") / TILE).alias("tiles"))
+    packs = max(shuffle_partitions(spark), chunks // 8)
+    placed = shown.join(width, "family").select("chunk", "node", "family", "tiles", F.pmod(F.xxhash64("node"), "tiles").alias("tile"))
+
+    def send(table: pa.Table, members: pa.Table) -> pa.Table:
+        if not table.num_rows or not members.num_rows:
+            return members.select(["node", "family", "tiles", "tile"]).slice(0, 0).append_column("data", pa.array([], pa.binary()))
+        x = Sets(table, join)
+        at = np.searchsorted(x.node, members["node"].to_numpy())
+        data = [x.h[x.bounds[i] : x.bounds[i + 1]].tobytes() for i in at]
+        return members.select(["node", "family", "tiles", "tile"]).append_column("data", pa.array(data, pa.binary()))
+
+    rows = texts.groupBy("chunk").cogroup(placed.groupBy("chunk")).applyInArrow(send, "node long, family long, tiles long, tile long, data binary")
     # tile t meets the tiles before it as the second, those after it as the first, and itself once
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     rows = rows.withColumns({"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other")})

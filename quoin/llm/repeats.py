@@ -34,9 +34,9 @@ TEXTS = "chunk int, h1 long, h2 long, text string, m long"
 BLOBS = "chunk int, bucket int, kind int, data binary"
 
 
-def chunked(docs: DataFrame, text: str) -> DataFrame:
+def chunked(docs: DataFrame, text: str, n: int | None = None) -> DataFrame:
     """Distinct texts (null left out) with their number m, as TEXTS. m is 0 for what only adds to a count."""
-    n = count_of(docs.select(text), CHUNK_BYTES, shuffle_partitions(docs.sparkSession))
+    n = n or count_of(docs.select(text), CHUNK_BYTES, shuffle_partitions(docs.sparkSession))
     h1, h2 = text_key(F.col(text))
     source = docs.where(F.col(text).isNotNull()).select(F.pmod(h1, F.lit(n)).cast("int").alias("chunk"), h1.alias("h1"), h2.alias("h2"), F.col(text).cast("string").alias("text"))
 
