@@ -70,12 +70,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 @_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     n, topic, weight, chance = fresh(docs, "n_tokens", "topic", "weight", "probability")
-    if (weight, chance) != ("weight", "probability"):
-        raise ValueError("documents must not have columns named weight or probability")
     counted = docs.withColumn(n, op7_mixing.tokens(F.col("text")))
     counted = counted.withColumn(topic, F.when(F.col("text").isNull(), "brief").otherwise(op7_mixing.topic(F.col("text"), F.col(n))))
     dims = {topic if d == "topic" else d: p for d, p in op7_mixing.TEMPER.items()}
-    out = op7_mixing.weighted(counted, dims, n)
+    out = op7_mixing.weighted(counted, dims, n, names=(weight, chance))
     return out.where(op7_mixing.drawn(F.col("doc_id"), F.col(chance))).select(*docs.columns)
 
 

@@ -54,8 +54,8 @@ def rake(cells: DataFrame, dims: dict[str, float], rounds: int = ROUNDS) -> Data
     return out.select(*dims, "t", "w")
 
 
-def weighted(docs: DataFrame, dims: dict[str, float], n: str, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
-    """docs with weight and probability; dims: columns of docs to the power of their targets; n: column of tokens."""
+def weighted(docs: DataFrame, dims: dict[str, float], n: str, budget: float = BUDGET, rounds: int = ROUNDS, names: tuple[str, str] = ("weight", "probability")) -> DataFrame:
+    """docs with `names`, by default weight and probability; dims: columns of docs to the power of their targets; n: column of tokens."""
     plain = docs.groupBy(*[F.coalesce(F.col(d).cast("string"), F.lit("")).alias(d) for d in dims], *[F.col(d).isNull().alias(f"no_{d}") for d in dims]).agg(F.sum(n).cast("double").alias("t"))
     keys = {d: F.when(F.col(f"no_{d}"), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(d))) for d in dims}
     cells = stored(plain.select(*[k.alias(d) for d, k in keys.items()], "t"), "cells")
@@ -72,9 +72,9 @@ def weighted(docs: DataFrame, dims: dict[str, float], n: str, budget: float = BU
     chances = stored(weights.crossJoin(F.broadcast(scale)).select(*dims, F.round("weight", 6).alias("weight"), F.round(F.least(F.lit(1.0), F.col("scale") * F.col("weight")), 6).alias("probability")), "chances")
     renamed = dict(zip(dims, fresh(docs, *[f"key_{d}" for d in dims]), strict=True))
     keyed = docs.withColumns({renamed[d]: F.when(F.col(d).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(d).cast("string"))) for d in dims})
-    right = chances.select(*[F.col(d).alias(renamed[d]) for d in dims], "weight", "probability")
+    right = chances.select(*[F.col(d).alias(renamed[d]) for d in dims], F.col("weight").alias(names[0]), F.col("probability").alias(names[1]))
     out = keyed.join(right, list(renamed.values()), "left").drop(*renamed.values())
-    return out.withColumns({"weight": F.coalesce("weight", F.lit(1.0)), "probability": F.coalesce("probability", F.lit(float(budget)))})
+    return out.withColumns({names[0]: F.coalesce(names[0], F.lit(1.0)), names[1]: F.coalesce(names[1], F.lit(float(budget)))})
 
 
 def drawn(doc_id: Column, probability: Column) -> Column:
