@@ -11,6 +11,7 @@ from quoin.functions import numeric as N
 from quoin.operators import detection as D
 from quoin.operators import kernels as K
 from quoin.operators import matching as M
+from quoin.operators import policy as L
 from quoin.operators import raster as R
 from quoin.operators import retrieval as V
 from quoin.operators import spatial as P
@@ -198,11 +199,11 @@ def interop_box_csv(spark, sf):
     return D.interop(D.deduplicate(W.detections(spark, sf)))
 
 
-@query(f"""WITH {W.DET_SQL} SELECT CASE WHEN kind <> 'window' OR score < 0.20 THEN 'not_window_or_low_score' WHEN x0 <= 4 OR y0 <= 4 OR x1 >= 446 OR y1 >= 326 THEN 'near_border' ELSE 'kept' END AS reason, count(*) AS n FROM det GROUP BY 1""")
+@query(f"""WITH {W.DET_SQL} SELECT CASE WHEN kind <> 'window' OR score < 0.20 THEN 'not_window_or_low_score' WHEN x0 < 4 OR y0 < 4 OR 450 - x1 < 4 OR 330 - y1 < 4 THEN 'near_border' ELSE 'kept' END AS reason, count(*) AS n FROM det GROUP BY 1""")
 def reject_reason_counts(spark, sf):
     """Anchor filter with counters, in the order of its tests."""
     b = B.Box.at()
-    near = (b.x0 <= 4) | (b.y0 <= 4) | (b.x1 >= 446) | (b.y1 >= 326)
+    near = (b.x0 < 4) | (b.y0 < 4) | (450 - b.x1 < 4) | (330 - b.y1 < 4)
     reason = F.when(B.parsed(b).isNull(), "invalid").when((F.col("kind") != "window") | (F.col("score") < 0.20), "not_window_or_low_score").when(near, "near_border").otherwise("kept")
     return W.detections(spark, sf).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
@@ -536,6 +537,60 @@ def grouped_split(spark, sf):
     return W.table(spark, sf, "embeddings").select("vec_id", "label", S.grouped_split(F.col("label"), {"train": 7, "validate": 1, "test": 2}).alias("split"))
 
 
+# Policies
+
+@query(f"""WITH {COVER_SQL}, f AS (SELECT view_id, min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM zb GROUP BY view_id), p AS (SELECT *, greatest(1, ceil(greatest(b - a + 1, d - c + 1) * 0.02)) AS pad FROM f)
+SELECT view_id, CAST(greatest(0, a - pad) AS BIGINT) AS x0, CAST(greatest(0, c - pad) AS BIGINT) AS y0, CAST(least(80, b + 1 + pad) AS BIGINT) AS x1, CAST(least(60, d + 1 + pad) AS BIGINT) AS y1 FROM p""")
+def foreground_box(spark, sf):
+    return L.foreground(_zbuffer(spark, sf).withColumns({"w": F.lit(80), "h": F.lit(60)}), "view_id")
+
+
+@query(f"""WITH {COVER_SQL}, {W.OBJECTS_SQL}, s AS (SELECT view_id % 5 AS building_id, view_id, sum(CASE WHEN kind IN ('Window', 'Door') THEN 1 ELSE 0 END) AS n FROM zb JOIN o ON o.object_index = zb.object_index GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY n DESC, view_id) AS r FROM s) SELECT building_id, view_id, CAST(n AS BIGINT) AS opening_pixels FROM r WHERE r = 1""")
+def overview_views(spark, sf):
+    v = _zbuffer(spark, sf).groupBy((F.col("view_id") % 5).alias("building_id"), "view_id", "object_index").agg(F.count("*").alias("pixels")).withColumn("ord", F.col("view_id"))
+    return L.overview_view(v, W.objects(spark), "building_id", "view_id", "ord").drop("ord")
+
+
+@query(f"""WITH {W.MATCH_SQL}, {ERR_SQL}, c AS (SELECT cand, ord, px, py, CASE WHEN ord % 40 = 0 THEN 'check' ELSE 'control' END AS role, error / 100 AS e FROM e WHERE ord <= 80),
+d AS (SELECT k.cand, min(sqrt(pow(k.px - c.px, 2) + pow(k.py - c.py, 2))) AS apart FROM c k JOIN c ON k.cand = c.cand AND k.role = 'check' AND c.role = 'control' GROUP BY k.cand),
+s AS (SELECT cand, sqrt(avg(e * e) FILTER (role = 'control')) AS rmse_m, max(e) FILTER (role = 'check') AS check_max_m, count(*) FILTER (role = 'check') AS checks FROM c GROUP BY cand)
+SELECT s.cand, round(rmse_m, 6) AS rmse_m, round(check_max_m, 6) AS check_max_m, round(apart, 6) AS apart, CASE WHEN checks < 1 THEN 'no_checks' WHEN apart < 5 THEN 'check_too_close_to_control' WHEN rmse_m > 0.2 OR check_max_m > 0.3 THEN 'errors_too_large' END AS reject_reason FROM s LEFT JOIN d USING (cand)""")
+def calibration_quality(spark, sf):
+    p = _errors(spark, sf).where("ord <= 80").select("cand", "px", "py", F.when(F.col("ord") % 40 == 0, "check").otherwise("control").alias("role"), (F.col("error") / 100).alias("error_m"))
+    return rounded(L.calibration(p, "cand").drop("checks"))
+
+
+@query(f"""WITH {W.MATCH_SQL}, {ERR_SQL} SELECT cand, count(*) AS n, round(max(error / 100), 6) AS max_m, round(quantile_cont(error / 100, 0.5), 6) AS median_m, count(*) >= 4 AND max(error / 100) <= 0.3 AND quantile_cont(error / 100, 0.5) <= 0.2 AS passed FROM e GROUP BY cand""")
+def manual_reference_check(spark, sf):
+    return rounded(L.manual_check(_errors(spark, sf).withColumn("error_m", F.col("error") / 100), "cand").drop("nonfinite"))
+
+
+@query("""WITH w AS (SELECT c_nationkey AS building, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE 'w' || (c_custkey % 13) END AS wall_id, 1.0 * (c_custkey % 5) AS nx, 1.0 AS ny, (c_custkey % 4) * 0.05 AS nz, c_acctbal AS area, c_custkey FROM customer),
+r AS (SELECT *, row_number() OVER (PARTITION BY building ORDER BY area DESC, wall_id DESC) AS r FROM w WHERE wall_id IS NOT NULL AND area > 1e-10 AND abs(nz) / sqrt(nx * nx + ny * ny + nz * nz) <= sin(radians(5))) SELECT building, wall_id, round(area, 6) AS area FROM r WHERE r = 1""")
+def reference_wall(spark, sf):
+    k = F.col("c_custkey")
+    w = W.table(spark, sf, "customer").select(F.col("c_nationkey").alias("building"), F.when(k % 9 != 0, F.concat(F.lit("w"), (k % 13).cast("string"))).alias("wall_id"), (k % 5).cast("double").alias("nx"), F.lit(1.0).alias("ny"), ((k % 4) * 0.05).alias("nz"), F.col("c_acctbal").alias("area"))
+    return rounded(L.reference_wall(w, "building").select("building", "wall_id", "area"))
+
+
+@query(f"""WITH {W.DET_SQL} SELECT img, x0, y0, x1, y1, printf('R%02d', row_number() OVER (PARTITION BY img ORDER BY x0, y0, x1, y1)) AS review_id FROM det""")
+def review_numbers(spark, sf):
+    return L.review_ids(W.detections(spark, sf), "img").select("img", "x0", "y0", "x1", "y1", "review_id")
+
+
+@query(f"""WITH i AS (SELECT p_partkey AS id, CAST((p_partkey * 37) % 900 AS DOUBLE) AS x0, CAST((p_partkey * 53) % 700 AS DOUBLE) AS y0, 4.0 * p_size AS s FROM part), t AS (SELECT id, x0, y0, x0 + s AS x1, y0 + s AS y1 FROM i),
+u AS (SELECT id, unnest([{_at('(x0 - 0.5)', '(y0 - 0.5)')[0]}, {_at('(x1 - 0.5)', '(y0 - 0.5)')[0]}, {_at('(x1 - 0.5)', '(y1 - 0.5)')[0]}, {_at('(x0 - 0.5)', '(y1 - 0.5)')[0]}]) AS x, unnest([{_at('(x0 - 0.5)', '(y0 - 0.5)')[1]}, {_at('(x1 - 0.5)', '(y0 - 0.5)')[1]}, {_at('(x1 - 0.5)', '(y1 - 0.5)')[1]}, {_at('(x0 - 0.5)', '(y1 - 0.5)')[1]}]) AS y FROM t),
+b AS (SELECT id, min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM u GROUP BY id),
+l AS (SELECT id, greatest(a - 0.1 * (b - a), -0.5) AS lx, greatest(c - 0.1 * (d - c), -0.5) AS ly, least(b + 0.1 * (b - a), 799.5) AS hx, least(d + 0.1 * (d - c), 599.5) AS hy FROM b)
+SELECT id, CASE WHEN hx - lx < 32 OR hy - ly < 32 THEN 'render_crop_outside_image_or_too_small' END AS skip_reason, CASE WHEN NOT (hx - lx < 32 OR hy - ly < 32) THEN CAST(floor(lx + 0.5) AS INT) END AS cx0 FROM l""")
+def tile_eligibility(spark, sf):
+    k = F.col("p_partkey")
+    t = W.table(spark, sf, "part").select(k.alias("id"), (k * 37 % 900).cast("double").alias("x0"), (k * 53 % 700).cast("double").alias("y0"), (F.col("p_size") * 4.0).alias("s"))
+    t = t.withColumns({"x1": F.col("x0") + F.col("s"), "y1": F.col("y0") + F.col("s")})
+    return L.tile_eligibility(t, W.H, (800, 600)).select("id", "skip_reason", "cx0")
+
+
 # Kernels without an SQL form
 
 @query()
