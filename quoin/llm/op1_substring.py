@@ -116,7 +116,7 @@ EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 def indexed(docs: DataFrame, text: str = "text", batches: int = 2, spec: S.Spec = S.WORDS) -> FingerprintIndex:
     """An index of all rows of docs, taken in as `batches` batches."""
     spark = docs.sparkSession
-    index = FingerprintIndex(spark, spec=spec, buckets=max(shuffle_partitions(spark), count_of(docs.select(text), 256 << 20)))
+    index = FingerprintIndex(spark, spec=spec, buckets=max(shuffle_partitions(spark), count_of(docs, text, 512 << 20)))
     for i in range(batches):
         index.ingest(docs.where(F.pmod(F.xxhash64(text), F.lit(batches)) == i), text)
     return index

@@ -241,7 +241,7 @@ def joined(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: s
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     spark = docs.sparkSession
 
-    chunks = count_of(docs.select("text"), CHUNK_BYTES, shuffle_partitions(spark))
+    chunks = count_of(docs, "text", CHUNK_BYTES, shuffle_partitions(spark))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, texts in _grouped(batches, 1):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import segments as S
-from .shared import CHUNK_BYTES, count_of, shuffle_partitions, text_key
+from .shared import CHUNK_BYTES, count_of, shuffle_partitions, text_key, tidy
 
 UNIQUE, REPEATED, OPEN, SHOWN, HOT_OPEN, HOT_SHOWN = 0, 1, 2, 3, 4, 5
 """Answers: SHOWN is repeated, and this chunk sends the segment for open ones to compare with. HOT: of an anchor
@@ -36,7 +36,7 @@ BLOBS = "chunk int, bucket int, kind int, data binary"
 
 def chunked(docs: DataFrame, text: str, n: int | None = None) -> DataFrame:
     """Distinct texts (null left out) with their number m, as TEXTS. m is 0 for what only adds to a count."""
-    n = n or count_of(docs.select(text), CHUNK_BYTES, shuffle_partitions(docs.sparkSession))
+    n = n or count_of(docs, text, CHUNK_BYTES, shuffle_partitions(docs.sparkSession))
     h1, h2 = text_key(F.col(text))
     source = docs.where(F.col(text).isNotNull()).select(F.pmod(h1, F.lit(n)).cast("int").alias("chunk"), h1.alias("h1"), h2.alias("h2"), F.col(text).cast("string").alias("text"))
 
@@ -63,6 +63,7 @@ def chunked(docs: DataFrame, text: str, n: int | None = None) -> DataFrame:
 
 def texts_of(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Keys (n x 2), texts and numbers of a chunk, one row for each text, in the order of the keys."""
+    tidy()
     h = np.stack([table.column("h1").to_numpy(), table.column("h2").to_numpy()], axis=1)
     m = table.column("m").to_numpy()
     absent = table.column("text").is_null().to_numpy()

@@ -109,7 +109,8 @@ def segments(spec: Spec, u: Units) -> Segments:
         a = anchor[at]
         c = roll.spans(first, last + spec.window)
         shape = ((a - first).astype(np.uint64) << np.uint64(32)) + (last - first).astype(np.uint64)
-        out.append((first + lo, last + lo, grams[a], H.mix(c + H.mix(shape))))
+        # anchors are least hashes, so they are mixed once more to be even over the range
+        out.append((first + lo, last + lo, H.mix(grams[a] + np.uint64(1)), H.mix(c + H.mix(shape))))
     if not out:
         e, f = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
         return Segments(e, e, f, f)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import uuid
 
+import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,9 +41,25 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+_taken: list[tuple] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder. Whoever takes it may drop it with `discard`."""
-    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder, as results may still read it dropped only when the driver's Python ends;
+    `discard` drops it before."""
+    path = f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _taken:
+        atexit.register(_drop_taken)
+    _taken.append((spark._jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration()))
+    return path
+
+
+def _drop_taken() -> None:
+    for path, conf in _taken:
+        try:
+            path.getFileSystem(conf).delete(path, True)
+        except (Py4JError, OSError):  # the JVM has gone before
+            return
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -61,15 +81,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate from file sizes; no job runs. Only sizes depend on it, never results."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(docs: DataFrame, text: str) -> int:
+    """UTF-8 bytes of a text column: one pass over that column. Only sizes of parts depend on it, never results."""
+    return docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def count_of(df: DataFrame, per: int, least: int = 1, most: int = 1 << 22) -> int:
-    """How many parts of about `per` bytes of text df has; parquet holds text at about a half."""
-    return max(least, min(most, -(-2 * estimated_bytes(df) // per)))
+def count_of(docs: DataFrame, text: str, per: int, least: int = 1) -> int:
+    """How many parts of about `per` bytes a text column has."""
+    return max(least, -(-text_bytes(docs, text) // per))
+
+
+def tidy() -> None:
+    """Gives memory that a worker no longer uses back to the system, as workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
