@@ -25,9 +25,9 @@ from .op9_topk import usable
 from .shared import cut
 
 COSINE = 0.93
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 4096
 PIVOTS = 64
-LEAF = 24
+LEAF = 64
 SLACK = 1e-9
 
 
@@ -157,12 +157,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
         .groupBy("k", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("w"))
     )
     sizes = classes.groupBy("k").agg(F.count("*").alias("n"))
-    # top level: at most PIVOTS pivots for each label, chosen by hash, and only for labels that need several blocks
+    # top level: about two pivots for each block a label needs, PIVOTS at most, the first of a sample in the order of a hash
+    wanted = F.expr(f"CAST(least({PIVOTS}, ceil(2 * n / {block_rows})) AS INT)")
     top = (
         classes.join(sizes.where(F.col("n") > block_rows), "k")
         .where(F.pmod(F.xxhash64("id", F.lit("pivot")), F.greatest(F.lit(1), F.expr(f"n div {4 * PIVOTS}"))) == 0)
-        .select("k", F.struct(F.xxhash64("id").alias("h"), "v").alias("p")).groupBy("k").agg(F.slice(F.sort_array(F.collect_list("p")), 1, PIVOTS).alias("ps"))
-        .select("k", F.col("ps.v").alias("pivots"))
+        .select("k", "n", F.struct(F.xxhash64("id").alias("h"), "v").alias("p")).groupBy("k", "n").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+        .select("k", F.slice("ps", 1, wanted).alias("ps")).select("k", F.col("ps.v").alias("pivots"))
     )
 
     def assign(table: pa.Table, pivots: pa.Table) -> pa.Table:
