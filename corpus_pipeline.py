@@ -24,6 +24,8 @@ from quoin.runtime import ship
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 LEAST_COVERAGE = 0.2
+CACHE = 100_000
+"""Sections that the encoder keeps: fewer than when it runs alone, as workers serve all stages."""
 COVERAGE_CHARS = 50
 """Longer texts than this also go if less than LEAST_COVERAGE of their n-grams belong to the language."""
 
@@ -79,7 +81,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op10_sentencepiece.encode_documents(docs, op10_sentencepiece.default_model(), keep=("doc_id", "lang", "source"), with_ids=True)
+    return op10_sentencepiece.encode_documents(docs, op10_sentencepiece.default_model(), keep=("doc_id", "lang", "source"), with_ids=True, cache=CACHE)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -20,9 +20,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .shared import tidy
+
 SPACE = "▁"
-CACHE = 400_000
-"""Sections kept by each worker; beyond that the cache starts anew."""
+CACHE = 1_000_000
+"""Sections kept by a worker, in two halves: a full half becomes the older one, and the oldest goes.
+A million take some 250 MB."""
+SHORT = 40
+NEVER = float("inf")
 
 
 class Agenda:
@@ -34,20 +39,37 @@ class Agenda:
         self.score = {p: -s for p, (_, s) in pieces.items()}.get
         self.bigrams = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         self.kept: dict[str, tuple[int, ...]] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     @classmethod
-    def of(cls, processor) -> Agenda:
+    def of(cls, processor, cache: int = CACHE) -> Agenda:
         """From a loaded sentencepiece model without user-defined pieces or unused ids."""
         n = processor.get_piece_size()
         special = [i for i in range(n) if processor.is_control(i) or processor.is_unknown(i) or processor.is_byte(i) or processor.is_unused(i)]
         skip = set(special)
         pieces = {processor.id_to_piece(i): (i, processor.get_score(i)) for i in range(n) if i not in skip}
         hexes = [processor.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        return cls(pieces, hexes if all(processor.is_byte(i) for i in hexes) else None, processor.unk_id(), processor.eos_id())
+        return cls(pieces, hexes if all(processor.is_byte(i) for i in hexes) else None, processor.unk_id(), processor.eos_id(), cache=cache)
 
     def merge(self, section: str) -> tuple[int, ...]:
-        """The ids of one section."""
+        """The ids of one section: a short one's agenda is a list by position, a long one's a heap."""
+        return self.ids_of(self.merged_short(section) if len(section) <= SHORT else self.merged_long(section))
+
+    def merged_short(self, section: str) -> list[str]:
+        score = self.score
+        symbols = list(section)
+        agenda = [score(section[i : i + 2], NEVER) for i in range(len(section) - 1)]
+        while agenda and (best := min(agenda)) != NEVER:
+            i = agenda.index(best)  # the leftmost of the best
+            del agenda[i]
+            symbols[i] = union = symbols[i] + symbols.pop(i + 1)
+            if i:
+                agenda[i - 1] = score(symbols[i - 1] + union, NEVER)
+            if i < len(agenda):
+                agenda[i] = score(union + symbols[i + 1], NEVER)
+        return symbols
+
+    def merged_long(self, section: str) -> list[str]:
         score, push, pop = self.score, heapq.heappush, heapq.heappop
         symbols: list[str] = list(section)
         n = len(symbols)
@@ -71,16 +93,22 @@ class Agenda:
                 union = symbols[last] + a
                 if (found := score(union)) is not None:
                     push(agenda, (found, last, left, len(union)))
-        ids: list[int] = []
-        for s in symbols:
-            if s:
-                if (found := self.pieces.get(s)) is not None:
+        return [s for s in symbols if s]
+
+    def ids_of(self, symbols: list[str]) -> tuple[int, ...]:
+        pieces = self.pieces
+        try:
+            return tuple([pieces[s][0] for s in symbols])
+        except KeyError:  # a character that no piece has
+            ids: list[int] = []
+            for s in symbols:
+                if (found := pieces.get(s)) is not None:
                     ids.append(found[0])
                 elif self.byte_ids is None:
                     ids.append(self.unknown)
                 else:
                     ids.extend(self.byte_ids[b] for b in s.encode())
-        return tuple(ids)
+            return tuple(ids)
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, the end id last."""
@@ -88,74 +116,73 @@ class Agenda:
         if text:
             marked = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
             if not self.sectioned:
-                sections = [marked]
+                ids += self.merge(marked)
             elif SPACE * 2 in marked or not self.prefix or marked.endswith(SPACE):
-                sections = re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", marked)
+                for s in re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", marked):
+                    ids += self.kept.get(s[1:]) or self.recall(s[1:]) if s[0] == SPACE else self.merge(s)
             else:
-                sections = marked[1:].split(SPACE)
-                kept = self.kept
-                for s in sections:
-                    if (found := kept.get(s)) is None:
-                        found = self.remember(s, SPACE + s)
-                    ids += found
-                sections = []
-            for s in sections:
-                ids += self.kept.get(s[1:]) or self.remember(s[1:], s) if s[0] == SPACE else self.merge(s)
+                recall = self.recall
+                for s in marked[1:].split(SPACE):
+                    ids += self.kept.get(s) or recall(s)
         ids.append(self.end)
         return ids
 
-    def remember(self, key: str, section: str) -> tuple[int, ...]:
-        """Solves a section; it falls apart where no piece has its two adjacent characters."""
+    def recall(self, word: str) -> tuple[int, ...]:
+        """Ids of a section (a space mark and a word): from the older half of the cache, else solved."""
+        if (ids := self.older.get(word)) is None:
+            ids = self.solve(SPACE + word)
+        if len(word) < 100:
+            if len(self.kept) >= self.limit // 2:
+                self.older, self.kept = self.kept, {}
+            self.kept[word] = ids
+        return ids
+
+    def solve(self, section: str) -> tuple[int, ...]:
+        """A section falls apart where no piece has its two adjacent characters."""
+        if section[1:].isascii() and section[1:].isalpha():  # rarely does
+            return self.merge(section)
         ids: tuple[int, ...] = ()
-        at = 0
+        at, bigrams = 0, self.bigrams
         for i in range(1, len(section) + 1):
-            if i == len(section) or section[i - 1 : i + 1] not in self.bigrams:
+            if i == len(section) or section[i - 1 : i + 1] not in bigrams:
                 part = section[at:i]
-                if (found := self.parts.get(part)) is None:
-                    found = self.merge(part)
-                    if len(part) < 100:
-                        if len(self.parts) >= self.limit:
-                            self.parts.clear()
-                        self.parts[part] = found
-                ids += found
+                if len(part) == len(section):
+                    return self.merge(section)
+                ids += (self.kept.get(part[1:]) or self.recall(part[1:])) if part[0] == SPACE else self.merge(part)
                 at = i
-        if len(key) < 100:
-            if len(self.kept) >= self.limit:
-                self.kept.clear()
-            self.kept[key] = ids
         return ids
 
 
-_loaded: dict[str, tuple] = {}
+_loaded: dict[tuple[str, int], tuple] = {}
 
 
-def loaded(model: str) -> tuple:
+def loaded(model: str, cache: int = CACHE) -> tuple:
     """(library's processor, our encoder, ids as text) of a model file, once for each worker."""
-    if model not in _loaded:
+    if (model, cache) not in _loaded:
         import sentencepiece
 
         p = sentencepiece.SentencePieceProcessor(model_file=model)
-        _loaded[model] = (p, Agenda.of(p), [str(i) for i in range(p.get_piece_size())])
-    return _loaded[model]
+        _loaded[model, cache] = (p, Agenda.of(p, cache), [str(i) for i in range(p.get_piece_size())])
+    return _loaded[model, cache]
 
 
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string, agreed boolean"
 
 
-def encode_documents(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
-    """`keep` columns, SCHEMA, and with with_ids the ids and the decoded text. model: a path that workers can open,
+def encode_documents(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False, cache: int = CACHE) -> DataFrame:
+    """`keep` columns, SCHEMA, and with with_ids the ids. model: a path that workers can open,
     as that of an installed package's file."""
     from pyspark.sql.types import StructType
 
-    out = StructType([docs.schema[c] for c in keep] + StructType.fromDDL(SCHEMA).fields + (StructType.fromDDL("ids array<int>, decoded string").fields if with_ids else []))
+    out = StructType([docs.schema[c] for c in keep] + StructType.fromDDL(SCHEMA).fields + (StructType.fromDDL("ids array<int>").fields if with_ids else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library, agenda, names = loaded(model)
+        library, agenda, names = loaded(model, cache)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 texts = [t or "" for t in b.column(len(keep)).to_pylist()]
-                rows, ids_out, decoded_out = [], [], []
+                rows, ids_out = [], []
                 for t, expected in zip(texts, library.encode(texts, add_eos=True, num_threads=1), strict=True):
                     ids = agenda.encode(t)
                     if not (agreed := ids == expected):
@@ -164,10 +191,10 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", keep: tupl
                     rows.append((len(ids), hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), agreed))
                     if with_ids:
                         ids_out.append(ids)
-                        decoded_out.append(decoded)
                 cols = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.bool_()), strict=True)]
-                more = [pa.array(ids_out, pa.list_(pa.int32())), pa.array(decoded_out, pa.string())] if with_ids else []
+                more = [pa.array(ids_out, pa.list_(pa.int32()))] if with_ids else []
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *cols, *more], names=out.names)
+        tidy()
 
     return docs.select(*keep, text).mapInArrow(run, out)
 
