@@ -104,7 +104,7 @@ def learn_lexicon(texts: list[tuple[int, Counter]], n_toxic: int, n_clean: int,
         n = a + b
         odds = np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1))
         gain = 2 * (a * np.log(a / (n * base)) + (b * np.log(b / (n * (1 - base))) if b else 0))
-        if odds > 2.5 and gain > 30:
+        if odds > 2.5 and gain > 20:
             found.append((-gain, w))
     best = [w for _, w in sorted(found)[:most]]
     return Lexicon(frozenset(w for w in best if not w.endswith("~")), frozenset(w[:-1] for w in best if w.endswith("~")))
@@ -218,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Lexic
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys]), pa.array([held[k] if k[1] else n[k[0]] for k in keys], pa.int64())], ["y", "w", "n"])
 
     counts = rows.select("text", "y").mapInArrow(count, "y int, w string, n long").groupBy("w").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
-    words = counts.where("w = '' OR a >= 7").orderBy(F.col("w") != "", F.desc(F.col("a") / (F.col("b") + 1.0)), F.desc("a"), "w").limit(8 * LEXICON).collect()  # bounded
+    words = counts.where("w = '' OR a >= 5").orderBy(F.col("w") != "", F.desc(F.col("a") / (F.col("b") + 1.0)), F.desc("a"), "w").limit(8 * LEXICON).collect()  # bounded
     sums = next(((r.a, r.b) for r in words if r.w == ""), (0, 0))
     lexicon = learn_lexicon([(1, Counter({r.w: r.a for r in words if r.w})), (0, Counter({r.w: r.b for r in words if r.w and r.b}))], *sums)
 
