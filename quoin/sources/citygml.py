@@ -170,7 +170,7 @@ def missing_textures(spark: SparkSession, path: str, listing: DataFrame, glob: s
     return _parsed(spark, path, glob, parse, TEXTURES).distinct().join(listing, "image", "left_anti")
 
 
-def models(spark: SparkSession, path: str, prefix: str = "DEBY_LOD3_", wanted: list[str] | None = None) -> DataFrame:
+def models(spark: SparkSession, path: str, prefix: str = "", wanted: list[str] | None = None) -> DataFrame:
     """(building_id, path, size, sha256, found) of model files; wanted ids without a file have found = false."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*.gml").load(path)
     have = files.select(F.regexp_extract("path", rf"{prefix}(.+)\.gml$", 1).alias("building_id"), "path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))

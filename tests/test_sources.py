@@ -17,8 +17,8 @@ GML = f"""<c:CityModel xmlns:c="http://www.opengis.net/citygml/2.0" xmlns:b="htt
 
 
 def test_citygml(spark, tmp_path):
-    (tmp_path / "DEBY_LOD3_1.gml").write_text(GML)
-    (tmp_path / "DEBY_LOD3_2.gml").write_text("version https://git-lfs.github.com/spec/v1\noid sha256:0\nsize 5\n")
+    (tmp_path / "model_1.gml").write_text(GML)
+    (tmp_path / "model_2.gml").write_text("version https://git-lfs.github.com/spec/v1\noid sha256:0\nsize 5\n")
     rings = citygml.read_rings(spark, str(tmp_path))
     assert rings.where("error LIKE '%pointer%'").count() == 1
     assert sorted(tuple(r) for r in citygml.objects(rings).select("object_index", "id", "kind", "wall_id").collect()) == [(0, "W", "WallSurface", "W"), (1, "O", "Window", "W")]
@@ -31,11 +31,11 @@ def test_citygml(spark, tmp_path):
     assert {r.object_index: round(r.s, 6) for r in t.groupBy("object_index").agg(F.sum(area).alias("s")).collect()} == {0: 96.0, 1: 4.0}
     s = citygml.stats(rings).first()
     assert (s.n_WallSurface, s.n_Window, s.polygons, s.interior_rings) == (1, 1, 2, 1)
-    only = str(tmp_path / "DEBY_LOD3_1.gml")
+    only = str(tmp_path / "model_1.gml")
     assert tuple(citygml.materials(spark, only).first())[1:3] == ("P", True)
     none = spark.createDataFrame([], "image string")
     assert [r.image for r in citygml.missing_textures(spark, only, none).collect()] == ["t.png"]
-    assert {r.building_id: r.found for r in citygml.models(spark, str(tmp_path), wanted=["1", "9"]).collect()} == {"1": True, "9": False}
+    assert {r.building_id: r.found for r in citygml.models(spark, str(tmp_path), "model_", wanted=["1", "9"]).collect()} == {"1": True, "9": False}
 
 
 def test_obj_round_trip(spark, tmp_path):
