@@ -113,17 +113,16 @@ class Agenda:
     def encode(self, text: str) -> list[int]:
         """Ids of a text, the end id last."""
         ids: list[int] = []
-        if text:
+        if not text:
+            return [self.end]
+        if self.sectioned and self.prefix and SPACE not in text and "  " not in text and text[0] != " " != text[-1]:
+            recall = self.recall
+            for word in text.split(" "):
+                ids += self.kept.get(word) or recall(word)
+        else:
             marked = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-            if not self.sectioned:
-                ids += self.merge(marked)
-            elif SPACE * 2 in marked or not self.prefix or marked.endswith(SPACE):
-                for s in re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", marked):
-                    ids += self.kept.get(s[1:]) or self.recall(s[1:]) if s[0] == SPACE else self.merge(s)
-            else:
-                recall = self.recall
-                for s in marked[1:].split(SPACE):
-                    ids += self.kept.get(s) or recall(s)
+            for s in re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", marked) if self.sectioned else [marked]:
+                ids += self.kept.get(s[1:]) or self.recall(s[1:]) if self.sectioned and s[0] == SPACE else self.merge(s)
         ids.append(self.end)
         return ids
 
