@@ -557,8 +557,20 @@ d AS (SELECT k.cand, min(sqrt(pow(k.px - c.px, 2) + pow(k.py - c.py, 2))) AS apa
 s AS (SELECT cand, sqrt(avg(e * e) FILTER (role = 'control')) AS rmse_m, max(e) FILTER (role = 'check') AS check_max_m, count(*) FILTER (role = 'check') AS checks FROM c GROUP BY cand)
 SELECT s.cand, round(rmse_m, 6) AS rmse_m, round(check_max_m, 6) AS check_max_m, round(apart, 6) AS apart, CASE WHEN checks < 1 THEN 'no_checks' WHEN apart < 5 THEN 'check_too_close_to_control' WHEN rmse_m > 0.2 OR check_max_m > 0.3 THEN 'errors_too_large' END AS reject_reason FROM s LEFT JOIN d USING (cand)""")
 def calibration_quality(spark, sf):
-    p = _errors(spark, sf).where("ord <= 80").select("cand", "px", "py", F.when(F.col("ord") % 40 == 0, "check").otherwise("control").alias("role"), (F.col("error") / 100).alias("error_m"))
-    return rounded(L.calibration(p, "cand").drop("checks"))
+    """The first 80 matches of each cand only, as the SQL twin has it; calibration_quality_all takes all of them."""
+    return rounded(L.calibration(_calibrated(spark, sf).where("ord <= 80"), "cand").drop("checks"))
+
+
+def _calibrated(spark, sf):
+    return _errors(spark, sf).select("cand", "ord", "px", "py", F.when(F.col("ord") % 40 == 0, "check").otherwise("control").alias("role"), (F.col("error") / 100).alias("error_m"))
+
+
+@query(f"""WITH {W.MATCH_SQL}, {ERR_SQL}, c AS (SELECT cand, px, py, CASE WHEN ord % 40 = 0 THEN 'check' ELSE 'control' END AS role, error / 100 AS e FROM e),
+d AS (SELECT k.cand, min(sqrt(pow(k.px - c.px, 2) + pow(k.py - c.py, 2))) AS apart FROM c k JOIN c ON k.cand = c.cand AND k.role = 'check' AND c.role = 'control' GROUP BY k.cand),
+s AS (SELECT cand, sqrt(avg(e * e) FILTER (role = 'control')) AS rmse_m, max(e) FILTER (role = 'check') AS check_max_m, count(*) FILTER (role = 'check') AS checks FROM c GROUP BY cand)
+SELECT s.cand, round(rmse_m, 6) AS rmse_m, round(check_max_m, 6) AS check_max_m, round(apart, 6) AS apart, CASE WHEN checks < 1 THEN 'no_checks' WHEN apart < 5 THEN 'check_too_close_to_control' WHEN rmse_m > 0.2 OR check_max_m > 0.3 THEN 'errors_too_large' END AS reject_reason FROM s LEFT JOIN d USING (cand)""")
+def calibration_quality_all(spark, sf):
+    return rounded(L.calibration(_calibrated(spark, sf), "cand").drop("checks"))
 
 
 @query(f"""WITH {W.MATCH_SQL}, {ERR_SQL} SELECT cand, count(*) AS n, round(max(error / 100), 6) AS max_m, round(quantile_cont(error / 100, 0.5), 6) AS median_m, count(*) >= 4 AND max(error / 100) <= 0.3 AND quantile_cont(error / 100, 0.5) <= 0.2 AS passed FROM e GROUP BY cand""")
