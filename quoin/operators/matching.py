@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from quoin.functions import numeric as N
 
+from . import raster as R
+
 #: Fixed values of the policies.
 MIN_CONFIDENCE = 0.20
 VOTE = (8, 0.60, 0.50)
 MIN_SCORE, MIN_MARGIN, HULL_FULL = 0.35, 0.08, 0.60
 AGREEMENT = (6, 0.30, 0.75)
+AGREEMENT_GRID = (9, 5, 0.1, 0.9)
 MATCH_SIZE, MATCH_DISTANCE = (0.55, 1.80), 30.0
 WALL_PIXELS, WALL_SHARE, WALL_SIDE = 500, 0.30, 32
 
@@ -102,12 +105,65 @@ def spacing(points: DataFrame, key: str) -> DataFrame:
     return p.groupBy(F.col(f"a.{key}").alias(key), F.col("a.id").alias("id")).agg(F.min(d).alias("nearest"))
 
 
-def agreement(errors: DataFrame, key: str, error: str = "error") -> DataFrame:
+def agreement(errors: DataFrame, key: str | list[str], error: str = "error") -> DataFrame:
     """Median and 90th percentile (linear) of cross-view distances and whether they pass; no rows of a key: no pass."""
     out = errors.groupBy(key).agg(F.count(error).alias("n"), F.percentile(error, 0.5).alias("median"), F.percentile(error, 0.9).alias("p90"))
     return out.withColumn("passed", F.coalesce((F.col("n") >= AGREEMENT[0]) & (F.col("median") <= AGREEMENT[1]) & (F.col("p90") <= AGREEMENT[2]), F.lit(False)))
 
 
+def _viewed(selected: DataFrame, candidates: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The selected candidates, and the passing ones that show their wall in another view; both with the wall's frame."""
+    fields = ["building_id", "wall_id", "view_name", "h", "camera"]
+    frame = ["origin", "u", "v"]
+    mine = selected.select(key, "candidate_id").join(candidates, [key, "candidate_id"]).select(key, "candidate_id", *fields, *frame)
+    own = mine.select(key, "building_id", "wall_id", F.col("view_name").alias("_view"), *frame)
+    passing = candidates.where("gate_passed AND vote_accepted").select(key, "candidate_id", *fields)
+    others = passing.join(own, [key, "building_id", "wall_id"]).where("view_name <> _view").select(key, "candidate_id", *fields, *frame)
+    return mine, others
+
+
+def _on_wall(views: DataFrame, pixels: DataFrame, photo: tuple[int, int], key: str) -> DataFrame:
+    """Where the photo's grid lies on the wall by each view (null: nowhere), and whether the wall is seen there."""
+    nx, ny, lo, hi = AGREEMENT_GRID
+    at = lambda i, n, size: (lo + i * (hi - lo) / (n - 1)) * size
+    grid = F.array(*[F.struct(F.lit(r * nx + c).alias("i"), F.lit(at(c, nx, photo[0])).alias("x"), F.lit(at(r, ny, photo[1])).alias("y")) for r in range(ny) for c in range(nx)])
+    p = views.withColumn("_g", F.explode(grid))
+    p = p.withColumn("_p", N.project(F.col("_g.x"), F.col("_g.y"), [F.get("h", F.lit(i)) for i in range(9)]))
+    p = p.withColumn("point", R.wall_point(F.col("_p.x"), F.col("_p.y"), F.col("camera"), F.col("origin"), F.col("u"), F.col("v")))
+    p = p.withColumns({"_x": N.pixel(F.col("_p.x")).cast("long"), "_y": N.pixel(F.col("_p.y")).cast("long")})
+    seen = pixels.select("building_id", "view_name", "wall_id", F.col("x").cast("long").alias("_x"), F.col("y").cast("long").alias("_y"), F.lit(True).alias("_seen"))
+    p = p.join(seen, ["building_id", "view_name", "wall_id", "_x", "_y"], "left")
+    return p.select(key, "candidate_id", F.col("_g.i").alias("i"), "point", F.coalesce("_seen", F.lit(False)).alias("seen"))
+
+
+def view_comparisons(selected: DataFrame, candidates: DataFrame, pixels: DataFrame, photo: tuple[int, int], key: str) -> DataFrame:
+    """For each selected candidate and each passing one with the same wall in another view, how far apart in metres a grid
+    over the photo lies on the wall by the two. Points count that both views see on the wall; sound: all have a place on it.
+
+    selected (key, candidate_id), one row a key; candidates (key, candidate_id, building_id, wall_id, view_name,
+    gate_passed, vote_accepted, h: photo to render by row, camera: pixel and depth to local, 4 x 4 by row, and origin, u, v
+    of the wall, null if it is not planar); pixels (building_id, view_name, x, y, wall_id), once for each visible pixel."""
+    mine, others = _viewed(selected, candidates, key)
+    a, b = _on_wall(mine, pixels, photo, key), _on_wall(others, pixels, photo, key)
+    both = b.alias("b").join(a.alias("a"), [key, "i"])
+    gap = F.sqrt(sum((F.pow(F.col(f"a.point.{c}") - F.col(f"b.point.{c}"), 2) for c in "xyz"), F.lit(0.0)))
+    both = both.select(key, "b.candidate_id", F.when(F.col("a.seen") & F.col("b.seen"), gap).alias("error"), (F.col("a.point").isNotNull() & F.col("b.point").isNotNull()).alias("met"))
+    sound = both.groupBy(key, "candidate_id").agg(F.bool_and("met").alias("sound"))
+    out = agreement(both, [key, "candidate_id"]).join(sound, [key, "candidate_id"])
+    return out.withColumn("passed", F.col("passed") & F.col("sound"))
+
+
+def view_agreement(selected: DataFrame, candidates: DataFrame, pixels: DataFrame, photo: tuple[int, int], key: str) -> DataFrame:
+    """Whether at least one other passing view shows each selected wall and all such views agree with the selected one
+    (see view_comparisons): one row for each selected candidate, with the reason why not."""
+    n = view_comparisons(selected, candidates, pixels, photo, key).groupBy(key).agg(F.count("*").alias("comparisons"), F.bool_and("passed").alias("_all"), F.bool_and("sound").alias("_sound"))
+    mine, _ = _viewed(selected, candidates, key)
+    out = mine.select(key, "candidate_id", (F.col("origin").isNotNull() & F.col("u").isNotNull() & F.col("v").isNotNull()).alias("_planar")).join(n, key, "left")
+    reason = F.when(F.col("comparisons").isNull(), "insufficient_cross_view_confirmation").when(~F.col("_planar"), "wall_not_supported_by_planar_reader").when(~F.col("_sound"), "invalid_wall_projection").when(~F.col("_all"), "views_disagree_on_world_position")
+    out = out.withColumns({"comparisons": F.coalesce("comparisons", F.lit(0)), "reason": reason})
+    return out.withColumns({"available": F.col("comparisons") > 0, "passed": F.col("reason").isNull()}).drop("_all", "_sound", "_planar")
+
+
 def gates(metrics: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """metrics with checks (map), failed_checks (array) and gate_passed."""
     m = F.create_map(*[x for k, c in checks.items() for x in (F.lit(k), F.coalesce(c, F.lit(False)))])

@@ -88,6 +88,21 @@ def ray_plane(px: Column, py: Column, pixel_to_local: Sequence[Sequence[float]],
     return F.when(N.finite(depth) & (depth > 0), F.struct(on(u).alias("u"), on(v).alias("v"), depth.alias("depth"), *[c.alias(k) for k, c in zip("xyz", q, strict=True)]))
 
 
+def wall_point(px: Column, py: Column, camera: Column, origin: Column, u: Column, v: Column) -> Column:
+    """ray_plane with camera (sixteen numbers by row) and frame in columns: struct x, y, z, or null."""
+    m = [[F.get(camera, F.lit(4 * i + j)) for j in range(4)] for i in range(4)]
+    o, a, b = ([F.get(c, F.lit(i)) for i in range(3)] for c in (origin, u, v))
+    n = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+    d = [m[i][2] for i in range(3)]
+    dot = lambda p, q: p[0] * q[0] + p[1] * q[1] + p[2] * q[2]
+    den = dot(d, n)
+    p = [px * m[i][0] + py * m[i][1] + m[i][3] for i in range(3)]
+    depth = F.try_divide(dot([o[i] - p[i] for i in range(3)], n), den)
+    affine_ = F.greatest(*[F.abs(m[3][j] - (1.0 if j == 3 else 0.0)) for j in range(4)]) <= 1e-12
+    steep = (F.sqrt(dot(d, d)) >= 1e-12) & (F.abs(den) >= F.sqrt(dot(d, d)) * F.sqrt(dot(n, n)) * MIN_RAY_COSINE)
+    return F.when(affine_ & steep & N.finite(depth) & (depth > 0), F.struct(*[(p[i] + depth * d[i]).alias(k) for i, k in enumerate("xyz")]))
+
+
 def corners(b: B.Box) -> list[tuple[Column, Column]]:
     return [(b.x0, b.y0), (b.x1, b.y0), (b.x1, b.y1), (b.x0, b.y1)]
 

@@ -35,6 +35,36 @@ def roll_up(items: DataFrame, run: str, state: str = "state", done: str = "compl
     return out.withColumn("status", status)
 
 
+def batch_outcome(items: DataFrame, run: str, state: str = "state", done: str = "success", failed: str = "failed") -> DataFrame:
+    """Status of a batch that goes on after a failure: running, completed, completed_with_errors."""
+    out = items.groupBy(run).agg(F.count("*").alias("n"), F.count_if(F.col(state) == done).alias("n_done"), F.count_if(F.col(state) == failed).alias("n_failed"))
+    status = F.when(F.col("n_done") + F.col("n_failed") < F.col("n"), "running").when(F.col("n_failed") > 0, "completed_with_errors").otherwise("completed")
+    return out.withColumn("status", status)
+
+
+def mapping_status(runs: DataFrame) -> DataFrame:
+    """runs (finished, error, selected_id, mapping_error, mapped_count) with their status. error: of the run itself;
+    mapping_error: the mapping of the selected candidate was refused."""
+    status = (
+        F.when(F.col("error").isNotNull(), "failed").when(~F.coalesce("finished", F.lit(False)), "running")
+        .when(F.col("selected_id").isNull() | F.col("mapping_error").isNotNull(), "needs_review")
+        .when(F.coalesce("mapped_count", F.lit(0)) > 0, "mapped").otherwise("no_detections_mapped")
+    )
+    return runs.withColumn("status", status)
+
+
+#: Stages of a render in their order; a failed one keeps the stage that it failed in.
+RENDER_STAGES = ("loading_model", "rendering_views", "contact_sheet", "complete")
+
+
+def render_state(log: DataFrame, key: str) -> DataFrame:
+    """Stage and status (running, complete, failed) of each render of an append-only log (key, seq, stage or 'failed')."""
+    staged = F.col("stage").isin(*RENDER_STAGES)
+    out = log.groupBy(key).agg(F.max_by(F.when(staged, F.col("stage")), F.when(staged, F.col("seq"))).alias("at"), F.max_by("stage", "seq").alias("last"))
+    status = F.when(F.col("last") == "failed", "failed").when(F.col("last") == "complete", "complete").otherwise("running")
+    return out.select(key, F.col("at").alias("stage"), status.alias("status"))
+
+
 def missing_outputs(items: DataFrame, listing: DataFrame, required: list[str], key: str = "item") -> DataFrame:
     """Items of which a required file (listing: key, file) is absent."""
     want = items.select(key, F.explode(F.array(*map(F.lit, required))).alias("file"))

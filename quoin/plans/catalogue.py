@@ -605,6 +605,18 @@ def tile_eligibility(spark, sf):
 
 # Kernels without an SQL form
 
+@query()
+def view_agreement(spark, sf):
+    """A run for each supplier with three views of a wall; the second is off by up to 15 pixels (0.3 m), the third fails
+    its gate in every fifth run and is the only other view in every seventh."""
+    k, v = F.col("s_suppkey"), F.col("v")
+    s = W.table(spark, sf, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("v")).where((k % 7 != 0) | (v != 1))
+    h = [F.lit(float(x)) + (F.when(v == 1, (k % 4) * 5.0).otherwise(0.0) if i == 2 else 0.0) for i, x in enumerate(W.H)]
+    c = s.select("s_suppkey", v.alias("candidate_id"), F.lit("b").alias("building_id"), F.lit("w").alias("wall_id"), F.concat(F.lit("view"), v).alias("view_name"), ((v != 2) | (k % 5 != 0)).alias("gate_passed"), F.lit(True).alias("vote_accepted"), F.array(*h).alias("h"), F.array(*[F.lit(x) for r in W.PIXEL_TO_LOCAL for x in r]).alias("camera"), *[F.array(*map(F.lit, x)).alias(n) for n, x in W.FRAME.items()])
+    p = spark.range(3 * 140 * 80).select(F.lit("b").alias("building_id"), F.concat(F.lit("view"), F.col("id") % 3).alias("view_name"), (F.floor(F.col("id") / 3) % 140).alias("x"), F.floor(F.col("id") / 420).alias("y"), F.lit("w").alias("wall_id"))
+    return M.view_agreement(c.where("candidate_id = 0").select("s_suppkey", "candidate_id"), c, p, (100, 60), "s_suppkey").withColumn("error", F.lit(None).cast("string"))
+
+
 @query()
 def homography_fit(spark, sf):
     m = W.matches(spark, sf)
