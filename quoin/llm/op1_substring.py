@@ -1,9 +1,9 @@
 """Operator 1: substring dedup with a log-structured fingerprint index.
 
 The index keeps, for each anchored segment of word windows, its fingerprints and whether it was seen once or
-more often. Each batch becomes an immutable run, sorted within hash-range buckets; `fanout` runs of a level are
+more often, and the same for 96 bits of each window, so that a new batch is judged without the texts of earlier ones. Each batch becomes an immutable run, sorted within hash-range buckets; `fanout` runs of a level are
 merged into one of the next. `repeats` merge-joins texts with all runs and verifies what only shares an anchor
-window by window. Memory is bounded by a chunk (2 MB of text, or one text) and by a bucket of fingerprints.
+window by window. Where all texts are judged at once, as in `remove_repeats`, the windows need not be kept. Memory is bounded by a chunk (2 MB of text, or one text) and by a bucket of fingerprints.
 
 Null texts have no words; texts shorter than a window lose none; an empty table gives an empty result; repeated
 rows count as repeats of each other. Only the text column (and what the caller selects) is read, so other
@@ -25,14 +25,18 @@ from . import segments as S
 from .shared import CHUNK_BYTES, count_of, discard, fresh, scratch, shuffle_partitions, text_key
 
 RUN = "bucket int, data binary"
+WINDOWS = "-windows"
+"""Ending of the folder with a run's windows."""
+WINDOW_BUCKETS = 8
+"""Buckets of windows for each of segments, as about eleven windows are a segment."""
 RESULT = "h1 long, h2 long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
 class FingerprintIndex:
-    """Sorted immutable runs under `path` (in the shared folder unless given)."""
+    """Sorted immutable runs under `path` (in the shared folder unless given). windows: whether the runs keep windows."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, spec: S.Spec = S.WORDS, buckets: int | None = None, fanout: int = 2):
-        self.spark, self.spec, self.fanout = spark, spec, fanout
+    def __init__(self, spark: SparkSession, path: str | None = None, spec: S.Spec = S.WORDS, buckets: int | None = None, fanout: int = 2, windows: bool = True):
+        self.spark, self.spec, self.fanout, self.windows = spark, spec, fanout, windows
         self.path = path or scratch(spark, "fingerprints")
         self.buckets = buckets or shuffle_partitions(spark)
         self.levels: list[list[str]] = []
@@ -44,33 +48,50 @@ class FingerprintIndex:
         h1, h2 = text_key(F.col(text))
         source = docs.where(F.col(text).isNotNull()).select(F.lit(0).alias("chunk"), h1.alias("h1"), h2.alias("h2"), F.col(text).cast("string").alias("text"), F.lit(1).cast("long").alias("m"))
 
-        def fingerprints(batches):
-            held, size = [], 0
-            for b in batches:
-                held.append(b)
-                size += b.nbytes
-                if size >= CHUNK_BYTES:
+        def made(entries):
+            def run(batches):
+                held, size = [], 0
+                for b in batches:
+                    held.append(b)
+                    size += b.nbytes
+                    if size >= CHUNK_BYTES:
+                        yield from flush(held)
+                        held, size = [], 0
+                if held:
                     yield from flush(held)
-                    held, size = [], 0
-            if held:
-                yield from flush(held)
 
-        def flush(held):
-            c = R.Chunk(spec, pa.Table.from_batches(held))
-            rows = [(b, R.pack(c.g[lo:hi], c.c[lo:hi], c.w[lo:hi])) for b, lo, hi in R.ranges(c.g, buckets)]
-            if rows:
-                b, d = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(d, pa.binary())], ["bucket", "data"])
+            def flush(held):
+                rows = entries(R.Chunk(spec, pa.Table.from_batches(held)))
+                if rows:
+                    b, d = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(d, pa.binary())], ["bucket", "data"])
 
-        self._write(source.mapInArrow(fingerprints, RUN), 0)
+            return source.mapInArrow(run, RUN)
 
-    def _write(self, parts: DataFrame, level: int) -> None:
+        def fingerprints(c):
+            return [(b, R.pack(c.g[lo:hi], c.c[lo:hi], c.w[lo:hi])) for b, lo, hi in R.ranges(c.g, buckets)]
+
+        def windows(c):
+            starts = S.expand(c.seg.first, c.seg.last)
+            of = np.searchsorted(c.units.bounds, starts, side="right") - 1
+            one, two, w = R.totals(*S.window_hashes(spec, c.units, starts), np.minimum(c.m, 2)[of])
+            return [(b, R.pack_windows(one[lo:hi], two[lo:hi], w[lo:hi])) for b, lo, hi in R.ranges(one, buckets * WINDOW_BUCKETS)]
+
+        self._write(made(fingerprints), made(windows) if self.windows else None, 0)
+
+    def _write(self, parts: DataFrame, windows: DataFrame | None, level: int) -> None:
         def merge(table: pa.Table) -> pa.Table:
             g, c, w, _ = R.unpack(table.column("data").to_pylist())
             return pa.table({"bucket": table.column("bucket").slice(0, 1), "data": pa.array([R.pack(*R.totals(g, c, w))], pa.binary())})
 
+        def merge_windows(table: pa.Table) -> pa.Table:
+            one, two, w, _ = R.unpack_windows(table.column("data").to_pylist())
+            return pa.table({"bucket": table.column("bucket").slice(0, 1), "data": pa.array([R.pack_windows(*R.totals(one, two, w))], pa.binary())})
+
         self._made += 1
         path = f"{self.path}/level{level}-run{self._made}"
+        if windows is not None:
+            windows.groupBy("bucket").applyInArrow(merge_windows, RUN).write.parquet(path + WINDOWS)
         parts.groupBy("bucket").applyInArrow(merge, RUN).write.parquet(path)
         while len(self.levels) <= level:
             self.levels.append([])
@@ -81,20 +102,21 @@ class FingerprintIndex:
     def compact(self, level: int) -> None:
         """Merges all runs of a level into one run of the next level."""
         old, self.levels[level] = self.levels[level], []
-        self._write(self._read(old), level + 1)
-        for path in old:
+        also = [p + WINDOWS for p in old] if self.windows else []
+        self._write(self._read(old), self._read(also) if also else None, level + 1)
+        for path in old + also:
             discard(self.spark, path)
 
     def _read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema(RUN).parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
 
-    def runs(self) -> DataFrame:
-        return self._read([p for level in self.levels for p in level])
+    def runs(self, ending: str = "") -> DataFrame:
+        return self._read([p + ending for level in self.levels for p in level])
 
     def repeats(self, docs: DataFrame, text: str = "text", with_text: bool = False) -> DataFrame:
         """RESULT for each distinct text of docs (all of which must have been ingested); kept is null unless
-        asked for and changed. Windows of other texts count by the index; those whose segment is open are
-        compared with the texts of docs, so docs must hold every text with such a segment."""
+        asked for and changed. Windows of other texts count by the index alone; only without windows in the runs
+        must docs hold every text that was ingested."""
         spec = self.spec
 
         def finish(c: R.Chunk, covered: np.ndarray) -> pa.Table:
@@ -107,16 +129,16 @@ class FingerprintIndex:
                 rows.append((int(c.keys[i, 0]), int(c.keys[i, 1]), hi - lo, n, hashlib.sha256(kept).hexdigest(), kept.decode() if n and with_text else None))
             return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["h1", "h2", "n_words", "n_removed", "kept_sha256", "kept"])
 
-        return R.marked(R.chunked(docs, text), spec, finish, RESULT, self.runs(), buckets=self.buckets)
+        return R.marked(R.chunked(docs, text), spec, finish, RESULT, self.runs(), buckets=self.buckets, windows=self.runs(WINDOWS) if self.windows else None, window_buckets=self.buckets * WINDOW_BUCKETS if self.windows else None)
 
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
 def indexed(docs: DataFrame, text: str = "text", batches: int = 2, spec: S.Spec = S.WORDS) -> FingerprintIndex:
-    """An index of all rows of docs, taken in as `batches` batches."""
+    """An index of all rows of docs, taken in as `batches` batches, by which to judge all of docs: without windows."""
     spark = docs.sparkSession
-    index = FingerprintIndex(spark, spec=spec, buckets=max(shuffle_partitions(spark), count_of(docs, text, 512 << 20)))
+    index = FingerprintIndex(spark, spec=spec, buckets=max(shuffle_partitions(spark), count_of(docs, text, 512 << 20)), windows=False)
     for i in range(batches):
         index.ingest(docs.where(F.pmod(F.xxhash64(text), F.lit(batches)) == i), text)
     return index

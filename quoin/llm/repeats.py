@@ -129,6 +129,18 @@ def unpack(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[
     return g, c, w, sizes
 
 
+def pack_windows(one: np.ndarray, two: np.ndarray, w: np.ndarray) -> bytes:
+    return one.tobytes() + two.tobytes() + w.astype(np.uint8).tobytes()
+
+
+def unpack_windows(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    sizes = [len(d) // HashVerify.ENTRY for d in data]
+    one = np.concatenate([np.frombuffer(d, np.uint64, n) for d, n in zip(data, sizes, strict=True)] or [np.empty(0, np.uint64)])
+    two = np.concatenate([np.frombuffer(d, np.uint32, n, 8 * n) for d, n in zip(data, sizes, strict=True)] or [np.empty(0, np.uint32)])
+    w = np.concatenate([np.frombuffer(d, np.uint8, n, 12 * n) for d, n in zip(data, sizes, strict=True)] or [np.empty(0, np.uint8)])
+    return one, two, w, sizes
+
+
 def totals(g: np.ndarray, c: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct entries in order, with their number (2 stands for two or more): a sorted run."""
     order = np.lexsort((c, g))
@@ -211,19 +223,20 @@ class HashVerify:
 
     def ask(self, chunk: Chunk, states: np.ndarray, number: int, buckets: int) -> list[tuple[int, int, int, bytes]]:
         one, two, w, _, _ = self.windows(chunk, states)
-        return [(number, b, self.KIND, one[lo:hi].tobytes() + two[lo:hi].tobytes() + w[lo:hi].tobytes()) for b, lo, hi in ranges(one, buckets)]
+        return [(number, b, self.KIND, pack_windows(one[lo:hi], two[lo:hi], w[lo:hi])) for b, lo, hi in ranges(one, buckets)]
 
-    def judge(self, ask: list[bytes]) -> list[bytes]:
-        sizes = [len(d) // self.ENTRY for d in ask]
-        one = np.concatenate([np.frombuffer(d, np.uint64, n) for d, n in zip(ask, sizes, strict=True)])
-        two = np.concatenate([np.frombuffer(d, np.uint32, n, 8 * n) for d, n in zip(ask, sizes, strict=True)])
-        w = np.concatenate([np.frombuffer(d, np.uint8, n, 12 * n) for d, n in zip(ask, sizes, strict=True)])
+    def judge(self, ask: list[bytes], known: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> list[bytes]:
+        """Which of the windows asked about repeat: among themselves, or by a run (known) that holds them all."""
+        one, two, w, sizes = unpack_windows(ask)
         order = np.lexsort((two, one))
         new = np.ones(len(one), dtype=bool)
         new[1:] = (np.diff(one[order]) != 0) | (np.diff(two[order].astype(np.int64)) != 0)
         ids = np.empty(len(one), dtype=np.int64)
         ids[order] = np.cumsum(new) - 1
-        out = (np.bincount(ids, weights=w) >= 2).astype(np.uint8)[ids]
+        if known is None:
+            out = (np.bincount(ids, weights=w) >= 2).astype(np.uint8)[ids]
+        else:
+            out = (known[2][merge_join(known[0], known[1], one[order][new], two[order][new])] >= 2).astype(np.uint8)[ids]
         return [out[e - n : e].tobytes() for n, e in zip(sizes, np.cumsum(sizes, dtype=np.int64), strict=True)]
 
     def repeated(self, chunk: Chunk, states: np.ndarray, answers: np.ndarray) -> np.ndarray:
@@ -233,12 +246,13 @@ class HashVerify:
 
 
 def marked(
-    texts: DataFrame, spec: S.Spec, finish: Callable[[Chunk, np.ndarray], pa.Table], schema: str, run: DataFrame | None = None, verify: tuple = (HashVerify(),), buckets: int | None = None, hot: int | None = None
+    texts: DataFrame, spec: S.Spec, finish: Callable[[Chunk, np.ndarray], pa.Table], schema: str, run: DataFrame | None = None, verify: tuple = (HashVerify(),), buckets: int | None = None, hot: int | None = None, windows: DataFrame | None = None, window_buckets: int | None = None
 ) -> DataFrame:
     """finish(chunk, which units repeated windows cover) for each chunk of `texts` (see chunked).
 
     run: (bucket int, data binary) of an index of `buckets` buckets that holds all of `texts`; without one,
-    the texts are judged among themselves.
+    the texts are judged among themselves. windows: the same, of `window_buckets` buckets, for the index's windows (verify
+    must be HashVerify then); without it, open windows are compared among `texts` only.
     """
     buckets = buckets or shuffle_partitions(texts.sparkSession)
     held = texts.groupBy("chunk")
@@ -268,17 +282,24 @@ def marked(
             return blobs([])
         c = Chunk(spec, table)
         states = c.answers(replies, 0)
-        return blobs([row for v in verify for row in v.ask(c, states, number(table), buckets)])
+        return blobs([row for v in verify for row in v.ask(c, states, number(table), window_buckets or buckets)])
+
+    def answer_open_by_run(table: pa.Table, runs: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return blobs([])
+        one, two, w, _ = unpack_windows(runs.column("data").to_pylist())
+        return answer_open(table, (totals(one, two, w),))
 
-    def answer_open(table: pa.Table) -> pa.Table:
+    def answer_open(table: pa.Table, known: tuple = ()) -> pa.Table:
         rows = sorted(zip(*(table.column(k).to_pylist() for k in ("kind", "chunk", "bucket", "data")), strict=True))
         out = []
         for v in verify:
             mine = [r for r in rows if r[0] == v.KIND]
-            out += [(c, b, k, d) for (k, c, b, _), d in zip(mine, v.judge([r[3] for r in mine]) if mine else [], strict=True)]
+            out += [(c, b, k, d) for (k, c, b, _), d in zip(mine, v.judge([r[3] for r in mine], *known) if mine else [], strict=True)]
         return blobs(out)
 
-    second = held.cogroup(first.groupBy("chunk")).applyInArrow(ask_open, BLOBS).groupBy("bucket").applyInArrow(answer_open, BLOBS)
+    asked_open = held.cogroup(first.groupBy("chunk")).applyInArrow(ask_open, BLOBS).groupBy("bucket")
+    second = asked_open.applyInArrow(lambda t: answer_open(t), BLOBS) if windows is None else asked_open.cogroup(windows.groupBy("bucket")).applyInArrow(answer_open_by_run, BLOBS)
 
     def last(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
