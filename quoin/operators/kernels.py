@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-RANSAC_PX, RANSAC_ROUNDS, TRAIN_MIN = 4.0, 500, 4
+RANSAC_PX, RANSAC_ROUNDS, TRAIN_MIN = 4.0, 10_000, 4
+RANSAC_LEAST, RANSAC_CONFIDENCE = 500, 0.999
 PLANE_TOLERANCE = 0.03
 AREA_RTOL = 1e-5
 
@@ -40,7 +41,7 @@ def fit_homography(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     one, zero = np.ones(len(x)), np.zeros((len(x), 3))
     hom = np.column_stack([x, one])
     rows = np.vstack([np.hstack([hom, zero, -y[:, :1] * hom]), np.hstack([zero, hom, -y[:, 1:] * hom])])
-    _, s, vt = np.linalg.svd(rows)
+    _, s, vt = np.linalg.svd(rows, full_matrices=len(rows) < 9)
     if len(s) < 8 or s[7] < 1e-10 * s[0]:
         raise ValueError("pairs do not fix a homography")
     h = np.linalg.inv(tb) @ vt[-1].reshape(3, 3) @ ta
@@ -51,10 +52,15 @@ def fit_homography(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def ransac(a: np.ndarray, b: np.ndarray, limit: float = RANSAC_PX, rounds: int = RANSAC_ROUNDS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Robust homography: the sample with the least truncated error, fitted again to its inliers until they settle."""
+    """Robust homography: the sample with the least truncated error, fitted again to its inliers until they settle.
+
+    At most `rounds` samples; after RANSAC_LEAST, none once a clean one was drawn with RANSAC_CONFIDENCE, by the inlier
+    share of the best so far."""
     rng = np.random.default_rng(seed)
-    best, cost = None, np.inf
-    for _ in range(rounds):
+    best, cost, enough = None, np.inf, float(rounds)
+    for n in range(rounds):
+        if n >= max(RANSAC_LEAST, enough):
+            break
         pick = rng.choice(len(a), 4, replace=False)
         try:
             h = fit_homography(a[pick], b[pick])
@@ -64,6 +70,8 @@ def ransac(a: np.ndarray, b: np.ndarray, limit: float = RANSAC_PX, rounds: int =
         c = np.minimum(e, limit).sum()
         if c < cost:
             best, cost = h, c
+            clean = (e <= limit).mean() ** 4
+            enough = np.log(1 - RANSAC_CONFIDENCE) / np.log1p(-clean) if 0 < clean < 1 else (rounds if clean == 0 else 0)
     if best is None:
         raise ValueError("no sample fixes a homography")
     inliers = np.zeros(len(a), dtype=bool)

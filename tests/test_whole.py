@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from quoin.operators import kernels as K
 from quoin.operators import matching as M
 from quoin.operators import policy as L
 from quoin.operators import state as S
@@ -74,3 +75,15 @@ def test_names_sizes_sources_and_order(spark):
     assert [r.reject_reason for r in L.unchanged_source(renders, models).orderBy("source_gml").collect()] == [None, "source_model_changed", "source_model_changed"]
     t = spark.createDataFrame([("g", "a", 1), ("g", "b", 9), ("g", "c", 9)], "g string, building_id string, size_bytes long")
     assert [r.building_id for r in L.task_order(t, "g").orderBy("place").collect()] == ["b", "c", "a"]
+
+
+def test_homography_is_found_among_many_outliers():
+    h = np.array([[1.02, 0.03, 12], [-0.02, 0.98, 30], [2e-5, -1e-5, 1]])
+    corners = np.array([[0, 0], [1000, 0], [1000, 600], [0, 600]], float)
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        a = rng.uniform([0, 0], [1000, 600], (300, 2))
+        b = K.transform(h, a) + rng.normal(0, 0.1, a.shape)
+        b[42:] = rng.uniform([0, 0], [1000, 700], (258, 2))
+        got, inliers = K.ransac(a, b)
+        assert np.abs(K.transform(got, corners) - K.transform(h, corners)).max() <= 1.0 and inliers[:42].all()
