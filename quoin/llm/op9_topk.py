@@ -8,7 +8,8 @@ k are merged by query.
 
 Vectors that are null, empty or hold null or non-finite components take no part; shorter vectors count as padded with
 zeros; ties go to the smaller id; rows with equal ids are different candidates, but none of them is a candidate of a
-query with that id. Fewer than k candidates: all.
+query with that id. Fewer than k candidates: all. Each query row gets its own k best, also where rows share an id: equal
+rows are scored once and given as often as they stand in the table.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, score) of the k best candidates of each query; rows of ids and x in any order."""
+    """(query row, id, score) of the k best candidates of each query; rows of ids and x in any order."""
     width = x.shape[1]
     order = np.argsort(ids, kind="stable")
     ids, columns = ids[order], np.ascontiguousarray(x[order].T)  # vertical layout
@@ -69,7 +70,7 @@ def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: in
         score = part if exact else np.array([sum(int(a) * int(b) for a, b in zip(v, columns[:, j], strict=True)) for j in alive], dtype=object)
         top = np.lexsort((ids[alive], -score)) if exact else np.array(sorted(range(len(alive)), key=lambda j: (-score[j], ids[alive[j]])), dtype=np.int64)
         top = top[:k]
-        out_q.append(np.full(len(top), q_ids[i]))
+        out_q.append(np.full(len(top), i))
         out_id.append(ids[alive[top]])
         out_s.append(np.clip(score[top], -(2**63), 2**63 - 1).astype(np.int64))
     cat = lambda a: np.concatenate(a) if a else np.empty(0, np.int64)
@@ -83,19 +84,21 @@ def top_k(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", v
     groups, slices = max(1, -(-asks // QUERY_GROUP)), max(1, -(-n // SLICE_ROWS))
     deal = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
     grid = lambda other: F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
-    asked = rows.where("asks").select(deal("id", groups).alias("g"), grid(slices).alias("s"), "id", "v")
+    own = rows.where("asks").groupBy("id", "v").agg(F.count("*").alias("times"))
+    own = own.withColumn("turn", F.row_number().over(Window.partitionBy("id").orderBy("v")).cast("long"))
+    asked = own.select(deal("id", groups).alias("g"), grid(slices).alias("s"), "id", "v", "turn", "times")
     held = rows.select(grid(groups).alias("g"), deal("id", slices).alias("s"), "id", "v")
 
     def run(q: pa.Table, x: pa.Table) -> pa.Table:
         if not q.num_rows or not x.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
+            return pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "turn", "times", "vec_id", "score")})
         width = max(max(map(len, t.column("v").to_pylist())) for t in (q, x))
         a, b, c = best(q["id"].to_numpy(), _matrix(q["v"], width), x["id"].to_numpy(), _matrix(x["v"], width), k)
-        return pa.table({"query_id": a, "vec_id": b, "score": c})
+        return pa.table({"query_id": q["id"].to_numpy()[a], "turn": q["turn"].to_numpy()[a], "times": q["times"].to_numpy()[a], "vec_id": b, "score": c})
 
-    parts = asked.groupBy("g", "s").cogroup(held.groupBy("g", "s")).applyInArrow(run, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return parts.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    parts = asked.groupBy("g", "s").cogroup(held.groupBy("g", "s")).applyInArrow(run, "query_id long, turn long, times long, vec_id long, score long")
+    w = Window.partitionBy("query_id", "turn").orderBy(F.desc("score"), "vec_id")
+    return parts.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
