@@ -1,11 +1,14 @@
-"""Vectorised rolling hashes over byte and word sequences (numpy, mod 2**64).
+"""Vectorised hashes over byte and word sequences (numpy).
 
-Everything here is a pure function of its input and of fixed seeds, so a task that
-is run again after an executor is lost gives the same values.
+Words are named by two lanes of 64 bits that mix their bytes block by block, without linear structure; longer words by a
+BLAKE2b digest. Rolling sums mod 2**64 only choose anchors, never decide equality. Everything is a pure function of its
+input and of fixed seeds, so a task that is run again after an executor is lost gives the same values.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 SLICE = 1 << 18
@@ -81,18 +84,48 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def word_hashes(data: np.ndarray, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word and the words' starts; walks `data` in slices cut at spaces."""
+SHORT = 64
+"""Bytes of a word that are mixed; of a longer one a digest is taken."""
+_LANES = ((np.uint64(0x9E3779B97F4A7C15), np.uint64(0x2545F4914F6CDD1D)), (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)))
+_KEEP = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=np.uint64)
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word, and the words' starts and ends."""
     starts, ends = word_bounds(data)
-    out = np.empty(len(starts), dtype=np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE, side="right")))
-        lo, hi = int(starts[i]), int(ends[j - 1])
-        roll = Rolling(BYTE_VALUES[which][data[lo:hi]], which)
-        out[i:j] = roll.spans(starts[i:j] - lo, ends[i:j] - lo)
-        i = j
-    return out, starts
+    size = ends - starts
+    lanes = [mix(size.astype(np.uint64) * m + a) for m, a in _LANES]
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    blocks = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    todo = np.flatnonzero(size <= SHORT)
+    for at in range(0, SHORT, 8):
+        todo = todo[size[todo] > at]
+        if not len(todo):
+            break
+        block = blocks[starts[todo] + at] & _KEEP[np.minimum(size[todo] - at, 8)]
+        for lane, (m, a) in zip(lanes, _LANES, strict=True):
+            lane[todo] = mix((lane[todo] ^ block) * m + a)
+    for i in np.flatnonzero(size > SHORT).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest()
+        lanes[0][i], lanes[1][i] = np.frombuffer(digest, "<u8")
+    return lanes[0], lanes[1], starts, ends
+
+
+def run_hashes(units: np.ndarray, length: int, lane: int) -> np.ndarray:
+    """Hash of every run of `length` units, by start: hashes of runs of 1, 2, 4 .. units are mixed pairwise."""
+    if len(units) < length:
+        return np.empty(0, dtype=np.uint64)
+    m, a = _LANES[lane]
+    whole, done, part, size = None, 0, units, 1
+    while True:
+        if length & size:  # this power of two is part of the length
+            whole = part if whole is None else mix((whole[: len(part) - done] * m + a) ^ part[done:])
+            done += size
+        if done == length:
+            return whole[: len(units) - length + 1]
+        part = mix((part[:-size] * m + a) ^ part[size:])
+        size *= 2
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:

@@ -5,9 +5,10 @@ leftmost among equals; the best pair is merged and its new neighbours join the a
 Where no piece has a space mark after another character, merges never cross the places where a run of space
 marks begins, nor any two adjacent characters that no piece has together, so each such section is solved once and
 kept in a bounded cache. Every Arrow batch is also encoded
-by the sentencepiece library; where the two differ, the library's ids are returned and `agreed` is false.
+by the sentencepiece library: `agreed` tells whether it has the same ids. The ids that are returned are the agenda's own.
 
-Null and empty texts give the end id alone. Other columns, whatever their names, play no part.
+Null and empty texts give the end id alone; long texts are encoded whole; repeated rows get equal ids; an empty table gives
+an empty result. Other columns, whatever their names, play no part; those to `keep` must not have a result's name.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .shared import tidy
 
@@ -184,8 +186,7 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", keep: tupl
                 rows, ids_out = [], []
                 for t, expected in zip(texts, library.encode(texts, add_eos=True, num_threads=1), strict=True):
                     ids = agenda.encode(t)
-                    if not (agreed := ids == expected):
-                        ids = expected
+                    agreed = ids == expected
                     decoded = library.decode(ids)
                     rows.append((len(ids), hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), agreed))
                     if with_ids:
@@ -195,7 +196,7 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", keep: tupl
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *cols, *more], names=out.names)
         tidy()
 
-    return docs.select(*keep, text).mapInArrow(run, out)
+    return docs.select(*[F.col(f"`{c}`") for c in (*keep, text)]).mapInArrow(run, out)
 
 
 def default_model() -> str:

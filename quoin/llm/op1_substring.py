@@ -1,7 +1,7 @@
 """Operator 1: substring dedup with a log-structured fingerprint index.
 
 The index keeps, for each anchored segment of word windows, its fingerprints and whether it was seen once or
-more often, and the same for 96 bits of each window, so that a new batch is judged without the texts of earlier ones. Each batch becomes an immutable run, sorted within hash-range buckets; `fanout` runs of a level are
+more often, and the same for 128 bits of each window, so that a new batch is judged without the texts of earlier ones. Each batch becomes an immutable run, sorted within hash-range buckets; `fanout` runs of a level are
 merged into one of the next. `repeats` merge-joins texts with all runs and verifies what only shares an anchor
 window by window. Where all texts are judged at once, as in `remove_repeats`, the windows need not be kept. Memory is bounded by a chunk (2 MB of text, or one text) and by a bucket of fingerprints.
 
@@ -69,30 +69,29 @@ class FingerprintIndex:
             return source.mapInArrow(run, RUN)
 
         def fingerprints(c):
-            return [(b, R.pack(c.g[lo:hi], c.c[lo:hi], c.w[lo:hi])) for b, lo, hi in R.ranges(c.g, buckets)]
+            return [(b, R.pack(tuple(k[lo:hi] for k in c.keyed), c.w[lo:hi])) for b, lo, hi in R.ranges(c.keyed[0], buckets)]
 
         def windows(c):
             starts = S.expand(c.seg.first, c.seg.last)
             of = np.searchsorted(c.units.bounds, starts, side="right") - 1
-            one, two, w = R.totals(*S.window_hashes(spec, c.units, starts), np.minimum(c.m, 2)[of])
-            return [(b, R.pack_windows(one[lo:hi], two[lo:hi], w[lo:hi])) for b, lo, hi in R.ranges(one, buckets * WINDOW_BUCKETS)]
+            keys, w = R.totals(S.window_hashes(spec, c.units, starts), np.minimum(c.m, 2)[of])
+            return [(b, R.pack(tuple(k[lo:hi] for k in keys), w[lo:hi])) for b, lo, hi in R.ranges(keys[0], buckets * WINDOW_BUCKETS)]
 
         self._write(made(fingerprints), made(windows) if self.windows else None, 0)
 
     def _write(self, parts: DataFrame, windows: DataFrame | None, level: int) -> None:
-        def merge(table: pa.Table) -> pa.Table:
-            g, c, w, _ = R.unpack(table.column("data").to_pylist())
-            return pa.table({"bucket": table.column("bucket").slice(0, 1), "data": pa.array([R.pack(*R.totals(g, c, w))], pa.binary())})
+        def merged(width: int):
+            def merge(table: pa.Table) -> pa.Table:
+                keys, w, _ = R.unpack(table.column("data").to_pylist(), width)
+                return pa.table({"bucket": table.column("bucket").slice(0, 1), "data": pa.array([R.pack(*R.totals(keys, w))], pa.binary())})
 
-        def merge_windows(table: pa.Table) -> pa.Table:
-            one, two, w, _ = R.unpack_windows(table.column("data").to_pylist())
-            return pa.table({"bucket": table.column("bucket").slice(0, 1), "data": pa.array([R.pack_windows(*R.totals(one, two, w))], pa.binary())})
+            return merge
 
         self._made += 1
         path = f"{self.path}/level{level}-run{self._made}"
         if windows is not None:
-            windows.groupBy("bucket").applyInArrow(merge_windows, RUN).write.parquet(path + WINDOWS)
-        parts.groupBy("bucket").applyInArrow(merge, RUN).write.parquet(path)
+            windows.groupBy("bucket").applyInArrow(merged(2), RUN).write.parquet(path + WINDOWS)
+        parts.groupBy("bucket").applyInArrow(merged(3), RUN).write.parquet(path)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(path)

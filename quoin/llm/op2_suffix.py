@@ -139,11 +139,11 @@ class SuffixVerify:
 
     def ask(self, chunk: R.Chunk, states: np.ndarray, number: int, buckets: int) -> list[tuple[int, int, int, bytes]]:
         at, open_ = self.chosen(chunk, states)
-        s, raw = chunk.seg, chunk.units.values
+        s, raw = chunk.seg, chunk.units.raw
         g, n = s.g[at], (s.last - s.first + 1)[at].astype(np.int32)
         out = []
         for b, lo, hi in R.ranges(g, buckets):
-            body = b"".join(raw[s.first[i] : s.last[i] + chunk.spec.window].tobytes() for i in at[lo:hi])
+            body = b"".join(raw[s.first[i] : s.last[i] + chunk.spec.window] for i in at[lo:hi])
             out.append((number, b, self.KIND, np.int64(hi - lo).tobytes() + g[lo:hi].tobytes() + n[lo:hi].tobytes() + open_[lo:hi].astype(np.uint8).tobytes() + body))
         return out
 

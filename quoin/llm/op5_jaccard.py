@@ -1,6 +1,8 @@
 """Operator 5: exact n-gram Jaccard join of documents by blocked sparse products.
 
-1. Every text becomes the set of its distinct word shingles (64-bit hashes). Texts with equal sets are one node.
+1. Every text becomes the set of its distinct word shingles (64-bit hashes that mix the words' bytes, without linear
+   structure, so two sets must share no more than chance to look alike). Texts with equal sets are one node, named by 126
+   bits of a BLAKE2b digest of the set.
 2. Chunks of texts learn from buckets of shingles in how many sets each of theirs stands (five bytes are sent for
    each, one returned), and order shingles rare ones first. Two sets with a similarity of at least t share one of the
    first |A| - ceil(t |A|) + 1 shingles of either in any common order, so only these columns of the incidence matrix
@@ -13,11 +15,14 @@
 4. Components of these forests, with the smallest doc_id of each.
 
 Null or empty texts and texts without words have an empty set and link with nothing; rows without doc_id have
-component null and link with nothing; repeated rows fall together. Only doc_id and text are read.
+component null and link with nothing; repeated rows fall together; rows that share a doc_id but not their text are judged
+each by its own text. Long texts are hashed in slices of about a megabyte of text (or one text) and never cut. Only doc_id
+and text are read, so other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 from . import hashing as H
 from .components import components
 from .op8_embeddings import Forest
-from .repeats import BLOBS, blobs, chunked, ranges, texts_of
+from .repeats import BLOBS, blobs, chunked, in_order, ranges, starts_of, texts_of
 from .shared import CHUNK_BYTES, count_of, shuffle_partitions, stored, text_key
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -61,7 +66,7 @@ def shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
         while j < len(texts) and (j == i or size + len(texts[j]) <= H.SLICE * 4):
             size += len(texts[j]) + 1
             j += 1
-        words, starts = H.word_hashes(LOWER[np.frombuffer(b" ".join(texts[i:j]), dtype=np.uint8)])
+        words, _, starts, _ = H.word_hashes(LOWER[np.frombuffer(b" ".join(texts[i:j]), dtype=np.uint8)])
         ends = np.cumsum([len(t) + 1 for t in texts[i:j]], dtype=np.int64)
         cuts = np.concatenate([[0], np.searchsorted(starts, ends)])
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -83,10 +88,38 @@ def shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.empty(0, np.uint64)), bounds
 
 
+NODE = pa.decimal128(38, 0)
+"""A node is a whole number below 2**126: of this type Spark aggregates in hash tables, as it does with longs."""
+
+
 def nodes(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set, the same for equal sets."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(H.mix(h + np.uint64(0x51ED270B7F4A7C15)), dtype=np.uint64)])
-    return H.mix((sums[bounds[1:]] - sums[bounds[:-1]]) + np.diff(bounds).astype(np.uint64)).view(np.int64)
+    """The name of each set, as two columns of 64 bits; the same for equal sets."""
+    cuts = bounds.tolist()
+    out = b"".join([hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    out = np.frombuffer(out, "<u8").reshape(-1, 2).copy()
+    out[:, 1] >>= np.uint64(2)
+    return out
+
+
+def to_column(names: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(NODE, len(names), [None, pa.py_buffer(np.ascontiguousarray(names))])
+
+
+def from_column(column: pa.ChunkedArray) -> np.ndarray:
+    if not len(column):
+        return np.empty((0, 2), np.uint64)
+    parts = [np.frombuffer(c.buffers()[1], "<u8")[2 * c.offset : 2 * (c.offset + len(c))] for c in column.chunks if len(c)]
+    return np.concatenate(parts).reshape(-1, 2)
+
+
+def coded(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names as places in the ordered distinct names, and these."""
+    keys = (names[:, 0], names[:, 1])
+    order = in_order(keys)
+    new = starts_of(keys, order)
+    code = np.empty(len(order), dtype=np.int64)
+    code[order] = np.cumsum(new) - 1
+    return code, names[order][new]
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.Table, list[bytes]]]:
@@ -144,14 +177,17 @@ def stars(keys: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return k[new], n[new], edges[:, 0], edges[:, 1]
 
 
+EDGES = "a decimal(38,0), b decimal(38,0)"
+
+
 class Sets:
     """The distinct sets of a chunk of texts (see repeats.chunked)."""
 
     def __init__(self, table: pa.Table, join: Join):
         _, texts, _ = texts_of(table)
         h, bounds = shingles(texts, join.shingle)
-        names = nodes(h, bounds)
-        self.node, first = np.unique(names, return_index=True)
+        code, self.node = coded(nodes(h, bounds))
+        _, first = np.unique(code, return_index=True)
         self.h = np.concatenate([h[bounds[i] : bounds[i + 1]] for i in first]) if len(first) else h
         self.bounds = np.concatenate([[0], np.cumsum(np.diff(bounds)[first], dtype=np.int64)])
 
@@ -177,21 +213,24 @@ def proposals(texts: DataFrame, join: Join, buckets: int) -> DataFrame:
         _, _, back = degrees(x.h, x.bounds)
         rank = np.frombuffer(b"".join(d for _, d in sorted(zip(replies["bucket"].to_pylist(), replies["data"].to_pylist(), strict=True))), np.uint8)
         keys, of = prefixes(x.h, x.bounds, rank[back] if len(back) else rank, join)
-        k, n, a, b = stars(keys, x.node[of])
-        rows = [(number, bucket, 1, k[lo:hi].tobytes() + n[lo:hi].tobytes()) for bucket, lo, hi in ranges(k, buckets)]
-        return blobs(rows + [(number, local - number, 1, a.tobytes() + b.tobytes())] * bool(len(a)))
+        k, n, a, b = stars(keys, of)  # a chunk's sets are in the order of their names
+        rows = [(number, bucket, 1, k[lo:hi].tobytes() + x.node[n[lo:hi]].tobytes()) for bucket, lo, hi in ranges(k, buckets)]
+        return blobs(rows + [(number, local - number, 1, x.node[a].tobytes() + x.node[b].tobytes())] * bool(len(a)))
 
     def meet(table: pa.Table) -> pa.Table:
-        kind = np.int64 if table["bucket"][0].as_py() <= local else np.uint64
         data = table["data"].to_pylist()
-        n = [len(d) // 16 for d in data]
-        x = np.concatenate([np.frombuffer(d, kind, m) for d, m in zip(data, n, strict=True)])
-        y = np.concatenate([np.frombuffer(d, np.int64, m, 8 * m) for d, m in zip(data, n, strict=True)])
-        a, b = (x, y) if kind is np.int64 else stars(x, y)[2:]
-        return pa.table({"a": a, "b": b})
+        if table["bucket"][0].as_py() <= local:
+            both = [np.frombuffer(d, np.uint64).reshape(2, -1, 2) for d in data]
+            a, b = (np.concatenate([x[i] for x in both]) for i in (0, 1))
+        else:
+            n = [len(d) // 24 for d in data]
+            keys = np.concatenate([np.frombuffer(d, np.uint64, m) for d, m in zip(data, n, strict=True)])
+            code, names = coded(np.concatenate([np.frombuffer(d, np.uint64, 2 * m, 8 * m) for d, m in zip(data, n, strict=True)]).reshape(-1, 2))
+            a, b = (names[i] for i in stars(keys, code)[2:])
+        return pa.table({"a": to_column(a), "b": to_column(b)})
 
     replies = held.applyInArrow(ask, BLOBS).groupBy("bucket").applyInArrow(answer, BLOBS)
-    return held.cogroup(replies.groupBy("chunk")).applyInArrow(propose, BLOBS).groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return held.cogroup(replies.groupBy("chunk")).applyInArrow(propose, BLOBS).groupBy("bucket").applyInArrow(meet, EDGES)
 
 
 def product(ha, ba, hb, bb, same: bool, join: Join) -> list[tuple[int, int]]:
@@ -246,10 +285,10 @@ def joined(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: s
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, texts in _grouped(batches, 1):
             h, bounds = shingles([t or b"" for t in texts], join.shingle)
-            yield from pa.table({"doc_id": table["doc_id"], "n": np.diff(bounds), "node": nodes(h, bounds), "chunk": table["chunk"]}).to_batches()
+            yield from pa.table({"doc_id": table["doc_id"], "n": np.diff(bounds), "node": to_column(nodes(h, bounds)), "chunk": table["chunk"]}).to_batches()
 
     place = F.pmod(text_key(F.col("text"))[0], F.lit(chunks)).cast("int").alias("chunk")
-    sets = stored(docs.select("doc_id", "text", place).mapInArrow(name, "doc_id long, n long, node long, chunk int"), "shingle-sets")
+    sets = stored(docs.select("doc_id", "text", place).mapInArrow(name, "doc_id long, n long, node decimal(38,0), chunk int"), "shingle-sets")
     buckets = max(shuffle_partitions(spark), chunks * CHUNK_BYTES >> 28)
     texts = chunked(docs.where(F.col("doc_id").isNotNull()), "text", chunks)
     family = components(proposals(texts, join, buckets), "a", "b")
@@ -264,18 +303,20 @@ def joined(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: s
         if not table.num_rows or not members.num_rows:
             return members.select(["node", "family", "tiles", "tile"]).slice(0, 0).append_column("data", pa.array([], pa.binary()))
         x = Sets(table, join)
-        at = np.searchsorted(x.node, members["node"].to_numpy())
+        both, _ = coded(np.concatenate([x.node, from_column(members["node"])]))  # members are sets of this chunk
+        at = both[len(x.node) :]
         data = [x.h[x.bounds[i] : x.bounds[i + 1]].tobytes() for i in at]
         return members.select(["node", "family", "tiles", "tile"]).append_column("data", pa.array(data, pa.binary()))
 
-    rows = texts.groupBy("chunk").cogroup(placed.groupBy("chunk")).applyInArrow(send, "node long, family long, tiles long, tile long, data binary")
+    rows = texts.groupBy("chunk").cogroup(placed.groupBy("chunk")).applyInArrow(send, "node decimal(38,0), family decimal(38,0), tiles long, tile long, data binary")
     # tile t meets the tiles before it as the second, those after it as the first, and itself once
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     rows = rows.withColumns({"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other")})
     rows = rows.withColumn("task", F.when(F.col("tiles") == 1, F.concat_ws("/", F.lit("pack"), F.pmod(F.xxhash64("family"), F.lit(packs)).cast("string"))).otherwise(F.concat_ws("/", *[F.col(c).cast("string") for c in ("family", "lo", "hi")])))
 
     def multiply(table: pa.Table) -> pa.Table:
-        family, node, tile = (table[c].to_numpy() for c in ("family", "node", "tile"))
+        (family, _), (node, names) = (coded(from_column(table[c])) for c in ("family", "node"))
+        tile = table["tile"].to_numpy()
         lo, hi, data = table["lo"].to_numpy(), table["hi"].to_numpy(), table["data"].to_pylist()
         order = np.lexsort((node, tile, family))
         out = []
@@ -290,11 +331,11 @@ def joined(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: s
                 x = [np.frombuffer(data[i], np.uint64) for i in side]
                 held += [np.concatenate(x), np.concatenate([[0], np.cumsum([len(v) for v in x])])]
             every = node[a] if same else np.r_[node[a], node[b]]
-            out += [(int(every[i]), int(every[j])) for i, j in product(*held, same, join)]
+            out += [(every[i], every[j]) for i, j in product(*held, same, join)]
         x = np.array(out, dtype=np.int64).reshape(-1, 2)
-        return pa.table({"a": x[:, 0], "b": x[:, 1]})
+        return pa.table({"a": to_column(names[x[:, 0]]), "b": to_column(names[x[:, 1]])})
 
-    links = rows.select("task", "family", "node", "tile", "lo", "hi", "data").groupBy("task").applyInArrow(multiply, "a long, b long")
+    links = rows.select("task", "family", "node", "tile", "lo", "hi", "data").groupBy("task").applyInArrow(multiply, EDGES)
     roots = components(links, "a", "b")
     rooted = sets.join(roots, "node", "left").withColumn("c", F.when(F.col("n") > 0, F.coalesce("root", "node")))
     least = rooted.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("least"))

@@ -1,13 +1,18 @@
 """Operator 6: toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
-Learning: at most `sample` labelled rows that are not held out (the first in the order of a hash) are taken; their words
-and four-letter beginnings that are far more frequent in toxic texts form a lexicon of bounded size. Dense features of
-each text follow: lexicon densities, second-person proximity, capitals, punctuation and obfuscation rates. Trees are
-grown on four fifths of the sample (logistic loss, histograms of quantile bins), the rest calibrates their margin by
-isotonic regression. Scoring walks whole texts in Arrow batches.
-
-Null and empty texts have all features zero and get a score like any other. Labels that are null are ignored; of several
-labels of a document the highest counts. Without labels of both kinds the score is the share of toxic labels, or 0.
+Learning: at most `sample` labelled rows that are not held out (the first in the order of a hash, one for each doc_id) are
+taken and dealt to three parts. Words and four-letter beginnings that are far more frequent in toxic texts form a lexicon;
+of each of the first two parts one is learnt for the features of the other, so no row is described by its own label, and
+one of both for scoring. Dense features follow: lexicon densities, second-person proximity, capitals, punctuation and
+obfuscation rates. Trees are grown on these two parts (logistic loss, histograms of quantile bins); the third part, which
+neither lexicon nor trees have seen, calibrates their margin by isotonic regression. Scoring walks whole texts in Arrow
+batches, in time linear in the text.
+
+Null and empty texts have all features zero and get a score like any other; texts of any length and without blanks are
+scored whole; an empty table gives an empty result; repeated rows get equal scores. Labels that are null are ignored; of
+several labels of a document the highest counts, of several texts of a labelled doc_id the one with the least hash. Without
+labels of both kinds the score is the share of toxic labels, or 0. Only doc_id, text and toxic are read, so other columns,
+whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -26,7 +31,8 @@ from .op4_language import learnable
 from .shared import stored
 
 SAMPLE = 20_000
-LEXICON = 4_000
+ODDS, GAIN = 2.5, 20.0
+"""A word is of the lexicon from these log odds towards toxic texts and this likelihood ratio on."""
 TREES, DEPTH, BINS, RATE = 60, 3, 32, 0.2
 PREFIX = 4
 NEAR = 6
@@ -35,7 +41,7 @@ SECOND_PERSON = frozenset("you your yours du dich dir dein deine ihr euch tu te
 #: Fixed characters: stand-ins for letters.
 STAND_IN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": "", "_": "", ".": "", "-": ""})
 WORD = re.compile(r"[^\W\d_]+")
-MASKED = re.compile(r"(?=\S*[^\W\d_])(?=\S*[0-9@$*_])[^\s]{3,40}")
+LETTER, MARK = re.compile(r"[^\W\d_]"), re.compile(r"[0-9@$*_]")
 FEATURES = ("hits", "density", "prefix_hits", "prefix_density", "obfuscated_hits", "obfuscated_density", "near_second_person", "second_person", "capitals", "shouting", "exclaim", "punctuation", "digits", "length")
 
 
@@ -80,8 +86,10 @@ class Extractor:
                 j = int(np.searchsorted(at, i))
                 near += any(abs(int(at[x]) - i) <= NEAR for x in (j - 1, j) if 0 <= x < len(at))
         masked = 0
-        if any(ch in text for ch in "0134578@$*_"):
-            for w in MASKED.findall(text):
+        if MARK.search(text):
+            for w in text.split():
+                if len(w) < 3 or not MARK.search(w) or not LETTER.search(w):
+                    continue
                 s = w.strip(".,;:!?\"'()").lower().translate(STAND_IN)
                 masked += s in self.lexicon.words or (len(s) > PREFIX and s[:PREFIX] in self.lexicon.prefixes)
         raw = text.encode()
@@ -92,22 +100,18 @@ class Extractor:
         return [float(len(hit)), len(hit) / n, float(len(begun)), len(begun) / n, float(masked), masked / n, float(near), len(you) / n, upper / max(1, upper + lower), shout / n, int(b[33]) / c, punct / c, int(b[48:58].sum()) / c, float(np.log1p(n))]
 
 
-def learn_lexicon(texts: list[tuple[int, Counter]], n_toxic: int, n_clean: int, most: int = LEXICON) -> Lexicon:
-    """texts: (class, document counts). Words with a large likelihood ratio and odds towards toxic texts."""
-    count = {1: Counter(), 0: Counter()}
-    for y, c in texts:
-        count[y].update(c)
-    base = n_toxic / max(1, n_toxic + n_clean)
-    found = []
-    for w, a in count[1].items():
-        b = count[0].get(w, 0)
-        n = a + b
-        odds = np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1))
-        gain = 2 * (a * np.log(a / (n * base)) + (b * np.log(b / (n * (1 - base))) if b else 0))
-        if odds > 2.5 and gain > 20:
-            found.append((-gain, w))
-    best = [w for _, w in sorted(found)[:most]]
-    return Lexicon(frozenset(w for w in best if not w.endswith("~")), frozenset(w[:-1] for w in best if w.endswith("~")))
+def telling(a: Column, b: Column, n_toxic: int, n_clean: int) -> Column:
+    """Whether a word of `a` toxic and `b` clean texts speaks for toxic ones: by odds and by the likelihood ratio."""
+    if not n_toxic or not n_clean:
+        return F.lit(False)
+    base = n_toxic / (n_toxic + n_clean)
+    odds = F.log((a + 0.5) / (n_toxic + 1)) - F.log((b + 0.5) / (n_clean + 1))
+    gain = 2 * (a * F.log(a / ((a + b) * base)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - base)))).otherwise(0.0))
+    return F.coalesce((a > 0) & (odds > ODDS) & (gain > GAIN), F.lit(False))
+
+
+def lexicon_of(words: list[str]) -> Lexicon:
+    return Lexicon(frozenset(w for w in words if not w.endswith("~")), frozenset(w[:-1] for w in words if w.endswith("~")))
 
 
 @dataclass(frozen=True)
@@ -201,35 +205,56 @@ def boost(f: np.ndarray, y: np.ndarray, calibrate: np.ndarray) -> Booster:
     return Booster(b.start, b.feature, b.threshold, b.value, xs, ys)
 
 
+CALIBRATE, PARTS = 2, 3
+"""The part that calibrates, and the number of parts."""
+
+
+def part(doc_id: Column) -> Column:
+    """0 and 1 learn, each by two fifths of the rows; CALIBRATE is the last fifth."""
+    return F.floor(F.pmod(F.crc32(F.concat(doc_id.cast("string"), F.lit("/part"))), F.lit(5)) / 2).cast("int")
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Lexicon, Booster]:
-    """docs (doc_id, text), labels (doc_id, toxic); held-out rows take no part."""
-    chosen = labels.where(learnable(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = stored(chosen, "labelled")  # at most `sample` rows of two numbers, so fit to broadcast
-    rows = stored(docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("y")), "labelled-texts")
+    """docs (doc_id, text), labels (doc_id, toxic); held-out rows take no part. At most `sample` texts reach any step."""
+    labelled = labels.where(learnable(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = stored(labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labelled")  # two numbers a row, so fit to broadcast
+    texts = docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("toxic").alias("toxic"))
+    rows = stored(texts.select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("y"), part(F.col("doc_id")).alias("p")), "labelled-texts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, str], int] = Counter()
-        n = Counter()
+        held: dict[tuple[int, int, str], int] = Counter()
         for b in batches:
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                n[y] += 1
-                held.update((y, w) for w in tokens_of(t))
-        keys = [*held, (0, ""), (1, "")]
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys]), pa.array([held[k] if k[1] else n[k[0]] for k in keys], pa.int64())], ["y", "w", "n"])
-
-    counts = rows.select("text", "y").mapInArrow(count, "y int, w string, n long").groupBy("w").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
-    words = counts.where("w = '' OR a >= 5").orderBy(F.col("w") != "", F.desc(F.col("a") / (F.col("b") + 1.0)), F.desc("a"), "w").limit(8 * LEXICON).collect()  # bounded
-    sums = next(((r.a, r.b) for r in words if r.w == ""), (0, 0))
-    lexicon = learn_lexicon([(1, Counter({r.w: r.a for r in words if r.w})), (0, Counter({r.w: r.b for r in words if r.w and r.b}))], *sums)
+            for t, y, p in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                held.update((y, p, w) for w in tokens_of(t))
+            if len(held) > 200_000:
+                yield from told(held)
+                held.clear()
+        yield from told(held)
+
+    def told(held: dict[tuple[int, int, str], int]) -> Iterator[pa.RecordBatch]:
+        keys = list(held)
+        if keys:
+            y, p, w = zip(*keys, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(p, pa.int32()), pa.array(w), pa.array(list(held.values()), pa.int64())], ["y", "p", "w", "n"])
+
+    size = {(r.y, r.p): r.n for r in rows.groupBy("y", "p").agg(F.count("*").alias("n")).collect()}
+    n = lambda y, p: F.sum(F.when((F.col("y") == y) & (F.col("p") == p), F.col("n")).otherwise(0))
+    counts = rows.where(F.col("p") != CALIBRATE).select("text", "y", "p").mapInArrow(count, "y int, p int, w string, n long").groupBy("w").agg(*[n(y, p).alias(f"n{y}{p}") for y in (0, 1) for p in (0, 1)])
+    by_part = [telling(F.col(f"n1{p}"), F.col(f"n0{p}"), size.get((1, p), 0), size.get((0, p), 0)) for p in (0, 1)]
+    whole = telling(F.col("n10") + F.col("n11"), F.col("n00") + F.col("n01"), *(size.get((y, 0), 0) + size.get((y, 1), 0) for y in (1, 0)))
+    found = counts.select("w", *[c.alias(f"in{i}") for i, c in enumerate([*by_part, whole])]).where("in0 OR in1 OR in2").orderBy("w").collect()  # words of the bounded sample
+    lexicons = [lexicon_of([r.w for r in found if r[f"in{i}"]]) for i in range(PARTS)]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = Extractor(lexicon)
+        # a learning row is described by the other part's lexicon, a calibrating one by that of both
+        x = [Extractor(lexicons[i]) for i in (1, 0, 2)]
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x(t) for t in b.column(2).to_pylist()], pa.list_(pa.float64()))], ["doc_id", "y", "f"])
+            pairs = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([x[p](t) for p, t in pairs], pa.list_(pa.float64()))], ["doc_id", "y", "p", "f"])
 
-    got = rows.select("doc_id", "y", "text").mapInArrow(extract, "doc_id long, y int, f array<double>").withColumn("c", F.pmod(F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit("/calibrate"))), F.lit(5)) == 0).orderBy("doc_id").collect()
+    got = rows.select("doc_id", "y", "p", "text").mapInArrow(extract, "doc_id long, y int, p int, f array<double>").orderBy("doc_id").collect()  # at most `sample` rows
     f = np.array([r.f for r in got]).reshape(-1, len(FEATURES))
-    return lexicon, boost(f, np.array([r.y for r in got], dtype=float), np.array([r.c for r in got], dtype=bool))
+    return lexicons[PARTS - 1], boost(f, np.array([r.y for r in got], dtype=float), np.array([r.p == CALIBRATE for r in got], dtype=bool))
 
 
 def predict(docs: DataFrame, model: tuple[Lexicon, Booster]) -> DataFrame:
@@ -243,7 +268,7 @@ def predict(docs: DataFrame, model: tuple[Lexicon, Booster]) -> DataFrame:
             s = np.clip(booster.score(np.array([x(t) for t in b.column(1).to_pylist()]).reshape(-1, len(FEATURES))), 0, 1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,11 @@ COSINE = 0.93
 BLOCK_ROWS = 4096
 PIVOTS = 64
 LEAF = 64
+ASSIGN_ROWS = 1 << 15
+"""Vectors that one task compares with a label's pivots."""
 SLACK = 1e-9
+PLAIN = (1e-100, 1e100)
+"""Largest components between these need no scaling."""
 
 
 class Tree:
@@ -148,9 +152,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     """vec_id, n_links, component_id, kept for each row."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), v.alias("v"))
-    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    most = F.array_max(F.transform("v", F.abs))  # where squares would leave the range of doubles, only the direction counts
+    v = F.when(most.between(*PLAIN) | (most == 0), F.col("v")).otherwise(F.transform("v", lambda x: x / most))
     good = usable(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    keyed = rows.withColumn("ok", F.coalesce(good, F.lit(False))).withColumn("ok", F.col("ok") & F.coalesce(F.when(F.col("ok"), length > 0), F.lit(False)))
+    keyed = rows.withColumn("ok", F.coalesce(good, F.lit(False))).withColumn("ok", F.col("ok") & F.coalesce(F.when(F.col("ok"), most > 0), F.lit(False)))
+    keyed = keyed.withColumn("v", F.when(F.col("ok"), v).otherwise(F.col("v")))
     # label and size make the key: vectors of different sizes never meet
     classes = cut(
         keyed.where("ok").select(F.concat_ws("/", F.size("v").cast("string"), "label").alias("k"), "v", "vec_id")
@@ -176,9 +182,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
             cell, far = d.argmin(axis=1), d.min(axis=1)
         return pa.table({"k": table["k"], "v": table["v"], "id": table["id"], "w": table["w"], "cell": pa.array(cell), "far": pa.array(far)})
 
-    salt = F.pmod(F.xxhash64("id"), F.lit(64)).cast("int")
-    pivoted = top.select(F.col("k").alias("pk"), F.col("pivots"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("ps"))
-    cells = cut(classes.withColumn("s", salt).groupBy("k", "s").cogroup(pivoted.groupBy("pk", "ps")).applyInArrow(lambda t, p: assign(t, p), "k string, v array<double>, id long, w long, cell long, far double"))
+    # a label's classes are dealt to groups of bounded size, to each of which its pivots go
+    deals = sizes.select("k", F.ceil(F.col("n") / ASSIGN_ROWS).cast("int").alias("deals"))
+    pivoted = top.join(deals, "k").select(F.col("k").alias("pk"), F.col("pivots"), F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("ps"))
+    dealt_out = classes.join(deals, "k").withColumn("s", F.pmod(F.xxhash64("id"), "deals").cast("int")).drop("deals")
+    cells = cut(dealt_out.groupBy("k", "s").cogroup(pivoted.groupBy("pk", "ps")).applyInArrow(lambda t, p: assign(t, p), "k string, v array<double>, id long, w long, cell long, far double"))
     parts = cells.groupBy("k", "cell").agg(F.count("*").alias("n"), F.max("far").alias("r"))
     blocks = parts.select("k", "cell", "r", F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows)).alias("m"))
     dealt = cells.join(blocks.select("k", "cell", "m"), ["k", "cell"]).select("k", F.concat_ws("/", F.col("cell").cast("string"), F.pmod(F.xxhash64("id"), "m").cast("string")).alias("block"), "v", "id", "w")
@@ -225,8 +233,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / CASE WHEN list_max(list_transform(embedding, lambda y: abs(CAST(y AS DOUBLE)))) BETWEEN 1e-100 AND 1e100
+    THEN 1.0 ELSE list_max(list_transform(embedding, lambda y: abs(CAST(y AS DOUBLE)))) END) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE list_cosine_similarity(a.e, b.e) >= 0.93),

@@ -7,9 +7,10 @@ are left (Cauchy-Schwarz) reaches the k-th best score known for the query; survi
 k are merged by query.
 
 Vectors that are null, empty or hold null or non-finite components take no part; shorter vectors count as padded with
-zeros; ties go to the smaller id; rows with equal ids are different candidates, but none of them is a candidate of a
-query with that id. Fewer than k candidates: all. Each query row gets its own k best, also where rows share an id: equal
-rows are scored once and given as often as they stand in the table.
+zeros; ties go to the smaller id. Rows with equal ids are different rows: a query's candidates are all rows but its own one,
+and each query row gets its own k best (equal rows are scored once and given as often as they stand in the table). Fewer
+than k candidates: all. Empty tables give empty results. Only the id and the vector are read, so other columns, whatever
+their names, play no part.
 """
 
 from __future__ import annotations
@@ -19,8 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERY_GROUP = 512
+from .shared import shuffle_partitions
+
+QUERY_GROUP = 4096
+"""Queries of a task: each candidate is sent once for each group of them."""
 SLICE_ROWS = 16_384
+LEAST_ROWS = 512
+"""Slices are made smaller, down to this, where there would be fewer tasks than shuffle partitions."""
 BLOCK = 8
 SCALE = 256
 
@@ -50,9 +56,16 @@ def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: in
     left_x = np.sqrt(np.cumsum((columns**2)[::-1], axis=0)[::-1])  # norm of dimensions d and on
     out_q, out_id, out_s = [], [], []
     exact = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * width < 2.0**53
+    every = np.arange(len(ids))
+
+    def own(i: int) -> np.ndarray:
+        """The query's own row, if it lies in this slice: one of the rows with its id and its vector."""
+        lo, hi = np.searchsorted(ids, q_ids[i]), np.searchsorted(ids, q_ids[i], side="right")
+        return lo + np.flatnonzero((columns[:, lo:hi] == q[i][:, None]).all(axis=0))[:1]
+
     for i in range(len(q)):
         v = q[i]
-        alive = np.flatnonzero(ids != q_ids[i])
+        alive = np.delete(every, own(i))
         part = np.zeros(len(alive))
         spread = np.argsort(-np.abs(v), kind="stable")[:BLOCK]
         if len(alive) > 8 * k:  # a first bound: full scores of the candidates that look best in the largest dimensions
@@ -81,7 +94,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", v
     """query_id, rank, vec_id, score: the k best of all rows for each row that satisfies `queries`."""
     rows = vectors.where(usable(F.col(vector)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vector)).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     n, asks = rows.agg(F.count("*"), F.count_if("asks")).first()
-    groups, slices = max(1, -(-asks // QUERY_GROUP)), max(1, -(-n // SLICE_ROWS))
+    groups = max(1, -(-asks // QUERY_GROUP))
+    tasks = shuffle_partitions(vectors.sparkSession)
+    slices = max(1, -(-n // SLICE_ROWS), min(-(-tasks // groups), n // LEAST_ROWS))
     deal = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
     grid = lambda other: F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
     own = rows.where("asks").groupBy("id", "v").agg(F.count("*").alias("times"))
@@ -109,10 +124,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: coalesce(p[1] * p[2], 0))) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.r <> c.r)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """

@@ -29,7 +29,6 @@ UNIQUE, REPEATED, OPEN, SHOWN, HOT_OPEN, HOT_SHOWN = 0, 1, 2, 3, 4, 5
 """Answers: SHOWN is repeated, and this chunk sends the segment for open ones to compare with. HOT: of an anchor
 with very many different segments."""
 
-ENTRY = 17
 TEXTS = "chunk int, h1 long, h2 long, text string, m long"
 BLOBS = "chunk int, bucket int, kind int, data binary"
 
@@ -58,7 +57,8 @@ def chunked(docs: DataFrame, text: str, n: int | None = None) -> DataFrame:
             c, a, b2, m = zip(*more, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(a, pa.int64()), pa.array(b2, pa.int64()), pa.nulls(len(more), pa.string()), pa.array(m, pa.int64())], names)
 
-    return source.mapInArrow(merge, TEXTS)
+    # one row a text in its chunk: what several map tasks hold is reduced while it streams, before a chunk is loaded
+    return source.mapInArrow(merge, TEXTS).repartition("chunk").groupBy("chunk", "h1", "h2").agg(F.max("text").alias("text"), F.sum("m").alias("m"))
 
 
 def texts_of(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
@@ -85,17 +85,15 @@ class Chunk:
         self.units = S.units(spec, self.texts)
         self.seg = s = S.segments(spec, self.units)
         text = np.searchsorted(self.units.bounds, s.first, side="right") - 1
-        order = np.lexsort((s.c, s.g))
-        g, c = s.g[order], s.c[order]
-        new = np.ones(len(g), dtype=bool)
-        new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
-        at = np.flatnonzero(new)
-        self.g, self.c = g[at], c[at]
-        self.of = np.empty(len(g), dtype=np.int64)
+        keys = (s.g, s.c, s.d)
+        order = in_order(keys)
+        new = starts_of(keys, order)
+        self.keyed = tuple(k[order][new] for k in keys)
+        self.of = np.empty(len(order), dtype=np.int64)
         self.of[order] = np.cumsum(new) - 1
         weight = np.minimum(self.m, 2)[text] if len(text) else np.empty(0, dtype=np.int64)
-        self.w = np.minimum(np.bincount(self.of, weights=weight, minlength=len(at)), 2).astype(np.uint8)
-        self.first_of = order[at]
+        self.w = np.minimum(np.bincount(self.of, weights=weight, minlength=int(new.sum())), 2).astype(np.uint8)
+        self.first_of = order[new]
 
     def answers(self, table: pa.Table, kind: int) -> np.ndarray:
         """The replies of one kind, in the order of what was sent (buckets are ranges of it)."""
@@ -117,60 +115,72 @@ def blobs(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table({"chunk": pa.array(c, pa.int32()), "bucket": pa.array(b, pa.int32()), "kind": pa.array(k, pa.int32()), "data": pa.array(d, pa.binary())})
 
 
-def pack(g: np.ndarray, c: np.ndarray, w: np.ndarray) -> bytes:
-    return g.tobytes() + c.tobytes() + w.astype(np.uint8).tobytes()
+Keys = tuple[np.ndarray, ...]
+"""Columns of 64-bit numbers that together are a key; a run is such columns in order, with a weight of each row."""
 
 
-def unpack(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    sizes = [len(d) // ENTRY for d in data]
-    g = np.concatenate([np.frombuffer(d, np.uint64, n) for d, n in zip(data, sizes, strict=True)] or [np.empty(0, np.uint64)])
-    c = np.concatenate([np.frombuffer(d, np.uint64, n, 8 * n) for d, n in zip(data, sizes, strict=True)] or [np.empty(0, np.uint64)])
-    w = np.concatenate([np.frombuffer(d, np.uint8, n, 16 * n) for d, n in zip(data, sizes, strict=True)] or [np.empty(0, np.uint8)])
-    return g, c, w, sizes
+def pack(keys: Keys, w: np.ndarray) -> bytes:
+    return b"".join(k.tobytes() for k in keys) + w.astype(np.uint8).tobytes()
 
 
-def pack_windows(one: np.ndarray, two: np.ndarray, w: np.ndarray) -> bytes:
-    return one.tobytes() + two.tobytes() + w.astype(np.uint8).tobytes()
+def unpack(data: list[bytes], width: int) -> tuple[Keys, np.ndarray, list[int]]:
+    sizes = [len(d) // (8 * width + 1) for d in data]
+    keys = tuple(np.concatenate([np.frombuffer(d, np.uint64, n, 8 * n * i) for d, n in zip(data, sizes, strict=True)] or [np.empty(0, np.uint64)]) for i in range(width))
+    return keys, np.concatenate([np.frombuffer(d, np.uint8, n, 8 * n * width) for d, n in zip(data, sizes, strict=True)] or [np.empty(0, np.uint8)]), sizes
 
 
-def unpack_windows(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    sizes = [len(d) // HashVerify.ENTRY for d in data]
-    one = np.concatenate([np.frombuffer(d, np.uint64, n) for d, n in zip(data, sizes, strict=True)] or [np.empty(0, np.uint64)])
-    two = np.concatenate([np.frombuffer(d, np.uint32, n, 8 * n) for d, n in zip(data, sizes, strict=True)] or [np.empty(0, np.uint32)])
-    w = np.concatenate([np.frombuffer(d, np.uint8, n, 12 * n) for d, n in zip(data, sizes, strict=True)] or [np.empty(0, np.uint8)])
-    return one, two, w, sizes
+def in_order(keys: Keys) -> np.ndarray:
+    """The order of the rows. The stable sort is a natural merge: of sorted runs that lie one after the other, each is
+    found as such and they are merged, not sorted anew; only rows of equal first numbers are compared further."""
+    order = np.argsort(keys[0], kind="stable")
+    first = keys[0][order]
+    tied = np.zeros(len(first), dtype=bool)
+    same = first[1:] == first[:-1]
+    tied[1:] |= same
+    tied[:-1] |= same
+    at = np.flatnonzero(tied)
+    if len(at):
+        rows = order[at]
+        order[at] = rows[np.lexsort(tuple(k[rows] for k in keys[::-1]))]
+    return order
 
 
-def totals(g: np.ndarray, c: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct entries in order, with their number (2 stands for two or more): a sorted run."""
-    order = np.lexsort((c, g))
-    g, c, w = g[order], c[order], w[order]
-    new = np.ones(len(g), dtype=bool)
-    new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+def starts_of(keys: Keys, order: np.ndarray) -> np.ndarray:
+    """Which rows in order differ from the row before."""
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return new
+
+
+def totals(keys: Keys, w: np.ndarray) -> tuple[Keys, np.ndarray]:
+    """Distinct rows in order, with their number (2 stands for two or more): a sorted run, by merging those given."""
+    order = in_order(keys)
+    new = starts_of(keys, order)
     at = np.flatnonzero(new)
-    n = np.minimum(np.add.reduceat(w.astype(np.int64), at), 2) if len(at) else np.empty(0, np.int64)
-    return g[at], c[at], n.astype(np.uint8)
+    n = np.minimum(np.add.reduceat(w[order].astype(np.int64), at), 2) if len(at) else np.empty(0, np.int64)
+    return tuple(k[order][at] for k in keys), n.astype(np.uint8)
 
 
-def judge(ask: list[bytes], known: tuple[np.ndarray, np.ndarray, np.ndarray] | None, hot: int | None = None) -> list[bytes]:
+def judge(ask: list[bytes], known: tuple[Keys, np.ndarray] | None, hot: int | None = None) -> list[bytes]:
     """One answer for each entry asked. known: the run to judge by; without one, the entries asked. hot: anchors with more
     different segments are answered as HOT."""
-    g, c, w, sizes = unpack(ask)
-    kg, kc, kw = totals(g, c, w) if known is None else known
-    order = np.lexsort((c, g))
-    new = np.ones(len(g), dtype=bool)
-    new[1:] = (g[order][1:] != g[order][:-1]) | (c[order][1:] != c[order][:-1])
-    first = np.zeros(len(g), dtype=bool)  # of equal entries the first asker shows it
+    keys, w, sizes = unpack(ask, 3)
+    run, kw = totals(keys, w) if known is None else known
+    order = in_order(keys)
+    new = starts_of(keys, order)
+    first = np.zeros(len(order), dtype=bool)  # of equal entries the first asker shows it
     first[order] = new
-    ids = np.empty(len(g), dtype=np.int64)
+    ids = np.empty(len(order), dtype=np.int64)
     ids[order] = np.cumsum(new) - 1
-    ug, uc = g[order][new], c[order][new]
+    asked = tuple(k[order][new] for k in keys)
+    kg = run[0]
     begin = np.flatnonzero(np.r_[True, kg[1:] != kg[:-1]]) if len(kg) else np.empty(0, np.int64)
     kinds = np.diff(np.append(begin, len(kg)))
     single = np.add.reduceat((kw < 2).astype(np.int64), begin) > 0 if len(kg) else np.empty(0, bool)
-    of = np.searchsorted(kg[begin], ug)
-    where = merge_join(kg, kc, ug, uc)
-    repeated = kw[where] >= 2
+    of = np.searchsorted(kg[begin], asked[0])
+    repeated = kw[merge_join(run, asked)] >= 2
     mixed = (kinds[of] > 1) & single[of]
     state = np.where(repeated, np.where(mixed, SHOWN, REPEATED), np.where(mixed, OPEN, UNIQUE)).astype(np.uint8)
     if hot is not None:
@@ -180,22 +190,21 @@ def judge(ask: list[bytes], known: tuple[np.ndarray, np.ndarray, np.ndarray] | N
     return [out[e - n : e].tobytes() for n, e in zip(sizes, np.cumsum(sizes, dtype=np.int64), strict=True)]
 
 
-def merge_join(kg: np.ndarray, kc: np.ndarray, g: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Positions in the sorted run (kg, kc) of the sorted entries (g, c), which it must hold."""
-    both = np.lexsort((np.r_[np.zeros(len(kg), np.int8), np.ones(len(g), np.int8)], np.r_[kc, c], np.r_[kg, g]))
-    is_ask = both >= len(kg)
-    at = np.cumsum(~is_ask) - 1
-    out = np.empty(len(g), dtype=np.int64)
-    out[both[is_ask] - len(kg)] = at[is_ask]
-    if len(g) and not ((kg[out] == g) & (kc[out] == c)).all():
+def merge_join(run: Keys, asked: Keys) -> np.ndarray:
+    """Positions in the sorted run of the sorted rows asked about, which it must hold: both are merged."""
+    n = len(run[0])
+    order = in_order(tuple(np.r_[k, q] for k, q in zip(run, asked, strict=True)))
+    is_ask = order >= n
+    out = np.empty(len(asked[0]), dtype=np.int64)
+    out[order[is_ask] - n] = (np.cumsum(~is_ask) - 1)[is_ask]
+    if len(out) and not all((k[out] == q).all() for k, q in zip(run, asked, strict=True)):
         raise ValueError("the run lacks entries of the texts that are judged by it")
     return out
 
 
 class HashVerify:
-    """Compares open windows by 96 bits of their own; equal windows have equal anchors besides."""
+    """Compares open windows by 128 bits of their own; equal windows have equal anchors besides."""
 
-    ENTRY = 13
     KIND = 1
 
     def __init__(self, open_: int = OPEN, shown: int = SHOWN):
@@ -212,36 +221,34 @@ class HashVerify:
         is_open = np.repeat(open_[open_ | show], (s.last - s.first + 1)[open_ | show])
         order = np.argsort(starts, kind="stable")
         starts, is_open = starts[order], is_open[order]
-        one, two = S.window_hashes(chunk.spec, chunk.units, starts)
-        order = np.lexsort((two, one))
-        new = np.ones(len(one), dtype=bool)
-        new[1:] = (np.diff(one[order]) != 0) | (np.diff(two[order].astype(np.int64)) != 0)
-        of = np.empty(len(one), dtype=np.int64)
+        keys = S.window_hashes(chunk.spec, chunk.units, starts)
+        order = in_order(keys)
+        new = starts_of(keys, order)
+        of = np.empty(len(order), dtype=np.int64)
         of[order] = np.cumsum(new) - 1
         w = np.minimum(np.bincount(of, weights=np.where(is_open, 1, 2), minlength=int(new.sum())), 2).astype(np.uint8)
-        return one[order][new], two[order][new], w, starts[is_open], of[is_open]
+        return tuple(k[order][new] for k in keys), w, starts[is_open], of[is_open]
 
     def ask(self, chunk: Chunk, states: np.ndarray, number: int, buckets: int) -> list[tuple[int, int, int, bytes]]:
-        one, two, w, _, _ = self.windows(chunk, states)
-        return [(number, b, self.KIND, pack_windows(one[lo:hi], two[lo:hi], w[lo:hi])) for b, lo, hi in ranges(one, buckets)]
+        keys, w, _, _ = self.windows(chunk, states)
+        return [(number, b, self.KIND, pack(tuple(k[lo:hi] for k in keys), w[lo:hi])) for b, lo, hi in ranges(keys[0], buckets)]
 
-    def judge(self, ask: list[bytes], known: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> list[bytes]:
+    def judge(self, ask: list[bytes], known: tuple[Keys, np.ndarray] | None = None) -> list[bytes]:
         """Which of the windows asked about repeat: among themselves, or by a run (known) that holds them all."""
-        one, two, w, sizes = unpack_windows(ask)
-        order = np.lexsort((two, one))
-        new = np.ones(len(one), dtype=bool)
-        new[1:] = (np.diff(one[order]) != 0) | (np.diff(two[order].astype(np.int64)) != 0)
-        ids = np.empty(len(one), dtype=np.int64)
+        keys, w, sizes = unpack(ask, 2)
+        order = in_order(keys)
+        new = starts_of(keys, order)
+        ids = np.empty(len(order), dtype=np.int64)
         ids[order] = np.cumsum(new) - 1
         if known is None:
             out = (np.bincount(ids, weights=w) >= 2).astype(np.uint8)[ids]
         else:
-            out = (known[2][merge_join(known[0], known[1], one[order][new], two[order][new])] >= 2).astype(np.uint8)[ids]
+            out = (known[1][merge_join(known[0], tuple(k[order][new] for k in keys))] >= 2).astype(np.uint8)[ids]
         return [out[e - n : e].tobytes() for n, e in zip(sizes, np.cumsum(sizes, dtype=np.int64), strict=True)]
 
     def repeated(self, chunk: Chunk, states: np.ndarray, answers: np.ndarray) -> np.ndarray:
         """Starts of the open windows that repeat."""
-        _, _, _, starts, of = self.windows(chunk, states)
+        _, _, starts, of = self.windows(chunk, states)
         return starts[answers[of] > 0] if len(starts) else starts
 
 
@@ -262,7 +269,7 @@ def marked(
 
     def ask(table: pa.Table) -> pa.Table:
         c, n = Chunk(spec, table), number(table)
-        return blobs([(n, b, 0, pack(c.g[lo:hi], c.c[lo:hi], c.w[lo:hi])) for b, lo, hi in ranges(c.g, buckets)])
+        return blobs([(n, b, 0, pack(tuple(k[lo:hi] for k in c.keyed), c.w[lo:hi])) for b, lo, hi in ranges(c.keyed[0], buckets)])
 
     def answer(table: pa.Table, known: tuple | None = None) -> pa.Table:
         order = sorted(zip(table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), table.column("data").to_pylist(), strict=True))
@@ -271,8 +278,7 @@ def marked(
     def answer_by_run(table: pa.Table, runs: pa.Table) -> pa.Table:
         if not table.num_rows:
             return blobs([])
-        g, c, w, _ = unpack(runs.column("data").to_pylist())
-        return answer(table, totals(g, c, w))
+        return answer(table, totals(*unpack(runs.column("data").to_pylist(), 3)[:2]))
 
     asked = held.applyInArrow(ask, BLOBS).groupBy("bucket")
     first = asked.applyInArrow(lambda t: answer(t), BLOBS) if run is None else asked.cogroup(run.groupBy("bucket")).applyInArrow(answer_by_run, BLOBS)
@@ -287,8 +293,7 @@ def marked(
     def answer_open_by_run(table: pa.Table, runs: pa.Table) -> pa.Table:
         if not table.num_rows:
             return blobs([])
-        one, two, w, _ = unpack_windows(runs.column("data").to_pylist())
-        return answer_open(table, (totals(one, two, w),))
+        return answer_open(table, (totals(*unpack(runs.column("data").to_pylist(), 2)[:2]),))
 
     def answer_open(table: pa.Table, known: tuple = ()) -> pa.Table:
         rows = sorted(zip(*(table.column(k).to_pylist() for k in ("kind", "chunk", "bucket", "data")), strict=True))

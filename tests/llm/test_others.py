@@ -171,3 +171,18 @@ def test_pipeline_runs(spark):
 
     n = spark.read.parquet(f"{plain.SF}/documents.parquet").count()
     assert 0 < c.run(spark, plain.SF).count() < n
+
+
+def test_op8_very_small_and_large_numbers(spark):
+    rows = [(1, [1e-200, 1e-200]), (2, [1e-200, 1.01e-200]), (3, [1e200, 1e200]), (4, [1e200, -1e200]), (5, [5e-324, 5e-324]), (6, [1e308, 1e-308])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in op8_embeddings.near_duplicates(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 5: (3, 1), 4: (0, 4), 6: (0, 6)}
+
+
+def test_op8_clashing_names_and_ties(spark):
+    a, b = [1.0, 0.0], [0.93, float(np.sqrt(1 - 0.93**2))]
+    linked = int(a[0] * b[0] / np.sqrt(np.dot(b, b)) >= 0.93)
+    df = spark.createDataFrame([(1, a, "x", 1, "c"), (2, b, "x", 2, "d")], "vec_id long, embedding array<double>, label string, id int, `a.b` string")
+    got = op8_embeddings.near_duplicates(df.withColumnsRenamed({"id": "k"})).collect()
+    assert sorted((r.vec_id, r.n_links) for r in got) == [(1, linked), (2, linked)]

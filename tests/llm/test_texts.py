@@ -175,3 +175,57 @@ def test_empty_tables(empty):
     assert op2_suffix.remove_repeats(empty).count() == 0
     assert op5_jaccard.joined(empty).count() == 0
     assert op10_sentencepiece.encode_documents(empty, op10_sentencepiece.default_model()).count() == 0
+
+
+def mirrored(n):
+    """A word over two letters and its mirror, on which rolling sums modulo a power of two agree."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [64, 65, 2048])
+def test_long_words_are_told_apart(spark, n):
+    one, two = mirrored(n)
+    rest = " ".join(f"w{i}" for i in range(34))
+    df = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}")], "doc_id long, text string")
+    assert [r.n_removed for r in op1_substring.remove_repeats(df).collect()] == [0, 0]
+    words = spark.createDataFrame([(1, one), (2, two), (3, two.upper())], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in op5_jaccard.joined(words).collect()} == {1: 1, 2: 2, 3: 2}
+
+
+def test_texts_longer_than_a_slice(spark):
+    """Texts over SLICE words and bytes, whose repeats lie in different slices and texts."""
+    import random
+
+    rng = random.Random(8)
+    long = [f"{rng.getrandbits(24):x}" for _ in range(300_000)]
+    passage = [f"passage{i}" for i in range(50)]
+    texts = [" ".join([*long[:270_000], "A", *passage, "B", *long[270_000:]]), " ".join(["C", *passage, "D"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in op1_substring.remove_repeats(df).collect()} == {0: 50, 1: 50}
+    shared = len(" ".join(passage)) + 2  # with the blanks beside it
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in op2_suffix.remove_repeats(df).collect()} == {i: (len(t), shared, 1) for i, t in enumerate(texts)}
+    sizes = {r.doc_id: r.n_shingles for r in op5_jaccard.joined(df).collect()}
+    assert sizes == {i: len(s) for i, s in plain.shingle_sets(dict(enumerate(texts)), 4).items()}
+
+
+def test_op6_long_texts_take_linear_time():
+    import time
+
+    x = op6_toxicity.Extractor(op6_toxicity.lexicon_of(["badword", "badw~"]))
+    assert x("such a b4dw0rd")[4] == 1 and x("x" * 60 + "b4dword")[4] == 0
+    for t in ("a" * 1_000_000, "世" * 300_000, "a1" * 500_000, "b4dword " * 100_000, "." * 1_000_000):
+        begun = time.time()
+        assert len(x(t)) == len(op6_toxicity.FEATURES)
+        assert time.time() - begun < 5
+
+
+def test_op6_repeated_labelled_ids(spark):
+    docs = spark.createDataFrame([(i % 50, f"word{i} text", 1) for i in range(400)], "doc_id long, text string, y int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] * 3, "doc_id long, toxic int")
+    assert op6_toxicity.predict(docs, op6_toxicity.fit(docs, labels, sample=20)).count() == 400
+
+
+def test_op10_agrees_with_the_library_on_a_whole_table(spark):
+    got = op10_sentencepiece.query(spark, plain.SF.replace("0.001", "0.01"))
+    assert got.where("NOT agreed").count() == 0
