@@ -173,9 +173,10 @@ SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string, agreed boolea
 def encode_documents(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """`keep` columns, SCHEMA, and with with_ids the ids. model: a path that workers can open,
     as that of an installed package's file."""
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import StructField, StructType
 
-    out = StructType([docs.schema[c] for c in keep] + StructType.fromDDL(SCHEMA).fields + (StructType.fromDDL("ids array<int>").fields if with_ids else []))
+    safe = [f"keep_{i}" for i in range(len(keep))]  # names that mapInArrow can resolve
+    out = StructType([StructField(k, docs.schema[c].dataType) for c, k in zip(keep, safe, strict=True)] + StructType.fromDDL(SCHEMA).fields + (StructType.fromDDL("ids array<int>").fields if with_ids else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library, agenda, names = loaded(model, cache)
@@ -196,7 +197,8 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", keep: tupl
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *cols, *more], names=out.names)
         tidy()
 
-    return docs.select(*[F.col(f"`{c}`") for c in (*keep, text)]).mapInArrow(run, out)
+    source = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, safe, strict=True)], F.col(f"`{text}`").cast("string").alias("body"))
+    return source.mapInArrow(run, out).toDF(*keep, *out.names[len(keep) :])
 
 
 def default_model() -> str:

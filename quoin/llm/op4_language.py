@@ -4,10 +4,11 @@ One slot of the filter is a bitmask with a bit for each language; the AND of an
 that contain it. A text's bits are summed by language, the expected share of false positives is taken off, and the
 largest count decides (ties: the first language in order of names).
 
-Learning: n-gram counts over all training texts, summed by Spark; of each language the `per_language` most frequent
-n-grams enter the filter unless another language uses them `rival` times as often. So the model's size is bounded and
-does not grow with the corpus. Null text or text without a letter: 'und', score 0. Without training rows all is 'und'.
-Repeated rows, extra columns and empty tables need no special care; long texts are walked in slices.
+Learning: n-gram counts over all training texts, summed by Spark; an n-gram enters the filter of every language of whose
+n-grams it is at least LEAST_SHARE. So a language has at most 1 / LEAST_SHARE of them, however large the corpus is, and no
+language's n-grams have to be sorted. Null text or text without a letter: 'und', score 0. Without training rows all is
+'und'. An empty table gives an empty result; repeated rows get equal results; long texts are walked in slices that overlap,
+so each n-gram is counted once; other columns, whatever their names, play no part and may be kept.
 """
 
 from __future__ import annotations
@@ -17,15 +18,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .shared import fresh
+from .shared import cut, fresh
 
-PER_LANGUAGE = 20_000
-RIVAL = 8.0
+LEAST_SHARE = 1e-5
 SLOTS_PER_GRAM = 16
+SLICE = 1 << 19
+"""Bytes that are walked at once."""
 PROBES = 3
 GRAM = 4
 _PAD = b"   "
@@ -45,31 +47,43 @@ def _fold() -> np.ndarray:
 FOLD = _fold()
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All 4-byte grams of texts in lower case with other ASCII as blanks; the texts' first grams, and the end."""
-    raw = FOLD[np.frombuffer(_PAD + _PAD.join(texts) + _PAD, dtype=np.uint8)]
-    upper = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
-    raw[1:][upper] += 0x20
-    n = len(raw) - 3
+def folded(raw: bytes) -> np.ndarray:
+    """Bytes in lower case, with other ASCII as blanks."""
+    out = FOLD[np.frombuffer(raw, dtype=np.uint8)]
+    upper = (out[:-1] == 0xC3) & (out[1:] >= 0x80) & (out[1:] <= 0x9E) & (out[1:] != 0x97)
+    out[1:][upper] += 0x20
+    return out
+
+
+def grams(raw: np.ndarray) -> np.ndarray:
+    """The 4-byte n-grams of folded bytes, by start."""
+    n = len(raw) - GRAM + 1
     wide = raw.astype(np.uint32)
-    out = wide[:n] | wide[1 : n + 1] << 8 | wide[2 : n + 2] << 16 | wide[3 : n + 3] << 24
-    return out, np.concatenate([[0], np.cumsum([len(t) + 3 for t in texts], dtype=np.int64)])
+    return wide[:n] | wide[1 : n + 1] << 8 | wide[2 : n + 2] << 16 | wide[3 : n + 3] << 24
 
 
-def pieces(texts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """Texts in groups of about `most` bytes; longer texts cut with an overlap; with the index of each text."""
+def pieces(texts: list[bytes], most: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(n-grams, first n-gram of each text, its index) of groups of texts of about `most` bytes. Each text stands between
+    blanks, which neighbours share; of a longer text the slices overlap by what an n-gram needs."""
     group, index, size = [], [], 0
+
+    def told() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return grams(folded(_PAD + _PAD.join(group) + _PAD)), np.concatenate([[0], np.cumsum([len(t) + 3 for t in group[:-1]], dtype=np.int64)]), np.array(index)
+
     for i, t in enumerate(texts):
-        for at in range(0, max(len(t), 1), most):
-            part = t[at : at + most + GRAM - 1]
-            if size and size + len(part) > most:
-                yield group, np.array(index)
-                group, index, size = [], [], 0
-            group.append(part)
-            index.append(i)
-            size += len(part)
+        if len(t) > most:
+            raw = folded(_PAD + t + _PAD)
+            for at in range(0, len(raw) - GRAM + 1, most):
+                yield grams(raw[at : at + most + GRAM - 1]), np.zeros(1, np.int64), np.array([i])
+            continue
+        if size and size + len(t) > most:
+            yield told()
+            group, index, size = [], [], 0
+        group.append(t)
+        index.append(i)
+        size += len(t)
     if group:
-        yield group, np.array(index)
+        yield told()
 
 
 @dataclass(frozen=True)
@@ -97,16 +111,15 @@ class Model:
         """Corrected hits (texts x languages) and grams looked up."""
         hits = np.zeros((len(texts), len(self.languages)))
         n = np.zeros(len(texts))
-        for group, index in pieces(texts):
-            g, bounds = grams(group)
+        for g, bounds, index in pieces(texts):
             told = g != _BLANK
             at = probes(g, self.table.shape[1])
             masks = [np.bitwise_and.reduce([w[a] for a in at]) for w in self.table]
-            np.add.at(n, index, np.add.reduceat(told.astype(np.int64), bounds[:-1]))
+            np.add.at(n, index, np.add.reduceat(told.astype(np.int64), bounds))
             for i in range(len(self.languages)):
                 m = masks[i // 64]
                 bit = (m >> m.dtype.type(i % 64) & m.dtype.type(1)).astype(bool) & told
-                np.add.at(hits[:, i], index, np.add.reduceat(bit.astype(np.int64), bounds[:-1]))
+                np.add.at(hits[:, i], index, np.add.reduceat(bit.astype(np.int64), bounds))
         return np.clip((hits - n[:, None] * self.rate) / (1 - self.rate), 0, None), n
 
 
@@ -116,7 +129,7 @@ def probes(g: np.ndarray, slots: int) -> list[np.ndarray]:
     return [((h + np.uint64(k) * step) & np.uint64(slots - 1)).astype(np.int64) for k in range(PROBES)]
 
 
-def fit(train: DataFrame, text: str, lang: str, per_language: int = PER_LANGUAGE, rival: float = RIVAL) -> Model:
+def fit(train: DataFrame, text: str, lang: str, least_share: float = LEAST_SHARE) -> Model:
     """train: rows with non-null text and lang."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,8 +137,8 @@ def fit(train: DataFrame, text: str, lang: str, per_language: int = PER_LANGUAGE
         for b in batches:
             texts, langs = b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist()
             for name in set(langs):
-                for group, _ in pieces([t for t, x in zip(texts, langs, strict=True) if x == name]):
-                    u, c = np.unique(grams(group)[0], return_counts=True)
+                for g, _, _ in pieces([t for t, x in zip(texts, langs, strict=True) if x == name]):
+                    u, c = np.unique(g, return_counts=True)
                     parts = held.setdefault(name, [])
                     parts.append((u, c))
                     if len(parts) > 16:
@@ -140,19 +153,12 @@ def fit(train: DataFrame, text: str, lang: str, per_language: int = PER_LANGUAGE
         u, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         return u, np.bincount(back, weights=np.concatenate([p[1] for p in parts]), minlength=len(u)).astype(np.int64)
 
-    sums = train.select(F.col(text).cast("string"), F.col(lang).cast("string")).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("gram") != _BLANK)
-    top = sums.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= per_language)
-    members: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    rows = top.select("lang", "gram", "n").toArrow()  # at most per_language rows a language
-    langs, g, n = np.array(rows["lang"].to_pylist(), dtype=object), rows["gram"].to_numpy(), rows["n"].to_numpy()
-    for name in sorted(set(langs)):
-        at = langs == name
-        members[name] = (g[at], n[at] / n[at].sum())
-    best: dict[int, float] = {}
-    for gs, share in members.values():
-        for x, s in zip(gs.tolist(), share.tolist(), strict=True):
-            best[x] = max(s, best.get(x, 0.0))
-    return Model.build({name: gs[[s * rival >= best[x] for x, s in zip(gs.tolist(), share.tolist(), strict=True)]].astype(np.uint32) for name, (gs, share) in members.items()})
+    sums = train.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).mapInArrow(count, "lang string, gram long, n long")
+    sums = cut(sums.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("gram") != _BLANK))
+    least = sums.groupBy("lang").agg((F.sum("n") * least_share).alias("least"))
+    rows = sums.join(least, "lang").where("n >= least").select("lang", "gram").toArrow()  # at most 1 / least_share a language
+    langs, g = np.array(rows["lang"].to_pylist(), dtype=object), rows["gram"].to_numpy()
+    return Model.build({name: np.sort(g[langs == name]).astype(np.uint32) for name in sorted(set(langs))})
 
 
 def learnable(doc_id: Column) -> Column:
@@ -161,11 +167,13 @@ def learnable(doc_id: Column) -> Column:
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("lang_pred", "score", "coverage")) -> DataFrame:
     """`keep` columns with `names`: language, score (the best count's share of the two best) and coverage (of the n-grams)."""
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import StructField, StructType
 
-    letter = fresh(docs, "has_letter")[0]
-    source = docs.select(*keep, F.col(text).cast("string").alias("t"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(letter))
-    out = StructType([docs.schema[c] for c in keep] + StructType.fromDDL("`{}` string, `{}` double, `{}` double".format(*names)).fields)
+    letter, body = fresh(docs, "has_letter", "body")
+    whole = F.col(f"`{text}`").cast("string")
+    safe = [f"keep_{i}" for i in range(len(keep))]  # names that mapInArrow can resolve
+    source = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, safe, strict=True)], whole.alias(body), F.coalesce(whole.rlike(r"\p{L}"), F.lit(False)).alias(letter))
+    out = StructType([StructField(k, docs.schema[c].dataType) for c, k in zip(keep, safe, strict=True)] + StructType.fromDDL("pred string, told double, cover double").fields)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,11 +194,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
                     pred[i] = m.languages[k]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(pred), pa.array(score), pa.array(cover)], names=out.names)
 
-    return source.mapInArrow(run, out)
+    return source.mapInArrow(run, out).toDF(*keep, *names)
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    train = docs.where(learnable(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    train = docs.where(learnable(F.col(f"`{doc_id}`")) & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
     return predict(docs, fit(train, text, lang), text, keep)
 
 

@@ -275,9 +275,10 @@ def product(ha, ba, hb, bb, same: bool, join: Join) -> list[tuple[int, int]]:
     return forest.edges
 
 
-def joined(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for each row."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def joined(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text", with_text_key: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row; with_text_key: and the name of its group of sets (null: no set), and
+    the text's key h1, h2 (see shared.text_key)."""
+    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     spark = docs.sparkSession
 
     chunks = count_of(docs, "text", CHUNK_BYTES, shuffle_partitions(spark))
@@ -285,10 +286,11 @@ def joined(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: s
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, texts in _grouped(batches, 1):
             h, bounds = shingles([t or b"" for t in texts], join.shingle)
-            yield from pa.table({"doc_id": table["doc_id"], "n": np.diff(bounds), "node": to_column(nodes(h, bounds)), "chunk": table["chunk"]}).to_batches()
+            yield from pa.table({"doc_id": table["doc_id"], "n": np.diff(bounds), "node": to_column(nodes(h, bounds)), "chunk": table["chunk"], "h1": table["h1"], "h2": table["h2"]}).to_batches()
 
-    place = F.pmod(text_key(F.col("text"))[0], F.lit(chunks)).cast("int").alias("chunk")
-    sets = stored(docs.select("doc_id", "text", place).mapInArrow(name, "doc_id long, n long, node decimal(38,0), chunk int"), "shingle-sets")
+    h1, h2 = text_key(F.col("text"))
+    place = F.pmod(h1, F.lit(chunks)).cast("int").alias("chunk")
+    sets = stored(docs.select("doc_id", "text", place, h1.alias("h1"), h2.alias("h2")).mapInArrow(name, "doc_id long, n long, node decimal(38,0), chunk int, h1 long, h2 long"), "shingle-sets")
     buckets = max(shuffle_partitions(spark), chunks * CHUNK_BYTES >> 28)
     texts = chunked(docs.where(F.col("doc_id").isNotNull()), "text", chunks)
     family = components(proposals(texts, join, buckets), "a", "b")
@@ -339,9 +341,27 @@ def joined(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: s
     roots = components(links, "a", "b")
     rooted = sets.join(roots, "node", "left").withColumn("c", F.when(F.col("n") > 0, F.coalesce("root", "node")))
     least = rooted.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("least"))
-    return rooted.join(least, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+    return rooted.join(least, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"), *([F.col("c").alias("group"), "h1", "h2"] if with_text_key else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: four-word shingles, similarity of 0.85 or more."""
     return joined(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT r, doc_id, CASE WHEN len(w) >= 4 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d),
+k AS MATERIALIZED (SELECT g, min(r) AS k, len(g) AS n FROM s WHERE len(g) > 0 AND doc_id IS NOT NULL GROUP BY g),
+e AS MATERIALIZED (SELECT k, n, unnest(g) AS x FROM k),
+l AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM e a JOIN e b ON a.x = b.x AND a.k <> b.k AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+  GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+c(node, root) AS (SELECT k, k FROM k UNION SELECT l.b, c.root FROM c JOIN l ON c.node = l.a WHERE c.root < l.b),
+f AS (SELECT node, min(root) AS root FROM c GROUP BY node),
+m AS (SELECT s.r, f.root FROM s JOIN k ON s.g = k.g JOIN f ON f.node = k.k),
+t AS (SELECT root, min(doc_id) AS least FROM m JOIN s USING (r) WHERE doc_id IS NOT NULL GROUP BY root)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, CASE WHEN s.doc_id IS NOT NULL THEN coalesce(t.least, s.doc_id) END AS component_id
+FROM s LEFT JOIN m USING (r) LEFT JOIN t USING (root)
+"""

@@ -10,7 +10,8 @@ Everything is DataFrame operations. The cells are written to the shared folder;
 their file below its threshold, else joined by key, where a hot cell is split by AQE.
 
 Null sources and languages are values of their own; null or empty texts have no tokens, weight as their cell and are
-drawn like others; rows without doc_id share one draw; an empty table gives an empty result.
+drawn like others; rows without doc_id share one draw, as do rows that repeat one; texts are counted whole, however long;
+an empty table gives an empty result. Columns of docs may have any name: those that are added take names that are free.
 """
 
 from __future__ import annotations
@@ -86,6 +87,7 @@ def mix(docs: DataFrame, budget: float = BUDGET) -> DataFrame:
     """doc_id, tokens, topic, weight, probability and kept for each row of docs (doc_id, text, source, lang)."""
     base = docs.select("doc_id", F.col("source").alias("source"), F.col("lang").alias("lang"), tokens(F.col("text")).alias("tokens"), "text")
     base = base.select("doc_id", "source", "lang", "tokens", F.when(F.col("text").isNull(), "brief").otherwise(topic(F.col("text"), F.col("tokens"))).alias("topic"))
+    base = stored(base, "counted")  # the texts are walked once; what follows needs these few numbers of each
     out = weighted(base, TEMPER, "tokens", budget)
     return out.select("doc_id", "tokens", "topic", "weight", "probability", drawn(F.col("doc_id"), F.col("probability")).alias("kept"))
 

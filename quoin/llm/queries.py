@@ -17,6 +17,8 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece.query,
 }
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": op1_substring.ORACLE,
+    "op5_ngram_jaccard_join": op5_jaccard.ORACLE,
     "op7_mixing": op7_mixing.ORACLE,
     "op8_embedding_near_dedup": op8_embeddings.ORACLE,
     "op9_exact_topk": op9_topk.ORACLE,

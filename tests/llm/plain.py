@@ -58,3 +58,41 @@ def jaccard_roots(texts, k, percent):
         for g in s:
             post[g].append(key)
     return sets, roots(pairs, sets)
+
+
+def mixed(docs, op7):
+    """(doc_id, text) of the rows (doc_id, text, source, lang) that the mixture draws, by plain loops over the cells."""
+    cells, where = defaultdict(float), []
+    for _, t, source, lang in docs:
+        n, lines = len(WORD.findall(t or "")), (t or "").count("\n")
+        topic = "brief" if t is None or n < 50 else "contact" if "@" in t else "lines" if lines * 40 > n else "prose"
+        where.append((source, lang, topic))
+        cells[where[-1]] += n
+    cells = {k: t for k, t in cells.items() if t > 0}
+    w, targets = dict(cells), []
+    for i, power in enumerate(op7.TEMPER.values()):
+        m = defaultdict(float)
+        for k, t in cells.items():
+            m[k[i]] += t
+        total = sum(x**power for x in m.values())
+        targets.append({k: x**power / total for k, x in m.items()})
+    for _ in range(op7.ROUNDS):
+        for i, target in enumerate(targets):
+            now = defaultdict(float)
+            for k, x in w.items():
+                now[k[i]] += x
+            w = {k: x * target[k[i]] / now[k[i]] for k, x in w.items()}
+    all_t, all_w = sum(cells.values()), sum(w.values())
+    weight = {k: (w[k] / all_w) / (cells[k] / all_t) for k in cells}
+    scale = op7.BUDGET
+    for _ in range(op7.CALIBRATIONS):
+        clipped = sum(t for k, t in cells.items() if scale * weight[k] >= 1)
+        open_ = sum(t * weight[k] for k, t in cells.items() if scale * weight[k] < 1)
+        scale = max(scale, (all_t * op7.BUDGET - clipped) / open_) if open_ else scale
+    out = []
+    for (i, t, _, _), k in zip(docs, where):
+        chance = round(min(1.0, scale * weight[k]), 6) if k in weight else op7.BUDGET
+        draw = int(hashlib.md5(f"{op7.SALT}{'' if i is None else i}".encode()).hexdigest()[:8], 16) / 4294967296
+        if draw < chance:
+            out.append((i, t))
+    return out

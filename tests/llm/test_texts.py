@@ -105,6 +105,42 @@ def test_op4_filter_has_no_false_negatives():
     assert (mask[: len(a)] & 1).all() and (mask[len(a) :] & 2).all() and (m.rate < 0.05).all()
 
 
+def test_op4_counts_like_plain(spark, monkeypatch):
+    """Model and counts against plain loops, with slices so short that most texts are cut."""
+    from collections import Counter
+
+    monkeypatch.setattr(op4_language, "SLICE", 64)
+    monkeypatch.setattr(op4_language.pieces, "__defaults__", (64,))
+
+    def plainly(t):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" or ("\u00c0" <= c <= "\u00de" and c != "\u00d7") else c for c in t)
+        raw = b"   " + bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in low.encode()) + b"   "
+        return Counter(raw[i : i + 4] for i in range(len(raw) - 3) if raw[i : i + 4].strip())
+
+    texts = {"en": ["the quick brown fox, THE end " * 7, "a"], "de": ["Über das Öl und die \u00c4pfel 12 " * 9, ""], "xx": ["\u4e16\u754c" * 40]}
+    rows = [(t, k) for k, ts in texts.items() for t in ts]
+    m = op4_language.fit(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", least_share=0.01)
+    assert m.languages == ("de", "en", "xx")
+    found = {}
+    for k, ts in texts.items():
+        n = sum(map(plainly, ts), Counter())
+        found[k] = {g for g, x in n.items() if x >= 0.01 * sum(n.values())}
+    asked = ["THE fox und das", "\u4e16\u754c the " * 30, "Öl"]
+    hits, n = m.counts([t.encode() for t in asked])
+    for i, t in enumerate(asked):
+        g = plainly(t)
+        assert n[i] == sum(g.values())
+        for j, k in enumerate(m.languages):
+            raw = hits[i, j] * (1 - m.rate[j]) + n[i] * m.rate[j]
+            assert abs(raw - sum(x for y, x in g.items() if y in found[k])) <= max(2, 0.02 * n[i])
+
+
+def test_op4_any_column_name(spark):
+    df = spark.createDataFrame([(1, "hello there", "en", 7, "v"), (2, "guten tag", "de", 8, None)], "doc_id long, text string, lang string, t long, `a.b` string")
+    got = {r.doc_id: r for r in op4_language.identify(df, keep=("doc_id", "t", "a.b")).collect()}
+    assert got[1].t == 7 and got[1]["a.b"] == "v" and got[2].t == 8
+
+
 def test_op6_held_out(spark):
     sf = plain.SF.replace("0.001", "0.01")
     got = op6_toxicity.query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
