@@ -1,13 +1,15 @@
 """Operator 1: substring dedup with a log-structured fingerprint index.
 
-The index keeps, for each anchored segment of word windows, its fingerprints and whether it was seen once or
-more often, and the same for 128 bits of each window, so that a new batch is judged without the texts of earlier ones. Each batch becomes an immutable run, sorted within hash-range buckets; `fanout` runs of a level are
-merged into one of the next. `repeats` merge-joins texts with all runs and verifies what only shares an anchor
-window by window. Where all texts are judged at once, as in `remove_repeats`, the windows need not be kept. Memory is bounded by a chunk (2 MB of text, or one text) and by a bucket of fingerprints.
-
-Null texts have no words; texts shorter than a window lose none; an empty table gives an empty result; repeated
-rows count as repeats of each other. Only the text column (and what the caller selects) is read, so other
-columns, whatever their names, play no part.
+The index keeps, for each anchored segment of word windows, its key (see segments.py: the anchor's hash and 128 bits of a
+digest of its words) and whether it was seen once or more often, and the same for 128 bits of each window, so that a new
+batch is judged without the texts of earlier ones. Each batch becomes an immutable run, sorted within hash-range buckets;
+`fanout` runs of a level are merged into one of the next. `repeats` merge-joins texts with all runs and verifies what only
+shares an anchor window by window. Where all texts are judged at once, as in `remove_repeats`, the windows need not be kept,
+as the texts are at hand. Memory is bounded by a chunk (2 MB of text, or one text) and by a bucket of keys.
+
+Null texts have no words; texts shorter than a window lose none; texts of any length are taken whole, in slices; an empty
+table gives an empty result; repeated rows count as repeats of each other. Only the text column (and what the caller
+selects) is read, so other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations

@@ -10,9 +10,12 @@ bucket parses these again into short phrases by rolling-hash triggers, makes the
 of their parse by prefix doubling, and combines them: a suffix is ordered by the rank of the rest of its phrase and then
 by the rank of the parse that follows. Neighbours in this order that agree in 200 bytes, byte by byte, repeat. Lots are
 bounded (LOT bytes, whole triggers), as is a trigger's share: the strings of triggers with more than HOT different
-phrases are compared by 96 bits of hash over all buckets instead, so that no trigger has to fit into one task.
+phrases are compared by 128 bits of hash over all buckets instead, so that no trigger has to fit into one task. The result
+is the same either way. A phrase of the dictionary is known by a BLAKE2b digest of its bytes.
 
-Null texts are empty; texts under 200 bytes lose nothing; repeated rows are repeats of each other; only text is read.
+Null texts are empty; texts under 200 bytes lose nothing; texts of any length are taken whole, in slices; repeated rows are
+repeats of each other; an empty table gives an empty result. Only text is read, so other columns, whatever their names, play
+no part (those named as a result are replaced).
 """
 
 from __future__ import annotations
@@ -27,11 +30,13 @@ from pyspark.sql import functions as F
 from . import hashing as H
 from . import repeats as R
 from . import segments as S
-from .shared import fresh, text_key
+from .shared import CHUNK_BYTES, count_of, fresh, shuffle_partitions, text_key
 
 RESULT = "h1 long, h2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 LOT = 1 << 18
 HOT = 4096
+BUCKET_TEXT = 256 << 20
+"""Bytes of text whose phrases one bucket compares."""
 GRAM, MODULUS = 8, 24
 
 
@@ -219,7 +224,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataF
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     a, b, f = fresh(docs, "h1", "h2", "found")
     verify = (SuffixVerify(), R.HashVerify(R.HOT_OPEN, R.HOT_SHOWN))
-    found = R.marked(R.chunked(docs, text), S.BYTES, finish, RESULT, verify=verify, hot=hot)
+    partitions = shuffle_partitions(docs.sparkSession)
+    chunks = count_of(docs, text, CHUNK_BYTES, partitions)
+    buckets = max(partitions, chunks * CHUNK_BYTES // BUCKET_TEXT)
+    found = R.marked(R.chunked(docs, text, chunks), S.BYTES, finish, RESULT, verify=verify, hot=hot, buckets=buckets)
     found = found.select(F.col("h1").alias(a), F.col("h2").alias(b), F.struct(*new).alias(f))
     old = [c for c in docs.columns if c.lower() not in new]
     h1, h2 = text_key(F.col(text))

@@ -32,9 +32,12 @@ def text_key(text: Column) -> list[Column]:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; where it is unset, as in tests, one in the warehouse."""
+    """The shared folder that the cluster names; where it is unset and all runs on one machine, as in tests, one in the
+    warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
