@@ -76,3 +76,28 @@ def interop(det: DataFrame, image: str = "img") -> DataFrame:
     box = F.array(*[F.round(c).cast("long") for c in ("x0", "y0", "x1", "y1")])
     cell = lambda k: F.to_json(F.array_sort(F.collect_list(F.when(F.col("class") == k, box)))).alias(k)
     return det.where(F.col("class") != "ambiguous").groupBy(image).agg(cell("window"), cell("door"))
+
+
+def merge_tiles(raw: DataFrame, image: str = "img") -> tuple[DataFrame, DataFrame]:
+    """The detections of all tiles (see validate) as groups of an image, and each image's numbers: raw, rejected, groups."""
+    judged = validate(raw)
+    sound = judged.where("reject_reason IS NULL").select(image, F.col("class").alias("kind"), "score", "full.*")
+    groups = deduplicate(sound, image)
+    seen = judged.groupBy(image).agg(F.count("*").alias("n_raw"), F.count("reject_reason").alias("n_rejected"))
+    return groups, seen.join(groups.groupBy(image).agg(F.count("*").alias("n_groups")), image, "left").fillna(0, ["n_groups"])
+
+
+def lookup(photos: DataFrame, batches: DataFrame, detections: DataFrame) -> DataFrame:
+    """photos (photo_id, sha256, w, h, coordinate_system) with the detection file of the latest batch that has them.
+
+    The batch with the greatest `seq` is the one that counts; a photo it does not know by all four gets a reject_reason."""
+    last = detections.join(batches.agg(F.max_by("batch_id", "seq").alias("batch_id")), "batch_id", "left_semi")
+    key = ["sha256", "w", "h", "coordinate_system"]
+    out = photos.join(last.groupBy(*key).agg(F.max("path").alias("path")), key, "left")
+    return out.withColumn("reject_reason", F.when(F.col("path").isNull(), "no_detection_of_this_image"))
+
+
+def mapped_counts(mapped: DataFrame, run: str, kind: str = "class", reason: str = "reject_reason") -> DataFrame:
+    """Mapped detections of each class, and how many were mapped and rejected."""
+    ok = F.col(reason).isNull()
+    return mapped.groupBy(run).agg(*[F.count_if(ok & (F.col(kind) == k)).alias(f"n_{k}") for k in (*B.CATEGORIES, "ambiguous")], F.count_if(ok).alias("mapped"), F.count_if(~ok).alias("rejected"))

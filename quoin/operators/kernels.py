@@ -172,56 +172,57 @@ def frames(points: DataFrame, key: str) -> DataFrame:
     return points.select(key, "x", "y", "z").groupBy(key).applyInPandas(run, f"{key} {kind}, origin array<double>, u array<double>, v array<double>, deviation double, error string")
 
 
-def segment_distance(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d = b - a
-    t = np.clip(((p - a) @ d) / max(float(d @ d), 1e-300), 0, 1)
-    return np.linalg.norm(p - (a + t[:, None] * d), axis=1)
+def _edges(ring: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and directions of a ring's edges."""
+    ring = np.asarray(ring, float)
+    return ring, np.roll(ring, -1, axis=0) - ring
+
+
+def ring_distance(p: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """Distance of each point to the ring's boundary: all points against all edges at once."""
+    a, d = _edges(ring)
+    rel = p[:, None] - a[None]
+    along = np.clip((rel * d).sum(axis=2) / np.maximum((d * d).sum(axis=1), 1e-300), 0.0, 1.0)
+    return np.linalg.norm(rel - along[..., None] * d, axis=2).min(axis=1)
 
 
 def inside(p: np.ndarray, ring: np.ndarray, tolerance: float = 0.0) -> np.ndarray:
-    """Which points are in a ring; its boundary, and what is within tolerance of it, counts."""
+    """Which points are in a ring, by its winding number around them; what lies within tolerance of its boundary counts."""
     p = np.atleast_2d(np.asarray(p, float))
-    odd, near = np.zeros(len(p), bool), np.zeros(len(p), bool)
-    for a, b in zip(ring, np.roll(ring, -1, axis=0), strict=True):
-        crosses = (a[1] > p[:, 1]) != (b[1] > p[:, 1])
-        if crosses.any():
-            x = a[0] + (p[:, 1] - a[1]) * (b[0] - a[0]) / ((b[1] - a[1]) or 1e-300)
-            odd ^= crosses & (p[:, 0] < x)
-        near |= segment_distance(p, a, b) <= max(tolerance, 1e-9)
-    return odd | near
+    a, _ = _edges(ring)
+    to, nxt = a[None] - p[:, None], np.roll(a, -1, axis=0)[None] - p[:, None]
+    turn = np.arctan2(to[..., 0] * nxt[..., 1] - to[..., 1] * nxt[..., 0], (to * nxt).sum(axis=2))
+    return (np.abs(turn.sum(axis=1)) > np.pi) | (ring_distance(p, ring) <= max(tolerance, 1e-9))
+
+
+def meetings(polygon: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """For each edge of the polygon (a row) the places, 0 to 1 along it, where lines of the ring's edges or its corners
+    may change sides; in order, padded with 0 and 1."""
+    a, d = _edges(polygon)
+    b, e = _edges(ring)
+    gap = b[None] - a[:, None]
+    den = d[:, None, 0] * e[None, :, 1] - d[:, None, 1] * e[None, :, 0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cross = (gap[..., 0] * e[None, :, 1] - gap[..., 1] * e[None, :, 0]) / den
+        foot = (gap * d[:, None]).sum(axis=2) / (d * d).sum(axis=1)[:, None]  # corners, for edges that run along
+    t = np.concatenate([cross, foot, np.zeros((len(a), 1)), np.ones((len(a), 1))], axis=1)
+    return np.sort(np.clip(np.nan_to_num(t, nan=0.0, posinf=1.0, neginf=0.0), 0.0, 1.0), axis=1)
 
 
 def inside_ring(polygon: np.ndarray, ring: np.ndarray, tolerance: float = 0.0) -> bool:
-    """Whether a polygon lies in a ring as a whole: corners, centre, and the middle of each part of an edge between
-    the places where it meets the ring's edges."""
-    if not inside(np.vstack([polygon, polygon.mean(axis=0)]), ring, tolerance).all():
-        return False
-    for a, b in zip(polygon, np.roll(polygon, -1, axis=0), strict=True):
-        d, cuts = b - a, [0.0, 1.0]
-        for c, e in zip(ring, np.roll(ring, -1, axis=0), strict=True):
-            f = e - c
-            den = d[0] * f[1] - d[1] * f[0]
-            if abs(den) > 1e-15:
-                t = ((c[0] - a[0]) * f[1] - (c[1] - a[1]) * f[0]) / den
-                if 0 < t < 1:
-                    cuts.append(float(t))
-            elif d @ d > 0:
-                cuts += [float(t) for t in ((c - a) @ d / (d @ d), (e - a) @ d / (d @ d)) if 0 < t < 1]
-        t = np.unique(cuts)
-        if not inside(a + ((t[1:] + t[:-1]) / 2)[:, None] * d, ring, tolerance).all():
-            return False
-    return True
+    """Whether a polygon lies in a ring as a whole: its corners, its centre, and a point between each two neighbouring
+    places at which an edge may enter or leave the ring."""
+    polygon = np.asarray(polygon, float)
+    t = meetings(polygon, ring)
+    a, d = _edges(polygon)
+    between = a[:, None] + ((t[:, 1:] + t[:, :-1]) / 2)[..., None] * d[:, None]
+    return bool(inside(np.concatenate([polygon, polygon.mean(axis=0)[None], between.reshape(-1, 2)]), ring, tolerance).all())
 
 
 def clean_ring(p: np.ndarray) -> np.ndarray:
-    """Without points that repeat the one before, and without a closing point."""
-    keep = [0]
-    for i in range(1, len(p)):
-        if np.linalg.norm(p[i] - p[keep[-1]]) > 1e-9:
-            keep.append(i)
-    if len(keep) > 1 and np.linalg.norm(p[keep[0]] - p[keep[-1]]) <= 1e-9:
-        keep.pop()
-    return p[keep]
+    """Without points that repeat the one before them around the ring, so also without a closing point."""
+    new = np.linalg.norm(p - np.roll(p, 1, axis=0), axis=1) > 1e-9
+    return p[new] if new.any() else p[:1]
 
 
 def bridged(outer: np.ndarray, holes: list[np.ndarray]) -> np.ndarray:

@@ -87,8 +87,13 @@ def confirmation_views(selected: DataFrame, seen: DataFrame, views: DataFrame, m
 def mutual_nearest(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Pairs that are each other's nearest among pairs of like size within MATCH_DISTANCE.
 
-    Both have key, id, x, y, w, h. The key is the equi-join; all else is a residual condition."""
-    p = a.select(key, *[F.col(c).alias(f"a_{c}") for c in ("id", "x", "y", "w", "h")]).join(b.select(key, *[F.col(c).alias(f"b_{c}") for c in ("id", "x", "y", "w", "h")]), key)
+    Both have key, id, x, y, w, h. b is filed in square cells of that side and a looks in its nine, so key and cell are
+    the equi-join and a large key is no pile of all pairs; all else is a residual condition."""
+    cell = lambda c: F.floor(F.col(c) / MATCH_DISTANCE)
+    p = a.select(key, *[F.col(c).alias(f"a_{c}") for c in ("id", "x", "y", "w", "h")])
+    p = p.withColumn("_i", F.explode(F.array(*[cell("a_x") + o for o in (-1, 0, 1)]))).withColumn("_j", F.explode(F.array(*[cell("a_y") + o for o in (-1, 0, 1)])))
+    q = b.select(key, *[F.col(c).alias(f"b_{c}") for c in ("id", "x", "y", "w", "h")]).withColumns({"_i": cell("b_x"), "_j": cell("b_y")})
+    p = p.join(q, [key, "_i", "_j"]).drop("_i", "_j")
     p = p.withColumn("distance", F.sqrt(F.pow(F.col("a_x") - F.col("b_x"), 2) + F.pow(F.col("a_y") - F.col("b_y"), 2)))
     like = F.lit(True)
     for c in ("w", "h"):

@@ -165,3 +165,16 @@ def shade(nx: Column, ny: Column, nz: Column, view: Sequence[float], light: Sequ
     """Whether the front faces the viewer, and the brightness."""
     d = lambda v: nx * float(v[0]) + ny * float(v[1]) + nz * float(v[2])
     return d(view) < 0, F.lit(0.60) + 0.25 * F.abs(d(view)) + 0.15 * F.abs(d(light))
+
+
+def integrity(pixels: DataFrame, view: str = "view_id", width: str = "w", height: str = "h") -> DataFrame:
+    """Pixels of each view that break the raster's rules, and the first rule that is broken.
+
+    A pixel lies in the image and comes once; it has an object exactly where it has a finite depth, and that is positive."""
+    deep = N.finite(F.col("depth"))
+    hit = F.coalesce(F.col("object_index") >= 0, F.lit(False))
+    away = (F.col("x") < 0) | (F.col("y") < 0) | (F.col("x") >= F.col(width)) | (F.col("y") >= F.col(height))
+    by_pixel = pixels.groupBy(view, "x", "y").agg(F.count("*").alias("n"), F.bool_or(away).alias("away"), F.bool_or(deep != hit).alias("odd"), F.bool_or(deep & (F.col("depth") <= 0)).alias("behind"))
+    out = by_pixel.groupBy(view).agg(F.count_if("away").alias("outside"), F.count_if(F.col("n") > 1).alias("repeated"), F.count_if("odd").alias("unmatched"), F.count_if("behind").alias("not_positive"))
+    reason = F.when(F.col("outside") > 0, "pixel_outside_image").when(F.col("repeated") > 0, "pixel_repeated").when(F.col("unmatched") > 0, "depth_without_object_or_reverse").when(F.col("not_positive") > 0, "depth_not_positive")
+    return out.withColumn("reject_reason", reason)

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from quoin.functions.numeric import cosine, doubles, unit
 
 
+GROUP, SLICE = 1024, 16_384
+"""Queries and views of a cell of the grid of `recall`."""
+
+
 def ranked(views: DataFrame, query: DataFrame, vector: str = "embedding", order: str = "vec_id", digits: int = 12) -> DataFrame:
     """views with cosine to the one row of `query` (column q, a unit vector) and view_rank; ties by `order`.
 
@@ -31,9 +35,16 @@ def top_groups(views: DataFrame, query: DataFrame, group: str, groups: int, quot
 
 
 def recall(queries: DataFrame, views: DataFrame, group: str, ks: tuple[int, ...], vector: str = "embedding", order: str = "vec_id", digits: int = 12) -> DataFrame:
-    """(k, hits, n, recall): whether one of the k nearest other views has the query's group. `queries` is a stated set."""
+    """(k, hits, n, recall): whether one of the k nearest other views has the query's group. `queries` is a stated set.
+
+    Queries in groups and views in slices meet in a grid, one cell by key; each cell keeps the nearest of its queries."""
     u = lambda d, n: d.select(F.col(order).alias(f"{n}_id"), F.col(group).alias(f"{n}_g"), unit(doubles(F.col(vector))).alias(f"{n}_u")).where(f"{n}_u IS NOT NULL")
-    pairs = u(queries, "q").crossJoin(u(views, "v")).where("q_id <> v_id")
+    groups, slices = (max(1, -(-d.count() // n)) for d, n in ((queries, GROUP), (views, SLICE)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = u(queries, "q").select("*", deal("q_id", groups).alias("g"), every(slices).alias("s"))
+    held = u(views, "v").select("*", every(groups).alias("g"), deal("v_id", slices).alias("s"))
+    pairs = asked.join(held, ["g", "s"]).where("q_id <> v_id")
     w = Window.partitionBy("q_id").orderBy(F.desc("c"), "v_id")
     near = pairs.select("q_id", "q_g", "v_id", "v_g", F.round(cosine(F.col("q_u"), F.col("v_u")), digits).alias("c")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= max(ks))
     first = near.groupBy("q_id").agg(F.min(F.when(F.col("q_g") == F.col("v_g"), F.col("r"))).alias("first"))

@@ -88,3 +88,20 @@ def precision_coverage(scored: DataFrame, thresholds: list[float], score: str =
     taken = F.col("s") >= F.col("threshold")
     out = t.groupBy("threshold").agg(F.count("*").alias("n"), F.count_if(taken).alias("accepted"), F.count_if(taken & F.col("c")).alias("right"))
     return out.withColumns({"coverage": F.col("accepted") / F.col("n"), "precision": F.try_divide("right", "accepted")})
+
+
+def progress(items: DataFrame, status: str = "status") -> DataFrame:
+    """Items by status: what a progress index shows after each of them."""
+    return items.groupBy(status).agg(F.count("*").alias("n"))
+
+
+def gallery_rows(buildings: DataFrame, building: str = "building_id") -> DataFrame:
+    """One row for each view and visible wall of complete buildings (views: array of structs view_name, walls)."""
+    v = buildings.where("status = 'complete'").select(building, F.explode("views").alias("v"))
+    return v.select(building, "v.view_name", F.explode("v.walls").alias("wall_id"))
+
+
+def evaluated(results: DataFrame, expected: DataFrame, photo: str = "photo_id") -> DataFrame:
+    """results (photo, building_id, status) against the expected building of the photo; only after inference."""
+    truth = expected.select(photo, F.col("building_id").alias("expected_id"))
+    return results.join(truth, photo).withColumn("correct", F.col("building_id").eqNullSafe(F.col("expected_id")))

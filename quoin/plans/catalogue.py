@@ -552,15 +552,6 @@ def overview_views(spark, sf):
     return L.overview_view(v, W.objects(spark), "building_id", "view_id", "ord").drop("ord")
 
 
-@query(f"""WITH {W.MATCH_SQL}, {ERR_SQL}, c AS (SELECT cand, ord, px, py, CASE WHEN ord % 40 = 0 THEN 'check' ELSE 'control' END AS role, error / 100 AS e FROM e WHERE ord <= 80),
-d AS (SELECT k.cand, min(sqrt(pow(k.px - c.px, 2) + pow(k.py - c.py, 2))) AS apart FROM c k JOIN c ON k.cand = c.cand AND k.role = 'check' AND c.role = 'control' GROUP BY k.cand),
-s AS (SELECT cand, sqrt(avg(e * e) FILTER (role = 'control')) AS rmse_m, max(e) FILTER (role = 'check') AS check_max_m, count(*) FILTER (role = 'check') AS checks FROM c GROUP BY cand)
-SELECT s.cand, round(rmse_m, 6) AS rmse_m, round(check_max_m, 6) AS check_max_m, round(apart, 6) AS apart, CASE WHEN checks < 1 THEN 'no_checks' WHEN apart < 5 THEN 'check_too_close_to_control' WHEN rmse_m > 0.2 OR check_max_m > 0.3 THEN 'errors_too_large' END AS reject_reason FROM s LEFT JOIN d USING (cand)""")
-def calibration_quality(spark, sf):
-    """The first 80 matches of each cand only, as the SQL twin has it; calibration_quality_all takes all of them."""
-    return rounded(L.calibration(_calibrated(spark, sf).where("ord <= 80"), "cand").drop("checks"))
-
-
 def _calibrated(spark, sf):
     return _errors(spark, sf).select("cand", "ord", "px", "py", F.when(F.col("ord") % 40 == 0, "check").otherwise("control").alias("role"), (F.col("error") / 100).alias("error_m"))
 
@@ -569,7 +560,8 @@ def _calibrated(spark, sf):
 d AS (SELECT k.cand, min(sqrt(pow(k.px - c.px, 2) + pow(k.py - c.py, 2))) AS apart FROM c k JOIN c ON k.cand = c.cand AND k.role = 'check' AND c.role = 'control' GROUP BY k.cand),
 s AS (SELECT cand, sqrt(avg(e * e) FILTER (role = 'control')) AS rmse_m, max(e) FILTER (role = 'check') AS check_max_m, count(*) FILTER (role = 'check') AS checks FROM c GROUP BY cand)
 SELECT s.cand, round(rmse_m, 6) AS rmse_m, round(check_max_m, 6) AS check_max_m, round(apart, 6) AS apart, CASE WHEN checks < 1 THEN 'no_checks' WHEN apart < 5 THEN 'check_too_close_to_control' WHEN rmse_m > 0.2 OR check_max_m > 0.3 THEN 'errors_too_large' END AS reject_reason FROM s LEFT JOIN d USING (cand)""")
-def calibration_quality_all(spark, sf):
+def calibration_quality(spark, sf):
+    """All matches of each cand."""
     return rounded(L.calibration(_calibrated(spark, sf), "cand").drop("checks"))
 
 
@@ -639,7 +631,7 @@ def hull_coverage(spark, sf):
     return K.per_group(m, "cand", ["px", "py"], lambda p: K.coverage(p, 1000, 600), "hull double, x_span double, y_span double")
 
 
-@query()
+@query("""SELECT s_suppkey, CAST(12 AS DOUBLE) AS n, round((2 * sqrt(2) - 2 * 0.04) * pow(s_suppkey % 5 + 1, 2), 6) AS area, CAST(NULL AS VARCHAR) AS error FROM supplier""")
 def triangulate(spark, sf):
     """A ring of eight corners with a square hole for each supplier; its area is that of its triangles."""
 
@@ -651,10 +643,10 @@ def triangulate(spark, sf):
     ring = F.when(F.col("ord") < 8, F.cos(angle)).otherwise(F.cos(angle + 0.1) * 0.2), F.when(F.col("ord") < 8, F.sin(angle)).otherwise(F.sin(angle + 0.1) * 0.2)
     s = W.table(spark, sf, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("o")).withColumn("ord", F.when(F.col("o") < 8, F.col("o")).otherwise(F.col("o") * 2 - 8))
     s = s.withColumns({"x": ring[0] * (F.col("s_suppkey") % 5 + 1), "y": ring[1] * (F.col("s_suppkey") % 5 + 1)})
-    return K.per_group(s, "s_suppkey", ["x", "y"], run, "n double, area double")
+    return rounded(K.per_group(s, "s_suppkey", ["x", "y"], run, "n double, area double"))
 
 
-@query()
+@query("SELECT p_partkey, CAST(1 AS DOUBLE) AS rings, CAST(p_size % 4 + 1 AS DOUBLE) AS area, CAST(NULL AS VARCHAR) AS error FROM part")
 def polygon_union(spark, sf):
     """Outer boundary of a strip of unit squares for each part."""
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from quoin.plans import catalogue
+from quoin.plans import policies as catalogue
 
 SF = "/root/testdata/sf0.001"
 

@@ -163,3 +163,29 @@ def test_missing_outputs(spark):
 def test_parsed_boxes(spark):
     df = spark.createDataFrame([(0.0, 0.0, 1.0, 1.0), (1.0, 0.0, 1.0, 1.0), (None, 0.0, 1.0, 1.0), (float("inf"), 0.0, 1.0, 1.0)], "x0 double, y0 double, x1 double, y1 double")
     assert [r[0] is not None for r in df.select(B.parsed(B.Box.at())).collect()] == [True, False, False, False]
+
+
+def test_refined_pose_keeps_the_photo():
+    import numpy as np
+
+    from quoin.operators import policy as L
+
+    same, centres = np.eye(3), np.array([[0, 0], [100, 0], [0, 100.0]])
+    told = lambda h, c=centres: tuple(L.keeps_pose(np.array(h, float), same, (640, 480), c).values())
+    assert told(same) == (True, True, True)
+    assert told([[-1, 0, 0], [0, 1, 0], [0, 0, 1]]) == (True, False, False)
+    assert told([[1, 0, 0], [0, 1, 0], [-0.01, 0, 1]])[0] is False
+    assert told([[1, 0, 29], [0, 1, 0], [0, 0, 1]])[2] and not told([[1, 0, 31], [0, 1, 0], [0, 0, 1]])[2]
+    assert not told([[1, 0, 5], [0, 1, 0], [0, 0, 1]], centres / 10)[2] and not told([[1, 0, 1], [0, 1, 0], [0, 0, 1]], centres[:1])[2]
+
+
+def test_ring_containment_of_touching_and_crossing_quadrangles():
+    import numpy as np
+
+    notch = np.array([[0, 0], [10, 0], [10, 10], [6, 10], [6, 4], [4, 4], [4, 10], [0, 10]], float)
+    box = lambda x0, y0, x1, y1: np.array([[x0, y0], [x1, y0], [x1, y1], [x0, y1]], float)
+    assert K.inside_ring(box(0, 0, 4, 10), notch) and K.inside_ring(box(0, 0, 10, 4), notch)
+    assert not K.inside_ring(box(3, 3, 7, 5), notch) and not K.inside_ring(box(-1, 0, 3, 3), notch)
+    assert K.inside_ring(box(-0.02, 0, 3, 3), notch, 0.03) and not K.inside_ring(box(-0.05, 0, 3, 3), notch, 0.03)
+    assert K.inside_ring(box(0, 0, 4, 10), notch[::-1])
+    assert len(K.clean_ring(np.array([[0, 0], [1, 0], [1, 0], [1, 1], [0, 0]], float))) == 3

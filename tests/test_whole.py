@@ -27,7 +27,7 @@ def test_least_distance_of_checks_to_controls_is_that_of_all_pairs(spark):
 
 def test_calibration_takes_every_match(spark):
     all_ = views.matches(spark, SF).groupBy("cand").count().where("count > 80")
-    q = catalogue.QUERIES["calibration_quality_all"](spark, SF).collect()
+    q = catalogue.QUERIES["calibration_quality"](spark, SF).collect()
     e = catalogue._errors(spark, SF).where("ord % 40 <> 0").selectExpr("cand", "error / 100 AS e").groupBy("cand").agg({"e": "collect_list"}).collect()
     want = {r[0]: float(np.sqrt(np.mean(np.square(r[1])))) for r in e}
     assert all_.count() and {r.cand for r in q} == want.keys() and all(abs(r.rmse_m - want[r.cand]) < 1e-6 for r in q)
