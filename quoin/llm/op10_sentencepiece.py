@@ -6,6 +6,7 @@ Where no piece has a space mark after another character, merges never cross the
 marks begins, nor any two adjacent characters that no piece has together, so each such section is solved once and
 kept in a bounded cache. Every Arrow batch is also encoded
 by the sentencepiece library: `agreed` tells whether it has the same ids. The ids that are returned are the agenda's own.
+Texts that a task has met before (by 128 bits of their digest) get the row they had.
 
 Null and empty texts give the end id alone; long texts are encoded whole; repeated rows get equal ids; an empty table gives
 an empty result. Other columns, whatever their names, play no part; those to `keep` must not have a result's name.
@@ -13,6 +14,7 @@ an empty result. Other columns, whatever their names, play no part; those to `ke
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
@@ -28,6 +30,8 @@ SPACE = "▁"
 CACHE = 1_000_000
 """Sections kept by a worker, in two halves: a full half becomes the older one, and the oldest goes.
 A million take some 250 MB."""
+KNOWN = 50_000
+"""Results of texts kept by a task; then it starts anew. They take some 20 MB."""
 SHORT = 40
 NEVER = float("inf")
 
@@ -40,6 +44,7 @@ class Agenda:
         self.sectioned = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
         self.score = {p: -s for p, (_, s) in pieces.items()}.get
         self.bigrams = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+        self.lone: dict[str, tuple[int, ...]] = {}
         self.kept: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
@@ -142,16 +147,21 @@ class Agenda:
         """A section falls apart where no piece has its two adjacent characters."""
         if section[1:].isascii() and section[1:].isalpha():  # rarely does
             return self.merge(section)
-        ids: tuple[int, ...] = ()
-        at, bigrams = 0, self.bigrams
+        ids: list[int] = []
+        at, bigrams, lone = 0, self.bigrams, self.lone
         for i in range(1, len(section) + 1):
             if i == len(section) or section[i - 1 : i + 1] not in bigrams:
                 part = section[at:i]
                 if len(part) == len(section):
                     return self.merge(section)
-                ids += (self.kept.get(part[1:]) or self.recall(part[1:])) if part[0] == SPACE else self.merge(part)
+                if len(part) == 1:
+                    if part not in lone:
+                        lone[part] = self.ids_of([part])
+                    ids += lone[part]
+                else:
+                    ids += (self.kept.get(part[1:]) or self.recall(part[1:])) if part[0] == SPACE else self.merge(part)
                 at = i
-        return ids
+        return tuple(ids)
 
 
 _loaded: dict[tuple[str, int], tuple] = {}
@@ -178,23 +188,37 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", keep: tupl
     safe = [f"keep_{i}" for i in range(len(keep))]  # names that mapInArrow can resolve
     out = StructType([StructField(k, docs.schema[c].dataType) for c, k in zip(keep, safe, strict=True)] + StructType.fromDDL(SCHEMA).fields + (StructType.fromDDL("ids array<int>").fields if with_ids else []))
 
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_(), *([pa.list_(pa.int32())] if with_ids else [])]
+
+    def sha(t: str) -> str:
+        return hashlib.sha256(t.encode()).hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library, agenda, names = loaded(model, cache)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                texts = [t or "" for t in b.column(len(keep)).to_pylist()]
-                rows, ids_out = [], []
-                for t, expected in zip(texts, library.encode(texts, add_eos=True, num_threads=1), strict=True):
-                    ids = agenda.encode(t)
-                    agreed = ids == expected
-                    decoded = library.decode(ids)
-                    rows.append((len(ids), hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), agreed))
-                    if with_ids:
-                        ids_out.append(ids)
-                cols = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.bool_()), strict=True)]
-                more = [pa.array(ids_out, pa.list_(pa.int32()))] if with_ids else []
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *cols, *more], names=out.names)
+        known: dict[bytes, tuple] = {}
+        collects = gc.isenabled()
+        gc.disable()  # nothing here refers to itself, and passes over the cache take time
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 256):
+                    b = whole.slice(at, 256)
+                    texts = [t or "" for t in b.column(len(keep)).to_pylist()]
+                    digests = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts]
+                    if len(known) > KNOWN:
+                        known.clear()
+                    found = {} if with_ids else known  # ids are long: kept for one slice only
+                    new = {d: t for d, t in zip(digests, texts, strict=True) if d not in found}
+                    encoded = library.encode(list(new.values()), add_eos=True, num_threads=1) if new else []
+                    for (d, t), expected in zip(new.items(), encoded, strict=True):
+                        ids = agenda.encode(t)
+                        row = len(ids), sha(" ".join(map(names.__getitem__, ids))), sha(library.decode(ids)), ids == expected
+                        found[d] = (*row, ids) if with_ids else row
+                    rows = [found[d] for d in digests]
+                    cols = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *cols], names=out.names)
+        finally:
+            if collects:
+                gc.enable()
         tidy()
 
     source = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, safe, strict=True)], F.col(f"`{text}`").cast("string").alias("body"))

@@ -185,7 +185,7 @@ def test_op7_edges(docs, rows, empty):
 
 
 def test_op10_like_library(docs, rows):
-    library, agenda, _ = op10_sentencepiece.loaded(op10_sentencepiece.default_model())
+    library, agenda, *_ = op10_sentencepiece.loaded(op10_sentencepiece.default_model())
     got = op10_sentencepiece.encode_documents(docs, op10_sentencepiece.default_model(), with_ids=True).collect()
     texts = {r[0]: r[1] or "" for r in rows}
     assert len(got) == len(rows) and all(r.agreed for r in got)
@@ -198,7 +198,7 @@ def test_op10_like_library(docs, rows):
 def test_op10_agenda_on_odd_texts():
     import random
 
-    library, agenda, _ = op10_sentencepiece.loaded(op10_sentencepiece.default_model())
+    library, agenda, *_ = op10_sentencepiece.loaded(op10_sentencepiece.default_model())
     rng = random.Random(1)
     alphabet = [*" \t\n ab▁éÅ中🎉<s>0xthein.'\x00", "  ", "   ", "the ", "x" * 50]
     for _ in range(3000):
@@ -265,3 +265,17 @@ def test_op6_repeated_labelled_ids(spark):
 def test_op10_agrees_with_the_library_on_a_whole_table(spark):
     got = op10_sentencepiece.query(spark, plain.SF.replace("0.001", "0.01"))
     assert got.where("NOT agreed").count() == 0
+
+
+def test_op10_equal_texts_have_equal_rows_with_and_without_ids(spark):
+    texts = ["a b c", None, "", "a b c", "中文" * 2000, "中文" * 2000, "a  b", "a b c"] * 100
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = op10_sentencepiece.default_model()
+    plain_rows = {r.doc_id: r for r in op10_sentencepiece.encode_documents(docs, model).collect()}
+    with_ids = op10_sentencepiece.encode_documents(docs, model, with_ids=True).collect()
+    library = op10_sentencepiece.loaded(model)[0]
+    assert len(with_ids) == len(plain_rows) == len(texts)
+    for r in with_ids:
+        assert r.ids == library.encode(texts[r.doc_id] or "", add_eos=True)
+        assert r.agreed and r.n_tokens == len(r.ids)
+        assert (r.ids_sha256, r.decoded_sha256) == (plain_rows[r.doc_id].ids_sha256, plain_rows[r.doc_id].decoded_sha256)
