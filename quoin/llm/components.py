@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, release
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, root) for each node of an edge other than its own root; root is the smallest node reachable."""
     e = cut(edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo < hi").distinct())
+    release(edges.sparkSession)  # what made the edges may be large
     last = None
     for _ in range(rounds):
         both = e.union(e.select("hi", "lo").toDF("lo", "hi")).toDF("v", "n")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import uuid
 
 import pyarrow as pa
@@ -75,6 +76,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -84,6 +86,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of plans that nothing refers to any more: it learns of these only when the driver
+    collects garbage, which a driver with free memory puts off while the executors' disks fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_bytes(docs: DataFrame, text: str) -> int:
     """UTF-8 bytes of a text column: one pass over that column. Only sizes of parts depend on it, never results."""
     return docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
