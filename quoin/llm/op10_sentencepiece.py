@@ -4,7 +4,8 @@ A text is a row of symbols. An agenda holds the adjacent pairs whose union is a
 leftmost among equals; the best pair is merged and its new neighbours join the agenda, until none is left.
 Where no piece has a space mark after another character, merges never cross the places where a run of space
 marks begins, nor any two adjacent characters that no piece has together, so each such section is solved once and
-kept in a bounded cache. Every Arrow batch is also encoded
+kept in a bounded cache. Words of a batch that the cache lacks are solved in step: each round takes the head of every
+word's agenda at once, as arrays. Every Arrow batch is also encoded
 by the sentencepiece library: `agreed` tells whether it has the same ids. The ids that are returned are the agenda's own.
 Texts that a task has met before (by 128 bits of their digest) get the row they had.
 
@@ -18,8 +19,11 @@ import gc
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import cached_property
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +37,10 @@ A million take some 250 MB."""
 KNOWN = 50_000
 """Results of texts kept by a task; then it starts anew. They take some 20 MB."""
 SHORT = 40
+LOT = 20_000
+"""Words solved in step."""
+FEW = 200
+"""Fewer words are solved one by one."""
 NEVER = float("inf")
 
 
@@ -45,8 +53,8 @@ class Agenda:
         self.score = {p: -s for p, (_, s) in pieces.items()}.get
         self.bigrams = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         self.lone: dict[str, tuple[int, ...]] = {}
-        self.kept: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.kept: dict[str, Sequence[int]] = {}
+        self.older: dict[str, Sequence[int]] = {}
 
     @classmethod
     def of(cls, processor, cache: int = CACHE) -> Agenda:
@@ -117,23 +125,43 @@ class Agenda:
                     ids.extend(self.byte_ids[b] for b in s.encode())
             return tuple(ids)
 
+    def words(self, text: str) -> list[str] | None:
+        """The words of a text whose sections are a space mark and a word each."""
+        if text and self.sectioned and self.prefix and SPACE not in text and "  " not in text and text[0] != " " != text[-1]:
+            return text.split(" ")
+        return None
+
     def encode(self, text: str) -> list[int]:
         """Ids of a text, the end id last."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts, the end id last; words that the cache lacks are solved together."""
+        split = [self.words(t) for t in texts]
+        found = [w and list(map(self.kept.get, w)) for w in split]
+        holes = [f and [i for i, ids in enumerate(f) if ids is None] for f in found]
+        solved = self.solve_all({w[i] for w, h in zip(split, holes, strict=True) if h for i in h})
+        out = []
+        for text, w, f, h in zip(texts, split, found, holes, strict=True):
+            if w:
+                for i in h:
+                    f[i] = solved[w[i]]
+                ids = list(chain.from_iterable(f))
+            else:
+                ids = self.marked(text)
+            ids.append(self.end)
+            out.append(ids)
+        return out
+
+    def marked(self, text: str) -> list[int]:
+        """Ids of a text of any form, section by section."""
         ids: list[int] = []
-        if not text:
-            return [self.end]
-        if self.sectioned and self.prefix and SPACE not in text and "  " not in text and text[0] != " " != text[-1]:
-            recall = self.recall
-            for word in text.split(" "):
-                ids += self.kept.get(word) or recall(word)
-        else:
-            marked = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-            for s in re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", marked) if self.sectioned else [marked]:
-                ids += self.kept.get(s[1:]) or self.recall(s[1:]) if self.sectioned and s[0] == SPACE else self.merge(s)
-        ids.append(self.end)
+        marked = (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
+        for s in re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", marked) if self.sectioned else [marked]:
+            ids += self.kept.get(s[1:]) or self.recall(s[1:]) if self.sectioned and s[0] == SPACE else self.merge(s)
         return ids
 
-    def recall(self, word: str) -> tuple[int, ...]:
+    def recall(self, word: str) -> Sequence[int]:
         """Ids of a section (a space mark and a word): from the older half of the cache, else solved."""
         if (ids := self.older.get(word)) is None:
             ids = self.solve(SPACE + word)
@@ -143,6 +171,85 @@ class Agenda:
             self.kept[word] = ids
         return ids
 
+    def solve_all(self, words: set[str]) -> dict[str, Sequence[int]]:
+        """Ids of sections as by `recall`: short ones in step, if there are enough."""
+        solved = {w: ids for w in words if (ids := self.older.get(w)) is not None}
+        new = [w for w in words if w not in solved and len(w) < SHORT]
+        if len(new) >= FEW and self.tables:
+            for at in range(0, len(new), LOT):
+                solved.update(self.merged_in_step(new[at : at + LOT]))
+        if len(self.kept) + len(solved) > self.limit // 2:
+            self.older, self.kept = self.kept, {}
+        self.kept.update(islice(solved.items(), self.limit // 2))
+        for w in words:
+            if w not in solved:
+                solved[w] = self.recall(w)
+        return solved
+
+    @cached_property
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """(symbol of each character, keys of the pairs that form a piece, their unions, id of each symbol). Symbols are
+        numbered by falling score, so the head of an agenda is its least union; pieces of several space marks are in no
+        word. None where unions share a score."""
+        order = sorted((p for p in self.pieces if p.count(SPACE) < 2), key=self.score)
+        if len({self.score(p) for p in order if len(p) > 1}) < sum(len(p) > 1 for p in order):
+            return None
+        names = order + sorted({c for p in order for c in p} - self.pieces.keys())
+        at = {s: i for i, s in enumerate(names)}
+        pairs = sorted((at[p[:i]] * len(names) + at[p[i:]], at[p]) for p in order for i in range(1, len(p)) if p[:i] in at and p[i:] in at)
+        chars = np.full(max(map(ord, (s for s in names if len(s) == 1)), default=0) + 2, -1, np.int32)
+        for s in names:
+            if len(s) == 1 and s != "\0":  # which fills up shorter words
+                chars[ord(s)] = at[s]
+        keys = np.array([k for k, _ in pairs] + [np.iinfo(np.int64).max], np.int64)
+        unions = np.array([u for _, u in pairs] + [0], np.int32)
+        ids = np.array([self.pieces[s][0] if s in self.pieces else -1 for s in names], np.int32)
+        return chars, keys, unions, ids
+
+    def merged_in_step(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """Each word whose characters and results all have ids, with these. Every round merges one pair of each word that
+        has one left, so words still open have one length; shorter ones join as that length is reached."""
+        chars, keys, unions, ids = self.tables
+        none = np.iinfo(np.int32).max
+
+        def union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            key = a.astype(np.int64) * len(ids) + b
+            found = np.searchsorted(keys, key)
+            return np.where(keys[found] == key, unions[found], none)
+
+        def without(grid: np.ndarray, at: np.ndarray) -> np.ndarray:
+            stays = np.ones(grid.shape, bool)
+            stays[np.arange(len(at)), at] = False
+            return grid[stays].reshape(len(at), grid.shape[1] - 1)
+
+        length = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        width = int(length.max())
+        points = np.array([SPACE + w for w in words], f"U{width}").view(np.uint32).reshape(-1, width)
+        grid = chars[np.minimum(points, len(chars) - 1)]
+        known = ((grid >= 0) | (np.arange(width) >= length[:, None])).all(1)
+        who, symbols, agenda = np.empty(0, np.int64), np.empty((0, width), np.int32), np.empty((0, width), np.int32)
+        for w in range(width, 0, -1):  # the agenda's last column, without a pair, is always `none`
+            joins = np.flatnonzero(known & (length == w))
+            fresh = grid[joins, :w]
+            pairs = np.full(fresh.shape, none, np.int32)
+            pairs[:, :-1] = union(fresh[:, :-1], fresh[:, 1:])
+            who, symbols, agenda = np.concatenate([who, joins]), np.concatenate([symbols, fresh]), np.concatenate([agenda, pairs])
+            at = agenda.argmin(1)  # the leftmost of the best
+            best = agenda[np.arange(len(who)), at]
+            on = best != none
+            result = ids[symbols[~on]]
+            for i, row in zip(who[~on].tolist(), result.tolist(), strict=True):
+                if min(row) >= 0:
+                    yield words[i], row
+            who, at, best = who[on], at[on], best[on]
+            symbols, agenda = without(symbols[on], at + 1), without(agenda[on], at)
+            row = np.arange(len(who))
+            symbols[row, at] = best
+            if (r := row[at > 0]).size:
+                agenda[r, at[r] - 1] = union(symbols[r, at[r] - 1], best[r])
+            if (r := row[at < w - 2]).size:
+                agenda[r, at[r]] = union(best[r], symbols[r, at[r] + 1])
+
     def solve(self, section: str) -> tuple[int, ...]:
         """A section falls apart where no piece has its two adjacent characters."""
         if section[1:].isascii() and section[1:].isalpha():  # rarely does
@@ -200,8 +307,8 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", keep: tupl
         gc.disable()  # nothing here refers to itself, and passes over the cache take time
         try:
             for whole in batches:
-                for at in range(0, whole.num_rows, 256):
-                    b = whole.slice(at, 256)
+                for at in range(0, whole.num_rows, 96):
+                    b = whole.slice(at, 96)
                     texts = [t or "" for t in b.column(len(keep)).to_pylist()]
                     digests = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts]
                     if len(known) > KNOWN:
@@ -209,8 +316,7 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", keep: tupl
                     found = {} if with_ids else known  # ids are long: kept for one slice only
                     new = {d: t for d, t in zip(digests, texts, strict=True) if d not in found}
                     encoded = library.encode(list(new.values()), add_eos=True, num_threads=1) if new else []
-                    for (d, t), expected in zip(new.items(), encoded, strict=True):
-                        ids = agenda.encode(t)
+                    for d, expected, ids in zip(new, encoded, agenda.encode_all(list(new.values())), strict=True):
                         row = len(ids), sha(" ".join(map(names.__getitem__, ids))), sha(library.decode(ids)), ids == expected
                         found[d] = (*row, ids) if with_ids else row
                     rows = [found[d] for d in digests]

@@ -195,6 +195,26 @@ def test_op10_like_library(docs, rows):
         assert r.ids_sha256 == plain.sha(" ".join(map(str, ids)).encode()) and r.decoded_sha256 == plain.sha(library.decode(ids).encode())
 
 
+def test_op10_words_in_step():
+    import random
+
+    library, *_ = op10_sentencepiece.loaded(op10_sentencepiece.default_model())
+    rng = random.Random(5)
+    letters = ["a", "e", "t", "th", "ing", "er", "é", "ß", "&", ".", "\n", "\0", "漢", "🙂", "'", "0", "aaaa"]
+    words = {"".join(rng.choices(letters, k=rng.randint(1, 14))) for _ in range(6000)} | {"x" * n for n in range(1, 130)}
+    texts = [" ".join(rng.choices(sorted(words), k=700)) for _ in range(12)] + ["", " a", "a  b", "▁a b"]
+    expected = library.encode(texts, add_eos=True)
+    for cache in (op10_sentencepiece.CACHE, 1000, 10):
+        agenda = op10_sentencepiece.Agenda.of(library, cache)
+        assert agenda.encode_all(texts) == expected
+        assert agenda.encode_all(texts[::-1]) == expected[::-1]
+        assert len(agenda.kept) + len(agenda.older) <= cache
+    short = sorted(w for w in words if len(w) < op10_sentencepiece.SHORT)
+    in_step = dict(agenda.merged_in_step(short))
+    assert set(in_step) >= {w for w in short if all(c in agenda.pieces for c in w)}  # others are solved one by one
+    assert all(tuple(ids) == agenda.merge(op10_sentencepiece.SPACE + w) for w, ids in in_step.items())
+
+
 def test_op10_agenda_on_odd_texts():
     import random
 
