@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 RANSAC_PX, RANSAC_ROUNDS, TRAIN_MIN = 4.0, 10_000, 4
 RANSAC_LEAST, RANSAC_CONFIDENCE = 500, 0.999
 PLANE_TOLERANCE = 0.03
 AREA_RTOL = 1e-5
+PAIRS_AT_ONCE, PAIRS_TRIED = 1 << 21, 100_000
 
 
 def normaliser(p: np.ndarray) -> np.ndarray:
@@ -329,3 +333,124 @@ def per_group(df: DataFrame, key: str, columns: list[str], f, fields: str) -> Da
         return pd.DataFrame([{key: pdf[key].iloc[0]} | row])
 
     return df.select(key, "ord", *columns).groupBy(key).applyInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, {fields}, error string")
+
+
+class Gaps:
+    """Distances |a - b| / scale of all pairs of finite values with the same code, ordered without making the pairs.
+
+    With a code's b sorted, the b within a distance of an a are one run, so pairs up to a distance are counted by binary
+    search with the distances themselves. Memory grows with the values, not with the pairs."""
+
+    def __init__(self, codes_a: np.ndarray, a: np.ndarray, codes_b: np.ndarray, b: np.ndarray, scale: float = 1.0):
+        order = np.lexsort((a, codes_a))  # neighbours look in the same places
+        self.a, codes_a = a[order], codes_a[order]
+        order = np.lexsort((b, codes_b))
+        self.b, self.scale, codes = b[order], scale, codes_b[order]
+        self.start, self.end = np.searchsorted(codes, codes_a, "left"), np.searchsorted(codes, codes_a, "right")
+        self.middle = self._first(self.start, self.end, lambda i, j: self.b[j] >= self.a[i])
+        self.n = int((self.end - self.start).sum())
+
+    @staticmethod
+    def _first(low: np.ndarray, high: np.ndarray, holds) -> np.ndarray:
+        """For each a the first place in [low, high) from which on it holds, else high."""
+        low, high = low.copy(), high.copy()
+        while (i := np.flatnonzero(low < high)).size:
+            j = (low[i] + high[i]) // 2
+            yes = holds(i, j)
+            high[i[yes]], low[i[~yes]] = j[yes], j[~yes] + 1
+        return low
+
+    def gap(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return np.abs(self.a[i] - self.b[j]) / self.scale
+
+    def _upto(self, limit: float, inner: tuple[np.ndarray, np.ndarray], outer: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The run of b within the limit of each a, known to lie between two others."""
+        return self._first(outer[0], inner[0], lambda i, j: self.gap(i, j) <= limit), self._first(inner[1], outer[1], lambda i, j: self.gap(i, j) > limit)
+
+    def nth(self, k: int) -> tuple[float, float]:
+        """The k-th least distance, from 0, and the one after it (the last: itself).
+
+        Distances drawn from those still open only say where to cut; what is cut off is counted, so the result is exact."""
+        rng = np.random.default_rng(0)
+        low, inner = -1.0, (self.middle, self.middle)
+        high, outer = np.inf, (self.start, self.end)
+        close = False
+        while True:
+            below, upto = (int((r - l).sum()) for l, r in (inner, outer))
+            if math.nextafter(low, math.inf) >= high:
+                return high, high if k + 1 < upto or upto == self.n else self._after(outer)
+            first, sizes = np.concatenate([outer[0], inner[1]]), np.concatenate([inner[0] - outer[0], outer[1] - inner[1]])
+            ends = np.cumsum(sizes)
+            open_ = upto - below
+            at = np.arange(open_) if open_ <= PAIRS_AT_ONCE else np.sort(rng.integers(0, open_, PAIRS_TRIED))
+            row = np.searchsorted(ends, at, "right")
+            gaps = self.gap(row % len(self.a), first[row] + at - (ends - sizes)[row])
+            gaps.sort()
+            if open_ <= PAIRS_AT_ONCE:
+                k -= below
+                return float(gaps[k]), float(gaps[k + 1]) if k + 1 < open_ else float(gaps[k]) if upto == self.n else self._after(outer)
+            near = (k - below) / open_ * len(gaps)
+            wide = 0 if close else 4 * np.sqrt(len(gaps)) / 2 + 1
+            cuts = [math.nextafter(gaps[max(0, int(near - wide))], -math.inf), gaps[min(len(gaps) - 1, int(near + wide))]]
+            for cut in cuts:
+                if not low < cut < high:
+                    continue
+                run = self._upto(cut, inner, outer)
+                if k < int((run[1] - run[0]).sum()):
+                    high, outer = cut, run
+                else:
+                    low, inner = cut, run
+            close = int((outer[1] - outer[0]).sum() - (inner[1] - inner[0]).sum()) == open_
+
+    def _after(self, outer: tuple[np.ndarray, np.ndarray]) -> float:
+        """The least distance outside the runs."""
+        i, j = np.flatnonzero(outer[0] > self.start), np.flatnonzero(outer[1] < self.end)
+        return float(min(self.gap(i, outer[0][i] - 1).min(initial=np.inf), self.gap(j, outer[1][j]).min(initial=np.inf)))
+
+
+def gap_percentiles(a: DataFrame, b: DataFrame, key: str, match: str, value: str, shares: tuple[float, ...], scale: float = 1.0) -> DataFrame:
+    """For each key, over all pairs of its rows of a and of b with equal `match`: n, the number of distances
+    |a - b| / scale that are not null, and `at`, their percentiles (linear), with NaN above infinity. No pairs: no row.
+
+    Pairs are counted, not made (see Gaps): a task holds the rows of one key."""
+
+    def codes(tables: list[pa.Table]) -> list[np.ndarray]:
+        parts = [t.column("m").to_numpy() for t in tables]
+        _, both = np.unique(np.concatenate(parts), return_inverse=True)
+        return np.split(both, [len(parts[0])])
+
+    def counts(code: np.ndarray, size: int, v: np.ndarray) -> list[np.ndarray]:
+        return [np.bincount(code[w], minlength=size) for w in (v == v, v == np.inf, v == -np.inf)]
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        out = {"k": [], "n": [], "at": []}
+        codes_x, codes_y = codes([x, y]) if x.num_rows and y.num_rows else (np.empty(0, int), np.empty(0, int))
+        if np.intersect1d(codes_x, codes_y).size:
+            size = int(max(codes_x.max(), codes_y.max())) + 1
+            sides = [(c[w], t.column("v").to_numpy()[w]) for c, t in ((codes_x, x), (codes_y, y)) for w in [t.column("v").is_valid().to_numpy()]]
+            number = int(np.dot(*[np.bincount(c, minlength=size) for c, _ in sides]))
+            (real_x, up_x, down_x), (real_y, up_y, down_y) = (counts(c, size, v) for c, v in sides)
+            real = int(real_x @ real_y - up_x @ up_y - down_x @ down_y)  # infinity less infinity is no number
+            (c, v), (d, w) = ((c[np.isfinite(v)], v[np.isfinite(v)]) for c, v in sides)
+            gaps = Gaps(c, v, d, w, scale)
+
+            def nth(k: int) -> tuple[float, float]:
+                beyond = lambda i: np.inf if i < real else np.nan
+                if k >= gaps.n:
+                    return beyond(k), beyond(k + 1)
+                here, after = gaps.nth(k)
+                return here, after if k + 1 < gaps.n else beyond(k + 1)
+
+            at = []
+            for share in shares if number else ():
+                place = (number - 1) * share
+                k = int(place)
+                here, after = nth(k)
+                at.append(here if place == k or here == after else (k + 1 - place) * here + (place - k) * after)
+            out = {"k": [x.column("k")[0].as_py()], "n": [number], "at": [at or None]}
+        return pa.table(out, schema=pa.schema([x.schema.field("k"), ("n", pa.int64()), ("at", pa.list_(pa.float64()))]))
+
+    kind = a.schema[key].dataType.simpleString()
+    x, y = (t.where(f"`{match}` IS NOT NULL AND `{key}` IS NOT NULL").selectExpr(f"`{key}` AS k", f"`{match}` AS m", f"CAST(`{value}` AS DOUBLE) AS v").groupBy("k") for t in (a, b))
+    return x.cogroup(y).applyInArrow(run, f"k {kind}, n long, at array<double>").withColumnRenamed("k", key)
