@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quoin.operators import kernels as K
 from quoin.operators import matching as M
+from quoin.operators import spatial as P
 from quoin.plans import policies as catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +55,30 @@ def test_every_rank_of_the_gaps(monkeypatch, at_once, tried):
 
 def test_cross_view_agreement_makes_no_pairs(spark):
     assert "Join" not in catalogue.QUERIES["cross_view_agreement"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def neighbours(a, b, radius, k):
+    """By a plain loop: ranks for each a_id over all its rows."""
+    pairs = [(i, math.sqrt((u - x) * (u - x) + (v - y) * (v - y)), j) for i, x, y in a for j, u, v in b if None not in (x, y, u, v)]
+    near = sorted(p for p in pairs if p[1] <= radius)
+    return sorted((i, r + 1, j, d) for i in {p[0] for p in near} for r, (_, d, j) in enumerate([p for p in near if p[0] == i][:k]))
+
+
+def test_nearest_like_a_plain_loop(spark):
+    rng = np.random.default_rng(5)
+    spots = lambda n, size, base: [(base + i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(0, size, (n, 2)))]
+    grid = lambda n, size, base: [(base + i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(-size, size, (n, 2)))]
+    odd = [(0, None, 1.0), (1, NAN, 1.0), (2, INF, 0.0), (3, -INF, INF), (4, 1e300, 0.0), (5, 1e300, 0.0), (6, -0.0, 0.0), (7, 30.0, 0.0), (8, 60.0, 0.0), (9, -30.0, 0.0), (9, 0.0, 30.0)]
+    a = odd + spots(60, 0.05, 100) + spots(40, 200, 200) + grid(40, 20, 300) + [(400, 5.0, 5.0)] * 2 + [(401, -0.01, 700.0)]
+    b = odd + spots(300, 0.05, 1000) + spots(150, 200, 2000) + grid(200, 20, 3000) + [(4000 + i, 5.0, 5.0) for i in range(9)] + [(5000 + i, i / 1000, 700.0) for i in range(50)]
+    frames = [spark.createDataFrame(x, "id int, x double, y double") for x in (a, b)]
+    got = sorted((r.a_id, r.rank, r.b_id, r.distance) for r in P.nearest(*frames, 30.0).collect())
+    assert got == neighbours(a, b, 30.0, 5)
+
+
+def test_nearest_where_all_are_near(spark):
+    """4 thousand million pairs are within the radius."""
+    a = spark.range(20_000).select("id", (F.col("id") % 200 / 10).alias("x"), (F.floor(F.col("id") / 200) / 10).alias("y"))
+    b = spark.range(200_000).select("id", (F.col("id") % 200 / 10).alias("x"), (F.floor(F.col("id") / 200) % 100 / 10).alias("y"))
+    got = P.nearest(a, b, 30.0).groupBy("rank").agg(F.count("*").alias("n"), F.max("distance").alias("far"), F.bool_and(F.col("b_id") == F.col("a_id") + 20_000 * (F.col("rank") - 1)).alias("same"))
+    assert sorted(map(tuple, got.collect())) == [(r, 20_000, 0.0, True) for r in range(1, 6)]
