@@ -187,29 +187,46 @@ class Agenda:
         return solved
 
     @cached_property
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-        """(symbol of each character, keys of the pairs that form a piece, their unions, id of each symbol). Symbols are
-        numbered by falling score, so the head of an agenda is its least union; pieces of several space marks are in no
-        word. None where unions share a score."""
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[Sequence[int] | None]] | None:
+        """(symbol of each character, keys of the pairs that form a piece, their unions, id of each symbol, ids of each that
+        has no own one). Symbols are numbered by falling score, so the head of an agenda is its least union; pieces of several
+        space marks are in no word. The last symbol stands for all characters that no piece has. Ids are one object each,
+        as they are met often. None where unions share a score."""
         order = sorted((p for p in self.pieces if p.count(SPACE) < 2), key=self.score)
         if len({self.score(p) for p in order if len(p) > 1}) < sum(len(p) > 1 for p in order):
             return None
         names = order + sorted({c for p in order for c in p} - self.pieces.keys())
         at = {s: i for i, s in enumerate(names)}
-        pairs = sorted((at[p[:i]] * len(names) + at[p[i:]], at[p]) for p in order for i in range(1, len(p)) if p[:i] in at and p[i:] in at)
-        chars = np.full(max(map(ord, (s for s in names if len(s) == 1)), default=0) + 2, -1, np.int32)
+        pairs = sorted((at[p[:i]] * (len(names) + 1) + at[p[i:]], at[p]) for p in order for i in range(1, len(p)) if p[:i] in at and p[i:] in at)
+        chars = np.full(max(map(ord, (s for s in names if len(s) == 1)), default=0) + 2, len(names), np.int32)
         for s in names:
-            if len(s) == 1 and s != "\0":  # which fills up shorter words
+            if len(s) == 1:
                 chars[ord(s)] = at[s]
         keys = np.array([k for k, _ in pairs] + [np.iinfo(np.int64).max], np.int64)
         unions = np.array([u for _, u in pairs] + [0], np.int32)
-        ids = np.array([self.pieces[s][0] if s in self.pieces else -1 for s in names], np.int32)
-        return chars, keys, unions, ids
+        ids = np.array([self.pieces[s][0] if s in self.pieces else -1 for s in names] + [-1], object)
+        spelt = [None if s in self.pieces else self.ids_of([s]) for s in names] + [None]
+        return chars, keys, unions, ids, spelt
+
+    def spelled(self, word: str, row: list[int]) -> list[int]:
+        """Ids of a word's symbols if not all of them have one."""
+        chars, _, _, ids, spelt = self.tables
+        foreign = (c for c in word if ord(c) >= len(chars) or chars[ord(c)] == len(ids) - 1)
+        out: list[int] = []
+        for symbol in row:
+            if ids[symbol] >= 0:
+                out.append(ids[symbol])
+            elif symbol < len(ids) - 1:
+                out += spelt[symbol]
+            else:
+                out += self.ids_of([next(foreign)])
+        return out
 
-    def merged_in_step(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
-        """Each word whose characters and results all have ids, with these. Every round merges one pair of each word that
-        has one left, so words still open have one length; shorter ones join as that length is reached."""
-        chars, keys, unions, ids = self.tables
+    def merged_in_step(self, words: list[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
+        """Words and their ids. Every round merges one pair of each word that has one left, so words still open have
+        one length; shorter ones join as that length is reached."""
+        chars, keys, unions, ids, _ = self.tables
+        has_id = ids >= 0
         none = np.iinfo(np.int32).max
 
         def union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -226,10 +243,9 @@ class Agenda:
         width = int(length.max())
         points = np.array([SPACE + w for w in words], f"U{width}").view(np.uint32).reshape(-1, width)
         grid = chars[np.minimum(points, len(chars) - 1)]
-        known = ((grid >= 0) | (np.arange(width) >= length[:, None])).all(1)
         who, symbols, agenda = np.empty(0, np.int64), np.empty((0, width), np.int32), np.empty((0, width), np.int32)
         for w in range(width, 0, -1):  # the agenda's last column, without a pair, is always `none`
-            joins = np.flatnonzero(known & (length == w))
+            joins = np.flatnonzero(length == w)
             fresh = grid[joins, :w]
             pairs = np.full(fresh.shape, none, np.int32)
             pairs[:, :-1] = union(fresh[:, :-1], fresh[:, 1:])
@@ -237,10 +253,11 @@ class Agenda:
             at = agenda.argmin(1)  # the leftmost of the best
             best = agenda[np.arange(len(who)), at]
             on = best != none
-            result = ids[symbols[~on]]
-            for i, row in zip(who[~on].tolist(), result.tolist(), strict=True):
-                if min(row) >= 0:
-                    yield words[i], row
+            done, ready = symbols[~on], [words[i] for i in who[~on].tolist()]
+            rows = list(map(tuple, ids[done].tolist()))
+            for i in np.flatnonzero(~has_id[done].all(1)).tolist():
+                rows[i] = tuple(self.spelled(ready[i], done[i].tolist()))
+            yield from zip(ready, rows, strict=True)
             who, at, best = who[on], at[on], best[on]
             symbols, agenda = without(symbols[on], at + 1), without(agenda[on], at)
             row = np.arange(len(who))
