@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from .shared import tidy
 
 SPACE = "▁"
-CACHE = 1_000_000
+CACHE = 2_000_000
 """Sections kept by a worker, in two halves: a full half becomes the older one, and the oldest goes.
-A million take some 250 MB."""
+Two million take some 500 MB."""
 KNOWN = 50_000
 """Results of texts kept by a task; then it starts anew. They take some 20 MB."""
 SHORT = 40
