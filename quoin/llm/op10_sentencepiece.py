@@ -7,6 +7,7 @@ marks begins, nor any two adjacent characters that no piece has together, so eac
 kept in a bounded cache. Words of a batch that the cache lacks are solved in step: each round takes the head of every
 word's agenda at once, as arrays. Every Arrow batch is also encoded
 by the sentencepiece library: `agreed` tells whether it has the same ids. The ids that are returned are the agenda's own.
+Ids of sections and texts are kept packed, as 32-bit integers in bytes: a text's are those of its words joined.
 Texts that a task has met before (by 128 bits of their digest) get the row they had.
 
 Null and empty texts give the end id alone; long texts are encoded whole; repeated rows get equal ids; an empty table gives
@@ -19,9 +20,10 @@ import gc
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import cached_property
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,14 @@ FEW = 200
 NEVER = float("inf")
 
 
+def pack(ids: Sequence[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
+def unpack(packed: bytes) -> list[int]:
+    return np.frombuffer(packed, np.int32).tolist()
+
+
 class Agenda:
     """Encoder over a vocabulary: pieces with scores, byte pieces, an unknown id and an end id."""
 
@@ -52,9 +62,9 @@ class Agenda:
         self.sectioned = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
         self.score = {p: -s for p, (_, s) in pieces.items()}.get
         self.bigrams = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
-        self.lone: dict[str, tuple[int, ...]] = {}
-        self.kept: dict[str, Sequence[int]] = {}
-        self.older: dict[str, Sequence[int]] = {}
+        self.lone: dict[str, bytes] = {}
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, processor, cache: int = CACHE) -> Agenda:
@@ -136,33 +146,37 @@ class Agenda:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """Ids of texts, the end id last; words that the cache lacks are solved together."""
+        """Ids of texts, the end id last."""
+        return list(map(unpack, self.packed_all(texts)))
+
+    def packed_all(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of texts, the end id last; words that the cache lacks are solved together."""
         split = [self.words(t) for t in texts]
         found = [w and list(map(self.kept.get, w)) for w in split]
         holes = [f and [i for i, ids in enumerate(f) if ids is None] for f in found]
         solved = self.solve_all({w[i] for w, h in zip(split, holes, strict=True) if h for i in h})
+        end = pack([self.end])
         out = []
         for text, w, f, h in zip(texts, split, found, holes, strict=True):
             if w:
                 for i in h:
                     f[i] = solved[w[i]]
-                ids = list(chain.from_iterable(f))
+                f.append(end)
+                out.append(b"".join(f))
             else:
-                ids = self.marked(text)
-            ids.append(self.end)
-            out.append(ids)
+                out.append(self.marked(text) + end)
         return out
 
-    def marked(self, text: str) -> list[int]:
-        """Ids of a text of any form, section by section."""
-        ids: list[int] = []
+    def marked(self, text: str) -> bytes:
+        """Packed ids of a text of any form, section by section."""
         marked = (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
-        for s in re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", marked) if self.sectioned else [marked]:
-            ids += self.kept.get(s[1:]) or self.recall(s[1:]) if self.sectioned and s[0] == SPACE else self.merge(s)
-        return ids
+        if not self.sectioned:
+            return pack(self.merge(marked))
+        sections = re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", marked)
+        return b"".join([self.kept.get(s[1:]) or self.recall(s[1:]) if s[0] == SPACE else pack(self.merge(s)) for s in sections])
 
-    def recall(self, word: str) -> Sequence[int]:
-        """Ids of a section (a space mark and a word): from the older half of the cache, else solved."""
+    def recall(self, word: str) -> bytes:
+        """Packed ids of a section (a space mark and a word): from the older half of the cache, else solved."""
         if (ids := self.older.get(word)) is None:
             ids = self.solve(SPACE + word)
         if len(word) < 100:
@@ -171,13 +185,13 @@ class Agenda:
             self.kept[word] = ids
         return ids
 
-    def solve_all(self, words: set[str]) -> dict[str, Sequence[int]]:
-        """Ids of sections as by `recall`: short ones in step, if there are enough."""
+    def solve_all(self, words: set[str]) -> dict[str, bytes]:
+        """Packed ids of sections as by `recall`: short ones in step, if there are enough."""
         solved = {w: ids for w in words if (ids := self.older.get(w)) is not None}
         new = [w for w in words if w not in solved and len(w) < SHORT]
         if len(new) >= FEW and self.tables:
             for at in range(0, len(new), LOT):
-                solved.update(self.merged_in_step(new[at : at + LOT]))
+                solved.update(self.packed_in_step(new[at : at + LOT]))
         if len(self.kept) + len(solved) > self.limit // 2:
             self.older, self.kept = self.kept, {}
         self.kept.update(islice(solved.items(), self.limit // 2))
@@ -190,8 +204,8 @@ class Agenda:
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[Sequence[int] | None]] | None:
         """(symbol of each character, keys of the pairs that form a piece, their unions, id of each symbol, ids of each that
         has no own one). Symbols are numbered by falling score, so the head of an agenda is its least union; pieces of several
-        space marks are in no word. The last symbol stands for all characters that no piece has. Ids are one object each,
-        as they are met often. None where unions share a score."""
+        space marks are in no word. The last symbol stands for all characters that no piece has. None where unions share a
+        score."""
         order = sorted((p for p in self.pieces if p.count(SPACE) < 2), key=self.score)
         if len({self.score(p) for p in order if len(p) > 1}) < sum(len(p) > 1 for p in order):
             return None
@@ -204,7 +218,7 @@ class Agenda:
                 chars[ord(s)] = at[s]
         keys = np.array([k for k, _ in pairs] + [np.iinfo(np.int64).max], np.int64)
         unions = np.array([u for _, u in pairs] + [0], np.int32)
-        ids = np.array([self.pieces[s][0] if s in self.pieces else -1 for s in names] + [-1], object)
+        ids = np.array([self.pieces[s][0] if s in self.pieces else -1 for s in names] + [-1], np.int32)
         spelt = [None if s in self.pieces else self.ids_of([s]) for s in names] + [None]
         return chars, keys, unions, ids, spelt
 
@@ -215,7 +229,7 @@ class Agenda:
         out: list[int] = []
         for symbol in row:
             if ids[symbol] >= 0:
-                out.append(ids[symbol])
+                out.append(int(ids[symbol]))
             elif symbol < len(ids) - 1:
                 out += spelt[symbol]
             else:
@@ -223,10 +237,13 @@ class Agenda:
         return out
 
     def merged_in_step(self, words: list[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
-        """Words and their ids. Every round merges one pair of each word that has one left, so words still open have
+        """Words and their ids."""
+        return ((w, tuple(unpack(ids))) for w, ids in self.packed_in_step(words))
+
+    def packed_in_step(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Words and their packed ids. Every round merges one pair of each word that has one left, so words still open have
         one length; shorter ones join as that length is reached."""
         chars, keys, unions, ids, _ = self.tables
-        has_id = ids >= 0
         none = np.iinfo(np.int32).max
 
         def union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -254,9 +271,11 @@ class Agenda:
             best = agenda[np.arange(len(who)), at]
             on = best != none
             done, ready = symbols[~on], [words[i] for i in who[~on].tolist()]
-            rows = list(map(tuple, ids[done].tolist()))
-            for i in np.flatnonzero(~has_id[done].all(1)).tolist():
-                rows[i] = tuple(self.spelled(ready[i], done[i].tolist()))
+            own = ids[done]
+            whole, size = own.tobytes(), 4 * w
+            rows = [whole[i : i + size] for i in range(0, len(whole), size)]
+            for i in np.flatnonzero((own < 0).any(1)).tolist():
+                rows[i] = pack(self.spelled(ready[i], done[i].tolist()))
             yield from zip(ready, rows, strict=True)
             who, at, best = who[on], at[on], best[on]
             symbols, agenda = without(symbols[on], at + 1), without(agenda[on], at)
@@ -267,25 +286,27 @@ class Agenda:
             if (r := row[at < w - 2]).size:
                 agenda[r, at[r]] = union(best[r], symbols[r, at[r] + 1])
 
-    def solve(self, section: str) -> tuple[int, ...]:
+    def solve(self, section: str) -> bytes:
         """A section falls apart where no piece has its two adjacent characters."""
         if section[1:].isascii() and section[1:].isalpha():  # rarely does
-            return self.merge(section)
-        ids: list[int] = []
+            return pack(self.merge(section))
+        ids: list[bytes] = []
         at, bigrams, lone = 0, self.bigrams, self.lone
         for i in range(1, len(section) + 1):
             if i == len(section) or section[i - 1 : i + 1] not in bigrams:
                 part = section[at:i]
                 if len(part) == len(section):
-                    return self.merge(section)
+                    return pack(self.merge(section))
                 if len(part) == 1:
                     if part not in lone:
-                        lone[part] = self.ids_of([part])
-                    ids += lone[part]
+                        lone[part] = pack(self.ids_of([part]))
+                    ids.append(lone[part])
+                elif part[0] == SPACE:
+                    ids.append(self.kept.get(part[1:]) or self.recall(part[1:]))
                 else:
-                    ids += (self.kept.get(part[1:]) or self.recall(part[1:])) if part[0] == SPACE else self.merge(part)
+                    ids.append(pack(self.merge(part)))
                 at = i
-        return tuple(ids)
+        return b"".join(ids)
 
 
 _loaded: dict[tuple[str, int], tuple] = {}
@@ -297,7 +318,7 @@ def loaded(model: str, cache: int = CACHE) -> tuple:
         import sentencepiece
 
         p = sentencepiece.SentencePieceProcessor(model_file=model)
-        _loaded[model, cache] = (p, Agenda.of(p, cache), [str(i) for i in range(p.get_piece_size())])
+        _loaded[model, cache] = (p, Agenda.of(p, cache), np.array([str(i) for i in range(p.get_piece_size())], object))
     return _loaded[model, cache]
 
 
@@ -332,9 +353,10 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", keep: tupl
                         known.clear()
                     found = {} if with_ids else known  # ids are long: kept for one slice only
                     new = {d: t for d, t in zip(digests, texts, strict=True) if d not in found}
-                    encoded = library.encode(list(new.values()), add_eos=True, num_threads=1) if new else []
-                    for d, expected, ids in zip(new, encoded, agenda.encode_all(list(new.values())), strict=True):
-                        row = len(ids), sha(" ".join(map(names.__getitem__, ids))), sha(library.decode(ids)), ids == expected
+                    for (d, t), packed in zip(new.items(), agenda.packed_all(list(new.values())), strict=True):
+                        ids = np.frombuffer(packed, np.int32)
+                        agreed = packed == library.encode(t, add_eos=True, return_type="numpy").tobytes()
+                        row = len(ids), sha(" ".join(names[ids].tolist())), sha(library.decode(ids)), agreed
                         found[d] = (*row, ids) if with_ids else row
                     rows = [found[d] for d in digests]
                     cols = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]

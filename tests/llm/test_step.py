@@ -18,3 +18,21 @@ def test_op10_all_short_words_are_solved_in_step():
     agenda = op10.Agenda(agenda.pieces, None, agenda.unknown, agenda.end)
     in_step = dict(agenda.merged_in_step(words))
     assert all(in_step[w] == agenda.merge(op10.SPACE + w) for w in words)
+
+
+def test_op10_ids_are_packed_as_the_library_packs_them():
+    library, *_ = op10.loaded(op10.default_model())
+    rng = random.Random(11)
+    letters = ["a", "e", "th", "ing", "é", "%%%", ".", ".\n", "\0", "漢", "🙂", "\U0010ffff", "▁", "'", "0"]
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 12))) for _ in range(3000)] + ["x" * 150, "漢字" * 80, ""]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 400))) for _ in range(30)] + ["", " ", "a  b", " a", "a ", "▁"]
+    for cache in (op10.CACHE, 200, 2):
+        agenda = op10.Agenda.of(library, cache)
+        for _ in range(2):
+            packed = agenda.packed_all(texts)
+            assert packed == [library.encode(t, add_eos=True, return_type="numpy").tobytes() for t in texts]
+        assert agenda.encode_all(texts) == list(map(op10.unpack, packed)) == library.encode(texts, add_eos=True)
+        kept = agenda.kept | agenda.older
+        assert kept and all(ids == op10.pack(library.encode(w) if w else agenda.merge(op10.SPACE)) for w, ids in kept.items())
+    whole = op10.Agenda(agenda.pieces, None, agenda.unknown, agenda.end)
+    assert whole.packed_all(["a \U0010ffff"]) == [op10.pack([*whole.merge("▁a"), *whole.merge("▁\U0010ffff"), whole.end])]
