@@ -54,6 +54,12 @@ def unpack(packed: bytes) -> list[int]:
     return np.frombuffer(packed, np.int32).tolist()
 
 
+def listed(packed: Sequence[bytes]) -> pa.ListArray:
+    """A column of lists from the packed ids of each row."""
+    ends = np.cumsum([0, *map(len, packed)]) // 4
+    return pa.ListArray.from_arrays(ends.astype(np.int32), np.frombuffer(b"".join(packed), np.int32))
+
+
 class Agenda:
     """Encoder over a vocabulary: pieces with scores, byte pieces, an unknown id and an end id."""
 
@@ -333,7 +339,7 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", keep: tupl
     safe = [f"keep_{i}" for i in range(len(keep))]  # names that mapInArrow can resolve
     out = StructType([StructField(k, docs.schema[c].dataType) for c, k in zip(keep, safe, strict=True)] + StructType.fromDDL(SCHEMA).fields + (StructType.fromDDL("ids array<int>").fields if with_ids else []))
 
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_(), *([pa.list_(pa.int32())] if with_ids else [])]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_()]
 
     def sha(t: str) -> str:
         return hashlib.sha256(t.encode()).hexdigest()
@@ -357,9 +363,10 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", keep: tupl
                         ids = np.frombuffer(packed, np.int32)
                         agreed = packed == library.encode(t, add_eos=True, return_type="numpy").tobytes()
                         row = len(ids), sha(" ".join(names[ids].tolist())), sha(library.decode(ids)), agreed
-                        found[d] = (*row, ids) if with_ids else row
-                    rows = [found[d] for d in digests]
-                    cols = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                        found[d] = (*row, packed) if with_ids else row
+                    values = list(zip(*(found[d] for d in digests), strict=True))
+                    cols = [pa.array(x, t) for x, t in zip(values[: len(kinds)], kinds, strict=True)]
+                    cols += map(listed, values[len(kinds) :])  # the ids, if asked for
                     yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *cols], names=out.names)
         finally:
             if collects:

@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 from quoin.llm import op10_sentencepiece as op10
 
 
@@ -36,3 +38,9 @@ def test_op10_ids_are_packed_as_the_library_packs_them():
         assert kept and all(ids == op10.pack(library.encode(w) if w else agenda.merge(op10.SPACE)) for w, ids in kept.items())
     whole = op10.Agenda(agenda.pieces, None, agenda.unknown, agenda.end)
     assert whole.packed_all(["a \U0010ffff"]) == [op10.pack([*whole.merge("▁a"), *whole.merge("▁\U0010ffff"), whole.end])]
+
+
+def test_op10_ids_as_a_column_of_lists():
+    rows = [[1, 2, 3], [], [32000], [], list(range(5000))]
+    assert op10.listed(list(map(op10.pack, rows))).equals(pa.array(rows, pa.list_(pa.int32())))
+    assert op10.listed([]).equals(pa.array([], pa.list_(pa.int32())))
