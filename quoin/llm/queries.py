@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_substring, op2_suffix, op3_urls, op4_language, op5_jaccard, op6_toxicity, op7_mixing, op8_embeddings, op9_topk, op10_sentencepiece, op11_negatives
+from . import op1_substring, op2_suffix, op3_urls, op4_language, op5_jaccard, op6_toxicity, op7_mixing, op8_embeddings, op9_topk, op10_sentencepiece, op11_negatives, op12_search
 
 QUERIES = {
     "op1_substring_dedup": op1_substring.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_topk": op9_topk.query,
     "op10_sentencepiece": op10_sentencepiece.query,
     "op11_hard_negatives": op11_negatives.query,
+    "op12_lexical_search": op12_search.query,
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": op1_substring.ORACLE,
@@ -24,4 +25,5 @@ ORACLES: dict[str, str] = {
     "op8_embedding_near_dedup": op8_embeddings.ORACLE,
     "op9_exact_topk": op9_topk.ORACLE,
     "op11_hard_negatives": op11_negatives.ORACLE,
+    "op12_lexical_search": op12_search.ORACLE,
 }

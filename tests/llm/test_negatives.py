@@ -47,7 +47,7 @@ def case(kind):
     if kind == "large":  # scores beyond 53 bits
         return [(i, [(7e5 if i % 2 else 1e6) + rng.randrange(9) for _ in range(32)], i % 4 // 2, "s", "i", 1) for i in range(300)]
     if kind == "few":
-        return [(0, [1.0, 0.0], 1, "s", "i", 1), (5, [0.5, 0.1], 1, "s", "i", 1), (6, [-0.5, 0.0], 1, "s", "i", 1), (8, [0.4, 0.0], 2, "s", "i", 1)]
+        return [(0, [1.0, 0.0], 1, "s", "i", 1), (5, [0.2, 0.1], 1, "s", "i", 1), (6, [-0.5, 0.0], 1, "s", "i", 1), (8, [0.4, 0.0], 2, "s", "i", 1)]
     return []
 
 
