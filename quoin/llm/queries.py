@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_substring, op2_suffix, op3_urls, op4_language, op5_jaccard, op6_toxicity, op7_mixing, op8_embeddings, op9_topk, op10_sentencepiece, op11_negatives, op12_search
+from . import op1_substring, op2_suffix, op3_urls, op4_language, op5_jaccard, op6_toxicity, op7_mixing, op8_embeddings, op9_topk, op10_sentencepiece, op11_negatives, op12_search, op13_pii
 
 QUERIES = {
     "op1_substring_dedup": op1_substring.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece.query,
     "op11_hard_negatives": op11_negatives.query,
     "op12_lexical_search": op12_search.query,
+    "op13_pii": op13_pii.query,
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": op1_substring.ORACLE,
