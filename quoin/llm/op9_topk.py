@@ -3,11 +3,11 @@
 Queries and candidates meet in a grid: queries in groups, candidates in slices, one task for each pair of them, so
 neither side is ever held whole. In a task the candidates lie dimension by dimension. Scores grow one block of
 dimensions at a time; after each, a candidate stays only while its partial score plus the product of the norms that
-are left (Cauchy-Schwarz) reaches the k-th best score known for the query; survivors are compacted. The slices' best
-k are merged by query.
+are left (Cauchy-Schwarz) reaches the k-th best score known for the query, with room for what both are rounded by;
+survivors are compacted, and the last of them are scored in whole numbers. The slices' best k are merged by query.
 
 Vectors that are null, empty or hold null or non-finite components take no part; shorter vectors count as padded with
-zeros; ties go to the smaller id. Rows with equal ids are different rows: a query's candidates are all rows but its own one,
+zeros; ties go to the smaller id; scores beyond 64 bits stand at the ends of that range. Rows with equal ids are different rows: a query's candidates are all rows but its own one,
 and each query row gets its own k best (equal rows are scored once and given as often as they stand in the table). Fewer
 than k candidates: all. Empty tables give empty results. Only the id and the vector are read, so other columns, whatever
 their names, play no part.
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import shuffle_partitions
+from .vectors import inner, matrix, scaled, usable, width_of
 
 QUERY_GROUP = 4096
 """Queries of a task: each candidate is sent once for each group of them."""
@@ -28,23 +29,6 @@ SLICE_ROWS = 16_384
 LEAST_ROWS = 512
 """Slices are made smaller, down to this, where there would be fewer tasks than shuffle partitions."""
 BLOCK = 8
-SCALE = 256
-
-
-def usable(v: Column) -> Column:
-    """Whether v is a vector of finite numbers."""
-    return v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-
-
-def scaled(v: Column) -> Column:
-    return F.transform(v, lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
-
-
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    out = np.zeros((len(column), width))
-    for i, v in enumerate(column.to_pylist()):
-        out[i, : len(v)] = v
-    return out
 
 
 def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,7 +39,7 @@ def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: in
     cuts = [*range(0, width, BLOCK), width]
     left_x = np.sqrt(np.cumsum((columns**2)[::-1], axis=0)[::-1])  # norm of dimensions d and on
     out_q, out_id, out_s = [], [], []
-    exact = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * width < 2.0**53
+    most = left_x[0].max(initial=0) if width else 0.0
     every = np.arange(len(ids))
 
     def own(i: int) -> np.ndarray:
@@ -74,18 +58,18 @@ def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: in
         else:
             floor_ = -np.inf
         left_v = np.sqrt(np.cumsum((v**2)[::-1])[::-1])
+        slack = left_v[0] * most * (width + 8) * 2.0**-50 + 1e-6  # what rounded sums of such products can be off by
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             part += v[lo:hi] @ columns[lo:hi, alive] if len(alive) < len(ids) - 1 else (v[lo:hi] @ columns[lo:hi])[alive]
             if hi < width and len(alive) > k:
                 rest = left_v[hi] * left_x[hi, alive]
-                stay = part + rest * (1 + 1e-9) + 1e-6 >= floor_
+                stay = part + rest * (1 + 1e-9) + slack >= floor_ - slack
                 alive, part = alive[stay], part[stay]
-        score = part if exact else np.array([sum(int(a) * int(b) for a, b in zip(v, columns[:, j], strict=True)) for j in alive], dtype=object)
-        top = np.lexsort((ids[alive], -score)) if exact else np.array(sorted(range(len(alive)), key=lambda j: (-score[j], ids[alive[j]])), dtype=np.int64)
-        top = top[:k]
+        score = inner(v[None], np.ascontiguousarray(columns[:, alive].T))[0]
+        top = np.lexsort((ids[alive], -1 - score))[:k]  # -1 - score: the least number has no negative
         out_q.append(np.full(len(top), i))
         out_id.append(ids[alive[top]])
-        out_s.append(np.clip(score[top], -(2**63), 2**63 - 1).astype(np.int64))
+        out_s.append(score[top])
     cat = lambda a: np.concatenate(a) if a else np.empty(0, np.int64)
     return cat(out_q), cat(out_id), cat(out_s)
 
@@ -107,8 +91,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", v
     def run(q: pa.Table, x: pa.Table) -> pa.Table:
         if not q.num_rows or not x.num_rows:
             return pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "turn", "times", "vec_id", "score")})
-        width = max(max(map(len, t.column("v").to_pylist())) for t in (q, x))
-        a, b, c = best(q["id"].to_numpy(), _matrix(q["v"], width), x["id"].to_numpy(), _matrix(x["v"], width), k)
+        width = width_of(q["v"], x["v"])
+        a, b, c = best(q["id"].to_numpy(), matrix(q["v"], width), x["id"].to_numpy(), matrix(x["v"], width), k)
         return pa.table({"query_id": q["id"].to_numpy()[a], "turn": q["turn"].to_numpy()[a], "times": q["times"].to_numpy()[a], "vec_id": b, "score": c})
 
     parts = asked.groupBy("g", "s").cogroup(held.groupBy("g", "s")).applyInArrow(run, "query_id long, turn long, times long, vec_id long, score long")
