@@ -5,12 +5,13 @@ class with a weight. Each label's classes are dealt to blocks of bounded size by
 tree from a bounded sample; oversized cells are split by hash). Block pairs whose pivots are farther apart than their
 covering radii and the chord allow are pruned; each other pair goes to a task of its own, which builds a cover tree of
 nested levels with halving radii for either block and walks both at once, pruning node pairs by the same bound.
-Leaf pairs are decided by the cosine in double precision. A task returns counts of links for each vector and the edges
+Leaf pairs are decided by the cosine in double precision; all bounds have room for rounding. A task returns counts of links for each vector and the edges
 of a spanning forest of its links, not the pairs, so a large group of near copies stays linear.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and rows without a label or id, link with
-nothing; vectors of different lengths never link. Rows that share an id are one node, whose links add up; each
-keeps its own row in the result. Empty tables give empty results.
+nothing; vectors of different lengths never link. A cosine of exactly the threshold, as computed in doubles, links. Rows that share an id are one node, whose links add up; each
+keeps its own row in the result. Empty tables give empty results. Only id, vector and label are read, so other columns,
+whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .op9_topk import usable
 from .shared import cut
+from .vectors import usable
 
 COSINE = 0.93
 BLOCK_ROWS = 4096
@@ -30,7 +31,8 @@ PIVOTS = 64
 LEAF = 64
 ASSIGN_ROWS = 1 << 15
 """Vectors that one task compares with a label's pivots."""
-SLACK = 1e-9
+SLACK = 1e-5
+"""Chords that come from an inner product are off by up to the root of its rounding: less than this, in any dimension used."""
 PLAIN = (1e-100, 1e100)
 """Largest components between these need no scaling."""
 
@@ -44,36 +46,49 @@ class Tree:
         self.radius: list[float] = []
         self.children: list[list[int]] = []
         self.rows: list[np.ndarray] = []
-        self.root = self._build(np.arange(len(x)), 2.0)
+        self.root = 0
+        todo = [(np.arange(len(x)), 2.0, -1)]
+        while todo:
+            todo += self._node(*todo.pop())
 
-    def _build(self, rows: np.ndarray, span: float) -> int:
+    def _node(self, rows: np.ndarray, span: float, parent: int) -> list[tuple[np.ndarray, float, int]]:
+        """Adds a node and returns what its children are to be; each has at least one row and not all."""
         x = self.x[rows]
-        d = chord(x, x[:1])[:, 0]
+        d = apart(x, x[0])
         me = len(self.centre)
         self.centre.append(x[0])
         self.radius.append(float(d.max()))
         self.children.append([])
         self.rows.append(rows)
+        if parent >= 0:
+            self.children[parent].append(me)
         span = min(span, self.radius[me])
-        if len(rows) > LEAF and self.radius[me] > 0:
-            # the next level: centres more than half the radius apart, each row with its nearest centre
-            half, centres, nearest, owner = span / 2, [0], d.copy(), np.zeros(len(rows), dtype=np.int64)
-            while nearest.max() > half and len(centres) < 64:
-                far = int(nearest.argmax())
-                new = chord(x, x[far : far + 1])[:, 0]
-                closer = new < nearest
-                owner[closer], nearest = len(centres), np.minimum(nearest, new)
-                centres.append(far)
-            if len(centres) > 1:
-                for k in range(len(centres)):
-                    mine = np.flatnonzero(owner == k)
-                    if len(mine):
-                        first = np.r_[centres[k], mine[mine != centres[k]]]
-                        self.children[me].append(self._build(rows[first], half if len(centres) < 64 else span))
-        return me
+        if len(rows) <= LEAF or not span:
+            return []
+        # the next level: centres more than half the radius apart, each row with its nearest centre
+        half, centres, nearest, owner = span / 2, [0], d.copy(), np.zeros(len(rows), dtype=np.int64)
+        while nearest.max() > half and len(centres) < 64:
+            far = int(nearest.argmax())
+            new = apart(x, x[far])
+            closer = new < nearest
+            closer[far] = True
+            owner[closer], nearest = len(centres), np.minimum(nearest, new)
+            centres.append(far)
+        out = []
+        for k, centre in enumerate(centres):
+            mine = np.flatnonzero(owner == k)
+            if len(centres) > 1 and len(mine):
+                out.append((rows[np.r_[centre, mine[mine != centre]]], half if len(centres) < 64 else span, me))
+        return out
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Chords from rows to one point, from their differences: right also where they are tiny."""
+    return np.sqrt(((a - b) ** 2).sum(axis=-1))
 
 
 def chord(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Chords of all pairs of rows, within SLACK."""
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
 
 
@@ -88,8 +103,7 @@ def dual(a: Tree, b: Tree, same: bool, limit: float):
                 yield a.rows[i], b.rows[j]
             todo += [(p, q) for n, p in enumerate(kids) for q in kids[n:]]
             continue
-        apart = float(chord(a.centre[i][None], b.centre[j][None])[0, 0])
-        if apart > a.radius[i] + b.radius[j] + limit:
+        if apart(a.centre[i], b.centre[j]) > a.radius[i] + b.radius[j] + limit:
             continue
         left, right = a.children[i], b.children[j]
         if not left and not right:
@@ -194,9 +208,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     listed = listed.select("k", F.concat_ws("/", F.col("cell").cast("string"), F.col("part").cast("string")).alias("block"), "r", "p")
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
     dot = lambda c, d: F.aggregate(F.zip_with(c, d, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot("a.p", "b.p") / (norm("a.p") * norm("b.p"))))
+    between = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot("a.p", "b.p") / (norm("a.p") * norm("b.p"))))
     pairs = listed.alias("a").join(listed.alias("b"), F.expr("a.k = b.k AND a.block <= b.block"))
-    pairs = pairs.where((F.col("a.block") == F.col("b.block")) | F.col("a.p").isNull() | (apart <= F.col("a.r") + F.col("b.r") + float(np.sqrt(2 - 2 * cosine)) + SLACK))
+    pairs = pairs.where((F.col("a.block") == F.col("b.block")) | F.col("a.p").isNull() | (between <= F.col("a.r") + F.col("b.r") + float(np.sqrt(2 - 2 * cosine)) + SLACK))
     pairs = cut(pairs.select(F.col("a.k").alias("k"), F.col("a.block").alias("x"), F.col("b.block").alias("y")))
     sides = pairs.select("k", "x", "y", F.explode(F.when(F.col("x") == F.col("y"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
     sides = sides.withColumn("block", F.when(F.col("side") == 0, F.col("x")).otherwise(F.col("y")))
