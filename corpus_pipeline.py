@@ -3,7 +3,7 @@
 1. language_id: texts in which no language is recognised go, as do those of which less than LEAST_COVERAGE of the n-grams
    belong to it; null and empty texts go with them.
 2. near_duplicates: of each group linked by five-word shingles at a similarity of 0.8 or more, one row stays: the one with
-   the smallest doc_id and, of rows that share it, the one whose text has the least hash. Rows without words link with
+   the smallest doc_id and, of rows that share it, the one whose text has the least hash (then the least row as JSON). Rows without words link with
    nothing and stay, as do rows without doc_id.
 3. repeated_passages: words in repeated windows of 35 words go; documents of which nothing is left go.
 4. mixture: documents are drawn by probabilities raked to source, language and topic targets. Null sources and languages
@@ -64,7 +64,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = docs.withColumns(dict(zip(names, key)))
     stays = first.select(*[F.col(f"first.{c}").alias(n) for c, n in zip(("doc_id", "h1", "h2"), names)])
     rows = keyed.join(stays, names[:3], "left_semi").select(*names[:3], F.struct(*_columns(docs)).alias(names[3]))
-    one = rows.groupBy(*names[:3]).agg(F.min_by(names[3], F.xxhash64(names[3])).alias(names[3]))  # of rows that repeat it
+    one = rows.groupBy(*names[:3]).agg(F.min_by(names[3], F.to_json(names[3])).alias(names[3]))  # of rows that repeat it
     alone = F.col("doc_id").isNull() | F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return one.select(*[F.col(names[3])[c].alias(c) for c in docs.columns]).union(docs.where(alone))
 

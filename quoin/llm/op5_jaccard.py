@@ -1,8 +1,8 @@
 """Operator 5: exact n-gram Jaccard join of documents by blocked sparse products.
 
-1. Every text becomes the set of its distinct word shingles (64-bit hashes that mix the words' bytes, without linear
-   structure, so two sets must share no more than chance to look alike). Texts with equal sets are one node, named by 126
-   bits of a BLAKE2b digest of the set.
+1. Every text becomes the set of its distinct word shingles, each named by two hashes of 64 bits that mix the words' bytes
+   by different constants. Texts with equal sets are one node, named by 126 bits of a BLAKE2b digest of all these names.
+   Steps 2 and 3 find proposals and count overlaps by the first hash; a link must hold by both.
 2. Chunks of texts learn from buckets of shingles in how many sets each of theirs stands (five bytes are sent for
    each, one returned), and order shingles rare ones first. Two sets with a similarity of at least t share one of the
    first |A| - ceil(t |A|) + 1 shingles of either in any common order, so only these columns of the incidence matrix
@@ -43,6 +43,7 @@ TILE = 1 << 19
 """Shingles in a tile."""
 COLUMNS = 8
 """Column blocks of a product."""
+MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 @dataclass(frozen=True)
@@ -57,45 +58,49 @@ class Join:
         return (self.percent * size + 99) // 100
 
 
-def shingles(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text, sorted within it; bounds of the texts."""
-    out: list[np.ndarray] = []
+Names = tuple[np.ndarray, np.ndarray]
+"""Two hashes of each shingle."""
+
+
+def shingles(texts: list[bytes], k: int) -> tuple[Names, np.ndarray]:
+    """Names of the distinct shingles of each text, in order within it; bounds of the texts."""
+    out: list[Names] = []
     i = 0
     while i < len(texts):
         j, size = i, 0
         while j < len(texts) and (j == i or size + len(texts[j]) <= H.SLICE * 4):
             size += len(texts[j]) + 1
             j += 1
-        words, _, starts, _ = H.word_hashes(LOWER[np.frombuffer(b" ".join(texts[i:j]), dtype=np.uint8)])
+        *lanes, starts, _ = H.word_hashes(LOWER[np.frombuffer(b" ".join(texts[i:j]), dtype=np.uint8)])
         ends = np.cumsum([len(t) + 1 for t in texts[i:j]], dtype=np.int64)
         cuts = np.concatenate([[0], np.searchsorted(starts, ends)])
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            w = words[a:b]
-            if len(w) >= k:
-                h = np.full(len(w) - k + 1, k, dtype=np.uint64)
-                for n in range(k):
-                    h = H.mix(h * np.uint64(0x9E3779B97F4A7C15) + w[n : n + len(h)])
-                out.append(np.unique(h))
-            elif len(w):
-                h = np.full(1, len(w), dtype=np.uint64)
-                for x in w:
-                    h = H.mix(h * np.uint64(0x9E3779B97F4A7C15) + x)
-                out.append(h)
-            else:
-                out.append(np.empty(0, np.uint64))
+            width = min(k, b - a)
+            if not width:
+                out.append((np.empty(0, np.uint64), np.empty(0, np.uint64)))
+                continue
+            names = []
+            for words, m in zip(lanes, MULTIPLIERS, strict=True):
+                h = np.full(b - a - width + 1, width, dtype=np.uint64)
+                for n in range(width):
+                    h = H.mix(h * m + words[a + n : a + n + len(h)])
+                names.append(h)
+            order = in_order(tuple(names))
+            new = starts_of(tuple(names), order)
+            out.append((names[0][order][new], names[1][order][new]))
         i = j
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in out], dtype=np.int64)])
-    return (np.concatenate(out) if out else np.empty(0, np.uint64)), bounds
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x, _ in out], dtype=np.int64)])
+    return tuple(np.concatenate([x[lane] for x in out]) if out else np.empty(0, np.uint64) for lane in (0, 1)), bounds
 
 
 NODE = pa.decimal128(38, 0)
 """A node is a whole number below 2**126: of this type Spark aggregates in hash tables, as it does with longs."""
 
 
-def nodes(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def nodes(h: Names, bounds: np.ndarray) -> np.ndarray:
     """The name of each set, as two columns of 64 bits; the same for equal sets."""
     cuts = bounds.tolist()
-    out = b"".join([hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    out = b"".join([hashlib.blake2b(h[0][a:b].tobytes() + h[1][a:b].tobytes(), digest_size=16).digest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
     out = np.frombuffer(out, "<u8").reshape(-1, 2).copy()
     out[:, 1] >>= np.uint64(2)
     return out
@@ -188,7 +193,7 @@ class Sets:
         h, bounds = shingles(texts, join.shingle)
         code, self.node = coded(nodes(h, bounds))
         _, first = np.unique(code, return_index=True)
-        self.h = np.concatenate([h[bounds[i] : bounds[i + 1]] for i in first]) if len(first) else h
+        self.h, self.h2 = (np.concatenate([x[bounds[i] : bounds[i + 1]] for i in first]) if len(first) else x for x in h)
         self.bounds = np.concatenate([[0], np.cumsum(np.diff(bounds)[first], dtype=np.int64)])
 
 
@@ -233,8 +238,16 @@ def proposals(texts: DataFrame, join: Join, buckets: int) -> DataFrame:
     return held.cogroup(replies.groupBy("chunk")).applyInArrow(propose, BLOBS).groupBy("bucket").applyInArrow(meet, EDGES)
 
 
-def product(ha, ba, hb, bb, same: bool, join: Join) -> list[tuple[int, int]]:
+def overlap(a: Names, b: Names) -> int:
+    """Shingles that two sets share, by both hashes."""
+    keys = tuple(np.concatenate(x) for x in zip(a, b, strict=True))
+    return len(keys[0]) - int(starts_of(keys, in_order(keys)).sum())
+
+
+def product(a: tuple[Names, np.ndarray], b: tuple[Names, np.ndarray], same: bool, join: Join) -> list[tuple[int, int]]:
     """Edges of a spanning forest over the similar pairs of two tiles; rows of the second are numbered after the first."""
+    (ha, ha2), ba = a
+    (hb, hb2), bb = b
     na, nb = np.diff(ba), np.diff(bb)
     rows_a, rows_b = np.arange(len(na)), np.arange(len(nb))
     of_a, of_b = np.repeat(rows_a, na), np.repeat(rows_b, nb)
@@ -271,7 +284,10 @@ def product(ha, ba, hb, bb, same: bool, join: Join) -> list[tuple[int, int]]:
                 if not alive.any():
                     break
         for j in np.flatnonzero(alive & (100 * count >= p * (na[i] + nb - count))).tolist():
-            forest.join(int(i), j + shift)
+            if forest.find(int(i)) != forest.find(j + shift):
+                n = overlap((mine, ha2[ba[i] : ba[i + 1]]), (hb[bb[j] : bb[j + 1]], hb2[bb[j] : bb[j + 1]]))
+                if 100 * n >= p * (na[i] + nb[j] - n):
+                    forest.join(int(i), j + shift)
     return forest.edges
 
 
@@ -307,7 +323,7 @@ def joined(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: s
         x = Sets(table, join)
         both, _ = coded(np.concatenate([x.node, from_column(members["node"])]))  # members are sets of this chunk
         at = both[len(x.node) :]
-        data = [x.h[x.bounds[i] : x.bounds[i + 1]].tobytes() for i in at]
+        data = [x.h[x.bounds[i] : x.bounds[i + 1]].tobytes() + x.h2[x.bounds[i] : x.bounds[i + 1]].tobytes() for i in at]
         return members.select(["node", "family", "tiles", "tile"]).append_column("data", pa.array(data, pa.binary()))
 
     rows = texts.groupBy("chunk").cogroup(placed.groupBy("chunk")).applyInArrow(send, "node decimal(38,0), family decimal(38,0), tiles long, tile long, data binary")
@@ -330,8 +346,8 @@ def joined(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: s
                 continue
             held = []
             for side in (a, b):
-                x = [np.frombuffer(data[i], np.uint64) for i in side]
-                held += [np.concatenate(x), np.concatenate([[0], np.cumsum([len(v) for v in x])])]
+                x = [np.frombuffer(data[i], np.uint64).reshape(2, -1) for i in side]
+                held.append((tuple(np.concatenate([v[lane] for v in x]) for lane in (0, 1)), np.concatenate([[0], np.cumsum([v.shape[1] for v in x])])))
             every = node[a] if same else np.r_[node[a], node[b]]
             out += [(every[i], every[j]) for i, j in product(*held, same, join)]
         x = np.array(out, dtype=np.int64).reshape(-1, 2)

@@ -28,8 +28,9 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def text_key(text: Column) -> list[Column]:
-    """128 bits of a text as two longs; null has a key of its own."""
-    return [F.xxhash64(text), F.xxhash64(F.lit("second"), F.length(text), text)]
+    """128 bits of the SHA-256 of a text as two longs; null has a key of its own."""
+    digest = F.sha2(text.cast("string").cast("binary"), 256)
+    return [F.coalesce(F.conv(F.substring(digest, at, 16), 16, -10).cast("long"), F.lit(0).cast("long")) for at in (1, 17)]
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
