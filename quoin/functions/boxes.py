@@ -12,6 +12,7 @@ NESTED_MIN_AREA_RATIO = 0.25
 NESTED_CENTRE = 0.30
 EDGE_MARGIN = 12.0
 CATEGORIES = ("window", "door")
+SPACE_AROUND = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 
 
 class Box:
@@ -77,8 +78,8 @@ def parsed(b: Box) -> Column:
 
 
 def category(c: Column) -> Column:
-    """Category without outer spaces, in lower case, without final dots."""
-    return F.regexp_replace(F.lower(F.trim(c)), r"\.+$", "")
+    """Category without outer white space of any kind, in lower case, without final dots."""
+    return F.regexp_replace(F.lower(F.regexp_replace(c, SPACE_AROUND, "")), r"\.+\z", "")
 
 
 def to_full(local: Box, tile: Box, width: Column, height: Column, margin: float = EDGE_MARGIN) -> Column:

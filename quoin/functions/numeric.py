@@ -62,8 +62,9 @@ def to_pixels(n: Column, size: Column, offset: Column) -> Column:
 
 
 def holdout_cell(x: Column, y: Column, width: Column, height: Column) -> tuple[Column, Column, Column]:
-    """Cell column, cell row and whether the cell is held out."""
-    cell = lambda v, size, n: F.least(F.floor((v + 0.5) / size * n), F.lit(n - 1))
+    """Cell column, cell row and whether the cell is held out; null for points outside the image, which are on neither side."""
+    within = inside(x, y, width, height)
+    cell = lambda v, size, n: F.when(within, F.least(F.floor((v + 0.5) / size * n), F.lit(n - 1)))
     cx, cy = cell(x, width, HOLDOUT_GRID[0]), cell(y, height, HOLDOUT_GRID[1])
     return cx, cy, F.pmod(cx + cy, F.lit(HOLDOUT_MODULUS)) == 0
 

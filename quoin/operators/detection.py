@@ -11,14 +11,14 @@ TILE, OVERLAP = (1200, 1000), 300
 
 
 def validate(raw: DataFrame) -> DataFrame:
-    """raw (category, score, x0..y1, tile box t0x..t1y, image size w, h) with class, full box and reject_reason
-    (the first that applies, in this order); rejected rows stay."""
+    """raw (category, score, x0..y1, tile box tx0..ty1, image size w, h) with class, full box and reject_reason: first what is
+    no number or no score, then the category, then boxes that the tile cuts or that are empty; rejected rows stay."""
     c = B.category(F.col("category"))
     tile = B.Box(*(F.col(k) for k in ("tx0", "ty0", "tx1", "ty1")))
     local = B.Box.at()
     full = B.to_full(local, tile, F.col("w"), F.col("h"))
-    sound = B.finite(local.x0, local.y0, local.x1, local.y1) & B.finite(F.col("score")) & F.col("score").between(0, 1) & (local.x1 > local.x0) & (local.y1 > local.y0)
-    reason = F.when(~F.coalesce(c.isin(*B.CATEGORIES), F.lit(False)), "unexpected_category").when(~F.coalesce(sound, F.lit(False)), "invalid_bbox_or_score").when(full.isNull(), "invalid_or_internal_tile_edge")
+    sound = B.finite(local.x0, local.y0, local.x1, local.y1) & B.finite(F.col("score")) & F.col("score").between(0, 1)
+    reason = F.when(~F.coalesce(sound, F.lit(False)), "invalid_bbox_or_score").when(~F.coalesce(c.isin(*B.CATEGORIES), F.lit(False)), "unexpected_category").when(full.isNull(), "invalid_or_internal_tile_edge")
     return raw.withColumns({"class": c, "full": F.when(reason.isNull(), full), "reject_reason": reason})
 
 

@@ -8,6 +8,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quoin.functions import numeric as N
 
 RANSAC_PX, RANSAC_ROUNDS, TRAIN_MIN = 4.0, 10_000, 4
 RANSAC_LEAST, RANSAC_CONFIDENCE = 500, 0.999
@@ -118,10 +121,14 @@ def coverage(p: np.ndarray, width: float, height: float) -> dict[str, float]:
     return {"hull": abs(area(hull(p))) / (width * height), "x_span": float(np.ptp(p[:, 0])) / width, "y_span": float(np.ptp(p[:, 1])) / height}
 
 
-def fit_groups(matches: DataFrame, key: str, photo: tuple[int, int], limit: float = RANSAC_PX) -> DataFrame:
+def fit_groups(matches: DataFrame, key: str, photo: tuple[int, int], limit: float = RANSAC_PX, render: tuple[int, int] | None = None) -> DataFrame:
     """For each key a homography from its training rows and how it does on the held-out ones, which never enter the fit.
 
-    matches (key, px, py, rx, ry, holdout)."""
+    matches (key, px, py, rx, ry, holdout); rows whose holdout is null, or whose point is outside the render image (if its
+    size is given), take no part."""
+    matches = matches.where("holdout IS NOT NULL")
+    if render:
+        matches = matches.where(N.inside(F.col("rx"), F.col("ry"), F.lit(render[0]), F.lit(render[1])))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         k = pdf[key].iloc[0]

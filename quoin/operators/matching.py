@@ -195,7 +195,7 @@ def wall_crops(pixels: DataFrame) -> DataFrame:
     v = Window.partitionBy("view_id")
     by = by.withColumns({"r": F.row_number().over(v.orderBy(F.desc("pixels"), "wall_id")), "top": F.max("pixels").over(v)})
     ok = (F.col("r") <= 2) & (F.col("pixels") >= F.greatest(F.lit(float(WALL_PIXELS)), F.col("top") * WALL_SHARE))
-    side = (F.col("max_x") - F.col("min_x") + 1 >= WALL_SIDE) & (F.col("max_y") - F.col("min_y") + 1 >= WALL_SIDE)
+    side = (F.col("max_x") - F.col("min_x") >= WALL_SIDE) & (F.col("max_y") - F.col("min_y") >= WALL_SIDE)
     low = lambda c: F.greatest(F.col(f"min_{c}") - 4, F.lit(0))
     high = lambda c, s: F.least(F.col(f"max_{c}") + 5, F.col(s))
     return by.where(ok & side).select("view_id", "wall_id", "pixels", low("x").alias("x0"), low("y").alias("y0"), high("x", "w").alias("x1"), high("y", "h").alias("y1"))

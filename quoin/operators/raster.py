@@ -50,8 +50,10 @@ def visible_walls(pixels: DataFrame, objects: DataFrame) -> DataFrame:
 
 
 def at_pixel(points: DataFrame, pixels: DataFrame, x: str, y: str) -> DataFrame:
-    """points (view_id, x, y) with the object (-1: none) and depth of their nearest pixel."""
-    p = points.withColumns({"_x": N.pixel(F.col(x)).cast("int"), "_y": N.pixel(F.col(y)).cast("int")})
+    """points (view_id, x, y) with the object and depth of their nearest pixel; -1 where there is none, as beside the image
+    or for points that are not finite."""
+    near = N.finite(F.col(x), F.col(y)) & (F.greatest(F.abs(F.col(x)), F.abs(F.col(y))) < 2.0**31 - 2)
+    p = points.withColumns({f"_{n}": F.when(near, N.pixel(F.col(c))).cast("int") for n, c in (("x", x), ("y", y))})
     q = pixels.select("view_id", F.col("x").alias("_x"), F.col("y").alias("_y"), "object_index", "depth")
     return p.join(q, ["view_id", "_x", "_y"], "left").withColumn("object_index", F.coalesce("object_index", F.lit(-1))).drop("_x", "_y")
 

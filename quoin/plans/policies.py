@@ -137,7 +137,7 @@ def wall_polygons(spark, sf):
 @query("""WITH t AS (SELECT o_custkey AS photo, o_orderkey AS name, CASE WHEN o_orderkey % 4 = 0 THEN 'failed' WHEN o_orderkey % 4 = 1 THEN 'skipped' ELSE 'completed' END AS status FROM orders),
 k AS (SELECT l_orderkey AS name, count(*) AS n FROM lineitem WHERE l_orderkey % 4 = 2 GROUP BY 1),
 r AS (SELECT photo, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, CAST(coalesce(sum(n), 0) AS BIGINT) AS kept FROM t LEFT JOIN k USING (name) GROUP BY photo)
-SELECT *, CASE WHEN kept = 0 THEN 'no_matches' WHEN failed = 0 THEN 'complete' ELSE 'partial' END AS status FROM r""")
+SELECT *, CASE WHEN kept = 0 THEN 'no_matches' WHEN failed = 0 AND skipped = 0 THEN 'complete' ELSE 'partial' END AS status FROM r""")
 def tile_outcomes(spark, sf):
     k = F.col("o_orderkey")
     o = W.table(spark, sf, "orders").select(F.col("o_custkey").alias("photo"), k.alias("name"), F.when(k % 4 == 0, "failed").when(k % 4 == 1, "skipped").otherwise("completed").alias("status"))

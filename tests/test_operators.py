@@ -40,7 +40,7 @@ def test_validation_reasons(spark):
     rows = [("window", 0.5, 30.0, 40.0, 90.0, 95.0), ("sky", 0.5, 1.0, 1.0, 2.0, 2.0), ("door", 2.0, 1.0, 1.0, 2.0, 2.0), ("door", float("nan"), 1.0, 1.0, 2.0, 2.0), (" Window. ", 0.5, 9.0, 9.0, 2.0, 2.0), (None, 0.5, 1.0, 1.0, 2.0, 2.0)]
     df = spark.createDataFrame([(*r, 500.0, 500.0, 1700.0, 1500.0, 3000.0, 3000.0) for r in rows], "category string, score double, x0 double, y0 double, x1 double, y1 double, tx0 double, ty0 double, tx1 double, ty1 double, w double, h double")
     got = D.validate(df).collect()
-    assert [r.reject_reason for r in got] == [None, "unexpected_category", "invalid_bbox_or_score", "invalid_bbox_or_score", "invalid_bbox_or_score", "unexpected_category"]
+    assert [r.reject_reason for r in got] == [None, "unexpected_category", "invalid_bbox_or_score", "invalid_bbox_or_score", "invalid_or_internal_tile_edge", "unexpected_category"]
     assert tuple(got[0].full) == (530.0, 540.0, 590.0, 595.0)
 
 
