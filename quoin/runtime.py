@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 HOME = Path(__file__).resolve().parent
 ARROW_BYTES = str(2 << 20)
@@ -28,6 +28,21 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df after a reliable checkpoint in the folder that spark.checkpoint.dir names: computed once, its lineage ends there.
+
+    Where that is unset and all runs on one machine, as in tests, a folder in the warehouse is used."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A session on this machine, for tests and the benchmark."""
     b = SparkSession.builder.master(f"local[{cores}]").appName("quoin")
