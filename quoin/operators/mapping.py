@@ -27,8 +27,9 @@ WALL_KINDS = ("WallSurface", "Window", "Door")
 TOLERANCE = 0.03
 #: Fixed values of the containment rule: edges below the first cross product run side by side; ends give that much.
 FLAT, ENDS = 1e-12, 1e-9
-BAND = 1.0
-"""Metres of height in which edges are filed."""
+SINGULAR = 3 * 2.0**-52
+BAND, CELL = 1.0, 4.0
+"""Metres: the height in which edges are filed, and the side of the cells in which rings are."""
 #: The reasons in their order.
 REASONS = (
     "unsupported_detection_class", "invalid_detection_box", "box_outside_photo", "box_touches_photo_border_may_be_incomplete", "projective_pole_crosses_detection",
@@ -67,6 +68,8 @@ def run_problem(runs: DataFrame, visible: DataFrame) -> DataFrame:
     visible (view_id, wall_id): walls with at least one pixel in a view."""
     h, m = _at("h", 9), _at("camera", 16)
     size = F.sqrt(F.aggregate("h", F.lit(0.0), lambda a, x: a + x * x))
+    minor = lambda i, j: h[3 * (i % 3) + j % 3] * h[3 * ((i + 1) % 3) + (j + 1) % 3] - h[3 * (i % 3) + (j + 1) % 3] * h[3 * ((i + 1) % 3) + j % 3]
+    minors = F.sqrt(sum((minor(i, j) * minor(i, j) for i in range(3) for j in range(3)), F.lit(0.0)))  # det over this: the least singular value
     det = h[0] * (h[4] * h[8] - h[5] * h[7]) - h[1] * (h[3] * h[8] - h[5] * h[6]) + h[2] * (h[3] * h[7] - h[4] * h[6])
     finite = lambda c, n: (F.size(c) == n) & F.forall(c, lambda x: N.finite(x))
     affine = F.greatest(F.abs(m[12]), F.abs(m[13]), F.abs(m[14]), F.abs(m[15] - 1)) <= 1e-12
@@ -75,7 +78,7 @@ def run_problem(runs: DataFrame, visible: DataFrame) -> DataFrame:
     middle = wall_hit(F.col("render_w") / 2, F.col("render_h") / 2)
     ok = lambda c: F.coalesce(c, F.lit(False))
     problem = (
-        F.when(~ok(finite("h", 9) & (size > 0) & (F.abs(det) > 1e-15 * size * size * size)), "invalid_homography")
+        F.when(~ok(finite("h", 9) & (F.abs(det) > SINGULAR * size * minors)), "invalid_homography")
         .when(~ok(N.finite(F.col("photo_w"), F.col("photo_h")) & (F.least("photo_w", "photo_h") > 0)), "invalid_photo_size")
         .when(~ok(finite("camera", 16) & affine), "camera_not_orthographic")
         .when(~ok(finite("origin", 3) & finite("u", 3) & finite("v", 3)), "wall_not_supported_by_planar_reader")
@@ -151,7 +154,7 @@ def _odd(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (spans & (x > p[:, None, 0])).sum(axis=1) % 2 == 1
 
 
-def within_rings(quads: DataFrame, rings: DataFrame, key: list[str], tolerance: float = TOLERANCE, band: float = BAND) -> DataFrame:
+def within_rings(quads: DataFrame, rings: DataFrame, key: list[str], tolerance: float = TOLERANCE, band: float = BAND, cell: float = CELL) -> DataFrame:
     """The keys of the quads (key, wall_id, hits) that lie in one of their wall's rings as a whole, give or take tolerance."""
     q = quads.select(*key, "wall_id", *[F.get("hits", F.lit(i))[c].alias(f"{c}{i}") for i in range(4) for c in "xy"])
     q = q.withColumns({f"q{f}_{c}": g(*[F.col(f"{c}{i}") for i in range(4)]) for f, g in (("least", F.least), ("most", F.greatest)) for c in "xy"})
@@ -159,7 +162,11 @@ def within_rings(quads: DataFrame, rings: DataFrame, key: list[str], tolerance:
     boxes = edges.select("wall_id", "ring_id", "least_x", "most_x", "least_y", "most_y").distinct()
     # a quadrangle within a ring is within its box: this also bounds the bands of a quadrangle by those of the ring
     fits = [F.col(f"qleast_{c}") >= F.col(f"least_{c}") - tolerance for c in "xy"] + [F.col(f"qmost_{c}") <= F.col(f"most_{c}") + tolerance for c in "xy"]
-    q = q.join(boxes, "wall_id").where(fits[0] & fits[1] & fits[2] & fits[3]).drop("least_x", "most_x", "least_y", "most_y")
+    # the ring's box is filed in the cells it covers, and a quadrangle looks in that of its lower left corner
+    lot = lambda v: F.floor(v / cell)
+    over = lambda c: F.explode(F.sequence(lot(F.col(f"least_{c}") - tolerance), lot(F.col(f"most_{c}") + tolerance)))
+    boxes = boxes.withColumn("lot_x", over("x")).withColumn("lot_y", over("y"))
+    q = q.withColumns({f"lot_{c}": lot(F.col(f"qleast_{c}")) for c in "xy"}).join(boxes, ["wall_id", "lot_x", "lot_y"]).drop("lot_x", "lot_y").where(fits[0] & fits[1] & fits[2] & fits[3]).drop("least_x", "most_x", "least_y", "most_y")
     row = lambda v: F.floor(v / band)
     q = q.withColumns({"q_first": row(F.col("qleast_y") - tolerance), "q_last": row(F.col("qmost_y") + tolerance)}).withColumn("band", F.explode(F.sequence("q_first", "q_last")))
     e = edges.select("wall_id", "ring_id", "ax", "ay", "bx", "by", row(F.least("ay", "by")).alias("e_first"), row(F.greatest("ay", "by")).alias("e_last"))
