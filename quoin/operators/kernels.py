@@ -111,7 +111,7 @@ def area(p: np.ndarray) -> float:
     """Signed area of a ring."""
     if len(p) < 3:
         return 0.0
-    x, y = p[:, 0], p[:, 1]
+    x, y = p[:, 0] - p[0, 0], p[:, 1] - p[0, 1]  # near zero, as coordinates may be in the millions
     return float((x * np.roll(y, -1) - y * np.roll(x, -1)).sum() / 2)
 
 

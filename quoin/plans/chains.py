@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quoin.operators import guided as T
 from quoin.operators import mapping as G
+from quoin.operators import overlay as O
 
 from . import views as W
 from .catalogue import COVER_SQL, _zbuffer
@@ -111,3 +112,22 @@ def guided_tables(spark, sf):
 def guided_tiles(spark, sf):
     """The render crop of each photo tile, or why it is skipped."""
     return T.plan_tiles(*guided_tables(spark, sf)).select("pair", "name", "cx0", "cy0", "cx1", "cy1", "n_wall", "skip_reason")
+
+
+# Polygon overlay
+
+_BOX = "b AS (SELECT img, ord, x0, y0, x1, y1 FROM det)"
+_AXES = " ".join(f"{c}s AS (SELECT img, {c} AS lo, lead({c}) OVER (PARTITION BY img ORDER BY {c}) AS hi FROM (SELECT img, {c}0 AS {c} FROM b UNION SELECT img, {c}1 FROM b))," for c in "xy")
+OVERLAY_SQL = f"""{W.DET_SQL}, {_BOX}, {_AXES}
+n AS (SELECT img, count(*) AS n FROM b GROUP BY img),
+c AS (SELECT xs.img, xs.lo AS xl, ys.lo AS yl, (xs.hi - xs.lo) * (ys.hi - ys.lo) AS size FROM xs JOIN ys ON xs.img = ys.img WHERE xs.hi IS NOT NULL AND ys.hi IS NOT NULL),
+k AS (SELECT c.img, c.xl, c.yl, any_value(c.size) AS size, count(b.img) AS held, count(*) FILTER (b.ord = 1) AS first FROM c LEFT JOIN b ON b.img = c.img AND b.x0 <= c.xl AND b.x1 > c.xl AND b.y0 <= c.yl AND b.y1 > c.yl GROUP BY c.img, c.xl, c.yl)"""
+
+
+@query(f"""WITH {OVERLAY_SQL} SELECT k.img, round(coalesce(sum(size) FILTER (held > 0), 0), 3) AS union_area, round(coalesce(sum(size) FILTER (held = n), 0), 3) AS common_area, round(coalesce(sum(size) FILTER (first = 1 AND held = 1), 0), 3) AS first_only_area FROM k JOIN n ON n.img = k.img GROUP BY k.img""")
+def polygon_overlay(spark, sf):
+    """Of the boxes of each photo the area of their union, of what all share and of what only the best one holds."""
+    corner = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    ring = F.array(*[corner(f"x{i}", f"y{j}") for i, j in ((0, 0), (1, 0), (1, 1), (0, 1))])
+    boxes = W.detections(spark, sf).select("img", "ord", F.array(ring).alias("rings"))
+    return O.areas(boxes, "img").select("img", *[F.round(c, 3).alias(c) for c in ("union_area", "common_area", "first_only_area")])
