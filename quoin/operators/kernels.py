@@ -1,4 +1,4 @@
-"""Numeric kernels for grouped maps: homographies, plane frames, hulls, polygons. Each works on one bounded group."""
+"""Numeric kernels for grouped maps: homographies, hulls, polygons. Each works on one bounded group."""
 
 from __future__ import annotations
 
@@ -14,7 +14,6 @@ from quoin.functions import numeric as N
 
 RANSAC_PX, RANSAC_ROUNDS, TRAIN_MIN = 4.0, 10_000, 4
 RANSAC_LEAST, RANSAC_CONFIDENCE = 500, 0.999
-PLANE_TOLERANCE = 0.03
 AREA_RTOL = 1e-5
 PAIRS_AT_ONCE, PAIRS_TRIED = 1 << 21, 100_000
 
@@ -151,38 +150,6 @@ def fit_groups(matches: DataFrame, key: str, photo: tuple[int, int], limit: floa
     return matches.select(key, "px", "py", "rx", "ry", "holdout").groupBy(key).applyInPandas(run, schema)
 
 
-def plane_frame(p: np.ndarray) -> dict:
-    """Best plane of points: origin, u (level), v (up), deviation; u points along its largest component's positive side."""
-    o = p.mean(axis=0)
-    _, s, vt = np.linalg.svd(p - o, full_matrices=False)
-    if len(p) < 3 or s[1] < 1e-9 * max(s[0], 1e-300):
-        raise ValueError("points are collinear")
-    n = vt[2]
-    dev = float(np.abs((p - o) @ n).max())
-    if dev > PLANE_TOLERANCE:
-        raise ValueError("points are not planar")
-    up = np.array([0.0, 0.0, 1.0]) - n[2] * n
-    v = up / np.linalg.norm(up) if np.linalg.norm(up) > 1e-6 else vt[1]
-    u = np.cross(v, n)
-    if u[np.abs(u).argmax()] < 0:
-        u = -u
-    return {"origin": o.tolist(), "u": u.tolist(), "v": v.tolist(), "deviation": dev}
-
-
-def frames(points: DataFrame, key: str) -> DataFrame:
-    """plane_frame of each key's points (key, x, y, z); not planar: error."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        base = {key: pdf[key].iloc[0], "origin": None, "u": None, "v": None, "deviation": None, "error": None}
-        try:
-            return pd.DataFrame([base | plane_frame(pdf[["x", "y", "z"]].to_numpy(float))])
-        except ValueError as e:
-            return pd.DataFrame([base | {"error": str(e)}])
-
-    kind = points.schema[key].dataType.simpleString()
-    return points.select(key, "x", "y", "z").groupBy(key).applyInPandas(run, f"{key} {kind}, origin array<double>, u array<double>, v array<double>, deviation double, error string")
-
-
 def _edges(ring: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and directions of a ring's edges."""
     ring = np.asarray(ring, float)

@@ -11,6 +11,7 @@ from quoin.functions import numeric as N
 from quoin.operators import detection as D
 from quoin.operators import kernels as K
 from quoin.operators import matching as M
+from quoin.operators import planes as P3
 from quoin.operators import policy as L
 from quoin.operators import raster as R
 from quoin.operators import retrieval as V
@@ -626,10 +627,14 @@ def homography_fit(spark, sf):
     return K.fit_groups(m, "cand", (1000, 600))
 
 
-@query()
+@query(f"""WITH {SPOTS_SQL}, p AS (SELECT g, x, 5 + 0.75 * x AS y, y AS z FROM b)
+SELECT g, round(avg(x), 6) AS ox, round(avg(y), 6) AS oy, round(avg(z), 6) AS oz, 0.8::DOUBLE AS ux, 0.6::DOUBLE AS uy, 0.0::DOUBLE AS uz, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy, 1.0::DOUBLE AS vz, 0.0::DOUBLE AS deviation, CAST(NULL AS VARCHAR) AS error FROM p GROUP BY g""")
 def plane_frame(spark, sf):
-    a = next(iter(_spots(spark, sf)))
-    return K.frames(a.select("g", "x", (F.col("x") * 0.0 + 5).alias("y"), F.col("y").alias("z")), "g")
+    """The frame of a slanting wall for each nation, from its customers' spots on it."""
+    _, b = _spots(spark, sf)
+    f = P3.frames(b.select("g", "x", (5 + F.col("x") * 0.75).alias("y"), F.col("y").alias("z")), "g")
+    part = lambda c, n: [(F.round(F.get(c, F.lit(i)), 6) + 0.0).alias(f"{n}{x}") for i, x in enumerate("xyz")]
+    return f.select("g", *part("origin", "o"), *part("u", "u"), *part("v", "v"), F.round("deviation", 6).alias("deviation"), "error")
 
 
 @query()

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.operators import kernels as K
+from quoin.operators.planes import plane_frame
 
 # Namespaces of CityGML 2.0, the kinds of surfaces, and the first line of a pointer file.
 GML = "{http://www.opengis.net/gml}"
@@ -110,7 +111,7 @@ def read_walls(rings: DataFrame) -> DataFrame:
         outer = [np.array([list(x) for x in p], float) for p in pdf.loc[pdf["ring"] == 0, "points"]]
         base = {"path": pdf["path"].iloc[0], "wall_id": pdf["wall_id"].iloc[0]}
         try:
-            f = K.plane_frame(np.vstack(outer))
+            f = plane_frame(np.vstack(outer))
         except ValueError:
             return pd.DataFrame([])
         uv = (np.vstack(outer) - f["origin"]) @ np.column_stack([f["u"], f["v"]])

@@ -9,6 +9,7 @@ from quoin.functions import numeric as N
 from quoin.operators import detection as D
 from quoin.operators import kernels as K
 from quoin.operators import matching as M
+from quoin.operators import planes
 from quoin.operators import raster as R
 from quoin.operators import retrieval as V
 from quoin.operators import state as S
@@ -141,10 +142,37 @@ def test_polygons():
 
 
 def test_plane_frame_points_up_and_right():
-    f = K.plane_frame(np.array([[0, 5, 0], [4, 5, 0], [4, 5, 3], [0, 5, 3]], float))
+    f = planes.plane_frame(np.array([[0, 5, 0], [4, 5, 0], [4, 5, 3], [0, 5, 3]], float))
     assert np.allclose(f["u"], [1, 0, 0]) and np.allclose(f["v"], [0, 0, 1])
-    with pytest.raises(ValueError):
-        K.plane_frame(np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0], [1, 1, 0.5]], float))
+    for wrong, why in (([[0, 0, 0], [1, 0, 0], [0, 1, 0], [1, 1, 0.5]], "planar"), ([[0, 0, 0], [1, 1, 1], [3, 3, 3]], "collinear"), ([[0, 0, 0], [1, 0, 0]], "collinear"), ([[0, 0, 0], [9, 0, 0.1], [9, 9, 0.1], [0, 9, 0]], "level")):
+        with pytest.raises(ValueError, match=why):
+            planes.plane_frame(np.array(wrong, float))
+
+
+def test_frames_from_sums_are_those_of_the_points(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for k in range(40):
+        n = rng.normal(size=3)
+        n /= np.linalg.norm(n)
+        a, b = np.linalg.svd(n[None])[2][1:]
+        p = rng.normal(size=(8, 1)) * 9 * a + rng.normal(size=(8, 1)) * 4 * b + [691_000, 5_336_000, 500] + (0.005 if k % 3 else 0.5) * rng.uniform(-1, 1, size=(8, 1)) * n
+        rows += [(k, *map(float, q)) for q in p]
+        try:
+            want[k] = planes.plane_frame(p)
+        except ValueError as e:
+            want[k] = str(e)
+    assert {type(v) for v in want.values()} == {dict, str}
+    for r in planes.frames(spark.createDataFrame(rows, "k int, x double, y double, z double").repartition(3), "k").collect():
+        if r.error:
+            assert r.error == want[r.k] and r.u is None
+        else:
+            f = want[r.k]
+            assert np.allclose(r.u, f["u"], atol=1e-7) and np.allclose(r.v, f["v"], atol=1e-7) and np.allclose(r.origin, f["origin"]) and abs(r.deviation - f["deviation"]) < 1e-6
+            p = np.array([q[1:] for q in rows if q[0] == r.k])
+            plane = np.stack([r.u, r.v])
+            assert np.allclose(plane @ plane.T, np.eye(2)) and r.u[2] == 0 and r.v[2] > 0 and max(r.u, key=abs) > 0
+            assert np.abs((p - r.origin) @ np.cross(*plane)).max() <= 0.03
 
 
 def test_states_and_split(spark):
