@@ -32,10 +32,14 @@ def deduplicate_pixels(matches: DataFrame, key: list[str], confidence: str = "co
     return matches.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def thin(matches: DataFrame, error: str, cell: list[str], limit: int = 50, order: str = "ord") -> DataFrame:
-    """The match with the least error of each cell, of these the `limit` best."""
-    w = Window.partitionBy(*cell).orderBy(error, order)
-    return matches.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").orderBy(error, order).limit(limit)
+def thin(matches: DataFrame, error: str, cell: list[str], limit: int = 50, order: str = "ord", picture: list[str] | None = None) -> DataFrame:
+    """The match with the least error of each cell, of these the `limit` best: of each picture (which its cells must name,
+    too), or of all."""
+    first = lambda w, n: F.row_number().over(w.orderBy(error, order)) <= n
+    best = matches.withColumn("_r", first(Window.partitionBy(*cell), 1)).where("_r").drop("_r")
+    if picture is None:
+        return best.orderBy(error, order).limit(limit)
+    return best.withColumn("_r", first(Window.partitionBy(*picture), limit)).where("_r").drop("_r")
 
 
 def vote(points: DataFrame, objects: DataFrame, key: str) -> DataFrame:

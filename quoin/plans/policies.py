@@ -259,10 +259,11 @@ def tile_merge(spark, sf):
     return D.merge_tiles(raw)[1]
 
 
-@query(f"WITH {W.MATCH_SQL}, r AS (SELECT *, abs(rx - px) AS e, cand * 10000000 + ord AS uid, floor(px / 100) AS c, floor(py / 100) AS d FROM m), b AS (SELECT *, row_number() OVER (PARTITION BY cand, c, d ORDER BY e, uid) AS k FROM r) SELECT uid, round(e, 6) AS e FROM b WHERE k = 1 ORDER BY e, uid LIMIT 50")
+@query(f"WITH {W.MATCH_SQL}, r AS (SELECT *, abs(rx - px) AS e, cand * 10000000 + ord AS uid, floor(px / 100) AS c, floor(py / 100) AS d FROM m), b AS (SELECT *, row_number() OVER (PARTITION BY cand, c, d ORDER BY e, uid) AS k FROM r), t AS (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY e, uid) AS p FROM b WHERE k = 1) SELECT uid, round(e, 6) AS e FROM t WHERE p <= 20")
 def thinned_matches(spark, sf):
+    """Of each candidate's picture the twenty best, one of a cell."""
     m = W.matches(spark, sf).withColumns({"e": F.abs(F.col("rx") - F.col("px")), "uid": F.col("cand") * 10_000_000 + F.col("ord"), "c": F.floor(F.col("px") / 100), "d": F.floor(F.col("py") / 100)})
-    return M.thin(m, "e", ["cand", "c", "d"], 50, "uid").select("uid", F.round(F.col("e").cast("double"), 6).alias("e"))
+    return M.thin(m, "e", ["cand", "c", "d"], 20, "uid", ["cand"]).select("uid", F.round(F.col("e").cast("double"), 6).alias("e"))
 
 
 @query("SELECT p_partkey, CAST(2 * p_size - 1 AS DOUBLE) AS u, CAST(p_size AS DOUBLE) AS v, CAST(2 * p_size AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y, CAST(p_size AS DOUBLE) AS z FROM part")
