@@ -133,7 +133,7 @@ def _passed(out: DataFrame) -> DataFrame:
 
 def _viewed(selected: DataFrame, candidates: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """The selected candidates, and the passing ones that show their wall in another view; both with the wall's frame."""
-    fields = ["building_id", "wall_id", "view_name", "h", "camera"]
+    fields = ["building_id", "wall_id", "view_name", "h", "camera", *(c for c in ("photo_w", "photo_h") if c in candidates.columns)]
     frame = ["origin", "u", "v"]
     mine = selected.select(key, "candidate_id").join(candidates, [key, "candidate_id"]).select(key, "candidate_id", *fields, *frame)
     own = mine.select(key, "building_id", "wall_id", F.col("view_name").alias("_view"), *frame)
@@ -142,7 +142,7 @@ def _viewed(selected: DataFrame, candidates: DataFrame, key: str) -> tuple[DataF
     return mine, others
 
 
-def _on_wall(views: DataFrame, pixels: DataFrame, photo: tuple[int, int], key: str) -> DataFrame:
+def _on_wall(views: DataFrame, pixels: DataFrame, photo: tuple[int | Column, int | Column], key: str) -> DataFrame:
     """Where the photo's grid lies on the wall by each view (null: nowhere), and whether the wall is seen there."""
     nx, ny, lo, hi = AGREEMENT_GRID
     at = lambda i, n, size: (lo + i * (hi - lo) / (n - 1)) * size
@@ -156,7 +156,7 @@ def _on_wall(views: DataFrame, pixels: DataFrame, photo: tuple[int, int], key: s
     return p.select(key, "candidate_id", F.col("_g.i").alias("i"), "point", F.coalesce("_seen", F.lit(False)).alias("seen"))
 
 
-def view_comparisons(selected: DataFrame, candidates: DataFrame, pixels: DataFrame, photo: tuple[int, int], key: str) -> DataFrame:
+def view_comparisons(selected: DataFrame, candidates: DataFrame, pixels: DataFrame, photo: tuple[int | Column, int | Column], key: str) -> DataFrame:
     """For each selected candidate and each passing one with the same wall in another view, how far apart in metres a grid
     over the photo lies on the wall by the two. Points count that both views see on the wall; sound: all have a place on it.
 
@@ -173,7 +173,7 @@ def view_comparisons(selected: DataFrame, candidates: DataFrame, pixels: DataFra
     return out.withColumn("passed", F.col("passed") & F.col("sound"))
 
 
-def view_agreement(selected: DataFrame, candidates: DataFrame, pixels: DataFrame, photo: tuple[int, int], key: str) -> DataFrame:
+def view_agreement(selected: DataFrame, candidates: DataFrame, pixels: DataFrame, photo: tuple[int | Column, int | Column], key: str) -> DataFrame:
     """Whether at least one other passing view shows each selected wall and all such views agree with the selected one
     (see view_comparisons): one row for each selected candidate, with the reason why not."""
     n = view_comparisons(selected, candidates, pixels, photo, key).groupBy(key).agg(F.count("*").alias("comparisons"), F.bool_and("passed").alias("_all"), F.bool_and("sound").alias("_sound"))
