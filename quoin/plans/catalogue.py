@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quoin.functions import boxes as B
 from quoin.functions import numeric as N
+from quoin.operators import depth as Z
 from quoin.operators import detection as D
 from quoin.operators import kernels as K
 from quoin.operators import matching as M
@@ -416,7 +417,7 @@ def _zbuffer(spark, sf):
     t = W.table(spark, sf, "part").selectExpr(*[f"{e} AS {k}" for k, e in TRI.items()])
     d = lambda c: F.col(c).cast("double")
     t = t.select("view_id", "tri_id", "object_index", d("x").alias("ax"), d("y").alias("ay"), d("z").alias("az"), (d("x") + d("s")).alias("bx"), d("y").alias("by"), (d("z") + 4).alias("bz"), d("x").alias("cx"), (d("y") + d("s")).alias("cy"), (d("z") + 4).alias("cz"))
-    return R.zbuffer(R.cover(t, 80, 60).withColumn("depth", F.round("depth", 9)))
+    return Z.visible(t, 80, 60, digits=9)
 
 
 @query(f"WITH {COVER_SQL} SELECT view_id, x, y, object_index, round(depth, 6) AS depth FROM zb")
