@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quoin.functions import boxes as B
 from quoin.functions import numeric as N
-from quoin.runtime import cut
+from quoin.runtime import cut, dealt
 
 from . import detection as D
 from . import matching as M
@@ -67,7 +67,7 @@ def crops(pairs: DataFrame, pair: str) -> DataFrame:
     """The photo's tiles with the render crop of each (cx0..cy1), or the first of the first four reasons as skip_reason.
 
     pairs (pair, photo_w, photo_h, render_w, render_h, h: photo to render by row, view_id)."""
-    t = D.tiles(pairs, "photo_w", "photo_h")
+    t = D.tiles(dealt(pairs), "photo_w", "photo_h")
     box = B.Box(*(F.col(c) - 0.5 for c in ("x0", "y0", "x1", "y1")))  # a crop begins half a pixel before its first centre
     size = F.sqrt(F.aggregate("h", F.lit(0.0), lambda a, x: a + x * x))
     t = t.withColumn("_h", F.transform("h", lambda x: x / size))
