@@ -13,14 +13,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoin.functions import boxes as B
 from quoin.functions import numeric as N
 from quoin.runtime import cut
 
 from . import raster as R
+from . import samples as X
 
 CLASSES = ("window", "door", "ambiguous")
 WALL_KINDS = ("WallSurface", "Window", "Door")
@@ -30,6 +31,8 @@ FLAT, ENDS = 1e-12, 1e-9
 SINGULAR = 3 * 2.0**-52
 BAND, CELL = 1.0, 4.0
 """Metres: the height in which edges are filed, and the side of the cells in which rings are."""
+LOT = 1 << 19
+"""Pairs of points and edges that are compared at once."""
 #: The reasons in their order.
 REASONS = (
     "unsupported_detection_class", "invalid_detection_box", "box_outside_photo", "box_touches_photo_border_may_be_incomplete", "projective_pole_crosses_detection",
@@ -87,30 +90,62 @@ def run_problem(runs: DataFrame, visible: DataFrame) -> DataFrame:
     return out.withColumn("problem", problem).drop("_seen")
 
 
+def _hits(px: np.ndarray, py: np.ndarray, m: np.ndarray, o: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
+    """wall_hit for render pixels (rows, 4): which have a meeting, x, y, depth, and points (rows, 4, 3)."""
+    dot = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+    o, u, v = ([c[:, i, None] for i in range(3)] for c in (o, u, v))
+    n = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    d = [m[:, 4 * i + 2, None] for i in range(3)]
+    with np.errstate(all="ignore"):
+        p = [px * m[:, 4 * i, None] + py * m[:, 4 * i + 1, None] + m[:, 4 * i + 3, None] for i in range(3)]
+        length, den = np.sqrt(dot(d, d)), dot(d, n)
+        depth = dot([a - b for a, b in zip(o, p, strict=True)], n) / den
+        q = [a + depth * b for a, b in zip(p, d, strict=True)]
+        rel = [a - b for a, b in zip(q, o, strict=True)]
+        steep = (length >= 1e-12) & (np.abs(den) >= length * np.sqrt(dot(n, n)) * R.MIN_RAY_COSINE)
+        return steep & np.isfinite(depth) & (depth > 0), dot(rel, u), dot(rel, v), depth, np.stack(q, axis=2)
+
+
 def on_walls(det: DataFrame, runs: DataFrame, run: str) -> DataFrame:
-    """det (run, class, box) joined with its run: render (four corners), hits (see wall_hit), area_m2, and the first of
-    the first eight reasons as reject_reason."""
-    b = B.Box.at()
-    h = _at("h", 9)
-    pw, ph = F.col("photo_w"), F.col("photo_h")
-    outside = (b.x0 < 0) | (b.y0 < 0) | (b.x1 > pw) | (b.y1 > ph)
-    border = (b.x0 <= R.BORDER) | (b.y0 <= R.BORDER) | (b.x1 >= pw - R.BORDER) | (b.y1 >= ph - R.BORDER)
-    size = F.sqrt(F.aggregate("h", F.lit(0.0), lambda a, x: a + x * x))
-    corners = F.array(*[F.struct(x.alias("x"), y.alias("y"), ((x * h[6] + y * h[7] + h[8]) / size).alias("w")) for x, y in R.corners(b)])
-    every = lambda a, f: F.coalesce(F.forall(a, f), F.lit(False))
-    out = det.join(runs, run).withColumn("_c", corners)
-    out = out.withColumn("_p", F.transform("_c", lambda c: N.project(c["x"], c["y"], h)))
-    out = out.withColumn("_h", F.transform("_p", lambda p: wall_hit(p["x"], p["y"])))
-    out = out.withColumn("_m", F.forall("_h", lambda w: w.isNotNull()))
-    out = out.withColumn("area_m2", F.when(F.col("_m"), F.abs(N.signed_area(F.col("_h")))))
-    one_side = every("_c", lambda c: c["w"] > R.POLE) | every("_c", lambda c: c["w"] < -R.POLE)
-    within = every("_p", lambda p: F.coalesce(N.inside(p["x"], p["y"], F.col("render_w"), F.col("render_h")), F.lit(False)))
-    sound = F.coalesce(B.finite(b.x0, b.y0, b.x1, b.y1) & (b.x1 > b.x0) & (b.y1 > b.y0), F.lit(False))
-    tests = (~F.coalesce(F.col("class").isin(*CLASSES), F.lit(False)), ~sound, outside, border, ~one_side, ~within, ~F.col("_m"), F.col("area_m2") < R.MIN_AREA)
-    reason = F.when(tests[0], REASONS[0])
-    for test, name in zip(tests[1:], REASONS[1:], strict=False):
-        reason = reason.when(test, name)
-    return out.withColumns({"reject_reason": reason, "render": F.col("_p"), "hits": F.when(F.col("_m"), F.col("_h"))}).drop("_c", "_p", "_h", "_m")
+    """det (run, class, box) joined with its run: hits of the four corners (see wall_hit), area_m2, and the first of the first
+    eight reasons as reject_reason. A batch of rows is worked at once, in the order of operations of the columns' forms."""
+    joined = det.join(runs, run)
+    point = "array<struct<x: double, y: double, depth: double, point: array<double>>>"
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            number = lambda c: b.column(c).to_numpy(zero_copy_only=False).astype(float)  # noqa: B023, E731
+            x0, y0, x1, y1, pw, ph, rw, rh = (number(c) for c in ("x0", "y0", "x1", "y1", "photo_w", "photo_h", "render_w", "render_h"))
+            h, m, o, u, v = (X.numbers(b.column(c), n) for c, n in (("h", 9), ("camera", 16), ("origin", 3), ("u", 3), ("v", 3)))
+            with np.errstate(all="ignore"):
+                size = np.zeros(len(h))
+                for i in range(9):
+                    size = size + h[:, i] * h[:, i]
+                cx, cy = np.stack([x0, x1, x1, x0], axis=1), np.stack([y0, y0, y1, y1], axis=1)
+                w = (cx * h[:, 6, None] + cy * h[:, 7, None] + h[:, 8, None]) / np.sqrt(size)[:, None]
+                one_side = b.column("h").is_valid().to_numpy(zero_copy_only=False) & (~(w <= R.POLE)).all(axis=1) | (w < -R.POLE).all(axis=1)
+                px, py = X.project(cx, cy, h)
+                within = ((px >= -0.5) & (py >= -0.5) & (px < rw[:, None] - 0.5) & (py < rh[:, None] - 0.5)).all(axis=1)
+                met, x, y, depth, q = _hits(px, py, m, o, u, v)
+                met = met.all(axis=1)
+                area = np.zeros(len(h))
+                for i in range(4):
+                    j = (i + 1) % 4
+                    area = area + (x[:, i] * y[:, j] - x[:, j] * y[:, i])
+                area = np.abs(area / 2)
+                sound = np.isfinite(x0) & np.isfinite(y0) & np.isfinite(x1) & np.isfinite(y1) & (x1 > x0) & (y1 > y0)
+                outside = (x0 < 0) | (y0 < 0) | (x1 > pw) | (y1 > ph)
+                border = (x0 <= R.BORDER) | (y0 <= R.BORDER) | (x1 >= pw - R.BORDER) | (y1 >= ph - R.BORDER)
+                known = pc.is_in(b.column("class"), pa.array(CLASSES)).to_numpy(zero_copy_only=False)
+                tests = np.stack([~known, ~sound, outside, border, ~one_side, ~within, ~met, area < R.MIN_AREA], axis=1)
+            first = np.where(tests.any(axis=1), tests.argmax(axis=1), -1)
+            reason = pa.array(REASONS).take(pa.array(first, mask=first < 0))
+            flat = pa.StructArray.from_arrays([x.ravel(), y.ravel(), depth.ravel(), pa.ListArray.from_arrays(np.arange(0, q.size + 1, 3, dtype=np.int32), q.ravel())], ["x", "y", "depth", "point"])
+            hits = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 4, dtype=np.int32)), flat, mask=pa.array(~met))
+            yield pa.RecordBatch.from_arrays([*b.columns, hits, pa.array(area, mask=~met), reason], [*b.schema.names, "hits", "area_m2", "reject_reason"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields)
+    return joined.mapInArrow(place, f"{fields}, hits {point}, area_m2 double, reject_reason string")
 
 
 def ring_edges(rings: DataFrame) -> DataFrame:
@@ -123,35 +158,54 @@ def ring_edges(rings: DataFrame) -> DataFrame:
 
 
 def inside_edges(quad: np.ndarray, edges: np.ndarray, tolerance: float) -> bool:
-    """Whether a quadrangle (4, 2) lies in a ring of which `edges` (n, 4) holds all that cross its height at or to the
-    right of its left end: its corners, its centre, and the points halfway between places where its edges meet the ring."""
-    a, b = edges[:, :2], edges[:, 2:]
-    start, step = quad, np.roll(quad, -1, axis=0) - quad
-    along, gap = b - a, a[None] - start[:, None]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        den = step[:, None, 0] * along[None, :, 1] - step[:, None, 1] * along[None, :, 0]
-        here = (gap[..., 0] * along[None, :, 1] - gap[..., 1] * along[None, :, 0]) / den
-        there = (gap[..., 0] * step[:, None, 1] - gap[..., 1] * step[:, None, 0]) / den
+    """inside_all for one quadrangle (4, 2) and its edges (n, 4)."""
+    return bool(inside_all(quad[None], edges[None], tolerance)[0])
+
+
+def inside_all(quads: np.ndarray, edges: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which quadrangles (rows, 4, 2) lie in a ring of which `edges` (rows, n, 4) holds all that cross their height at or to the
+    right of their left end: corners, centre, and the points halfway between places where their edges meet the ring."""
+    a, b = edges[:, :, :2], edges[:, :, 2:]
+    start, step = quads, np.roll(quads, -1, axis=1) - quads
+    along, gap = b - a, a[:, None] - start[:, :, None]
+    cross = lambda p, q: p[..., 0] * q[..., 1] - p[..., 1] * q[..., 0]
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        den = cross(step[:, :, None], along[:, None])
+        here, there = cross(gap, along[:, None]) / den, cross(gap, step[:, :, None]) / den
         on_both = (np.abs(den) > FLAT) & (np.abs(here - 0.5) <= 0.5 + ENDS) & (np.abs(there - 0.5) <= 0.5 + ENDS)
-        runs_along = (np.abs(den) <= FLAT) & (np.abs(step[:, None, 0] * gap[..., 1] - step[:, None, 1] * gap[..., 0]) < ENDS)
-        square = (step * step).sum(axis=1)[:, None]
-        feet = [np.where(runs_along, ((end[None] - start[:, None]) * step[:, None]).sum(axis=2) / square, 0.0) for end in (a, b)]
-    t = np.concatenate([np.where(on_both, here, 0.0), *feet, np.zeros((4, 1)), np.ones((4, 1))], axis=1)
-    t = np.sort(np.clip(np.nan_to_num(t), 0.0, 1.0), axis=1)
-    between = start[:, None] + ((t[:, 1:] + t[:, :-1]) / 2)[..., None] * step[:, None]
-    p = np.concatenate([quad, quad.mean(axis=0)[None], between.reshape(-1, 2)])
-    rel = p[:, None] - a[None]
-    place = np.clip((rel * along).sum(axis=2) / np.maximum((along * along).sum(axis=1), 1e-300), 0.0, 1.0)
-    near = np.sqrt(((rel - place[..., None] * along) ** 2).sum(axis=2)).min(axis=1, initial=np.inf) <= max(tolerance, 1e-9)
-    return bool((near | _odd(p, a, b)).all())
+        runs_along = (np.abs(den) <= FLAT) & (np.abs(cross(step[:, :, None], gap)) < ENDS)
+        square = (step * step).sum(axis=2)[:, :, None]
+        feet = [np.where(runs_along, ((end[:, None] - start[:, :, None]) * step[:, :, None]).sum(axis=3) / square, 0.0) for end in (a, b)]
+    edge = np.zeros((*quads.shape[:2], 1))
+    t = np.concatenate([np.where(on_both, here, 0.0), *feet, edge, edge + 1], axis=2)
+    t = np.sort(np.clip(np.nan_to_num(t), 0.0, 1.0), axis=2)
+    between = start[:, :, None] + ((t[..., 1:] + t[..., :-1]) / 2)[..., None] * step[:, :, None]
+    p = np.concatenate([quads, quads.mean(axis=1)[:, None], between.reshape(len(quads), -1, 2)], axis=1)
+    rel, along = p[:, :, None] - a[:, None], along[:, None]
+    place = np.clip((rel * along).sum(axis=3) / np.maximum((along * along).sum(axis=3), 1e-300), 0.0, 1.0)
+    near = np.sqrt(((rel - place[..., None] * along) ** 2).sum(axis=3)).min(axis=2, initial=np.inf) <= max(tolerance, 1e-9)
+    return (near | _odd(p, a, b)).all(axis=1)
 
 
 def _odd(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which points have an odd number of edges to their right."""
-    spans = (a[None, :, 1] > p[:, None, 1]) != (b[None, :, 1] > p[:, None, 1])
+    """Which points (rows, m, 2) have an odd number of the row's edges to their right."""
+    py, (ax, ay), (bx, by) = p[:, :, None, 1], (a[:, None, :, i] for i in (0, 1)), (b[:, None, :, i] for i in (0, 1))
+    spans = (ay > py) != (by > py)
     with np.errstate(divide="ignore", invalid="ignore"):
-        x = a[None, :, 0] + (p[:, None, 1] - a[None, :, 1]) * (b[None, :, 0] - a[None, :, 0]) / (b[None, :, 1] - a[None, :, 1])
-    return (spans & (x > p[:, None, 0])).sum(axis=1) % 2 == 1
+        x = ax + (py - ay) * (bx - ax) / (by - ay)
+    return (spans & (x > p[:, :, None, 0])).sum(axis=2) % 2 == 1
+
+
+def _kept(quads: np.ndarray, ends: np.ndarray, edges: np.ndarray, tolerance: float) -> np.ndarray:
+    """inside_all for rows with edges[ends[i]:ends[i + 1]], those with equally many at once, in lots of bounded size."""
+    n, out = np.diff(ends), np.zeros(len(quads), dtype=bool)
+    for k in np.unique(n):
+        rows = np.flatnonzero(n == k)
+        lot = max(1, LOT // int((12 * k + 9) * max(k, 1)))
+        for i in range(0, len(rows), lot):
+            r = rows[i : i + lot]
+            out[r] = inside_all(quads[r], edges[ends[r][:, None] + np.arange(k)], tolerance)
+    return out
 
 
 def within_rings(quads: DataFrame, rings: DataFrame, key: list[str], tolerance: float = TOLERANCE, band: float = BAND, cell: float = CELL) -> DataFrame:
@@ -180,8 +234,7 @@ def within_rings(quads: DataFrame, rings: DataFrame, key: list[str], tolerance:
             quad = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in corner], axis=1).reshape(-1, 4, 2)
             lists = batch.column("edges")
             ends, flat = np.asarray(lists.offsets), np.asarray(lists.values).reshape(-1, 4)
-            keep = [inside_edges(quad[i], flat[ends[i] // 4 : ends[i + 1] // 4], tolerance) for i in range(len(quad))]
-            yield batch.select(key).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(key).filter(pa.array(_kept(quad, ends // 4, flat, tolerance)))
 
     schema = ", ".join(f"`{k}` {gathered.schema[k].dataType.simpleString()}" for k in key)
     return gathered.mapInArrow(run, schema).distinct()
@@ -190,19 +243,9 @@ def within_rings(quads: DataFrame, rings: DataFrame, key: list[str], tolerance:
 def seen_shares(boxes: DataFrame, pixels: DataFrame, objects: DataFrame, key: list[str]) -> DataFrame:
     """Shares of a grid of points over each box that lie on its wall (its openings count for it) and on other surfaces, and
     whether that supports it. boxes (key, box, h, view_id, building_id, wall_id), pixels (view_id, x, y, object_index)."""
-    b = B.Box.at()
-    n = R.SAMPLES
-    place = [R.INSET + i * (1 - 2 * R.INSET) / (n - 1) for i in range(n)]
-    cells = F.array(*[F.struct(F.lit(r * n + c).alias("i"), F.lit(place[c]).alias("fx"), F.lit(place[r]).alias("fy")) for r in range(n) for c in range(n)])
-    s = boxes.select(*key, "x0", "y0", "x1", "y1", "h", "view_id", "building_id", "wall_id", F.explode(cells).alias("_s"))
-    s = s.withColumn("_p", N.project(b.x0 + F.col("_s.fx") * b.width, b.y0 + F.col("_s.fy") * b.height, _at("h", 9)))
-    s = s.select(*key, "view_id", "building_id", "wall_id", (F.col("_s.i") == n * n // 2).alias("middle"), F.col("_p.x").alias("sx"), F.col("_p.y").alias("sy"))
-    walls = objects.where(F.col("kind").isin(*WALL_KINDS)).select("building_id", "object_index", F.col("wall_id").alias("_wall"))
-    s = R.at_pixel(s, pixels.select("view_id", "x", "y", "object_index", F.lit(None).cast("double").alias("depth")), "sx", "sy").join(walls, ["building_id", "object_index"], "left")
-    same = F.coalesce(F.col("_wall") == F.col("wall_id"), F.lit(False))
-    other = (F.col("object_index") >= 0) & ~same
-    out = s.groupBy(*key).agg(F.avg(same.cast("double")).alias("same_wall"), F.avg(other.cast("double")).alias("other_surface"), F.bool_or(same & F.col("middle")).alias("_middle"))
-    return out.withColumn("supported", F.col("_middle") & (F.col("same_wall") >= R.MIN_SAME) & (F.col("other_surface") <= R.MAX_OTHER)).drop("_middle")
+    own = objects.where(F.col("kind").isin(*WALL_KINDS)).groupBy("building_id", "wall_id").agg(F.collect_set(F.col("object_index").cast("int")).alias("mine"))
+    out = X.shares(boxes.join(own, ["building_id", "wall_id"], "left"), pixels, key)
+    return out.withColumn("supported", F.col("middle") & (F.col("same_wall") >= R.MIN_SAME) & (F.col("other_surface") <= R.MAX_OTHER)).drop("middle")
 
 
 def map_runs(det: DataFrame, runs: DataFrame, rings: DataFrame, pixels: DataFrame, objects: DataFrame, run: str = "run", order: str = "ord") -> DataFrame:
@@ -217,14 +260,16 @@ def map_runs(det: DataFrame, runs: DataFrame, rings: DataFrame, pixels: DataFram
     views = runs.select("view_id", "building_id").distinct()
     visible = pixels.select("view_id", "object_index").distinct().join(views, "view_id").join(allowed, ["building_id", "object_index"])
     placed = on_walls(det, run_problem(runs, visible), run).withColumn("reject_reason", F.coalesce("problem", "reject_reason"))
-    first = cut(placed.select(*key, "class", "x0", "y0", "x1", "y1", "h", "view_id", "building_id", "wall_id", "hits", "area_m2", "reject_reason"))
+    free = lambda c: F.when(F.col("reject_reason").isNull(), F.col(c)).alias(c)
+    first = cut(placed.select(*key, "class", "wall_id", "reject_reason", *[free(c) for c in ("x0", "y0", "x1", "y1", "h", "view_id", "building_id", "hits", "area_m2")]))
     open_ = first.where("reject_reason IS NULL")
     inside = within_rings(open_, rings, key).withColumn("_in", F.lit(True))
     shares = seen_shares(open_.join(inside, key, "left_semi"), pixels, objects, key)
-    out = first.join(inside, key, "left").join(shares, key, "left")
-    reason = F.coalesce("reject_reason", F.when(F.col("_in").isNull(), REASONS[8]).when(~F.coalesce("supported", F.lit(False)), REASONS[9]))
+    late = F.when(F.col("_in").isNull(), REASONS[8]).when(~F.coalesce("supported", F.lit(False)), REASONS[9])
+    held = [*key, "class", "wall_id", "reject_reason", "hits", "area_m2", "same_wall", "other_surface"]
+    judged = open_.join(inside, key, "left").join(shares, key, "left").withColumn("reject_reason", late).select(*held)
+    out = first.where("reject_reason IS NOT NULL").select(*held[:-2], *[F.lit(None).cast("double").alias(c) for c in held[-2:]]).union(judged)
     side = lambda i, j: F.sqrt(F.pow(F.get("hits", F.lit(i))["x"] - F.get("hits", F.lit(j))["x"], 2) + F.pow(F.get("hits", F.lit(i))["y"] - F.get("hits", F.lit(j))["y"], 2))
-    out = out.withColumn("reject_reason", reason)
     held = lambda c: F.when(F.col("reject_reason").isNull(), c)
     return out.select(
         *key, "class", "wall_id", F.format_string("P%04d", F.col(order)).alias("prediction_id"), "reject_reason", "same_wall", "other_surface", held(F.col("hits")).alias("hits"),
