@@ -27,6 +27,10 @@ NEAR = 0.75
 """Grid steps within which a vertex is on an edge."""
 ROUNDS = 50
 BLOCK = 512
+MANY = 256
+"""Edges up to which a group is worked together with others."""
+LOT = 1 << 17
+"""Squares of edges that are worked at once."""
 
 Polygon = tuple[np.ndarray, list[np.ndarray]]
 """Outer ring, counter-clockwise, and holes, clockwise."""
@@ -226,6 +230,8 @@ def size(polygons: list[Polygon]) -> float:
     return float(sum(area(o) + sum(area(h) for h in holes) for o, holes in polygons))
 
 
+_size = size
+
 OPERATIONS = {"union": union, "intersection": intersection, "difference": lambda p: difference(p[0], p[1:])}
 
 
@@ -266,23 +272,166 @@ def overlay(polygons: DataFrame, key: str, operation: str, checked: bool = False
     return _gathered(polygons, key).mapInArrow(run, f"`{key}` {polygons.schema[key].dataType.simpleString()}, part int, outer {ring}, holes array<{ring}>, area double, error string")
 
 
+def _reach(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (i, j) with first[i] <= j < last[i]."""
+    n = np.maximum(last - first, 0)
+    i = np.repeat(np.arange(len(n)), n)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n - first, n)
+
+
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by columns, the first of them first, and where in it new rows begin."""
+    order = np.lexsort(columns[::-1])
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns]) if len(order) else new[1:]
+    return order, np.flatnonzero(new)
+
+
+def _split_all(e: np.ndarray, of: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """_split for the edges of many groups at once, and the groups that do not settle."""
+    done, wide = [], float(np.abs(e).max() + 8)
+    for _ in range(ROUNDS):
+        order = np.lexsort((np.minimum(e[:, 0], e[:, 2]), g))
+        e, of, g = e[order], of[order], g[order]
+        low, high = np.minimum(e[:, :2], e[:, 2:]), np.maximum(e[:, :2], e[:, 2:])
+        key = g * (2 * wide) + low[:, 0]
+        i, j = _reach(np.arange(len(e)) + 1, np.searchsorted(key, g * (2 * wide) + high[:, 0] + 2, "right"))
+        near = (low[i, 1] <= high[j, 1] + 2) & (low[j, 1] <= high[i, 1] + 2)
+        i, j = np.concatenate([i[near], j[near]]), np.concatenate([j[near], i[near]])
+        a, c = e[i, :2], e[j, :2]
+        p, q, d = e[i, 2:] - a, e[j, 2:] - c, c - a
+        den = p[:, 0] * q[:, 1] - p[:, 1] * q[:, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            s, u = (d[:, 0] * q[:, 1] - d[:, 1] * q[:, 0]) / den, (d[:, 0] * p[:, 1] - d[:, 1] * p[:, 0]) / den
+        k = np.flatnonzero((den != 0) & (s > 0) & (s < 1) & (u > 0) & (u < 1))
+        v = np.concatenate([e[:, :2], e[:, 2:], np.rint(a[k] + s[k, None] * p[k])])
+        vg = np.concatenate([g, g, g[i[k]]])
+        order, new = _distinct(vg, v[:, 0], v[:, 1])
+        v, vg = v[order[new]], vg[order[new]]
+        key = vg * (2 * wide) + v[:, 0]
+        i, j = _reach(np.searchsorted(key, g * (2 * wide) + low[:, 0] - 1), np.searchsorted(key, g * (2 * wide) + high[:, 0] + 1, "right"))
+        near = (v[j, 1] >= low[i, 1] - 1) & (v[j, 1] <= high[i, 1] + 1)
+        i, j = i[near], j[near]
+        a, d, w = e[i, :2], e[i, 2:] - e[i, :2], v[j]
+        at = ((w - a) * d).sum(axis=1) / np.maximum((d * d).sum(axis=1), 1e-300)
+        off = np.sqrt((((w - a) - np.clip(at, 0, 1)[:, None] * d) ** 2).sum(axis=1))
+        end = (w == a).all(axis=1) | (w == a + d).all(axis=1)
+        on = (off <= NEAR) & ~end & (at > 0) & (at < 1)
+        n = len(e)
+        edge, at, stop = np.concatenate([np.arange(n), np.arange(n), i[on]]), np.concatenate([np.full(n, -1.0), np.full(n, 2.0), at[on]]), np.concatenate([e[:, :2], e[:, 2:], v[j[on]]])
+        order = np.lexsort((at, edge))
+        edge, stop = edge[order], stop[order]
+        k = np.flatnonzero(edge[1:] == edge[:-1])
+        changed = np.zeros(g.max(initial=0) + 1, dtype=bool)
+        changed[g[i[on]]] = True
+        e, of, g = np.concatenate([stop[k], stop[k + 1]], axis=1), of[edge[k]], g[edge[k]]
+        keep = (e[:, :2] != e[:, 2:]).any(axis=1)
+        e, of, g = e[keep], of[keep], g[keep]
+        again = changed[g]
+        done.append((e[~again], of[~again], g[~again]))
+        e, of, g = e[again], of[again], g[again]
+        if not len(e):
+            break
+    return *(np.concatenate(c) for c in zip(*done, strict=True)), np.unique(g)
+
+
+def _beyond(e: np.ndarray, own: np.ndarray, g: np.ndarray, axis: int, rows: np.ndarray) -> np.ndarray:
+    """Which polygons (as bits) hold the points just beside the middle of the pieces `rows`, seen along an axis."""
+    a, b = e[:, [axis, 1 - axis]], e[:, [2 + axis, 3 - axis]]
+    met = np.flatnonzero(a[:, 1] != b[:, 1])
+    i, j = _reach(np.searchsorted(g[met], g[rows]), np.searchsorted(g[met], g[rows], "right"))
+    r, s = rows[i], met[j]
+    m = (a[r] + b[r]) / 2
+    spans = np.flatnonzero(((a[s, 1] > m[:, 1]) != (b[s, 1] > m[:, 1])) & (r != s))
+    i, s, m = i[spans], s[spans], m[spans]
+    x = a[s, 0] + (m[:, 1] - a[s, 1]) * (b[s, 0] - a[s, 0]) / (b[s, 1] - a[s, 1])
+    out = np.zeros(len(rows), dtype=np.uint64)
+    np.bitwise_xor.at(out, i[x > m[:, 0]], own[s[x > m[:, 0]]])
+    return out
+
+
+def _areas_of(e: np.ndarray, of: np.ndarray, g: np.ndarray, held: np.ndarray, snap: float = SNAP) -> tuple[np.ndarray, np.ndarray]:
+    """Areas (groups, 3) of union, intersection and first less others of many groups' polygons, and the groups that do not settle.
+
+    e: edges on the grid, of: their polygon (below 64), g: their group, held: polygons of each group."""
+    e, of, g, open_ = _split_all(e, of, g)
+    back = (e[:, 0] > e[:, 2]) | ((e[:, 0] == e[:, 2]) & (e[:, 1] > e[:, 3]))
+    e[back] = e[back][:, [2, 3, 0, 1]]
+    order, new = _distinct(g, *e.T)
+    bit = np.left_shift(np.uint64(1), of.astype(np.uint64))[order]
+    own = np.bitwise_xor.reduceat(bit, new) if len(new) else bit  # what a polygon passes twice bounds nothing
+    e, g = e[order[new]], g[order[new]]
+    e, g, own = e[own != 0], g[own != 0], own[own != 0]
+    level = e[:, 1] == e[:, 3]
+    right = np.zeros(len(e), dtype=np.uint64)
+    for axis, rows in ((0, np.flatnonzero(~level)), (1, np.flatnonzero(level))):
+        ahead = _beyond(e, own, g, axis, rows)
+        upward = (e[rows, 3] > e[rows, 1]) if axis == 0 else np.zeros(len(rows), dtype=bool)
+        right[rows] = np.where(upward, ahead, ahead ^ own[rows])
+    left, full = right ^ own, (np.left_shift(np.uint64(1), held.astype(np.uint64)) - np.uint64(1))[g]
+    half = (e[:, 0] * e[:, 3] - e[:, 2] * e[:, 1]) / 2 * snap * snap
+    sides = [(rule(left).astype(int) - rule(right)) * half for rule in (lambda m: m != 0, lambda m: m == full, lambda m: m == 1)]
+    return np.stack([np.bincount(g, s, len(held)) for s in sides], axis=1), open_
+
+
+def _areas(column: pa.ListArray) -> tuple[np.ndarray, list[str | None]]:
+    """Areas (rows, 3) of each row's polygons (see areas), NaN where there is an error, and errors."""
+    polygons = column.values
+    rings = polygons.values
+    points = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in rings.values.flatten()], axis=1)
+    by_row, by_polygon, by_ring = (np.asarray(c.offsets).astype(np.int64) for c in (column, polygons, rings))
+    n = len(column)
+    row = np.repeat(np.arange(n), np.diff(by_row))
+    ring_polygon = np.repeat(np.arange(len(row)), np.diff(by_polygon[by_row[0] : by_row[-1] + 1]))
+    first = by_ring[by_polygon[by_row[0]] : by_polygon[by_row[-1]] + 1]
+    ring = np.repeat(np.arange(len(ring_polygon)), np.diff(first))
+    here = np.arange(first[0], first[-1])
+    after = np.where(here + 1 == first[1:][ring], first[:-1][ring], here + 1) - first[0]
+    points, g = points[first[0] : first[-1]], row[ring_polygon[ring]]
+    of, held = ring_polygon[ring] - (by_row - by_row[0])[g], np.diff(by_row)
+    bad = np.zeros(n, dtype=bool)
+    bad[g[~np.isfinite(points).all(axis=1)]] = True
+    bad |= np.bincount(row[ring_polygon], minlength=n) == 0
+    least = np.full((n, 2), np.inf)
+    np.minimum.at(least, g, points)
+    with np.errstate(invalid="ignore"):
+        q = np.rint((points - least[g]) / SNAP)
+    e = np.concatenate([q, q[after]], axis=1)
+    keep = ~bad[g] & (q != q[after]).any(axis=1)
+    e, of, g = e[keep], of[keep], g[keep]
+    size = np.bincount(g, minlength=n)
+    errors = [None if s else "no finite ring" if b else "no ring with an extent" for s, b in zip(size, bad, strict=True)]
+    out = np.full((n, 3), np.nan)
+    small = (size > 0) & (size <= MANY) & (held < 64)
+    lots = np.cumsum(np.where(small, size * size, 0)) // LOT
+    ends = np.searchsorted(g, np.arange(n + 1))
+    for rows in np.split(np.arange(n), np.flatnonzero(np.diff(lots)) + 1) if n else ():
+        part = slice(ends[rows[0]], ends[rows[-1] + 1])
+        mine = small[g[part]]
+        if mine.any():
+            found, unsettled = _areas_of(e[part][mine], of[part][mine], g[part][mine] - rows[0], held[rows])
+            out[rows[small[rows]]] = found[small[rows]]
+            for k in unsettled + rows[0]:
+                out[k], errors[k] = np.nan, "edges do not settle on the grid"
+    for k in np.flatnonzero((size > 0) & ~small):
+        try:
+            a = Arrangement(_given(column[int(k)].as_py(), False))
+            out[k] = [_size(a.region(rule)) for rule in (lambda m: m.any(axis=1), lambda m: m.all(axis=1), lambda m: m[:, 0] & ~m[:, 1:].any(axis=1))]
+        except ValueError as x:
+            errors[k] = str(x)
+    return out, errors
+
+
 def areas(polygons: DataFrame, key: str) -> DataFrame:
-    """(key, union_area, common_area, first_only_area, error) from one arrangement of each key's polygons (see overlay)."""
+    """(key, union_area, common_area, first_only_area, error) from one arrangement of each key's polygons (see overlay).
+
+    An area is the sum over the region's boundary pieces, so no rings are made; the arrangements of many small groups (up to
+    MANY edges) are worked at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("union_area", "common_area", "first_only_area")
         for batch in batches:
-            out, errors = [], []
-            for given in batch.column(1).to_pylist():
-                try:
-                    a = Arrangement(_given(given, False))
-                    out.append([size(a.region(rule)) for rule in (lambda m: m.any(axis=1), lambda m: m.all(axis=1), lambda m: m[:, 0] & ~m[:, 1:].any(axis=1))])
-                    errors.append(None)
-                except ValueError as e:
-                    out.append([None] * 3)
-                    errors.append(str(e))
-            columns = zip(*out, strict=True) if out else ((),) * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64()) for c in columns), pa.array(errors, pa.string())], [key, *names, "error"])
+            out, errors = _areas(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, mask=np.isnan(c)) for c in out.T), pa.array(errors, pa.string())], [key, "union_area", "common_area", "first_only_area", "error"])
 
     return _gathered(polygons, key).mapInArrow(run, f"`{key}` {polygons.schema[key].dataType.simpleString()}, union_area double, common_area double, first_only_area double, error string")
 

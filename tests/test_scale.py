@@ -3,11 +3,14 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quoin.operators import depth as Z
 from quoin.operators import guided as T
 from quoin.operators import mapping as G
+from quoin.operators import overlay as O
 from quoin.operators import raster as R
 
 ONE = (1, 0, 0, 0, 1, 0, 0, 0, 1)
@@ -73,3 +76,28 @@ def test_one_small_file_of_triangles_is_drawn_by_many_tasks(spark):
 def test_tiles_of_few_files_are_planned_by_many_tasks(spark):
     pairs = spark.createDataFrame([(i, 900, 900, 1, 80, 60, list(map(float, ONE))) for i in range(50)], "pair int, photo_w int, photo_h int, view_id int, render_w int, render_h int, h array<double>").coalesce(1)
     assert T.crops(pairs, "pair").select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_areas_of_many_groups_as_of_each(monkeypatch):
+    """Groups of crossing, touching, empty and bad rings in one lot against one arrangement each; most make none."""
+    rng = random.Random(8)
+    groups = []
+    for k in range(120):
+        at = lambda: float(rng.choice([rng.randrange(12), rng.uniform(0, 12)]))  # noqa: B023, E731
+        ring = lambda: [{"x": at(), "y": at()} for _ in range(rng.randrange(3, 7))]  # noqa: B023, E731
+        box = lambda: (lambda x, y, w, h: [{"x": a, "y": b} for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))])(at(), at(), at() + 1, at() + 1)  # noqa: B023, E731
+        groups.append([[rng.choice([ring, box])() for _ in range(rng.randrange(1, 3))] for _ in range(rng.randrange(1, 6))])
+    groups += [[[[{"x": math.nan, "y": 0.0}] * 3]], [[[{"x": 1.0, "y": 1.0}] * 3]], [[]], [groups[0][0], []], [[[{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 0.0}, {"x": 0.0, "y": 1.0}]]] * 70]
+    point = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+    made = []
+    arrangement = O.Arrangement
+    monkeypatch.setattr(O, "Arrangement", lambda p: made.append(len(p)) or arrangement(p))
+    got, errors = O._areas(pa.array([None, *groups], point).slice(1))
+    assert made == [70]
+    for g, areas, error in zip(groups, got, errors, strict=True):
+        try:
+            a = arrangement(O._given(g, False))
+            want = [O.size(a.region(rule)) for rule in (lambda m: m.any(axis=1), lambda m: m.all(axis=1), lambda m: m[:, 0] & ~m[:, 1:].any(axis=1))]
+            assert error is None and np.allclose(areas, want, rtol=1e-9, atol=1e-6), (g, areas, want)
+        except ValueError as x:
+            assert error == str(x) and np.isnan(areas).all()
