@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from quoin.functions.boxes import finite
 from quoin.functions.numeric import angle_between, bearing
+from quoin.runtime import dealt
 
+SHARES = 4
+"""Shares of a cell of `within`, as many places may lie in one."""
 LEVELS = 8
 """Grids of `nearest` below that with cells of the radius, each of half the side."""
 
@@ -15,13 +18,16 @@ LEVELS = 8
 def within(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     """Pairs (a_id, b_id, distance, bearing from a to b) within radius. a, b: id, x, y.
 
-    b is filed in square cells of the radius, a looks in its nine; so the join has an equi-key and stays local."""
-    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    p = a.select(F.col("id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(around).alias("o")).select("a_id", "ax", "ay", (cell("ax") + F.col("o.i")).alias("cx"), (cell("ay") + F.col("o.j")).alias("cy"))
-    q = b.select(F.col("id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"), cell("x").alias("cx"), cell("y").alias("cy"))
+    b is filed in square cells of half the radius and in shares of a cell, a looks in the 25 cells around it and in all shares;
+    so the join has an equi-key, stays local, and is dealt evenly however few and small the files are."""
+    side = radius * 1.0001 / 2
+    cell = lambda c: F.floor(F.col(c) / side).cast("long")
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(s).alias("share")) for i in range(-2, 3) for j in range(-2, 3) for s in range(SHARES)])
+    p = a.select(F.col("id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(around).alias("o")).select("a_id", "ax", "ay", (cell("ax") + F.col("o.i")).alias("cx"), (cell("ay") + F.col("o.j")).alias("cy"), F.col("o.share").alias("share"))
+    q = b.select(F.col("id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"), cell("x").alias("cx"), cell("y").alias("cy"), F.pmod(F.xxhash64("id"), F.lit(SHARES)).cast("int").alias("share"))
+    p, q = (dealt(t, "cx", "cy", "share") for t in (p, q))
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    out = p.join(q, ["cx", "cy"]).withColumns({"distance": F.sqrt(dx * dx + dy * dy), "bearing": bearing(dx, dy)})
+    out = p.hint("merge").join(q, ["cx", "cy", "share"]).withColumns({"distance": F.sqrt(dx * dx + dy * dy), "bearing": bearing(dx, dy)})
     return out.where(F.col("distance") <= radius).select("a_id", "b_id", "distance", "bearing")
 
 
