@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,10 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quoin.functions import numeric as N
+from quoin.runtime import dealt
 
 RANSAC_PX, RANSAC_ROUNDS, TRAIN_MIN = 4.0, 10_000, 4
 RANSAC_LEAST, RANSAC_CONFIDENCE = 500, 0.999
 AREA_RTOL = 1e-5
+PART = 1 << 20
+"""Points of a task that are put into its hulls at once."""
+BLOCK = 1 << 14
+"""Points whose errors are worked at once."""
 PAIRS_AT_ONCE, PAIRS_TRIED = 1 << 21, 100_000
 
 
@@ -36,6 +42,28 @@ def transform(h: np.ndarray, p: np.ndarray) -> np.ndarray:
     return out
 
 
+def errors(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of transformed points to where they should be; infinite where there is none."""
+    with np.errstate(all="ignore"):
+        x, y = a[:, 0], a[:, 1]
+        w = x * h[2, 0] + y * h[2, 1] + h[2, 2]
+        dx = (x * h[0, 0] + y * h[0, 1] + h[0, 2]) / w - b[:, 0]
+        dy = (x * h[1, 0] + y * h[1, 1] + h[1, 2]) / w - b[:, 1]
+        e = np.sqrt(dx * dx + dy * dy)
+    e[(np.abs(w) <= 1e-12) | np.isnan(e)] = np.inf
+    return e
+
+
+def truncated(h: np.ndarray, a: np.ndarray, b: np.ndarray, limit: float, most: float) -> float:
+    """Sum of errors, none above limit, in blocks; infinite once it has reached `most`."""
+    total = 0.0
+    for i in range(0, len(a), BLOCK):
+        total += float(np.minimum(errors(h, a[i : i + BLOCK], b[i : i + BLOCK]), limit).sum())
+        if total >= most:
+            return np.inf
+    return total
+
+
 def fit_homography(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Normalised direct linear transform from at least four pairs in general position; Frobenius norm one."""
     if len(a) < 4 or not (np.isfinite(a).all() and np.isfinite(b).all()):
@@ -72,11 +100,10 @@ def ransac(a: np.ndarray, b: np.ndarray, limit: float = RANSAC_PX, rounds: int =
             h = fit_homography(a[pick], b[pick])
         except (ValueError, np.linalg.LinAlgError):
             continue
-        e = np.nan_to_num(np.linalg.norm(transform(h, a) - b, axis=1), nan=np.inf)
-        c = np.minimum(e, limit).sum()
+        c = truncated(h, a, b, limit, cost)
         if c < cost:
             best, cost = h, c
-            clean = (e <= limit).mean() ** 4
+            clean = (errors(h, a, b) <= limit).mean() ** 4
             enough = np.log(1 - RANSAC_CONFIDENCE) / np.log1p(-clean) if 0 < clean < 1 else (rounds if clean == 0 else 0)
     if best is None:
         raise ValueError("no sample fixes a homography")
@@ -92,16 +119,24 @@ def ransac(a: np.ndarray, b: np.ndarray, limit: float = RANSAC_PX, rounds: int =
 
 def hull(p: np.ndarray) -> np.ndarray:
     """Convex hull by monotone chain, counter-clockwise."""
-    p = np.unique(p[np.isfinite(p).all(axis=1)], axis=0)
+    p = p[np.isfinite(p).all(axis=1)]
+    p = p[np.lexsort((p[:, 1], p[:, 0]))]
+    if len(p):  # on one x only the least and the greatest y can be corners
+        turn = p[1:, 0] != p[:-1, 0]
+        p = p[np.append(True, turn) | np.append(turn, True)]
+        p = p[np.append(True, (p[1:] != p[:-1]).any(axis=1))]
     if len(p) < 3:
         return p
-    out: list[np.ndarray] = []
-    for points in (p, p[::-1]):
+    out: list[tuple[float, float]] = []
+    for points in (p.tolist(), p[::-1].tolist()):
         base = len(out)
-        for q in points:
-            while len(out) >= base + 2 and np.cross(np.append(out[-1] - out[-2], 0), np.append(q - out[-1], 0))[2] <= 0:
+        for x, y in points:
+            while len(out) >= base + 2:
+                (ax, ay), (bx, by) = out[-2], out[-1]
+                if (bx - ax) * (y - by) - (by - ay) * (x - bx) > 0:
+                    break
                 out.pop()
-            out.append(q)
+            out.append((x, y))
         out.pop()
     return np.array(out)
 
@@ -120,6 +155,52 @@ def coverage(p: np.ndarray, width: float, height: float) -> dict[str, float]:
     return {"hull": abs(area(hull(p))) / (width * height), "x_span": float(np.ptp(p[:, 0])) / width, "y_span": float(np.ptp(p[:, 1])) / height}
 
 
+def coverage_groups(points: DataFrame, key: str, columns: list[str], width: float, height: float) -> DataFrame:
+    """coverage() of each key's points, from the hulls of parts: a task keeps hulls, and a key's are put together."""
+    kind = points.schema[key].dataType.simpleString()
+    sums = ["n", "x0", "x1", "y0", "y1"]
+
+    def state(parts: pd.DataFrame) -> pd.DataFrame:
+        """One row for each key; hulls of points and of hulls are the same."""
+        rows = []
+        for k, g in parts.groupby(key, sort=False, dropna=False):
+            p = hull(np.concatenate([np.stack([np.asarray(x, float), np.asarray(y, float)], axis=1) for x, y in zip(g["xs"], g["ys"], strict=True)]))
+            p = p.reshape(-1, 2)
+            rows.append((k, int(g["n"].sum()), *(float(f(g[c].to_numpy(float))) for c, f in (("x0", np.min), ("x1", np.max), ("y0", np.min), ("y1", np.max))), p[:, 0], p[:, 1]))
+        return pd.DataFrame(rows, columns=[key, *sums, "xs", "ys"])
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        """As state, of points."""
+        rows = []
+        for k, g in pdf.groupby(key, sort=False, dropna=False):
+            x, y = (g[c].to_numpy(float) for c in columns)
+            p = hull(np.stack([x, y], axis=1)).reshape(-1, 2)
+            rows.append((k, len(g), x.min(), x.max(), y.min(), y.max(), p[:, 0], p[:, 1]))
+        return pd.DataFrame(rows, columns=[key, *sums, "xs", "ys"])
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, waiting, n = [], [], 0
+        for b in batches:
+            waiting.append(b)
+            n += len(b)
+            if n >= PART:
+                held = [state(pd.concat([*held, part(pd.concat(waiting))]))]
+                waiting, n = [], 0
+        if waiting:
+            held.append(part(pd.concat(waiting)))
+        if held:
+            yield state(pd.concat(held))
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = state(pdf).iloc[0]
+        p = np.stack([r["xs"], r["ys"]], axis=1)
+        few = r["n"] < 3
+        return pd.DataFrame([{key: r[key], "hull": 0.0 if few else abs(area(p)) / (width * height), "x_span": 0.0 if few else (r["x1"] - r["x0"]) / width, "y_span": 0.0 if few else (r["y1"] - r["y0"]) / height, "error": None}])
+
+    held = points.select(key, *[F.col(c).cast("double") for c in columns]).mapInPandas(parts, f"{key} {kind}, n long, x0 double, x1 double, y0 double, y1 double, xs array<double>, ys array<double>")
+    return held.groupBy(key).applyInPandas(whole, f"{key} {kind}, hull double, x_span double, y_span double, error string")
+
+
 def fit_groups(matches: DataFrame, key: str, photo: tuple[int, int], limit: float = RANSAC_PX, render: tuple[int, int] | None = None) -> DataFrame:
     """For each key a homography from its training rows and how it does on the held-out ones, which never enter the fit.
 
@@ -296,17 +377,27 @@ def outer_rings(polygons: list[np.ndarray], digits: int = 6) -> list[np.ndarray]
 
 
 def per_group(df: DataFrame, key: str, columns: list[str], f, fields: str) -> DataFrame:
-    """f(numpy array of columns) -> dict for each key; ValueError becomes `error`."""
+    """f(numpy array of columns, by ord) -> dict of doubles for each key; ValueError becomes `error`."""
     names = [x.split()[0] for x in fields.split(", ")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        try:
-            row = f(pdf.sort_values("ord")[columns].to_numpy(float)) | {"error": None}
-        except ValueError as e:
-            row = dict.fromkeys(names) | {"error": str(e)}
-        return pd.DataFrame([{key: pdf[key].iloc[0]} | row])
-
-    return df.select(key, "ord", *columns).groupBy(key).applyInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, {fields}, error string")
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, {fields}, error string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("rows")
+            ends, rows = np.asarray(lists.offsets), lists.values
+            values = np.stack([rows.field(c).to_numpy(zero_copy_only=False).astype(float) for c in columns], axis=1)
+            out, errors = [], []
+            for i in range(len(lists)):
+                try:
+                    out.append(f(values[ends[i] : ends[i + 1]]))
+                    errors.append(None)
+                except ValueError as e:
+                    out.append({})
+                    errors.append(str(e))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r.get(n) for r in out], pa.float64(), from_pandas=True) for n in names), pa.array(errors, pa.string())], [key, *names, "error"])
+
+    rows = dealt(df.select(key, "ord", *columns), key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ord", *columns))).alias("rows"))
+    return rows.mapInArrow(run, schema)
 
 
 class Gaps:

@@ -5,13 +5,17 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quoin.operators import depth as Z
 from quoin.operators import guided as T
+from quoin.operators import kernels as K
 from quoin.operators import mapping as G
 from quoin.operators import overlay as O
 from quoin.operators import raster as R
+from quoin.operators import spatial as P
+from quoin.plans import views as W
 
 ONE = (1, 0, 0, 0, 1, 0, 0, 0, 1)
 
@@ -101,3 +105,63 @@ def test_areas_of_many_groups_as_of_each(monkeypatch):
             assert error is None and np.allclose(areas, want, rtol=1e-9, atol=1e-6), (g, areas, want)
         except ValueError as x:
             assert error == str(x) and np.isnan(areas).all()
+
+
+def test_numbers_of_matches_need_no_sort_of_a_candidate(spark):
+    sf = "/root/testdata/sf0.001"
+    m = W.matches(spark, sf)
+    whole = Window.partitionBy("cand").orderBy(*W.MATCH_ORDER)
+    assert m.groupBy("cand").agg(F.countDistinct("ord").alias("n"), F.max("ord").alias("m"), F.count("*").alias("k")).where("n <> k OR m <> k").count() == 0
+    assert m.withColumn("r", F.row_number().over(whole)).where("r <> ord").count() == 0
+    assert "_before" in plan(m) and "Window" not in plan(W.matches(spark, sf, numbered=False))
+
+
+def test_hulls_from_parts(spark):
+    rng = random.Random(2)
+    rows = [(k, float(rng.randrange(30)) if k < 3 else rng.gauss(0, 9), rng.gauss(0, 5)) for k in range(5) for _ in range(400)]
+    rows += [(7, 1.0, 2.0), (7, 3.0, 4.0), (8, 1.0, 1.0), (8, 2.0, 2.0), (8, 3.0, 3.0), (9, math.nan, 1.0), (9, 1.0, 1.0), (9, 2.0, 5.0), (9, 4.0, 1.0)]
+    df = spark.createDataFrame(rows, "k int, x double, y double").repartition(6)
+    got = {r.k: (r.hull, r.x_span, r.y_span) for r in K.coverage_groups(df, "k", ["x", "y"], 100, 50).collect()}
+    assert len(got) == 8 and got[7] == (0.0, 0.0, 0.0)
+    for k, g in got.items():
+        want = K.coverage(np.array([r[1:] for r in rows if r[0] == k]), 100, 50)
+        assert np.allclose(np.array(g, dtype=float), list(want.values()), rtol=1e-12, equal_nan=True)
+    assert "MapInPandas" in plan(K.coverage_groups(df, "k", ["x", "y"], 100, 50))
+
+
+def test_samples_are_dropped_before_all_points_are_read(monkeypatch):
+    rng = np.random.default_rng(3)
+    a = rng.uniform(0, 100, (3 * K.BLOCK, 2))
+    h = np.array([[1.0, 0.1, 2], [0, 1, 3], [1e-3, 0, 1]])
+    b = K.transform(h, a) + rng.normal(0, 3, a.shape)
+    want = np.minimum(np.linalg.norm(K.transform(h, a) - b, axis=1), 4.0).sum()
+    assert np.isclose(K.truncated(h, a, b, 4.0, np.inf), want, rtol=1e-12)
+    seen, errors = [], K.errors
+    monkeypatch.setattr(K, "errors", lambda h, a, b: seen.append(len(a)) or errors(h, a, b))
+    assert K.truncated(h, a, b, 4.0, 9.0) == np.inf and seen == [K.BLOCK]
+
+
+def test_small_groups_are_no_data_frames(spark):
+    df = spark.createDataFrame([(k, i, float(i)) for k in range(9) for i in (3, 1, 2)], "k int, ord int, x double").coalesce(1)
+    out = K.per_group(df, "k", ["x"], lambda p: {"first": float(p[0, 0])}, "first double")
+    assert {(r.k, r.first, r.error) for r in out.collect()} == {(k, 1.0, None) for k in range(9)}
+    assert "Pandas" not in plan(out) and "REPARTITION_BY_NUM" in plan(out)
+
+
+def test_pairs_in_a_radius_are_dealt(spark):
+    rng = random.Random(4)
+    a, b = ([(i, rng.uniform(-50, 50), rng.uniform(-50, 50)) for i in range(n)] for n in (60, 300))
+    a += [(1000, 0.0, 0.0)]
+    b += [(1000, 10.0, 0.0), (1001, -10.0, 0.0), (1002, 10.000001, 0.0)]
+    df = [spark.createDataFrame(t, "id int, x double, y double").coalesce(1) for t in (a, b)]
+    out = P.within(*df, 10.0)
+    assert sorted((r.a_id, r.b_id) for r in out.collect()) == sorted((i, j) for i, x, y in a for j, u, v in b if math.sqrt((u - x) ** 2 + (v - y) ** 2) <= 10.0)
+    assert plan(out).count("REPARTITION_BY_NUM") == 2
+
+
+def test_boxes_on_a_wall_are_worked_in_batches(spark):
+    det = W.detections(spark, "/root/testdata/sf0.001").withColumn("class", F.col("kind"))
+    out = R.map_boxes(det, W.H, (450, 330), (420, 320), W.PIXEL_TO_LOCAL, W.FRAME, (-9.0, 5.0, -3.0, 9.5))
+    assert "MapInArrow" in plan(out)
+    r = out.where("reject_reason IS NULL").first()
+    assert r.area_m2 > 0 and len(r.uv) == 4 and out.where("uv IS NULL AND area_m2 IS NOT NULL").count() == 0
