@@ -156,7 +156,7 @@ def test_pairs_in_a_radius_are_dealt(spark):
     df = [spark.createDataFrame(t, "id int, x double, y double").coalesce(1) for t in (a, b)]
     out = P.within(*df, 10.0)
     assert sorted((r.a_id, r.b_id) for r in out.collect()) == sorted((i, j) for i, x, y in a for j, u, v in b if math.sqrt((u - x) ** 2 + (v - y) ** 2) <= 10.0)
-    assert P.within(*df, 10.0)._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 2
+    assert plan(out).count("REPARTITION_BY_NUM") >= 2
 
 
 def test_boxes_on_a_wall_are_worked_in_batches(spark):
