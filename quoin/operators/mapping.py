@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoin.functions import numeric as N
-from quoin.runtime import cut
+from quoin.runtime import stored
 
 from . import raster as R
 from . import samples as X
@@ -29,8 +29,12 @@ TOLERANCE = 0.03
 #: Fixed values of the containment rule: edges below the first cross product run side by side; ends give that much.
 FLAT, ENDS = 1e-12, 1e-9
 SINGULAR = 3 * 2.0**-52
+OPEN = ("x0", "y0", "x1", "y1", "h", "view_id", "building_id")
+"""What only detections need that no reason has rejected yet."""
 BAND, CELL = 1.0, 4.0
 """Metres: the height in which edges are filed, and the side of the cells in which rings are."""
+FEW = 64
+"""Edges with which a ring is sent to each of its cells as a whole; one of more is met by bands."""
 LOT = 1 << 19
 """Pairs of points and edges that are compared at once."""
 #: The reasons in their order.
@@ -106,10 +110,15 @@ def _hits(px: np.ndarray, py: np.ndarray, m: np.ndarray, o: np.ndarray, u: np.nd
         return steep & np.isfinite(depth) & (depth > 0), dot(rel, u), dot(rel, v), depth, np.stack(q, axis=2)
 
 
-def on_walls(det: DataFrame, runs: DataFrame, run: str) -> DataFrame:
+def on_walls(det: DataFrame, runs: DataFrame, run: str, kept: list[str] | None = None) -> DataFrame:
     """det (run, class, box) joined with its run: hits of the four corners (see wall_hit), area_m2, and the first of the first
-    eight reasons as reject_reason. A batch of rows is worked at once, in the order of operations of the columns' forms."""
+    eight reasons as reject_reason. A batch of rows is worked at once, in the order of operations of the columns' forms.
+
+    kept: the columns to keep, all if None; then there are quad (x and y of the corners on the wall), width_m and height_m in
+    place of hits, and rows with a `problem` have that as their reason."""
     joined = det.join(runs, run)
+    if kept is not None:
+        joined = joined.select(*dict.fromkeys([*kept, "problem", "class", "x0", "y0", "x1", "y1", "photo_w", "photo_h", "render_w", "render_h", "h", "camera", "origin", "u", "v"]))
     point = "array<struct<x: double, y: double, depth: double, point: array<double>>>"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,21 +149,35 @@ def on_walls(det: DataFrame, runs: DataFrame, run: str) -> DataFrame:
                 tests = np.stack([~known, ~sound, outside, border, ~one_side, ~within, ~met, area < R.MIN_AREA], axis=1)
             first = np.where(tests.any(axis=1), tests.argmax(axis=1), -1)
             reason = pa.array(REASONS).take(pa.array(first, mask=first < 0))
+            if kept is not None:
+                reason = pc.coalesce(b.column("problem"), reason)
+                free = reason.is_null()
+                side = lambda i, j: np.sqrt((x[:, i] - x[:, j]) ** 2 + (y[:, i] - y[:, j]) ** 2)  # noqa: B023, E731
+                quad = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * x.size + 1, 8, dtype=np.int32)), pa.array(np.stack([x, y], axis=2).ravel()), mask=reason.is_valid())
+                none = reason.is_valid().to_numpy(zero_copy_only=False)
+                with np.errstate(all="ignore"):
+                    sizes = [pa.array(v, mask=none) for v in ((side(1, 0) + side(2, 3)) / 2, (side(3, 0) + side(2, 1)) / 2, area)]
+                only = lambda c: pc.if_else(free, b.column(c), pa.scalar(None, b.column(c).type)) if c in OPEN else b.column(c)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([*(only(c) for c in kept), quad, *sizes, reason], [*kept, "quad", "width_m", "height_m", "area_m2", "reject_reason"])
+                continue
             flat = pa.StructArray.from_arrays([x.ravel(), y.ravel(), depth.ravel(), pa.ListArray.from_arrays(np.arange(0, q.size + 1, 3, dtype=np.int32), q.ravel())], ["x", "y", "depth", "point"])
             hits = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 4, dtype=np.int32)), flat, mask=pa.array(~met))
             yield pa.RecordBatch.from_arrays([*b.columns, hits, pa.array(area, mask=~met), reason], [*b.schema.names, "hits", "area_m2", "reject_reason"])
 
+    if kept is not None:
+        fields = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in kept)
+        return joined.mapInArrow(place, f"{fields}, quad array<double>, width_m double, height_m double, area_m2 double, reject_reason string")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields)
     return joined.mapInArrow(place, f"{fields}, hits {point}, area_m2 double, reject_reason string")
 
 
 def ring_edges(rings: DataFrame) -> DataFrame:
-    """rings (wall_id, ring_id, points: structs x, y) as edges (wall_id, ring_id, ax, ay, bx, by), with the ring's box."""
+    """rings (wall_id, ring_id, points: structs x, y) as edges (wall_id, ring_id, ax, ay, bx, by), with the ring's box and points."""
     n = F.size("points")
     box = {f"{f}_{c}": g(F.col(f"points.{c}")) for f, g in (("least", F.array_min), ("most", F.array_max)) for c in "xy"}
     e = rings.where(n >= 3).withColumns(box).select("wall_id", "ring_id", *box, F.posexplode("points").alias("i", "a"), F.col("points"))
     e = e.withColumn("b", F.get("points", F.pmod(F.col("i") + 1, F.size("points"))))
-    return e.where("a <> b").select("wall_id", "ring_id", *box, F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
+    return e.where("a <> b").select("wall_id", "ring_id", *box, F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"), "points")
 
 
 def inside_edges(quad: np.ndarray, edges: np.ndarray, tolerance: float) -> bool:
@@ -208,25 +231,41 @@ def _kept(quads: np.ndarray, ends: np.ndarray, edges: np.ndarray, tolerance: flo
     return out
 
 
+def _beside(quads: np.ndarray, ends: np.ndarray, edges: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """ends and edges as in _kept, of each row only the edges at its height and at or to the right of its left end."""
+    row = np.repeat(np.arange(len(quads)), np.diff(ends))
+    edges = edges[ends[0] : ends[-1]]
+    (left, low), high = quads.min(axis=1).T - tolerance, quads[:, :, 1].max(axis=1) + tolerance
+    x, y = edges[:, 0::2], edges[:, 1::2]
+    take = (x.max(axis=1) >= left[row]) & (y.max(axis=1) >= low[row]) & (y.min(axis=1) <= high[row])
+    return np.concatenate([[0], np.cumsum(np.bincount(row[take], minlength=len(quads)))]), edges[take]
+
+
 def within_rings(quads: DataFrame, rings: DataFrame, key: list[str], tolerance: float = TOLERANCE, band: float = BAND, cell: float = CELL) -> DataFrame:
-    """The keys of the quads (key, wall_id, hits) that lie in one of their wall's rings as a whole, give or take tolerance."""
-    q = quads.select(*key, "wall_id", *[F.get("hits", F.lit(i))[c].alias(f"{c}{i}") for i in range(4) for c in "xy"])
-    q = q.withColumns({f"q{f}_{c}": g(*[F.col(f"{c}{i}") for i in range(4)]) for f, g in (("least", F.least), ("most", F.greatest)) for c in "xy"})
+    """The keys of the quads (key, wall_id, hits or quad: x and y of four corners) that lie in one of their wall's rings as a
+    whole, give or take tolerance."""
+    at = lambda c, i: F.get("quad", F.lit(2 * i + "xy".index(c))) if "quad" in quads.columns else F.get("hits", F.lit(i))[c]
+    q = quads.select(*key, "wall_id", *[at(c, i).alias(f"{c}{i}") for i in range(4) for c in "xy"])
+    most = {f"q{f}_{c}": g(*[F.col(f"{c}{i}") for i in range(4)]) for f, g in (("least", F.least), ("most", F.greatest)) for c in "xy"}
     edges = ring_edges(rings)
-    boxes = edges.select("wall_id", "ring_id", "least_x", "most_x", "least_y", "most_y").distinct()
+    number = lambda v: F.floor(v / cell)
+    # the ring's box is filed in the cells it covers, and a quadrangle looks in that of its lower left corner; a ring of few edges
+    # comes with them and is met there and then
+    boxes = edges.groupBy("wall_id", "ring_id", "least_x", "most_x", "least_y", "most_y").agg(F.flatten(F.collect_list(F.when(F.size("points") <= FEW, F.array("ax", "ay", "bx", "by")))).alias("edges"))
+    over = lambda c: F.explode(F.sequence(number(F.col(f"least_{c}") - tolerance), number(F.col(f"most_{c}") + tolerance)))
+    boxes = boxes.withColumn("lot_x", over("x")).withColumn("lot_y", over("y"))
     # a quadrangle within a ring is within its box: this also bounds the bands of a quadrangle by those of the ring
     fits = [F.col(f"qleast_{c}") >= F.col(f"least_{c}") - tolerance for c in "xy"] + [F.col(f"qmost_{c}") <= F.col(f"most_{c}") + tolerance for c in "xy"]
-    # the ring's box is filed in the cells it covers, and a quadrangle looks in that of its lower left corner
-    lot = lambda v: F.floor(v / cell)
-    over = lambda c: F.explode(F.sequence(lot(F.col(f"least_{c}") - tolerance), lot(F.col(f"most_{c}") + tolerance)))
-    boxes = boxes.withColumn("lot_x", over("x")).withColumn("lot_y", over("y"))
-    q = q.withColumns({f"lot_{c}": lot(F.col(f"qleast_{c}")) for c in "xy"}).join(boxes, ["wall_id", "lot_x", "lot_y"]).drop("lot_x", "lot_y").where(fits[0] & fits[1] & fits[2] & fits[3]).drop("least_x", "most_x", "least_y", "most_y")
+    q = q.withColumns({f"lot_{c}": number(most[f"qleast_{c}"]) for c in "xy"}).join(boxes, ["wall_id", "lot_x", "lot_y"]).drop("lot_x", "lot_y")
+    q = q.withColumns(most).where(fits[0] & fits[1] & fits[2] & fits[3]).drop("least_x", "most_x", "least_y", "most_y")
+    corner = [f"{c}{i}" for i in range(4) for c in "xy"]
+    few = q.where(F.size("edges") > 0).select(*key, *corner, "edges")
+    q = q.where(F.size("edges") == 0).drop("edges")
     row = lambda v: F.floor(v / band)
     q = q.withColumns({"q_first": row(F.col("qleast_y") - tolerance), "q_last": row(F.col("qmost_y") + tolerance)}).withColumn("band", F.explode(F.sequence("q_first", "q_last")))
-    e = edges.select("wall_id", "ring_id", "ax", "ay", "bx", "by", row(F.least("ay", "by")).alias("e_first"), row(F.greatest("ay", "by")).alias("e_last"))
+    e = edges.where(F.size("points") > FEW).select("wall_id", "ring_id", "ax", "ay", "bx", "by", row(F.least("ay", "by")).alias("e_first"), row(F.greatest("ay", "by")).alias("e_last"))
     e = e.withColumn("band", F.explode(F.sequence("e_first", "e_last")))
     met = q.join(e, ["wall_id", "ring_id", "band"]).where((F.col("band") == F.greatest("q_first", "e_first")) & (F.greatest("ax", "bx") >= F.col("qleast_x") - tolerance))
-    corner = [f"{c}{i}" for i in range(4) for c in "xy"]
     gathered = met.groupBy(*key, "ring_id", *corner).agg(F.flatten(F.collect_list(F.array("ax", "ay", "bx", "by"))).alias("edges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,10 +273,11 @@ def within_rings(quads: DataFrame, rings: DataFrame, key: list[str], tolerance:
             quad = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in corner], axis=1).reshape(-1, 4, 2)
             lists = batch.column("edges")
             ends, flat = np.asarray(lists.offsets), np.asarray(lists.values).reshape(-1, 4)
-            yield batch.select(key).filter(pa.array(_kept(quad, ends // 4, flat, tolerance)))
+            ends, flat = _beside(quad, ends // 4, flat, tolerance)
+            yield batch.select(key).filter(pa.array(_kept(quad, ends, flat, tolerance)))
 
     schema = ", ".join(f"`{k}` {gathered.schema[k].dataType.simpleString()}" for k in key)
-    return gathered.mapInArrow(run, schema).distinct()
+    return few.mapInArrow(run, schema).union(gathered.select(*key, *corner, "edges").mapInArrow(run, schema)).distinct()
 
 
 def seen_shares(boxes: DataFrame, pixels: DataFrame, objects: DataFrame, key: list[str]) -> DataFrame:
@@ -248,32 +288,44 @@ def seen_shares(boxes: DataFrame, pixels: DataFrame, objects: DataFrame, key: li
     return out.withColumn("supported", F.col("middle") & (F.col("same_wall") >= R.MIN_SAME) & (F.col("other_surface") <= R.MAX_OTHER)).drop("middle")
 
 
-def map_runs(det: DataFrame, runs: DataFrame, rings: DataFrame, pixels: DataFrame, objects: DataFrame, run: str = "run", order: str = "ord") -> DataFrame:
+def map_runs(det: DataFrame, runs: DataFrame, rings: DataFrame, pixels: DataFrame, objects: DataFrame, run: str = "run", order: str = "ord", places: bool = True) -> DataFrame:
     """det (run, ord, class, box) of all runs with prediction_id, reject_reason (null: mapped), sizes and place.
 
     runs (run, photo_w, photo_h, render_w, render_h, h, camera, origin, u, v, view_id, building_id, wall_id); rings
     (wall_id, ring_id, points) outer boundaries on the wall; pixels (view_id, x, y, object_index) visible surfaces;
     objects (building_id, object_index, kind, wall_id). Detections of runs with a problem (see run_problem) get it as
-    reject_reason. Only mapped ones have sizes and hits. Runs and detections are named by (run, ord)."""
+    reject_reason. Only mapped ones have sizes and hits. Runs and detections are named by (run, ord). places: whether hits
+    are asked for; they are most of a detection's bytes."""
     key = [run, order]
     allowed = objects.where(F.col("kind").isin(*WALL_KINDS) & F.col("wall_id").isNotNull()).select("building_id", "object_index", "wall_id")
     views = runs.select("view_id", "building_id").distinct()
     visible = pixels.select("view_id", "object_index").distinct().join(views, "view_id").join(allowed, ["building_id", "object_index"])
-    placed = on_walls(det, run_problem(runs, visible), run).withColumn("reject_reason", F.coalesce("problem", "reject_reason"))
-    free = lambda c: F.when(F.col("reject_reason").isNull(), F.col(c)).alias(c)
-    first = cut(placed.select(*key, "class", "wall_id", "reject_reason", *[free(c) for c in ("x0", "y0", "x1", "y1", "h", "view_id", "building_id", "hits", "area_m2")]))
+    kept = [*key, "class", "wall_id", *OPEN]
+    runs = run_problem(runs, visible)
+    if places:
+        placed = on_walls(det, runs, run).withColumn("reject_reason", F.coalesce("problem", "reject_reason"))
+        hit = lambda i, c: F.get("hits", F.lit(i))[c]
+        side = lambda i, j: F.sqrt(F.pow(hit(i, "x") - hit(j, "x"), 2) + F.pow(hit(i, "y") - hit(j, "y"), 2))
+        placed = placed.withColumns({"quad": F.array(*[hit(i, c) for i in range(4) for c in "xy"]), "width_m": (side(1, 0) + side(2, 3)) / 2, "height_m": (side(3, 0) + side(2, 1)) / 2})
+        found = ["width_m", "height_m", "area_m2", "hits"]
+        free = lambda c: F.when(F.col("reject_reason").isNull(), F.col(c)).alias(c)
+        placed = placed.select(*key, "class", "wall_id", "reject_reason", *[free(c) for c in (*OPEN, "quad", *found)])
+    else:
+        placed = on_walls(det, runs, run, kept)
+        found = ["width_m", "height_m", "area_m2"]
+    first = stored(placed, "mapping")
     open_ = first.where("reject_reason IS NULL")
-    inside = within_rings(open_, rings, key).withColumn("_in", F.lit(True))
-    shares = seen_shares(open_.join(inside, key, "left_semi"), pixels, objects, key)
-    late = F.when(F.col("_in").isNull(), REASONS[8]).when(~F.coalesce("supported", F.lit(False)), REASONS[9])
-    held = [*key, "class", "wall_id", "reject_reason", "hits", "area_m2", "same_wall", "other_surface"]
-    judged = open_.join(inside, key, "left").join(shares, key, "left").withColumn("reject_reason", late).select(*held)
+    inside = stored(within_rings(open_, rings, key), "mapping")
+    boxes = stored(open_.select(*key, "wall_id", *OPEN).join(inside, key, "left_semi"), "mapping")
+    # who lies in a ring has shares, so these also tell who does
+    shares = stored(seen_shares(boxes, pixels, objects, key), "mapping")
+    late = F.when(F.col("same_wall").isNull(), REASONS[8]).when(~F.coalesce("supported", F.lit(False)), REASONS[9])
+    held = [*key, "class", "wall_id", "reject_reason", *found, "same_wall", "other_surface"]
+    judged = open_.select(*key, "class", "wall_id", *found).join(shares, key, "left").withColumn("reject_reason", late).select(*held)
     out = first.where("reject_reason IS NOT NULL").select(*held[:-2], *[F.lit(None).cast("double").alias(c) for c in held[-2:]]).union(judged)
-    side = lambda i, j: F.sqrt(F.pow(F.get("hits", F.lit(i))["x"] - F.get("hits", F.lit(j))["x"], 2) + F.pow(F.get("hits", F.lit(i))["y"] - F.get("hits", F.lit(j))["y"], 2))
-    held = lambda c: F.when(F.col("reject_reason").isNull(), c)
     return out.select(
-        *key, "class", "wall_id", F.format_string("P%04d", F.col(order)).alias("prediction_id"), "reject_reason", "same_wall", "other_surface", held(F.col("hits")).alias("hits"),
-        held((side(1, 0) + side(2, 3)) / 2).alias("width_m"), held((side(3, 0) + side(2, 1)) / 2).alias("height_m"), held(F.col("area_m2")).alias("area_m2"),
+        *key, "class", "wall_id", F.format_string("P%04d", F.col(order)).alias("prediction_id"), "reject_reason", "same_wall", "other_surface",
+        *[F.when(F.col("reject_reason").isNull(), F.col(c)).alias(c) for c in ("hits", "width_m", "height_m", "area_m2") if c in found],
     )
 
 

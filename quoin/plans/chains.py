@@ -65,14 +65,14 @@ def mapping_tables(spark, sf):
 @query()
 def mapping_chain(spark, sf):
     """Every detection with its place on the wall or the first of ten reasons against it."""
-    out = G.map_runs(*mapping_tables(spark, sf))
+    out = G.map_runs(*mapping_tables(spark, sf), places=False)
     return out.select("run", "ord", "class", "wall_id", "prediction_id", "reject_reason", *[F.round(c, 6).alias(c) for c in ("same_wall", "other_surface", "width_m", "height_m", "area_m2")])
 
 
 @query()
 def mapping_statuses(spark, sf):
     """How many detections of each run were mapped, and its status."""
-    return G.map_status(G.map_runs(*mapping_tables(spark, sf)))
+    return G.map_status(G.map_runs(*mapping_tables(spark, sf), places=False))
 
 
 # Tiles that guide the matching
