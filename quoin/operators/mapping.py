@@ -44,6 +44,12 @@ REASONS = (
 )
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """df for a join that sorts both sides. What is exploded from a small file is taken for small and would be sent through the
+    driver, though it grows with the walls."""
+    return df.hint("merge")
+
+
 def _at(array: str, n: int) -> list[Column]:
     return [F.get(array, F.lit(i)) for i in range(n)]
 
@@ -81,7 +87,7 @@ def run_problem(runs: DataFrame, visible: DataFrame) -> DataFrame:
     finite = lambda c, n: (F.size(c) == n) & F.forall(c, lambda x: N.finite(x))
     affine = F.greatest(F.abs(m[12]), F.abs(m[13]), F.abs(m[14]), F.abs(m[15] - 1)) <= 1e-12
     seen = visible.select("view_id", "wall_id").distinct().withColumn("_seen", F.lit(True))
-    out = runs.join(seen, ["view_id", "wall_id"], "left")
+    out = runs.join(grown(seen), ["view_id", "wall_id"], "left")
     middle = wall_hit(F.col("render_w") / 2, F.col("render_h") / 2)
     ok = lambda c: F.coalesce(c, F.lit(False))
     problem = (
@@ -256,7 +262,7 @@ def within_rings(quads: DataFrame, rings: DataFrame, key: list[str], tolerance:
     boxes = boxes.withColumn("lot_x", over("x")).withColumn("lot_y", over("y"))
     # a quadrangle within a ring is within its box: this also bounds the bands of a quadrangle by those of the ring
     fits = [F.col(f"qleast_{c}") >= F.col(f"least_{c}") - tolerance for c in "xy"] + [F.col(f"qmost_{c}") <= F.col(f"most_{c}") + tolerance for c in "xy"]
-    q = q.withColumns({f"lot_{c}": number(most[f"qleast_{c}"]) for c in "xy"}).join(boxes, ["wall_id", "lot_x", "lot_y"]).drop("lot_x", "lot_y")
+    q = q.withColumns({f"lot_{c}": number(most[f"qleast_{c}"]) for c in "xy"}).join(grown(boxes), ["wall_id", "lot_x", "lot_y"]).drop("lot_x", "lot_y")
     q = q.withColumns(most).where(fits[0] & fits[1] & fits[2] & fits[3]).drop("least_x", "most_x", "least_y", "most_y")
     corner = [f"{c}{i}" for i in range(4) for c in "xy"]
     few = q.where(F.size("edges") > 0).select(*key, *corner, "edges")
@@ -265,7 +271,7 @@ def within_rings(quads: DataFrame, rings: DataFrame, key: list[str], tolerance:
     q = q.withColumns({"q_first": row(F.col("qleast_y") - tolerance), "q_last": row(F.col("qmost_y") + tolerance)}).withColumn("band", F.explode(F.sequence("q_first", "q_last")))
     e = edges.where(F.size("points") > FEW).select("wall_id", "ring_id", "ax", "ay", "bx", "by", row(F.least("ay", "by")).alias("e_first"), row(F.greatest("ay", "by")).alias("e_last"))
     e = e.withColumn("band", F.explode(F.sequence("e_first", "e_last")))
-    met = q.join(e, ["wall_id", "ring_id", "band"]).where((F.col("band") == F.greatest("q_first", "e_first")) & (F.greatest("ax", "bx") >= F.col("qleast_x") - tolerance))
+    met = q.join(grown(e), ["wall_id", "ring_id", "band"]).where((F.col("band") == F.greatest("q_first", "e_first")) & (F.greatest("ax", "bx") >= F.col("qleast_x") - tolerance))
     gathered = met.groupBy(*key, "ring_id", *corner).agg(F.flatten(F.collect_list(F.array("ax", "ay", "bx", "by"))).alias("edges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +290,7 @@ def seen_shares(boxes: DataFrame, pixels: DataFrame, objects: DataFrame, key: li
     """Shares of a grid of points over each box that lie on its wall (its openings count for it) and on other surfaces, and
     whether that supports it. boxes (key, box, h, view_id, building_id, wall_id), pixels (view_id, x, y, object_index)."""
     own = objects.where(F.col("kind").isin(*WALL_KINDS)).groupBy("building_id", "wall_id").agg(F.collect_set(F.col("object_index").cast("int")).alias("mine"))
-    out = X.shares(boxes.join(own, ["building_id", "wall_id"], "left"), pixels, key)
+    out = X.shares(boxes.join(grown(own), ["building_id", "wall_id"], "left"), pixels, key)
     return out.withColumn("supported", F.col("middle") & (F.col("same_wall") >= R.MIN_SAME) & (F.col("other_surface") <= R.MAX_OTHER)).drop("middle")
 
 
@@ -299,7 +305,7 @@ def map_runs(det: DataFrame, runs: DataFrame, rings: DataFrame, pixels: DataFram
     key = [run, order]
     allowed = objects.where(F.col("kind").isin(*WALL_KINDS) & F.col("wall_id").isNotNull()).select("building_id", "object_index", "wall_id")
     views = runs.select("view_id", "building_id").distinct()
-    visible = pixels.select("view_id", "object_index").distinct().join(views, "view_id").join(allowed, ["building_id", "object_index"])
+    visible = pixels.select("view_id", "object_index").distinct().join(views, "view_id").join(grown(allowed), ["building_id", "object_index"])
     kept = [*key, "class", "wall_id", *OPEN]
     runs = run_problem(runs, visible)
     if places:
