@@ -64,17 +64,45 @@ def truncated(h: np.ndarray, a: np.ndarray, b: np.ndarray, limit: float, most: f
     return total
 
 
-def fit_homography(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Normalised direct linear transform from at least four pairs in general position; Frobenius norm one."""
-    if len(a) < 4 or not (np.isfinite(a).all() and np.isfinite(b).all()):
-        raise ValueError("at least four finite pairs are needed")
-    ta, tb = normaliser(a), normaliser(b)
-    x, y = transform(ta, a), transform(tb, b)
-    if min(np.linalg.matrix_rank(p - p.mean(axis=0), tol=1e-6) for p in (x, y)) < 2:
+def blocks(n: int) -> Iterator[slice]:
+    return (slice(i, i + BLOCK) for i in range(0, n, BLOCK))
+
+
+def fit_inliers(a: np.ndarray, b: np.ndarray, inliers: np.ndarray) -> np.ndarray:
+    """fit_homography of the pairs that are inliers. Of many, blocks are worked one by one: of their equations only the
+    triangular factor is kept, which has the same singular values and vectors."""
+    n = int(inliers.sum())
+    if n <= BLOCK:
+        return fit_homography(a[inliers], b[inliers])
+    parts = lambda p: (p[s][inliers[s]] for s in blocks(len(p)))
+    moves = []
+    for p in (a, b):
+        c = sum(x.sum(axis=0) for x in parts(p)) / n
+        if not np.isfinite(c).all():
+            raise ValueError("at least four finite pairs are needed")
+        d = sum(np.sqrt(((x - c) ** 2).sum(axis=1)).sum() for x in parts(p)) / n
+        if d < 1e-12:
+            raise ValueError("points coincide")
+        s = np.sqrt(2) / d
+        moves.append(np.array([[s, 0, -s * c[0]], [0, s, -s * c[1]], [0, 0, 1]]))
+    r, rx, ry = np.zeros((0, 9)), np.zeros((0, 2)), np.zeros((0, 2))
+    for p, q in zip(parts(a), parts(b), strict=True):
+        x, y = transform(moves[0], p), transform(moves[1], q)
+        rx, ry = (np.linalg.qr(np.vstack(v), mode="r") for v in ((rx, x), (ry, y)))
+        r = np.linalg.qr(np.vstack([r, equations(x, y)]), mode="r")
+    if min(np.linalg.matrix_rank(v, tol=1e-6) for v in (rx, ry)) < 2:
         raise ValueError("points are collinear")
-    one, zero = np.ones(len(x)), np.zeros((len(x), 3))
-    hom = np.column_stack([x, one])
-    rows = np.vstack([np.hstack([hom, zero, -y[:, :1] * hom]), np.hstack([zero, hom, -y[:, 1:] * hom])])
+    return _solved(r, *moves, sum(x.sum(axis=0) for x in parts(a)) / n)
+
+
+def equations(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Two rows of the direct linear transform for each pair of normalised points."""
+    zero = np.zeros((len(x), 3))
+    hom = np.column_stack([x, np.ones(len(x))])
+    return np.vstack([np.hstack([hom, zero, -y[:, :1] * hom]), np.hstack([zero, hom, -y[:, 1:] * hom])])
+
+
+def _solved(rows: np.ndarray, ta: np.ndarray, tb: np.ndarray, middle: np.ndarray) -> np.ndarray:
     _, s, vt = np.linalg.svd(rows, full_matrices=len(rows) < 9)
     if len(s) < 8 or s[7] < 1e-10 * s[0]:
         raise ValueError("pairs do not fix a homography")
@@ -82,7 +110,26 @@ def fit_homography(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     h = h / np.linalg.norm(h)
     if abs(np.linalg.det(h)) < 1e-14:
         raise ValueError("homography is singular")
-    return h if h[2] @ np.append(a.mean(axis=0), 1) >= 0 else -h
+    return h if h[2] @ np.append(middle, 1) >= 0 else -h
+
+
+def fit_homography(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Normalised direct linear transform from at least four pairs in general position; Frobenius norm one."""
+    if len(a) < 4 or not (np.isfinite(a).all() and np.isfinite(b).all()):
+        raise ValueError("at least four finite pairs are needed")
+    ta, tb = normaliser(a), normaliser(b)
+    x, y = transform(ta, a), transform(tb, b)
+    if min(np.linalg.matrix_rank(p - p.mean(axis=0), tol=1e-6) for p in (x, y)) < 2:
+        raise ValueError("points are collinear")
+    return _solved(equations(x, y), ta, tb, a.mean(axis=0))
+
+
+def distances(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of transformed points to where they should be, in blocks; huge where there is none."""
+    out = np.empty(len(a))
+    for s in blocks(len(a)):
+        out[s] = np.nan_to_num(np.linalg.norm(transform(h, a[s]) - b[s], axis=1), nan=np.inf)
+    return out
 
 
 def ransac(a: np.ndarray, b: np.ndarray, limit: float = RANSAC_PX, rounds: int = RANSAC_ROUNDS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -103,17 +150,16 @@ def ransac(a: np.ndarray, b: np.ndarray, limit: float = RANSAC_PX, rounds: int =
         c = truncated(h, a, b, limit, cost)
         if c < cost:
             best, cost = h, c
-            clean = (errors(h, a, b) <= limit).mean() ** 4
+            clean = (sum(int((errors(h, a[s], b[s]) <= limit).sum()) for s in blocks(len(a))) / len(a)) ** 4
             enough = np.log(1 - RANSAC_CONFIDENCE) / np.log1p(-clean) if 0 < clean < 1 else (rounds if clean == 0 else 0)
     if best is None:
         raise ValueError("no sample fixes a homography")
     inliers = np.zeros(len(a), dtype=bool)
     for _ in range(10):
-        e = np.nan_to_num(np.linalg.norm(transform(best, a) - b, axis=1), nan=np.inf)
-        if (now := e <= limit).sum() < 4 or (now == inliers).all():
+        if (now := distances(best, a, b) <= limit).sum() < 4 or (now == inliers).all():
             break
         inliers = now
-        best = fit_homography(a[inliers], b[inliers])
+        best = fit_inliers(a, b, inliers)
     return best, inliers
 
 
@@ -210,25 +256,57 @@ def fit_groups(matches: DataFrame, key: str, photo: tuple[int, int], limit: floa
     if render:
         matches = matches.where(N.inside(F.col("rx"), F.col("ry"), F.lit(render[0]), F.lit(render[1])))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = pdf[key].iloc[0]
-        pdf = pdf.sort_values(["px", "py", "rx", "ry"])
-        a, b, held = pdf[["px", "py"]].to_numpy(float), pdf[["rx", "ry"]].to_numpy(float), pdf["holdout"].to_numpy(bool)
-        base = {key: k, "n_train": int((~held).sum()), "n_holdout": int(held.sum())}
+    def fitted(k: object, train: np.ndarray, held: np.ndarray) -> dict:
+        """train, held: px, py, rx, ry in their order."""
+        base = {key: k, "n_train": len(train), "n_holdout": len(held)}
         none = {"h": None, "train_inliers": 0, "holdout_inlier_fraction": 0.0, "median_px": None, "hull": 0.0, "x_span": 0.0, "y_span": 0.0}
         if base["n_train"] < TRAIN_MIN:
-            return pd.DataFrame([base | none | {"error": "fewer than 4 training points after spatial hold-out"}])
+            return base | none | {"error": "fewer than 4 training points after spatial hold-out"}
+        a, b = train[:, :2], train[:, 2:]
         try:
-            h, inliers = ransac(a[~held], b[~held], limit)
+            h, inliers = ransac(a, b, limit)
         except ValueError as e:
-            return pd.DataFrame([base | none | {"error": str(e)}])
-        e = np.nan_to_num(np.linalg.norm(transform(h, a[held]) - b[held], axis=1), nan=np.inf)
-        c = coverage(a[~held][inliers], *photo)
+            return base | none | {"error": str(e)}
+        e = distances(h, held[:, :2], held[:, 2:])
+        parts = [a[s][inliers[s]] for s in blocks(len(a))]
+        c = coverage(np.concatenate([hull(p) for p in parts]) if len(parts) > 1 else parts[0], *photo)
         row = {"h": h.ravel().tolist(), "train_inliers": int(inliers.sum()), "holdout_inlier_fraction": float((e <= limit).sum() / max(1, len(e))), "median_px": float(np.median(e)) if len(e) and np.isfinite(np.median(e)) else None}
-        return pd.DataFrame([base | row | c | {"error": None}])
+        return base | row | c | {"error": None}
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A key's rows follow each other in order; 32 bytes of each are held, with no copies of the whole."""
+        here, kind, rows = None, None, None
+
+        def end() -> pa.RecordBatch:
+            train, held = (np.frombuffer(r, float).reshape(-1, 4) for r in rows)
+            r = fitted(here[0], train, held)
+            types = [kind, pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.int64(), *[pa.float64()] * 5, pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array([r[n]], t) for n, t in zip(names, types, strict=True)], names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = batch.schema.field(key).type
+            codes = batch.column(key).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+            p = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in spot], axis=1).astype(float)
+            out = batch.column("holdout").to_numpy(zero_copy_only=False).astype(bool)
+            for s, e in zip(starts, [*starts[1:], len(p)], strict=True):
+                k = (batch.column(key)[int(s)].as_py(),)
+                if k != here:
+                    if here is not None:
+                        yield end()
+                    here, rows = k, (bytearray(), bytearray())
+                for r, mine in zip(rows, (~out[s:e], out[s:e]), strict=True):
+                    r.extend(np.ascontiguousarray(p[s:e][mine]).tobytes())
+        if here is not None:
+            yield end()
+
+    spot = ["px", "py", "rx", "ry"]
     schema = f"{key} {matches.schema[key].dataType.simpleString()}, n_train long, n_holdout long, h array<double>, train_inliers long, holdout_inlier_fraction double, median_px double, hull double, x_span double, y_span double, error string"
-    return matches.select(key, "px", "py", "rx", "ry", "holdout").groupBy(key).applyInPandas(run, schema)
+    names = [key, "n_train", "n_holdout", "h", "train_inliers", "holdout_inlier_fraction", "median_px", "hull", "x_span", "y_span", "error"]
+    rows = matches.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in spot], F.col("holdout").cast("boolean").alias("holdout"))
+    return dealt(rows, key).sortWithinPartitions(key, *spot).mapInArrow(run, schema)
 
 
 def _edges(ring: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -165,3 +165,28 @@ def test_boxes_on_a_wall_are_worked_in_batches(spark):
     assert "MapInArrow" in plan(out)
     r = out.where("reject_reason IS NULL").first()
     assert r.area_m2 > 0 and len(r.uv) == 4 and out.where("uv IS NULL AND area_m2 IS NOT NULL").count() == 0
+
+
+def test_many_inliers_are_fitted_in_blocks(monkeypatch):
+    """All equations of a candidate with their factors were several times its matches."""
+    rng = np.random.default_rng(6)
+    a = rng.uniform(0, 1000, (2 * K.BLOCK + 77, 2))
+    h = np.array([[0.98, 0.02, 12.0], [-0.015, 1.01, 7.5], [2e-5, -3e-5, 1.0]])
+    b = K.transform(h, a) + rng.normal(0, 0.3, a.shape)
+    inliers = rng.random(len(a)) < 0.8
+    want, seen, equations = K.fit_homography(a[inliers], b[inliers]), [], K.equations
+    monkeypatch.setattr(K, "equations", lambda x, y: seen.append(len(x)) or equations(x, y))
+    assert np.allclose(K.fit_inliers(a, b, inliers), want, rtol=1e-8, atol=1e-12) and max(seen) <= K.BLOCK
+    line = np.stack([a[:, 0], a[:, 0]], axis=1)
+    with np.testing.assert_raises(ValueError):
+        K.fit_inliers(line, b, inliers)
+
+
+def test_matches_of_a_candidate_are_no_data_frame(spark):
+    rng = random.Random(9)
+    rows = [(k, x, y, x + 2, y + 1, (i % 5 == 0) if i else None) for k in (None, 1, 2) for i in range(300) for x, y in [(rng.uniform(0, 99), rng.uniform(0, 99))]]
+    df = spark.createDataFrame([*rows, (3, 1.0, 1.0, 1.0, 1.0, False)], "k int, px double, py double, rx double, ry double, holdout boolean")
+    out = K.fit_groups(df, "k", (100, 100))
+    assert "Pandas" not in plan(out)
+    got = {r.k: r for r in out.collect()}
+    assert set(got) == {None, 1, 2, 3} and got[3].error and all(got[k].train_inliers == got[k].n_train == 240 and got[k].n_holdout == 59 for k in (None, 1, 2))
